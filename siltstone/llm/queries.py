@@ -3,13 +3,27 @@
 from __future__ import annotations
 
 from .credentials import op5_credential_links
+from .curriculum import OP9_SQL, op9_curriculum
+from .host_paths import op3_host_paths
 from .langid import op4_word_backoff
+from .media import op6_interleaved_media
+from .rotation import OP7_SQL, op7_perspectives
 from .slack_packing import op10_minimum_bin_slack
+from .url_lists import OP8_SQL, op8_temporal_lists
 
 QUERIES = {
+    "op3_host_paths": op3_host_paths,
     "op4_word_backoff": op4_word_backoff,
     "op5_credential_links": op5_credential_links,
+    "op6_interleaved_media": op6_interleaved_media,
+    "op7_perspectives": op7_perspectives,
+    "op8_temporal_lists": op8_temporal_lists,
+    "op9_curriculum": op9_curriculum,
     "op10_minimum_bin_slack": op10_minimum_bin_slack,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_perspectives": OP7_SQL,
+    "op8_temporal_lists": OP8_SQL,
+    "op9_curriculum": OP9_SQL,
+}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import credentials, langid, slack_packing
+from siltstone.llm import credentials, curriculum, langid, order_minhash, slack_packing
 from siltstone.llm.common import read_table
 
 
@@ -13,11 +13,21 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return langid.keep_identified(docs, langid.fit_documents(docs))
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each class of near-duplicates."""
+    return order_minhash.first_of_class(docs)
+
+
 def scan_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace found credentials in the texts."""
     return credentials.redact(docs)
 
 
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat or leave documents so that sources meet their targets, in training order."""
+    return curriculum.in_training_order(docs)
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut and pack every document."""
     return slack_packing.pack_documents(docs)
@@ -25,7 +35,9 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [
     ("language ID", identify_language),
+    ("MinHash near-dedup", drop_near_duplicates),
     ("secret scans", scan_secrets),
+    ("mixing sources to target weights", mix_sources),
     ("best-fit packing", pack_sequences),
 ]
 

@@ -7,6 +7,7 @@ from .curriculum import OP9_SQL, op9_curriculum
 from .host_paths import op3_host_paths
 from .langid import op4_word_backoff
 from .media import op6_interleaved_media
+from .order_minhash import op2_order_minhash
 from .perplexity import op1_perplexity_bands
 from .rotation import OP7_SQL, op7_perspectives
 from .slack_packing import op10_minimum_bin_slack
@@ -14,6 +15,7 @@ from .url_lists import OP8_SQL, op8_temporal_lists
 
 QUERIES = {
     "op1_perplexity_bands": op1_perplexity_bands,
+    "op2_order_minhash": op2_order_minhash,
     "op3_host_paths": op3_host_paths,
     "op4_word_backoff": op4_word_backoff,
     "op5_credential_links": op5_credential_links,

@@ -1,4 +1,6 @@
-"""Registry of queries and their SQL."""
+"""All registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .plans import search  # noqa: F401
+from .plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -1,6 +1,6 @@
 """All registered queries and their SQL."""
 
-from .plans import search  # noqa: F401
+from .plans import graphs, search  # noqa: F401
 from .plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -1 +1 @@
-
+"""Registered plans with their SQL."""

@@ -61,7 +61,7 @@ def source_targets(sizes: DataFrame, config: MixConfig = MixConfig()) -> DataFra
     t = t.withColumn("total", total).withColumn("capped", F.col("cap") * F.sum("weight").over(later) <= F.col("weight") * left)
     spare = F.col("total") - F.sum(F.when(F.col("capped"), F.col("cap")).otherwise(0)).over(every)
     sharing = F.sum(F.when(F.col("capped"), 0).otherwise(F.col("weight"))).over(every)
-    target = F.when(F.col("capped"), F.col("cap").cast("double")).otherwise((F.col("weight") * spare).cast("double") / sharing)
+    target = F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(F.try_divide((F.col("weight") * spare).cast("double"), sharing))
     return t.withColumn("target", target).select("no_source", "source_key", "source_size", "target", "schedule")
 
 
@@ -108,7 +108,7 @@ def assign(docs: DataFrame, carry: list[str], config: MixConfig = MixConfig()) -
     laid = laid.withColumn("start", F.col("before") + F.col("until") - F.col("size")).withColumn("demand", F.round("target").cast("long"))
 
     def position(at: Column) -> Column:
-        share, found = at / F.col("demand"), F.lit(None).cast("double")
+        share, found = F.try_divide(at, F.col("demand")), F.lit(None).cast("double")
         for i, knots in enumerate(config.schedules):
             found = F.when(F.col("schedule") == i, time_of(share, knots)).otherwise(found)
         return found

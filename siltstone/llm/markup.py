@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 
 TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^"'>])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*"|'[^']*'|[^"'>])*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S
 )
 ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
@@ -31,8 +31,9 @@ def scan(page: str) -> Iterator[tuple[str, str, str]]:
     """("text", decoded text, ""), ("open", tag, attribute source) and ("close", tag, "") in page
     order; comments, declarations and the contents of raw elements are left out."""
     at, n = 0, len(page)
+    end_of_tags = page.rfind(">") + 1  # nothing after it is looked through for tags
     while at < n:
-        m = TOKEN.search(page, at)
+        m = TOKEN.search(page, at, max(at, end_of_tags))
         if m is None:
             yield "text", html.unescape(page[at:]), ""
             return

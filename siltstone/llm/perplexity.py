@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -197,14 +198,17 @@ class SortedArrays:
 
 
 def sorted_arrays(tables: list[DataFrame]) -> dict[str, SortedArrays]:
-    by_language: dict[str, list] = {}
+    """The tables as arrays on the driver; the caller has checked their size."""
+    none = (np.empty(0, np.int64), np.empty(0, np.float32), np.empty(0, np.float32))
+    found: dict[str, list] = {}
     for order, table in enumerate(tables):
-        pdf = table.select("lang", "gram", F.log("p").cast("float").alias("p"), F.coalesce(F.log("backoff"), F.lit(0.0)).cast("float").alias("backoff")).toPandas()
-        for lang, part in pdf.groupby("lang"):
-            part = part.sort_values("gram")
-            empty = (np.empty(0, np.int64), np.empty(0, np.float32), np.empty(0, np.float32))
-            by_language.setdefault(lang, [empty] * ORDER)[order] = tuple(part[c].to_numpy() for c in ("gram", "p", "backoff"))
-    return {lang: SortedArrays(orders) for lang, orders in by_language.items()}
+        rows = table.select("lang", "gram", F.log("p").cast("float").alias("p"), F.coalesce(F.log("backoff"), F.lit(0.0)).cast("float").alias("backoff")).toArrow()
+        for lang in pc.unique(rows["lang"]).to_pylist():
+            one = rows.filter(pc.equal(rows["lang"], lang))
+            grams = one["gram"].to_numpy()
+            at = grams.argsort()
+            found.setdefault(lang, [none] * ORDER)[order] = (grams[at], one["p"].to_numpy()[at], one["backoff"].to_numpy()[at])
+    return {lang: SortedArrays(orders) for lang, orders in found.items()}
 
 
 def base_measures(text: str | None) -> tuple[int, int, int, int, int]:
@@ -298,6 +302,7 @@ def judge(docs: DataFrame, config: PerplexityConfig = PerplexityConfig()) -> Dat
     key = F.md5(F.coalesce("text", F.lit("")))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), language_of(docs, config).alias("lang"), key.alias("text_key"), "text")
     tables = kneser_ney(stage(count_grams(texts.select("lang", "text")), "grams"))
+    tables = [stage(t, "model") for t in tables]
     if sum(t.count() for t in tables) <= config.broadcast_grams:
         measured = measure(texts, sorted_arrays(tables))
     else:

@@ -34,6 +34,7 @@ from .common import WORD_PATTERN, mix, read_table, stage
 ORDER = 5
 BITS = 12
 START, END = 1, 2
+UNSEEN = -1
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
 WORD = re.compile(WORD_PATTERN)
@@ -156,7 +157,10 @@ def kneser_ney(counts: DataFrame) -> list[DataFrame]:
             lower = tables[-1].select("lang", F.col("gram").alias("suffix"), F.col("p").alias("lower"))
             t = t.withColumn("suffix", F.col("gram").bitwiseAND((1 << BITS * (order - 1)) - 1)).join(lower, ["lang", "suffix"])
             p = own + F.col("kept") / F.col("total") * F.col("lower")
-        tables.append(stage(t.select("lang", "gram", p.alias("p")), f"order-{order}"))
+        t = t.select("lang", "gram", p.alias("p"))
+        if order == 1:  # what is left for each character never seen stands under a gram that none has
+            t = t.union(weights[1].select("lang", F.lit(UNSEEN).cast("long"), F.col("kept") / F.col("total") / float(1 << BITS)))
+        tables.append(stage(t, f"order-{order}"))
     found = []
     for order in range(1, ORDER + 1):
         if order < ORDER:
@@ -181,7 +185,7 @@ class SortedArrays:
 
     def log_probabilities(self, grams: np.ndarray) -> np.ndarray:
         """Longest order first; what an order lacks backs off, weighted by its context."""
-        out, left, weight = np.full(len(grams), -BITS * np.log(2.0)), np.arange(len(grams)), np.zeros(len(grams))
+        out, left, weight = np.zeros(len(grams)), np.arange(len(grams)), np.zeros(len(grams))
         for order in range(ORDER, 0, -1):
             keys, logs, _ = self.orders[order - 1]
             part = grams[left] & ((1 << BITS * order) - 1)
@@ -194,6 +198,8 @@ class SortedArrays:
                 contexts, _, backoffs = self.orders[order - 2]
                 at, hit = self.find(contexts, part >> BITS)
                 weight[left[hit]] += backoffs[at[hit]]
+        keys, logs, _ = self.orders[0]
+        out[left] = weight[left] + (logs[0] if len(keys) and keys[0] == UNSEEN else -BITS * np.log(2.0))
         return out
 
 

@@ -14,8 +14,9 @@ no rows. Special-token strings in a text are ordinary text. Extra columns are ig
 from __future__ import annotations
 
 import os
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,8 +36,8 @@ class PackConfig:
     end_id: int = 0
     #: Tokenizer file; None is the public byte-level BPE of 50k entries.
     tokenizer_path: str | None = None
-    #: Words whose ids a task remembers.
-    cache_words: int = 250_000
+    #: Words whose ids a worker process remembers, about 200 bytes each: the first ones it meets.
+    cache_words: int = 900_000
 
 
 @dataclass(frozen=True)
@@ -106,44 +107,98 @@ def slot_table(patterns: list[Pattern]) -> dict[int, np.ndarray]:
     return {length: np.array(x, np.int64) for length, x in rows.items()}
 
 
+#: Words that a worker process has encoded, with their ids as bytes; kept from task to task.
+_KNOWN: dict[tuple[str | None, bool], dict[str, bytes]] = {}
+#: White space other than the space and the line end.
+_OTHER_SPACE = re.compile(r"[^\S \n]")
+_ADJACENT = ("  ", " \n", "\n ", "\n\n")
+
+
+def _plainly_spaced(text: str) -> bool:
+    """Whether every white space is a space or line end between two characters that aren't."""
+    return not (text[:1].isspace() or text[-1:].isspace() or any(x in text for x in _ADJACENT) or _OTHER_SPACE.search(text))
+
+
+def encoder(config: PackConfig) -> Callable[[list[str]], list[bytes]]:
+    """Function from texts to their ids as little-endian unsigned 32-bit numbers.
+
+    The tokenizer splits texts before it merges: a space alone between two other characters goes
+    with the word after it, a line end alone is by itself, and so is a comma or full stop after a
+    letter. Such words have ids of their own, and a word seen before isn't encoded again. Texts
+    with other spacing are encoded whole.
+    """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    path = config.tokenizer_path
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    leading, inner = _KNOWN.setdefault((path, True), {}), _KNOWN.setdefault((path, False), {})
+
+    def ids_of(texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    line_end, comma, stop = ids_of(["\n", ",", "."])
+    marks = {",": comma, ".": stop}
+
+    def fresh(words: list[str], prefix: str) -> dict[str, bytes]:
+        """Ids of each word, encoded in one text with a line end after each."""
+        ids = np.frombuffer(ids_of(["".join([f"{prefix}{w}\n" for w in words])])[0], "<u4")
+        ends = np.flatnonzero(ids == int.from_bytes(line_end, "little"))
+        if len(ends) != len(words):
+            return dict(zip(words, ids_of([prefix + w for w in words])))
+        return {w: ids[a:b].tobytes() for w, a, b in zip(words, [0, *(ends + 1).tolist()], ends.tolist())}
+
+    def ids_by_word(words: set[str], known: dict[str, bytes], prefix: str) -> dict[str, bytes]:
+        missing = [w for w in words if w not in known]
+        if not missing:
+            return known
+        bare = {w: w[:-1] if len(w) > 1 and w[-1] in marks and w[-2].isalpha() else w for w in missing}
+        new = fresh([w for w in dict.fromkeys(bare.values()) if w not in known], prefix)
+        for w, b in bare.items():
+            if b is not w:
+                new[w] = (new[b] if b in new else known[b]) + marks[w[-1]]
+        if len(known) + len(new) <= config.cache_words:
+            known.update(new)
+            return known
+        return {w: known[w] for w in words if w in known} | new
+
+    def encode(texts: list[str]) -> list[bytes]:
+        lines = [[x.split(" ") for x in t.split("\n")] if t and _plainly_spaced(t) else None for t in texts]
+        first = ids_by_word({x[0] for t in lines if t for x in t}, leading, "")
+        rest = ids_by_word({w for t in lines if t for x in t for w in x[1:]}, inner, " ")
+        out = []
+        for text, parts in zip(texts, lines):
+            if parts is None:
+                out.append(ids_of([text])[0] if text else b"")
+            else:
+                out.append(line_end.join([b"".join([first[x[0]], *[rest[w] for w in x[1:]]]) for x in parts]))
+        return out
+
+    return encode
+
+
 def cut(docs: DataFrame, config: PackConfig = PackConfig()) -> DataFrame:
     """Pieces (doc_id, piece, start, length, ids_crc32) of every whole text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        path = config.tokenizer_path
-        if path is None:
-            import public_tokenizers
-
-            path = public_tokenizers.path("byte_bpe_50k.json")
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        known: dict[str, np.ndarray] = {}
-
-        def ids_of(text: str) -> np.ndarray:
-            # The tokenizer never joins over a single space between two other characters, so the
-            # stretches between such spaces have ids of their own.
-            parts = text.split(" ")
-            if any(not x or x[0].isspace() or x[-1].isspace() for x in parts):
-                return np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-            words = [parts[0], *[" " + x for x in parts[1:]]]
-            new = [w for w in dict.fromkeys(words) if w not in known]
-            for w, x in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                known[w] = np.array(x.ids, np.uint32)
-            return np.concatenate([known[w] for w in words])
-
+        encode = encoder(config)
+        end = np.array([config.end_id], "<u4").tobytes()
         for pdf in batches:
             rows = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-                ids = np.append(ids_of(text) if text else np.empty(0, np.uint32), np.uint32(config.end_id)).astype("<u4")
-                first = len(ids) % config.capacity or config.capacity
-                bounds = [0, *range(first, len(ids) + 1, config.capacity)]
-                for k, (a, b) in enumerate(zip(bounds, bounds[1:])):
-                    rows.append((doc_id, k, a, b - a, zlib.crc32(ids[a:b].tobytes())))
-                if len(known) > config.cache_words:
-                    known.clear()
+            texts = pdf["text"].fillna("").tolist()
+            for a in range(0, len(texts), 100):
+                for doc_id, found in zip(pdf["doc_id"][a : a + 100], encode(texts[a : a + 100])):
+                    ids = found + end
+                    n = len(ids) // 4
+                    first = n % config.capacity or config.capacity
+                    bounds = [0, *range(first, n + 1, config.capacity)]
+                    for k, (x, y) in enumerate(zip(bounds, bounds[1:])):
+                        rows.append((doc_id, k, x, y - x, zlib.crc32(ids[4 * x : 4 * y])))
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, PIECE_SCHEMA)

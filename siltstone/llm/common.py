@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import tempfile
 import uuid
@@ -87,6 +88,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@functools.cache
 def letter_or_digit_table() -> np.ndarray:
-    """Marks the code points that are letters or digits."""
+    """Marks the code points that are letters or digits; made once in a worker process."""
     return np.fromiter((chr(c).isalnum() for c in range(0x110000)), bool, 0x110000)

@@ -3,16 +3,16 @@
 Words are runs of letters and digits in lower case. A text's k-mers are its windows of five words,
 labelled with their occurrence number. A sketch takes the several k-mers that are smallest under
 its hash and retains their text order; texts that share a sketch are candidates. A candidate pair
-is linked if a banded alignment of the two k-mer sequences keeps enough in order: the matched
-k-mers are 0.8 or more of all k-mers of both (an ordered Jaccard similarity). Linked texts and
-their copies form classes.
+is linked if a banded alignment of the two word sequences matches 0.8 or more of the longer one's
+words in order (edit similarity). Linked texts and their copies form classes.
 
 Exact copies are collapsed to one text first. A bucket of texts with one sketch is never expanded
 into its pairs while they can be spared: in some rounds every member is aligned with one
 representative, a different one each round, and members already in its class are passed over;
-only pairs of different classes that still share a bucket after these rounds are all aligned. A
-pair within a class can't change the classes, so classes come out as if all candidates had been
-aligned.
+of the pairs of different classes that still share a bucket after these rounds, all are aligned
+that their lengths and word histograms allow. A pair within a class can't change the classes, and
+the bounds by length and histogram leave out no similar pair, so classes come out as if all
+candidates had been aligned.
 
 Defined results: a null text is an empty one. A text with fewer than five words has one k-mer, all
 its words; a text without words is similar to its exact copies alone. Repeated rows are copies of
@@ -22,6 +22,7 @@ columns are ignored. An empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,17 +38,18 @@ from .common import letter_or_digit_table, mix, read_table, stage, word_hashes
 class OrderMinHashConfig:
     k: int = 5
     #: k-mers of a sketch: two texts with Jaccard similarity s share one with probability s**l.
-    l: int = 4
-    #: Sketches: at 0.8 all of them miss a pair with probability (1 - 0.8**4)**24 = 3e-6.
-    sketches: int = 24
+    l: int = 5
+    #: Sketches: at 0.8 all of them miss a pair with probability (1 - 0.8**5)**30 = 7e-6.
+    sketches: int = 30
     similarity: float = 0.8
     #: Rounds of alignment with representatives before what is left is aligned pair by pair.
     rounds: int = 2
+    #: Cells of a text's word histogram, by which unlike pairs are told before they are aligned.
+    cells: int = 256
 
 
-def kmers(text: str, k: int, is_word: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the windows of ``k`` words; of all words if there are fewer."""
-    words = word_hashes(text.lower(), is_word)
+def kmers(words: np.ndarray, k: int) -> np.ndarray:
+    """64-bit hashes of the windows of ``k`` word hashes; of all words if there are fewer."""
     if not len(words):
         return words
     n = max(1, len(words) - k + 1)
@@ -85,10 +87,10 @@ def order_sketches(kmer: np.ndarray, config: OrderMinHashConfig) -> np.ndarray:
 
 
 def banded_match(a: np.ndarray, b: np.ndarray, least: int) -> int:
-    """Longest common subsequence of two k-mer sequences within the band that ``least`` matches need.
+    """Longest common subsequence of two word sequences within the band that ``least`` matches need.
 
     Bit-parallel: bit j of ``row`` is 0 where the count grows at the j-th place of the band. With
-    ``least`` matches or more the alignment leaves the diagonal by the unmatched k-mers at most, so
+    ``least`` matches or more the alignment leaves the diagonal by the unmatched words at most, so
     the band holds it and the count is exact; otherwise the count is below ``least``.
     """
     if min(len(a), len(b)) < least:
@@ -113,26 +115,28 @@ def banded_match(a: np.ndarray, b: np.ndarray, least: int) -> int:
 
 
 def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    """Whether matched k-mers / all k-mers reaches ``similarity``."""
-    if not len(a) or not len(b):
+    """Whether the words matched in order / the longer text's words reach ``similarity``."""
+    longer = max(len(a), len(b))
+    if not longer:
         return False
-    least = int(np.ceil(similarity * (len(a) + len(b)) / (1 + similarity) - 1e-9))
+    least = int(np.ceil(similarity * longer - 1e-9))
     return banded_match(a, b, least) >= least
 
 
 def sketch_texts(docs: DataFrame, config: OrderMinHashConfig) -> DataFrame:
-    """Rows (doc_id, text_key, buckets), one for each document; copies have equal ones."""
+    """Rows (doc_id, text_key, n_words, buckets, cells), one for each document; copies have equal ones."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         is_word = letter_or_digit_table()
         for pdf in batches:
-            found = [kmers(t, config.k, is_word) for t in pdf["text"]]
-            buckets = [order_sketches(x, config).astype(np.int64) if len(x) else np.empty(0, np.int64) for x in found]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text_key": pdf["text_key"], "buckets": buckets})
+            words = [word_hashes(t.lower(), is_word) for t in pdf["text"]]
+            buckets = [order_sketches(kmers(w, config.k), config).astype(np.int64) if len(w) else np.empty(0, np.int64) for w in words]
+            cells = [np.bincount((w % np.uint64(config.cells)).astype(np.int64), minlength=config.cells).clip(0, 32000).astype(np.int16) for w in words]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text_key": pdf["text_key"], "n_words": [len(w) for w in words], "buckets": buckets, "cells": cells})
 
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("text_key"), text.alias("text"))
-    return rows.mapInPandas(run, "doc_id long, text_key binary, buckets array<long>")
+    return rows.mapInPandas(run, "doc_id long, text_key binary, n_words int, buckets array<long>, cells array<short>")
 
 
 def aligned(pairs: DataFrame, texts: DataFrame, config: OrderMinHashConfig) -> DataFrame:
@@ -142,7 +146,8 @@ def aligned(pairs: DataFrame, texts: DataFrame, config: OrderMinHashConfig) -> D
     def verify(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         is_word = letter_or_digit_table()
         for left, right in columns:
-            yield pd.Series([similar(kmers(a, config.k, is_word), kmers(b, config.k, is_word), config.similarity) for a, b in zip(left, right)], dtype=bool)
+            words = {t: word_hashes(t.lower(), is_word) for t in {*left, *right}}
+            yield pd.Series([similar(words[a], words[b], config.similarity) for a, b in zip(left, right)], dtype=bool)
 
     named = lambda side: texts.select(F.col("text_key").alias(side), F.col("text").alias(f"text_{side}"))
     both = pairs.join(named("b"), "b").join(named("a"), "a")
@@ -187,13 +192,24 @@ def head_pairs(placed: DataFrame, round_: int) -> DataFrame:
     return met.select(F.col("head.text_key").alias("x"), F.col("text_key").alias("y"))
 
 
-def cross_pairs(placed: DataFrame) -> DataFrame:
-    """All pairs (x, y) of different classes that still share a bucket."""
+def cross_pairs(placed: DataFrame, shapes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (x, y) of different classes that still share a bucket and may be similar.
+
+    Similar texts have lengths within a factor of ``similarity``, so they fall in the same or in
+    neighbouring bands of length, which are part of the join's key. Words of one that the other
+    lacks show in the word histograms: their distance is at most the words that a similar pair may
+    leave unmatched. Both bounds are exact.
+    """
     mixed = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-    left = placed.join(mixed, "bucket")
-    x = left.select("bucket", F.col("text_key").alias("x"), F.col("label").alias("x_label"))
-    y = left.select("bucket", F.col("text_key").alias("y"), F.col("label").alias("y_label"))
-    return x.join(y, "bucket").where("x_label < y_label").select("x", "y")
+    band = F.floor(F.log("n_words") / math.log(1 / similarity)).cast("int")
+    left = placed.join(mixed, "bucket").join(shapes.select("text_key", "n_words", "cells", band.alias("band")), "text_key")
+    side = lambda s, *more: left.select("bucket", *more, *[F.col(c).alias(f"{s}_{c}") for c in ("text_key", "label", "n_words", "cells")])
+    x, y = side("x", "band"), side("y", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+    longer, shorter = F.greatest("x_n_words", "y_n_words"), F.least("x_n_words", "y_n_words")
+    unlike = F.aggregate(F.zip_with("x_cells", "y_cells", lambda a, b: F.abs(a.cast("int") - b.cast("int"))), F.lit(0), lambda total, d: total + d)
+    least = F.ceil(longer * F.lit(similarity) - 1e-9)
+    possible = (F.col("x_label") < F.col("y_label")) & (shorter >= least) & (unlike <= longer + shorter - 2 * least)
+    return x.join(y, ["bucket", "band"]).where(possible).select(F.col("x_text_key").alias("x"), F.col("y_text_key").alias("y"))
 
 
 def near_duplicates(docs: DataFrame, config: OrderMinHashConfig = OrderMinHashConfig()) -> DataFrame:
@@ -201,6 +217,7 @@ def near_duplicates(docs: DataFrame, config: OrderMinHashConfig = OrderMinHashCo
     smallest doc_id) and class_size (its documents)."""
     sketched = stage(sketch_texts(docs, config), "sketches")
     once = sketched.groupBy("text_key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("buckets").alias("buckets"))
+    shapes = sketched.select("text_key", "n_words", "cells").dropDuplicates(["text_key"])
     buckets = once.select("text_key", F.explode("buckets").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     members = stage(buckets.join(shared, "bucket"), "buckets")
@@ -214,7 +231,7 @@ def near_duplicates(docs: DataFrame, config: OrderMinHashConfig = OrderMinHashCo
     labels, tried = nodes.select("text_key", F.col("text_key").alias("label")), None
     for round_ in range(config.rounds + 1):
         placed = members.join(labels, "text_key")
-        pairs = head_pairs(placed, round_) if round_ < config.rounds else cross_pairs(placed)
+        pairs = head_pairs(placed, round_) if round_ < config.rounds else cross_pairs(placed, shapes, config.similarity)
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")

@@ -198,17 +198,19 @@ def cross_pairs(placed: DataFrame, shapes: DataFrame, similarity: float) -> Data
     Similar texts have lengths within a factor of ``similarity``, so they fall in the same or in
     neighbouring bands of length, which are part of the join's key. Words of one that the other
     lacks show in the word histograms: their distance is at most the words that a similar pair may
-    leave unmatched. Both bounds are exact.
+    leave unmatched. Both bounds are exact. A pair is made once, at its smallest common bucket,
+    however many it shares.
     """
     mixed = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
     band = F.floor(F.log("n_words") / math.log(1 / similarity)).cast("int")
-    left = placed.join(mixed, "bucket").join(shapes.select("text_key", "n_words", "cells", band.alias("band")), "text_key")
-    side = lambda s, *more: left.select("bucket", *more, *[F.col(c).alias(f"{s}_{c}") for c in ("text_key", "label", "n_words", "cells")])
+    left = placed.join(mixed, "bucket").join(shapes.withColumn("band", band), "text_key")
+    side = lambda s, *more: left.select("bucket", *more, *[F.col(c).alias(f"{s}_{c}") for c in ("text_key", "label", "n_words", "cells", "buckets")])
     x, y = side("x", "band"), side("y", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
     longer, shorter = F.greatest("x_n_words", "y_n_words"), F.least("x_n_words", "y_n_words")
     unlike = F.aggregate(F.zip_with("x_cells", "y_cells", lambda a, b: F.abs(a.cast("int") - b.cast("int"))), F.lit(0), lambda total, d: total + d)
     least = F.ceil(longer * F.lit(similarity) - 1e-9)
-    possible = (F.col("x_label") < F.col("y_label")) & (shorter >= least) & (unlike <= longer + shorter - 2 * least)
+    first = F.array_min(F.array_intersect("x_buckets", "y_buckets")) == F.col("bucket")
+    possible = (F.col("x_label") < F.col("y_label")) & (shorter >= least) & first & (unlike <= longer + shorter - 2 * least)
     return x.join(y, ["bucket", "band"]).where(possible).select(F.col("x_text_key").alias("x"), F.col("y_text_key").alias("y"))
 
 
@@ -217,7 +219,7 @@ def near_duplicates(docs: DataFrame, config: OrderMinHashConfig = OrderMinHashCo
     smallest doc_id) and class_size (its documents)."""
     sketched = stage(sketch_texts(docs, config), "sketches")
     once = sketched.groupBy("text_key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("buckets").alias("buckets"))
-    shapes = sketched.select("text_key", "n_words", "cells").dropDuplicates(["text_key"])
+    shapes = sketched.select("text_key", "n_words", "cells", "buckets").dropDuplicates(["text_key"])
     buckets = once.select("text_key", F.explode("buckets").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     members = stage(buckets.join(shared, "bucket"), "buckets")

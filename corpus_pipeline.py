@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from siltstone.llm import credentials, curriculum, langid, order_minhash, slack_packing
-from siltstone.llm.common import read_table
+from siltstone.llm.common import read_table, stage
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; every stage but the last is written as Parquet and read again."""
     docs = read_table(spark, sf_dir, "documents")
-    for _, apply in STAGES:
-        docs = apply(spark, docs, sf_dir)
-    return docs
+    *stages, (_, last) = STAGES
+    for number, (_, apply) in enumerate(stages, 1):
+        docs = stage(apply(spark, docs, sf_dir), f"pipeline-{number}")
+    return last(spark, docs, sf_dir)

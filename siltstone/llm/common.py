@@ -33,7 +33,8 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     Used where several branches read one expensive result: the table outlives lost executors and
-    cuts the lineage. Staged tables hold digests, counts or keys, never whole corpora.
+    cuts the lineage. Staged tables hold digests, counts, keys or candidate texts, or what a
+    stage of a pipeline returns.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/siltstone/{label}-{uuid.uuid4().hex}"

@@ -160,7 +160,8 @@ def predictor(spark: SparkSession, model: LangIdModel) -> Callable[[Column], Col
                 fallback.clear()
             yield pd.DataFrame(found, columns=["lang_pred", "score"])
 
-    return run
+    # Else Catalyst copies the call into the filters above it, and every text is scored twice.
+    return run.asNondeterministic()
 
 
 def predict(docs: DataFrame, model: LangIdModel) -> DataFrame:

@@ -6,6 +6,12 @@ its hash and retains their text order; texts that share a sketch are candidates.
 is linked if a banded alignment of the two word sequences matches 0.8 or more of the longer one's
 words in order (edit similarity). Linked texts and their copies form classes.
 
+Texts of few words have few or no five-word windows in common with a near copy, so they get buckets
+of their own beside these. Up to ``exact_words`` words a text is also placed under every sequence
+of its words that a similar text of at most as many words can share with it: such texts share a
+bucket if and only if they are similar. Up to ``short_words`` words it is also placed under sketches
+of single words, by band of length.
+
 Exact copies are collapsed to one text first. A bucket of texts with one sketch is never expanded
 into its pairs while they can be spared: in some rounds every member is aligned with one
 representative, a different one each round, and members already in its class are passed over;
@@ -22,9 +28,11 @@ columns are ignored. An empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -37,10 +45,17 @@ from .common import letter_or_digit_table, mix, read_table, stage, word_hashes
 @dataclass(frozen=True)
 class OrderMinHashConfig:
     k: int = 5
-    #: k-mers of a sketch: two texts with Jaccard similarity s share one with probability s**l.
+    #: k-mers of a sketch: two texts with i of u k-mers in common share one with probability C(i, l) / C(u, l).
     l: int = 5
-    #: Sketches: at 0.8 all of them miss a pair with probability (1 - 0.8**5)**30 = 7e-6.
+    #: Sketches: at i / u = 0.8 all of them miss a pair with probability 7e-6 if the texts are long,
+    #: and with more if they are short (5e-4 at 8 of 10).
     sketches: int = 30
+    #: Pairs of texts of up to so many words are found without fail. At 14 a text has up to 91 such buckets.
+    exact_words: int = 14
+    #: Texts of up to so many words have as many sketches of ``short_l`` words again in each of two bands.
+    #: At 12 of 18 words in common (15 words, 3 replaced) all of them miss a pair with probability 8e-5.
+    short_words: int = 40
+    short_l: int = 3
     similarity: float = 0.8
     #: Rounds of alignment with representatives before what is left is aligned pair by pair.
     rounds: int = 2
@@ -86,6 +101,55 @@ def order_sketches(kmer: np.ndarray, config: OrderMinHashConfig) -> np.ndarray:
     return out
 
 
+def least_matches(longer: int, similarity: float) -> int:
+    """Words that a similar pair has in common if its longer text has ``longer``."""
+    return int(np.ceil(similarity * longer - 1e-9))
+
+
+@functools.cache
+def choices(n: int, size: int) -> np.ndarray:
+    """All ways to choose ``size`` of ``n`` places, in order; made once in a worker process."""
+    return np.array(list(itertools.combinations(range(n), size)), np.int64)
+
+
+def exact_keys(words: np.ndarray, config: OrderMinHashConfig) -> np.ndarray:
+    """Hashes of the word sequences that a similar text of ``exact_words`` words or fewer may share.
+
+    Texts of n and m >= n words are similar if they share a sequence of least_matches(m) words, so
+    each takes all its sequences of that length for every m from its own count up. Sequences of a
+    length that suffices for m also suffice for fewer words: all texts of a bucket are similar.
+    """
+    n = len(words)
+    found = []
+    for size in {least_matches(m, config.similarity) for m in range(n, config.exact_words + 1)}:
+        if 0 < size <= n:
+            out = np.full(math.comb(n, size), size, np.uint64)
+            for places in choices(n, size).T:
+                out = mix(out * np.uint64(0x9E3779B97F4A7C15) + words[places])
+            found.append(out)
+    return np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
+
+
+def short_sketches(words: np.ndarray, config: OrderMinHashConfig) -> np.ndarray:
+    """Sketches of single words under the text's band of length and the next; similar texts share one of the two."""
+    sketches = order_sketches(words, replace(config, l=config.short_l))
+    band = math.floor(math.log(len(words)) / math.log(1 / config.similarity))
+    return np.concatenate([mix(sketches * np.uint64(0x9E3779B97F4A7C15) + np.uint64(b)) for b in (band + 1, band + 2)])
+
+
+def text_buckets(words: np.ndarray, config: OrderMinHashConfig) -> np.ndarray:
+    """All buckets of a text; none without words."""
+    if not len(words):
+        return np.empty(0, np.int64)
+    found = [order_sketches(kmers(words, config.k), config)]
+    if len(words) <= config.exact_words:
+        found.append(exact_keys(words, config))
+    # A pair with a longer text than exact_words may have a shorter one below it.
+    if least_matches(config.exact_words + 1, config.similarity) <= len(words) <= config.short_words:
+        found.append(short_sketches(words, config))
+    return np.unique(np.concatenate(found)).astype(np.int64)
+
+
 def banded_match(a: np.ndarray, b: np.ndarray, least: int) -> int:
     """Longest common subsequence of two word sequences within the band that ``least`` matches need.
 
@@ -119,7 +183,7 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     longer = max(len(a), len(b))
     if not longer:
         return False
-    least = int(np.ceil(similarity * longer - 1e-9))
+    least = least_matches(longer, similarity)
     return banded_match(a, b, least) >= least
 
 
@@ -130,7 +194,7 @@ def sketch_texts(docs: DataFrame, config: OrderMinHashConfig) -> DataFrame:
         is_word = letter_or_digit_table()
         for pdf in batches:
             words = [word_hashes(t.lower(), is_word) for t in pdf["text"]]
-            buckets = [order_sketches(kmers(w, config.k), config).astype(np.int64) if len(w) else np.empty(0, np.int64) for w in words]
+            buckets = [text_buckets(w, config) for w in words]
             cells = [np.bincount((w % np.uint64(config.cells)).astype(np.int64), minlength=config.cells).clip(0, 32000).astype(np.int16) for w in words]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "text_key": pdf["text_key"], "n_words": [len(w) for w in words], "buckets": buckets, "cells": cells})
 

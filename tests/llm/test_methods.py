@@ -155,6 +155,38 @@ def test_near_duplicates_against_all_pairs(spark):
     assert found == {i: first[group[i]] for i, _ in rows}
 
 
+def test_short_near_duplicates_against_all_pairs(spark):
+    random.seed(11)
+    rows = []
+    for n in range(1, 21):
+        for _ in range(4):
+            base = [f"w{random.randrange(400)}" for _ in range(n)]
+            rows.append(base)
+            for edits in (1, 2, 3, 4):  # around the limit, at any place
+                text = base[:]
+                for _ in range(edits):
+                    at, kind = random.randrange(len(text) + 1), random.randrange(3)
+                    text[at : at + (kind > 0)] = [f"w{random.randrange(400)}"] if kind < 2 else []
+                rows.append(text)
+    eight = "one two three four five six seven eight".split()
+    rows += [eight, eight + ["nine"], ["zero"] + eight[:4] + ["x"] + eight[5:]]
+    label = list(range(len(rows)))
+
+    def root(i):
+        return i if label[i] == i else root(label[i])
+
+    for i, a in enumerate(rows):
+        for j in range(i):
+            if a and rows[j] and lcs(a, rows[j]) >= 0.8 * max(len(a), len(rows[j])) - 1e-9 and root(i) != root(j):
+                label[max(root(i), root(j))] = min(root(i), root(j))
+    copies = {}
+    for i, a in enumerate(rows):  # texts without words are similar to their copies
+        if not a and root(copies.setdefault("", i)) != i:
+            label[i] = root(copies[""])
+    found = order_minhash.near_duplicates(spark.createDataFrame([(i, " ".join(a)) for i, a in enumerate(rows)], "doc_id long, text string"))
+    assert {r["doc_id"]: r["class_id"] for r in found.collect()} == {i: root(i) for i in range(len(rows))}
+
+
 def test_cross_pairs_lose_no_similar_pair(spark):
     config = order_minhash.OrderMinHashConfig(rounds=0)
     rows = [(i, " ".join(f"w{(j * 7 + (i if j % 40 == 0 else 0)) % 500}" for j in range(120))) for i in range(12)]

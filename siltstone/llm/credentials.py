@@ -2,10 +2,10 @@
 
 Base rules find assignments, access identifiers and long hex runs. Weak parts (named identifiers,
 bare mixed tokens, short assignments, endpoints) are common in clean text, so they are reported
-only where complementary parts stand together: an interval join puts the parts of a document into
-overlapping scopes, and a weak part counts when one of its scopes holds what it lacks.
+only where complementary parts stand together: an interval join over scopes of a document finds the
+parts that lie less than a scope's length apart, from the end of one to the start of the other.
 
-* a weak identifier needs a secret in its scope, a weak secret needs an identifier,
+* a weak identifier needs a secret in reach, a weak secret needs an identifier,
 * an endpoint needs both.
 
 Defined results: a null text is an empty one; a text without findings has zero counts, the digest
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import read_table, stage
@@ -47,7 +47,7 @@ SCAN_SCHEMA = f"doc_id long, text_key string, n_assign long, n_access long, n_he
 
 @dataclass(frozen=True)
 class LinkConfig:
-    #: Parts within half this many code points always share a scope.
+    #: Length of a scope; parts with fewer code points than this between them are in reach of each other.
     scope_chars: int = 512
 
 
@@ -102,20 +102,32 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def link_parts(scanned: DataFrame, config: LinkConfig = LinkConfig()) -> DataFrame:
-    """Weak parts that are completed within a scope: rows (text_key, linked array).
+    """Weak parts that are completed by parts in reach: rows (text_key, linked array).
 
-    Every part is dealt to the two overlapping scopes that contain its start. Scopes are summed up
-    before the join, so a scope with many parts never becomes pairs.
+    Every part is dealt to all scopes that it touches when widened by half a scope on both sides, so
+    that parts in reach of each other share one. In a scope the latest end among the parts of a role
+    that start before and the earliest start among those that start after tell whether one is in
+    reach, so a scope with many parts never becomes pairs.
     """
-    step = config.scope_chars // 2
+    reach, half = config.scope_chars, (config.scope_chars + 1) // 2
     parts = scanned.where(F.size("weak") > 0).select("text_key", F.explode(F.concat("base", "weak")).alias("part")).distinct()
     role = F.element_at(F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (i, ROLES[k])]), F.col("part.kind"))
-    at = F.floor(F.col("part.start") / step)
-    dealt = parts.select("text_key", "part", role.alias("role"), F.explode(F.array(at, at - 1)).alias("scope"))
-    scopes = dealt.groupBy("text_key", "scope").agg(F.bool_or(F.col("role") == "id").alias("has_id"), F.bool_or(F.col("role") == "secret").alias("has_secret"))
+    start, end = F.col("part.start"), F.col("part.end")
+    touched = F.sequence(F.floor((start - half) / reach), F.floor((end - 1 + half) / reach))
+    dealt = parts.select("text_key", "part", role.alias("role"), start.alias("start"), end.alias("end"), F.explode(touched).alias("scope"))
+    scope = Window.partitionBy("text_key", "scope")
+    before = scope.orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    after = scope.orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def near(wanted: str) -> Column:
+        ended = F.max(F.when(F.col("role") == wanted, F.col("end"))).over(before)
+        starts = F.min(F.when(F.col("role") == wanted, F.col("start"))).over(after)
+        return F.coalesce(F.col("start") - ended < reach, F.lit(False)) | F.coalesce(starts - F.col("end") < reach, F.lit(False))
+
+    seen = dealt.select("text_key", "part", "role", near("id").alias("near_id"), near("secret").alias("near_secret")).where(F.col("part.kind") >= 3)
+    seen = seen.groupBy("text_key", "part", "role").agg(F.bool_or("near_id").alias("has_id"), F.bool_or("near_secret").alias("has_secret"))
     needed = F.when(F.col("role") == "id", F.col("has_secret")).when(F.col("role") == "secret", F.col("has_id")).otherwise(F.col("has_id") & F.col("has_secret"))
-    completed = dealt.where(F.col("part.kind") >= 3).join(scopes.where("has_id or has_secret"), ["text_key", "scope"]).where(needed)
-    return completed.groupBy("text_key").agg(F.collect_set("part").alias("linked"))
+    return seen.where(needed).groupBy("text_key").agg(F.collect_set("part").alias("linked"))
 
 
 def _joined(spans: Column) -> Column:

@@ -262,6 +262,19 @@ def test_weak_parts_need_their_complement(spark):
     assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in text.collect()} == {1: ('[weak_id] [assign]"', 19), 2: ("clean", 5)}
 
 
+def test_parts_link_by_the_gap_between_them(spark):
+    parts = {"weak": ("user=alice", "pwd=hunter2x"), "long": ("token=" + "a1B2" * 150, "user=bob"), "end": ("login=carol", "api_key: " + "Zz9-" * 400)}
+    reach = credentials.LinkConfig().scope_chars
+    cases = [(name, offset, gap) for name in parts for offset in (0, 1, 100, 255, 256, 300, 511) for gap in (1, 250, 300, reach - 1, reach, reach + 1, 2 * reach)]
+    rows = [(i, "\n" * offset + parts[name][0] + "\n" * gap + parts[name][1]) for i, (name, offset, gap) in enumerate(cases)]
+    far = len(rows)  # an endpoint between its two parts, which are out of reach of each other
+    rows.append((far, "user=alice" + "\n" * 400 + "https://db.example.com/x" + "\n" * 400 + "pwd=hunter2x"))
+    found = {r["doc_id"]: r["spans"] for r in credentials.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (name, offset, gap) in enumerate(cases):
+        assert ("weak_id" in found[i]) == (gap < reach), (name, offset, gap)
+    assert [x.split(":")[0] for x in found[far].split(",")] == ["weak_endpoint"]
+
+
 def test_digest_of_base(spark, docs, texts):
     for r in credentials.find_secrets(docs).collect():
         joined = credentials.join_spans(credentials.base_spans(texts[r["doc_id"]]))

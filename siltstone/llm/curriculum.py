@@ -8,7 +8,8 @@ the mix has taken all words before it. Documents are range-sorted by position.
 Targets: sources are ordered by code point, null last, and take weights in turn; no target exceeds
 ``most_repeats`` times its source's size, and what is over is reshared by weight until none is.
 Within a source documents follow each other in hash order, again and again until the target is
-met; only the last document of a source can be taken in part.
+met; only the last document of a source can be taken in part. ``whole_in_training_order``, which
+the pipeline uses, takes no document in part.
 
 Built from DataFrame functions alone. The running sums are two-level (sums of buckets, then rows
 of a bucket), so a source that holds a third of all rows is spread over many tasks.
@@ -124,6 +125,17 @@ def assign(docs: DataFrame, carry: list[str], config: MixConfig = MixConfig()) -
     return laid.select("doc", "size", "source_size", "target", taken.alias("taken"), "copies")
 
 
+def whole_in_training_order(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
+    """A row for each copy that the mix takes, range-sorted by position, with the columns of ``docs`` unchanged.
+
+    A copy is taken whole if the demand covers at least half of it and left out otherwise, so a
+    source is at most half a document away from its demand.
+    """
+    copies = assign(docs, docs.columns, config).select("doc", "size", F.explode("copies").alias("copy"))
+    kept = copies.where(F.col("copy.words") * 2 >= F.col("size"))
+    return kept.orderBy("copy.position", "doc.doc_id").select("doc.*")
+
+
 def in_training_order(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
     """A row for each copy that the mix takes, range-sorted by position, with the columns of ``docs``.
 

@@ -376,6 +376,24 @@ def test_mix_meets_targets(spark, docs):
     assert ordered.columns == docs.columns and words == sum(taken.values())
 
 
+def test_pipeline_mixes_whole_documents(spark):
+    import corpus_pipeline
+
+    random.seed(8)
+    rows = [(i, "\n".join(f"line {i}  {j}" for j in range(random.randint(1, 90))), random.choice("abc")) for i in range(60)]
+    rows.append((60, "one\nlarge\tdocument " * 400, "d"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = [tuple(r) for r in corpus_pipeline.mix_sources(spark, docs, SF).collect()]
+    assert set(mixed) <= set(rows)
+    taken, largest = Counter(), Counter()
+    for _, text, source in mixed:
+        taken[source] += len(text.split())
+    for _, text, source in rows:
+        largest[source] = max(largest[source], len(text.split()))
+    target = {r["doc"]["source"]: r["target"] for r in curriculum.assign(docs, ["source"]).collect()}
+    assert all(abs(taken[s] - target[s]) <= largest[s] / 2 + 1 for s in target)
+
+
 # 10
 
 

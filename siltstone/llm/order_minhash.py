@@ -12,12 +12,16 @@ of its words that a similar text of at most as many words can share with it: suc
 bucket if and only if they are similar. Up to ``short_words`` words it is also placed under sketches
 of single words, by band of length.
 
+A word replaced here and there spoils five five-word windows each, so longer texts also have sketches
+of word pairs, labelled and ordered alike: they find texts that differ in up to a fifth of their
+words, which the alignment accepts and five-word sketches mostly miss.
+
 Exact copies are collapsed to one text first. A bucket of texts with one sketch is never expanded
 into its pairs while they can be spared: in some rounds every member is aligned with one
 representative, a different one each round, and members already in its class are passed over;
 of the pairs of different classes that still share a bucket after these rounds, all are aligned
-that their lengths and word histograms allow. A pair within a class can't change the classes, and
-the bounds by length and histogram leave out no similar pair, so classes come out as if all
+that their lengths and word parities allow. A pair within a class can't change the classes, and
+the bounds by length and parity leave out no similar pair, so classes come out as if all
 candidates had been aligned.
 
 Defined results: a null text is an empty one. A text with fewer than five words has one k-mer, all
@@ -31,12 +35,12 @@ from __future__ import annotations
 import functools
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import letter_or_digit_table, mix, read_table, stage, word_hashes
@@ -56,11 +60,18 @@ class OrderMinHashConfig:
     #: At 12 of 18 words in common (15 words, 3 replaced) all of them miss a pair with probability 8e-5.
     short_words: int = 40
     short_l: int = 3
+    #: Sketches of word pairs for texts over ``short_words`` words and those similar to them: with a
+    #: fifth of the words replaced at random two texts share 0.64 / 1.36 of their pairs, and all of
+    #: these sketches miss them with probability 0.04; with 15 percent replaced 0.001.
+    loose_k: int = 2
+    loose_l: int = 4
+    loose_sketches: int = 64
     similarity: float = 0.8
     #: Rounds of alignment with representatives before what is left is aligned pair by pair.
     rounds: int = 2
-    #: Cells of a text's word histogram, by which unlike pairs are told before they are aligned.
-    cells: int = 256
+    #: Cells to which a text's labelled words are dealt, a multiple of 64. A bit tells whether a cell
+    #: has an odd number of them; by these bits unlike pairs are told before they are aligned.
+    cells: int = 2048
 
 
 def kmers(words: np.ndarray, k: int) -> np.ndarray:
@@ -85,9 +96,14 @@ def occurrences(kmer: np.ndarray) -> np.ndarray:
     return out
 
 
+def with_occurrence(items: np.ndarray) -> np.ndarray:
+    """Hash of each item and its occurrence number."""
+    return mix(items + occurrences(items) * np.uint64(0xD1B54A32D192ED03)) if len(items) else items
+
+
 def order_sketches(kmer: np.ndarray, config: OrderMinHashConfig) -> np.ndarray:
     """One number for each sketch: its smallest labelled k-mers in text order."""
-    labelled = mix(kmer + occurrences(kmer) * np.uint64(0xD1B54A32D192ED03))
+    labelled = with_occurrence(kmer)
     seeds = mix(np.arange(1, config.sketches + 1, dtype=np.uint64))
     ranks = (labelled[None, :] ^ seeds[:, None]) * np.uint64(0x9FB21C651E98DF25)
     ranks ^= ranks >> np.uint64(32)
@@ -147,6 +163,9 @@ def text_buckets(words: np.ndarray, config: OrderMinHashConfig) -> np.ndarray:
     # A pair with a longer text than exact_words may have a shorter one below it.
     if least_matches(config.exact_words + 1, config.similarity) <= len(words) <= config.short_words:
         found.append(short_sketches(words, config))
+    if len(words) >= least_matches(config.short_words + 1, config.similarity):
+        loose = replace(config, l=config.loose_l, sketches=config.loose_sketches)
+        found.append(mix(order_sketches(kmers(words, config.loose_k), loose)))
     return np.unique(np.concatenate(found)).astype(np.int64)
 
 
@@ -184,9 +203,21 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     if not longer:
         return False
     least = least_matches(longer, similarity)
+    if min(len(a), len(b)) < least or len(np.intersect1d(with_occurrence(a), with_occurrence(b), assume_unique=True)) < least:
+        return False  # not even without order
     return banded_match(a, b, least) >= least
 
 
+def odd_cells(words: np.ndarray, cells: int) -> np.ndarray:
+    """Bits of the cells that hold an odd number of the labelled words, 64 to a number.
+
+    A labelled word that one text has and the other lacks flips one bit, so two texts differ in as
+    many bits as they have unmatched words, or fewer.
+    """
+    odd = np.bincount((with_occurrence(words) % np.uint64(cells)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def sketch_texts(docs: DataFrame, config: OrderMinHashConfig) -> DataFrame:
     """Rows (doc_id, text_key, n_words, buckets, cells), one for each document; copies have equal ones."""
 
@@ -195,12 +226,12 @@ def sketch_texts(docs: DataFrame, config: OrderMinHashConfig) -> DataFrame:
         for pdf in batches:
             words = [word_hashes(t.lower(), is_word) for t in pdf["text"]]
             buckets = [text_buckets(w, config) for w in words]
-            cells = [np.bincount((w % np.uint64(config.cells)).astype(np.int64), minlength=config.cells).clip(0, 32000).astype(np.int16) for w in words]
+            cells = [odd_cells(w, config.cells) for w in words]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "text_key": pdf["text_key"], "n_words": [len(w) for w in words], "buckets": buckets, "cells": cells})
 
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("text_key"), text.alias("text"))
-    return rows.mapInPandas(run, "doc_id long, text_key binary, n_words int, buckets array<long>, cells array<short>")
+    return rows.mapInPandas(run, "doc_id long, text_key binary, n_words int, buckets array<long>, cells array<long>")
 
 
 def aligned(pairs: DataFrame, texts: DataFrame, config: OrderMinHashConfig) -> DataFrame:
@@ -245,36 +276,41 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return stage(labels.join(roots, "label", "left").select("text_key", F.coalesce("root", "label").alias("label")), "classes")
 
 
-def head_pairs(placed: DataFrame, round_: int) -> DataFrame:
+def may_be_similar(x: Callable[[str], Column], y: Callable[[str], Column], config: OrderMinHashConfig) -> Column:
+    """Whether n_words and cells of two texts allow that they are similar; true of all similar pairs."""
+    longer, shorter = F.greatest(x("n_words"), y("n_words")), F.least(x("n_words"), y("n_words"))
+    least = F.ceil(longer * F.lit(config.similarity) - 1e-9)
+    differ = F.aggregate(F.zip_with(x("cells"), y("cells"), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, n: total + n)
+    return (shorter >= least) & (differ <= longer + shorter - 2 * least)
+
+
+def head_pairs(placed: DataFrame, round_: int, config: OrderMinHashConfig) -> DataFrame:
     """Pairs (x, y) of a bucket's representative x and its members y of other classes. In the first
     round a member meets the first of its buckets' representatives only: most classes form there."""
-    chosen = F.struct(F.xxhash64("text_key", F.lit(round_)).alias("order"), "text_key", "label")
+    chosen = F.struct(F.xxhash64("text_key", F.lit(round_)).alias("order"), "text_key", "label", "n_words", "cells")
     heads = placed.groupBy("bucket").agg(F.min(chosen).alias("head"))
     met = placed.join(heads, "bucket").where(F.col("label") != F.col("head.label"))
+    met = met.where(may_be_similar(F.col, lambda c: F.col("head")[c], config)).select("text_key", F.struct("head.order", "head.text_key").alias("head"))
     if round_ == 0:
         met = met.groupBy("text_key").agg(F.min("head").alias("head"))
     return met.select(F.col("head.text_key").alias("x"), F.col("text_key").alias("y"))
 
 
-def cross_pairs(placed: DataFrame, shapes: DataFrame, similarity: float) -> DataFrame:
+def cross_pairs(placed: DataFrame, config: OrderMinHashConfig) -> DataFrame:
     """Pairs (x, y) of different classes that still share a bucket and may be similar.
 
     Similar texts have lengths within a factor of ``similarity``, so they fall in the same or in
-    neighbouring bands of length, which are part of the join's key. Words of one that the other
-    lacks show in the word histograms: their distance is at most the words that a similar pair may
-    leave unmatched. Both bounds are exact. A pair is made once, at its smallest common bucket,
-    however many it shares.
+    neighbouring bands of length, which are part of the join's key. A pair is made once, at its
+    smallest common bucket.
     """
     mixed = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-    band = F.floor(F.log("n_words") / math.log(1 / similarity)).cast("int")
-    left = placed.join(mixed, "bucket").join(shapes.withColumn("band", band), "text_key")
+    band = F.floor(F.log("n_words") / math.log(1 / config.similarity)).cast("int")
+    left = placed.join(mixed, "bucket").withColumn("band", band)
+    left = left.join(left.groupBy("text_key").agg(F.collect_set("bucket").alias("buckets")), "text_key")  # a few dozen each
     side = lambda s, *more: left.select("bucket", *more, *[F.col(c).alias(f"{s}_{c}") for c in ("text_key", "label", "n_words", "cells", "buckets")])
     x, y = side("x", "band"), side("y", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
-    longer, shorter = F.greatest("x_n_words", "y_n_words"), F.least("x_n_words", "y_n_words")
-    unlike = F.aggregate(F.zip_with("x_cells", "y_cells", lambda a, b: F.abs(a.cast("int") - b.cast("int"))), F.lit(0), lambda total, d: total + d)
-    least = F.ceil(longer * F.lit(similarity) - 1e-9)
-    first = F.array_min(F.array_intersect("x_buckets", "y_buckets")) == F.col("bucket")
-    possible = (F.col("x_label") < F.col("y_label")) & (shorter >= least) & first & (unlike <= longer + shorter - 2 * least)
+    possible = (F.col("x_label") < F.col("y_label")) & may_be_similar(lambda c: F.col(f"x_{c}"), lambda c: F.col(f"y_{c}"), config)
+    possible = possible & (F.array_min(F.array_intersect("x_buckets", "y_buckets")) == F.col("bucket"))
     return x.join(y, ["bucket", "band"]).where(possible).select(F.col("x_text_key").alias("x"), F.col("y_text_key").alias("y"))
 
 
@@ -283,10 +319,10 @@ def near_duplicates(docs: DataFrame, config: OrderMinHashConfig = OrderMinHashCo
     smallest doc_id) and class_size (its documents)."""
     sketched = stage(sketch_texts(docs, config), "sketches")
     once = sketched.groupBy("text_key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("buckets").alias("buckets"))
-    shapes = sketched.select("text_key", "n_words", "cells", "buckets").dropDuplicates(["text_key"])
+    shapes = sketched.select("text_key", "n_words", "cells").dropDuplicates(["text_key"])
     buckets = once.select("text_key", F.explode("buckets").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = stage(buckets.join(shared, "bucket"), "buckets")
+    members = stage(buckets.join(shared, "bucket").join(shapes, "text_key"), "buckets")
     nodes = members.select("text_key").distinct()
     text = F.coalesce("text", F.lit(""))
     texts = docs.select(F.unhex(F.md5(text)).alias("text_key"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
@@ -297,7 +333,7 @@ def near_duplicates(docs: DataFrame, config: OrderMinHashConfig = OrderMinHashCo
     labels, tried = nodes.select("text_key", F.col("text_key").alias("label")), None
     for round_ in range(config.rounds + 1):
         placed = members.join(labels, "text_key")
-        pairs = head_pairs(placed, round_) if round_ < config.rounds else cross_pairs(placed, shapes, config.similarity)
+        pairs = head_pairs(placed, round_, config) if round_ < config.rounds else cross_pairs(placed, config)
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")

@@ -196,6 +196,43 @@ def test_cross_pairs_lose_no_similar_pair(spark):
     assert a == b == dict.fromkeys(range(12), 0)
 
 
+@pytest.mark.parametrize("share", [0.05, 0.1, 0.15, 0.18, 0.2])
+@pytest.mark.parametrize("n", [45, 60, 200, 1000])
+def test_recall_of_pairs_with_replaced_words(share, n):
+    """Of pairs that the alignment accepts, nine in ten share a bucket, whatever share of the words differs."""
+    config, rng, shared, trials = order_minhash.OrderMinHashConfig(), np.random.default_rng(n), 0, 60 if n == 1000 else 150
+    for _ in range(trials):
+        a = rng.integers(0, 2**63, n).astype(np.uint64)
+        b = a.copy()
+        b[rng.choice(n, int(n * share), replace=False)] = rng.integers(0, 2**63, int(n * share)).astype(np.uint64)
+        assert order_minhash.similar(a, b, config.similarity)
+        shared += bool(set(order_minhash.text_buckets(a, config)) & set(order_minhash.text_buckets(b, config)))
+    print(f"{n} words, {share:.0%} replaced: {shared / trials:.2f}")
+    assert shared >= 0.9 * trials
+
+
+def test_recall_against_all_pairs_of_documents(spark, docs):
+    """All pairs of sf0.001 by the longest common subsequence; classes hold nine in ten similar pairs of different texts, and no text that has none."""
+    table = letter_or_digit_table()
+    rows = {r["doc_id"]: word_hashes((r["text"] or "").lower(), table) for r in docs.collect()}
+    ids = sorted(k for k, w in rows.items() if len(w))
+    pairs = [(i, j) for n, i in enumerate(ids) for j in ids[n + 1 :] if not np.array_equal(rows[i], rows[j]) and order_minhash.similar(rows[i], rows[j], 0.8)]
+    label = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(docs).collect()}
+    assert pairs and sum(label[i] == label[j] for i, j in pairs) >= 0.9 * len(pairs)
+    members = Counter(label.values())
+    linked = {x for p in pairs for x in p} | {i for i in ids for j in ids if i != j and np.array_equal(rows[i], rows[j])}
+    assert all(k in linked or not len(rows[k]) for k, c in label.items() if members[c] > 1)
+
+
+def test_bits_of_cells_bound_unmatched_words():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        a, b = (rng.integers(0, 30, rng.integers(1, 400)).astype(np.uint64) for _ in "ab")
+        unmatched = sum(((Counter(a.tolist()) - Counter(b.tolist())) + (Counter(b.tolist()) - Counter(a.tolist()))).values())
+        differ = order_minhash.odd_cells(a, 512) ^ order_minhash.odd_cells(b, 512)
+        assert sum(int(x).bit_count() for x in differ.view(np.uint64).tolist()) <= unmatched
+
+
 # 3
 
 

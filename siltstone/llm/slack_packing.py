@@ -8,16 +8,19 @@ slots of their length in a fixed order, numbered by distributed prefix sums.
 
 Defined results: a null or empty text is one piece, the closing id alone. Each row of repeated
 rows is packed on its own. Ties in the order of pieces go to equal rows only. An empty table gives
-no rows. Special-token strings in a text are ordinary text. Extra columns are ignored.
+no rows. Special-token strings in a text get the ids that the tokenizer gives them. Extra columns
+are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -119,13 +122,22 @@ def _plainly_spaced(text: str) -> bool:
     return not (text[:1].isspace() or text[-1:].isspace() or any(x in text for x in _ADJACENT) or _OTHER_SPACE.search(text))
 
 
+def splits_before_spaces(tokenizer: Any) -> bool:
+    """Whether the tokenizer's one step before merging is the byte-level split, which ``encoder`` relies on."""
+    told = json.loads(tokenizer.to_str())
+    split = told.get("pre_tokenizer") or {}
+    plain = told.get("normalizer") is None and told.get("truncation") is None and told.get("padding") is None
+    return plain and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
+
+
 def encoder(config: PackConfig) -> Callable[[list[str]], list[bytes]]:
     """Function from texts to their ids as little-endian unsigned 32-bit numbers.
 
     The tokenizer splits texts before it merges: a space alone between two other characters goes
     with the word after it, a line end alone is by itself, and so is a comma or full stop after a
     letter. Such words have ids of their own, and a word seen before isn't encoded again. Texts
-    with other spacing are encoded whole.
+    with other spacing or with a special token's string are encoded whole, and so is everything if
+    the tokenizer splits in another way.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -136,12 +148,14 @@ def encoder(config: PackConfig) -> Callable[[list[str]], list[bytes]]:
 
         path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    by_word, special = splits_before_spaces(tokenizer), [x.content for x in tokenizer.get_added_tokens_decoder().values()]
     leading, inner = _KNOWN.setdefault((path, True), {}), _KNOWN.setdefault((path, False), {})
 
     def ids_of(texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    if not by_word:
+        return ids_of
     line_end, comma, stop = ids_of(["\n", ",", "."])
     marks = {",": comma, ".": stop}
 
@@ -168,7 +182,7 @@ def encoder(config: PackConfig) -> Callable[[list[str]], list[bytes]]:
         return {w: known[w] for w in words if w in known} | new
 
     def encode(texts: list[str]) -> list[bytes]:
-        lines = [[x.split(" ") for x in t.split("\n")] if t and _plainly_spaced(t) else None for t in texts]
+        lines = [[x.split(" ") for x in t.split("\n")] if t and _plainly_spaced(t) and not any(x in t for x in special) else None for t in texts]
         first = ids_by_word({x[0] for t in lines if t for x in t}, leading, "")
         rest = ids_by_word({w for t in lines if t for x in t for w in x[1:]}, inner, " ")
         out = []

@@ -446,7 +446,21 @@ def test_fullest_against_brute_force():
         assert sum(k * v for k, v in used.items()) == best and all(v <= Counter(items)[k] for k, v in used.items())
 
 
+def test_other_tokenizers_are_called_whole(tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    other = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    other.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Whitespace(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    other.save(str(tmp_path / "other.json"))
+    encode = slack_packing.encoder(slack_packing.PackConfig(tokenizer_path=str(tmp_path / "other.json")))
+    cases = ["one two", "one  two\nthree", "a <|endoftext|> b", ""]
+    assert encode(cases) == [np.array(other.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in cases]
+
+
 def test_packing(spark, docs, texts):
+    docs = docs.unionByName(spark.createDataFrame([(10**6, "end of <|endoftext|> one", None, None, None), (10**6 + 1, "<|endoftext|>" * 3000, None, None, None)], docs.schema))
+    texts = texts | {10**6: "end of <|endoftext|> one", 10**6 + 1: "<|endoftext|>" * 3000}
     import public_tokenizers
     from tokenizers import Tokenizer
 
@@ -478,10 +492,11 @@ def test_encoder_equals_tokenizer():
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    cases = ["a  b", "\n x", " lead", "trail ", "", "x <|endoftext|> y", "it's don't", "a\tb c", "don 't we", "é́ x", "日本 語 😀 a😀b", "　 x", "a b c 'll", "x\n\ny z"]
+    assert slack_packing.splits_before_spaces(tokenizer)
+    cases = ["a  b", "\n x", " lead", "trail ", "", "x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|>\nb c", "<|endoftext", "it's don't", "a\tb c", "don 't we", "é́ x", "日本 語 😀 a😀b", "　 x", "a b c 'll", "x\n\ny z"]
     encode = slack_packing.encoder(slack_packing.PackConfig(cache_words=5))
     for _ in range(2):
+        assert 50256 in np.frombuffer(encode(["a <|endoftext|> b"])[0], "<u4")
         assert encode(cases) == [np.array(tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in cases]
 
 

@@ -1,24 +1,33 @@
 """Quality rules by n-gram perplexity.
 
 Spark counts the character 5-grams of every document, by language, and estimates an interpolated
-modified Kneser-Ney model of orders 1 to 5 by grouping and joining the counts. A gram is a 60-bit
-number, 12 bits a character, so contexts and suffixes are shifts and masks; every order of every
-language is stored as a sorted array of such numbers beside arrays of log probabilities and
-back-off weights. Each language has a lower and an upper band of log perplexity around the median
-of its own documents; documents outside are rejected. Characters up to U+07FF have a class each,
-the others share 2048 classes.
+modified Kneser-Ney model of orders 1 to 5 by grouping and joining the counts. Each language has a
+lower and an upper band of log perplexity around the median of its own documents; documents outside
+are rejected.
 
-The model is broadcast up to a stated number of grams; a larger one is joined instead: each
-document's grams are counted and meet the table by gram.
+A document is never scored by counts of its own: documents fall in two folds by a hash of their
+text, copies in the same one, and each fold is scored by the model of the other.
+
+A gram is five code points of 21 bits in two numbers, so contexts and suffixes are shifts and masks
+and every character is told apart. The model is stored as sorted arrays: for each language, fold
+and order the 64-bit hashes of its grams beside log probabilities, and of its contexts beside
+back-off weights. Only grams and contexts that occur in the fold to be scored can be looked up, so
+the others are left out, which changes no score; grams of a single document are among these.
+
+Languages are scored in blocks of up to ``block_grams`` entries, broadcast one after the other; a
+language is never split, so an executor must hold the largest one (12 bytes an entry) and results
+are the same whatever the blocks.
 
 Defined results: a null text has no words and fails the base rules; a document without characters
-has perplexity 1. A null language, and languages with a smaller share of the documents than
-``least_share``, are counted together as one language named by the empty string. Repeated rows
-count and score each. Extra columns are ignored.
+has perplexity 1. A null language, and languages of fewer than ``least_documents`` documents, are
+modelled together as one language named by the empty string. Where all documents of a language fall
+in one fold, each character has the probability 2 ** -21. Repeated rows count and score each. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,9 +41,9 @@ from pyspark.sql import functions as F
 from .common import WORD_PATTERN, mix, read_table, stage
 
 ORDER = 5
-BITS = 12
+BITS = 21
+CHARACTER = (1 << BITS) - 1
 START, END = 1, 2
-UNSEEN = -1
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
 WORD = re.compile(WORD_PATTERN)
@@ -43,10 +52,10 @@ CHUNK_CHARS = 2_000_000
 
 @dataclass(frozen=True)
 class PerplexityConfig:
-    #: Languages with a smaller share of the documents are pooled; so there are 1 / share at most.
-    least_share: float = 0.001
-    #: Grams (of all orders and languages) up to which the model is broadcast: 16 bytes each.
-    broadcast_grams: int = 6_000_000
+    #: Languages of fewer documents are pooled.
+    least_documents: int = 200
+    #: Entries of the arrays of all languages that are broadcast at once, unless one alone has more.
+    block_grams: int = 6_000_000
     #: Bands: so many scaled median absolute deviations below and above the median, and at least
     #: so far from it in log perplexity.
     lower_deviations: float = 6.0
@@ -57,33 +66,50 @@ class PerplexityConfig:
     most_repeated_percent: int = 50
 
 
-def classes(text: str) -> np.ndarray:
-    """Character classes of the folded text: lower case, white space runs as one space, digits alike."""
+def characters(text: str) -> np.ndarray:
+    """Code points of the folded text: lower case, white space runs as one space, digits alike."""
     cp = np.frombuffer(" ".join(text.lower().split()).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     cp[(cp >= 48) & (cp <= 57)] = 48
     cp[cp <= END] = 3
-    far = cp >= 2048
-    if far.any():
-        cp[far] = 2048 + (mix(cp[far].astype(np.uint64)) & np.uint64(2047)).astype(np.int64)
     return cp
 
 
-def gram_stream(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+Grams = tuple[np.ndarray, np.ndarray]
+
+
+def suffix(grams: Grams, order: int) -> Grams:
+    """The last ``order`` characters: up to three in the second number, the others in the first."""
+    high, low = grams
+    return high & ((1 << BITS * max(0, order - 3)) - 1), low & ((1 << BITS * min(3, order)) - 1)
+
+
+def context(grams: Grams) -> Grams:
+    """All characters but the last."""
+    high, low = grams
+    return high >> BITS, low >> BITS | (high & CHARACTER) << 2 * BITS
+
+
+def keys_of(grams: Grams) -> np.ndarray:
+    high, low = (x.astype(np.uint64) for x in grams)
+    return mix(mix(high) + low)
+
+
+def gram_stream(texts: list[str]) -> tuple[Grams, np.ndarray]:
     """Grams of all texts in order and the number of grams of each; a text has a gram for each
     character and one for its end."""
     parts, sizes = [], []
     for t in texts:
-        c = classes(t) if t else np.empty(0, np.int64)
+        c = characters(t) if t else np.empty(0, np.int64)
         parts += [np.full(ORDER - 1, START), c, np.array([END])] if len(c) else []
         sizes.append(len(c) + 1 if len(c) else 0)
     if not parts:
-        return np.empty(0, np.int64), np.array(sizes)
+        return (np.empty(0, np.int64), np.empty(0, np.int64)), np.array(sizes)
     codes = np.concatenate(parts)
     n = len(codes) - ORDER + 1
-    gram = np.zeros(n, np.int64)
-    for k in range(ORDER):
-        gram = gram << BITS | codes[k : k + n]
-    return gram[codes[ORDER - 1 :] != START], np.array(sizes)
+    ends = codes[ORDER - 1 :] != START
+    high = codes[:n] << BITS | codes[1 : n + 1]
+    low = codes[2 : n + 2] << 2 * BITS | codes[3 : n + 3] << BITS | codes[4 : n + 4]
+    return (high[ends], low[ends]), np.array(sizes)
 
 
 def chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -100,121 +126,179 @@ def chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 def language_of(docs: DataFrame, config: PerplexityConfig) -> Column:
     """Column with the name under which a document's language is modelled."""
-    sizes = docs.groupBy("lang").count()
-    total = docs.count()
-    large = [r["lang"] for r in sizes.where(F.col("count") >= max(1.0, config.least_share * total)).collect() if r["lang"]]
+    sizes = docs.groupBy("lang").count().where(F.col("count") >= config.least_documents)
+    large = [r["lang"] for r in sizes.collect() if r["lang"]]
     return F.when(F.col("lang").isin(large), F.col("lang")).otherwise("") if large else F.lit("")
 
 
 def count_grams(texts: DataFrame) -> DataFrame:
-    """Rows (lang, gram, n) from rows (lang, text), summed in each batch before the shuffle."""
+    """Rows (lang, fold, high, low, n) from rows (lang, fold, text), summed in each batch before the shuffle."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for lang, part in pdf.groupby("lang"):
+            for (lang, fold), part in pdf.groupby(["lang", "fold"]):
                 rows = part["text"].fillna("").tolist()
                 for a, b in chunks(rows):
-                    grams, n = np.unique(gram_stream(rows[a:b])[0], return_counts=True)
-                    yield pd.DataFrame({"lang": lang, "gram": grams, "n": n})
+                    grams, _ = gram_stream(rows[a:b])
+                    _, at, n = np.unique(keys_of(grams), return_index=True, return_counts=True)
+                    yield pd.DataFrame({"lang": lang, "fold": fold, "high": grams[0][at], "low": grams[1][at], "n": n})
 
-    return texts.mapInPandas(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = texts.mapInPandas(run, "lang string, fold int, high long, low long, n long")
+    return counted.groupBy("lang", "fold", "high", "low").agg(F.sum("n").alias("n"))
+
+
+GRAM = ["model", "high", "low"]
+
+
+def suffix_columns(order: int) -> list[Column]:
+    return [F.col("high").bitwiseAND((1 << BITS * max(0, order - 3)) - 1).alias("high"), F.col("low").bitwiseAND((1 << BITS * min(3, order)) - 1).alias("low")]
+
+
+def context_columns() -> list[Column]:
+    low = F.shiftright("low", BITS).bitwiseOR(F.shiftleft(F.col("high").bitwiseAND(CHARACTER), 2 * BITS))
+    return [F.shiftright("high", BITS).alias("high"), low.alias("low")]
 
 
 def discounts(counts: DataFrame) -> DataFrame:
-    """Modified Kneser-Ney discounts of one order, a row for each language."""
-    n = counts.groupBy("lang").agg(*[F.sum((F.col("n") == i).cast("double")).alias(f"n{i}") for i in (1, 2, 3, 4)])
+    """Modified Kneser-Ney discounts of one order, a row for each model."""
+    n = counts.groupBy("model").agg(*[F.sum((F.col("n") == i).cast("double")).alias(f"n{i}") for i in (1, 2, 3, 4)])
     y = F.when(F.col("n1") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(F.lit(0.5))
 
     def discount(i: int) -> Column:
         value = F.lit(float(i)) - (i + 1) * y * F.col(f"n{i + 1}") / F.when(F.col(f"n{i}") > 0, F.col(f"n{i}"))
         return F.least(F.greatest(F.coalesce(value, F.lit(0.5)), F.lit(0.05)), F.lit(i - 0.05)).alias(f"d{i}")
 
-    return n.select("lang", *[discount(i) for i in (1, 2, 3)])
+    return n.select("model", *[discount(i) for i in (1, 2, 3)])
 
 
-def kneser_ney(counts: DataFrame) -> list[DataFrame]:
-    """Tables (lang, gram, p, backoff) of orders 1 to ORDER from the counts of the highest order.
+def kneser_ney(counts: DataFrame) -> tuple[list[DataFrame], list[DataFrame], DataFrame]:
+    """Tables (model, high, low, p) of orders 1 to ORDER and (model, high, low, backoff) of contexts of
+    1 to ORDER - 1 characters, and rows (model, p) for a character never seen, from the counts (model,
+    high, low, n) of the highest order.
 
     ``n`` of a lower order is the number of distinct characters seen before the gram. ``backoff``
-    is the weight of the lower order after the gram as a context.
+    is the weight of the lower order after a context.
     """
     by_order = {ORDER: counts}
     for order in range(ORDER - 1, 0, -1):
-        suffix = F.col("gram").bitwiseAND((1 << BITS * order) - 1)
-        by_order[order] = by_order[order + 1].groupBy("lang", suffix.alias("gram")).agg(F.count("*").alias("n"))
-    weights: dict[int, DataFrame] = {}
+        by_order[order] = by_order[order + 1].groupBy("model", *suffix_columns(order)).agg(F.count("*").alias("n"))
     tables: list[DataFrame] = []
+    backoffs: list[DataFrame] = []
+    unseen = None
     for order in range(1, ORDER + 1):
-        t = by_order[order].join(F.broadcast(discounts(by_order[order])), "lang")  # a row a language
+        t = by_order[order].join(F.broadcast(discounts(by_order[order])), "model")  # a row a model
         d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        t = t.select("lang", "gram", "n", d.alias("d"), F.shiftright("gram", BITS).alias("context"))
-        weights[order] = t.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("d").alias("kept"))
-        t = t.join(weights[order], ["lang", "context"])
-        own = (F.col("n") - F.col("d")) / F.col("total")
+        before = [c.alias(f"c_{name}") for c, name in zip(context_columns(), ("high", "low"))]
+        t = t.select(*GRAM, "n", d.alias("d"), *before)
+        weights = t.groupBy("model", "c_high", "c_low").agg(F.sum("n").alias("total"), F.sum("d").alias("kept"), F.count("*").alias("kinds"))
+        t = t.join(weights, ["model", "c_high", "c_low"])
+        own, left = (F.col("n") - F.col("d")) / F.col("total"), F.col("kept") / F.col("total")
         if order == 1:
-            p = own + F.col("kept") / F.col("total") / float(1 << BITS)
+            each = left / (F.col("kinds") + 1)
+            t = t.select(*GRAM, (own + each).alias("p"))
+            unseen = weights.select("model", each.alias("p"))
         else:
-            lower = tables[-1].select("lang", F.col("gram").alias("suffix"), F.col("p").alias("lower"))
-            t = t.withColumn("suffix", F.col("gram").bitwiseAND((1 << BITS * (order - 1)) - 1)).join(lower, ["lang", "suffix"])
-            p = own + F.col("kept") / F.col("total") * F.col("lower")
-        t = t.select("lang", "gram", p.alias("p"))
-        if order == 1:  # what is left for each character never seen stands under a gram that none has
-            t = t.union(weights[1].select("lang", F.lit(UNSEEN).cast("long"), F.col("kept") / F.col("total") / float(1 << BITS)))
+            shorter = [c.alias(f"s_{name}") for c, name in zip(suffix_columns(order - 1), ("high", "low"))]
+            lower = tables[-1].select("model", F.col("high").alias("s_high"), F.col("low").alias("s_low"), F.col("p").alias("lower"))
+            t = t.select("*", *shorter).join(lower, ["model", "s_high", "s_low"]).select(*GRAM, (own + left * F.col("lower")).alias("p"))
+            backoffs.append(weights.select("model", F.col("c_high").alias("high"), F.col("c_low").alias("low"), left.alias("backoff")))
         tables.append(stage(t, f"order-{order}"))
-    found = []
-    for order in range(1, ORDER + 1):
+    return tables, backoffs, unseen
+
+
+ENTRIES = "model string, slot int, key long, value float"
+
+
+def entries(counts: DataFrame) -> DataFrame:
+    """Rows (model, slot, key, value) of all arrays from ``counts`` (lang, fold, high, low, n).
+
+    Slots 0 to ORDER - 1 are log probabilities by order, the next ones back-off weights by length of
+    context, the last one a character never seen. The model of a fold is that of the other fold's
+    counts, less what doesn't occur in the fold.
+    """
+    named = lambda fold: counts.select(F.concat_ws("/", "lang", fold.cast("string")).alias("model"), "high", "low", "n")
+    asked = named(F.col("fold")).select(*GRAM)
+    tables, backoffs, unseen = kneser_ney(named(1 - F.col("fold")))
+    parts = []
+    for order, table in enumerate(tables, 1):
+        looked_up = asked.select("model", *suffix_columns(order)).distinct()
+        parts.append(table.join(looked_up, GRAM, "left_semi").select(*GRAM, F.lit(order - 1).alias("slot"), F.log("p").alias("value")))
         if order < ORDER:
-            after = weights[order + 1].select("lang", F.col("context").alias("gram"), (F.col("kept") / F.col("total")).alias("backoff"))
-            found.append(tables[order - 1].join(after, ["lang", "gram"], "left"))
-        else:
-            found.append(tables[order - 1].withColumn("backoff", F.lit(None).cast("double")))
-    return found
+            looked_up = asked.select("model", *suffix_columns(order + 1)).select("model", *context_columns()).distinct()
+            parts.append(backoffs[order - 1].join(looked_up, GRAM, "left_semi").select(*GRAM, F.lit(ORDER + order - 1).alias("slot"), F.log("backoff").alias("value")))
+    parts.append(unseen.select("model", F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(2 * ORDER - 1), F.log("p")))
+    every = functools.reduce(DataFrame.union, parts)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            keys = keys_of((pdf["high"].to_numpy(), pdf["low"].to_numpy())).view(np.int64)
+            yield pd.DataFrame({"model": pdf["model"], "slot": pdf["slot"], "key": keys, "value": pdf["value"].astype(np.float32)})
+
+    return every.mapInPandas(run, ENTRIES)
+
+
+NO_ENTRIES = (np.empty(0, np.int64), np.empty(0, np.float32))
 
 
 class SortedArrays:
-    """One language's model: for each order a sorted array of grams, log probabilities, back-offs."""
+    """A model: for each slot a sorted array of hashes and one of values."""
 
-    def __init__(self, orders: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        self.orders = orders
+    def __init__(self, slots: dict[int, tuple[np.ndarray, np.ndarray]]):
+        self.slots = slots
 
-    @staticmethod
-    def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def find(self, slot: int, grams: Grams) -> tuple[np.ndarray, np.ndarray]:
+        """Values of the grams in a slot, and which of them it has."""
+        keys, values = self.slots.get(slot, NO_ENTRIES)
+        wanted = keys_of(grams).view(np.int64)
+        if not len(keys):
+            return np.zeros(len(wanted), np.float32), np.zeros(len(wanted), bool)
         at = np.searchsorted(keys, wanted)
         at[at == len(keys)] = 0
-        return at, keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
+        return values[at], keys[at] == wanted
 
-    def log_probabilities(self, grams: np.ndarray) -> np.ndarray:
+    def log_probabilities(self, grams: Grams) -> np.ndarray:
         """Longest order first; what an order lacks backs off, weighted by its context."""
-        out, left, weight = np.zeros(len(grams)), np.arange(len(grams)), np.zeros(len(grams))
+        n = len(grams[0])
+        out, left, weight = np.zeros(n), np.arange(n), np.zeros(n)
         for order in range(ORDER, 0, -1):
-            keys, logs, _ = self.orders[order - 1]
-            part = grams[left] & ((1 << BITS * order) - 1)
-            at, hit = self.find(keys, part)
-            out[left[hit]] = logs[at[hit]] + weight[left[hit]]
-            left, part = left[~hit], part[~hit]
+            part = suffix((grams[0][left], grams[1][left]), order)
+            values, hit = self.find(order - 1, part)
+            out[left[hit]] = values[hit] + weight[left[hit]]
+            left, part = left[~hit], (part[0][~hit], part[1][~hit])
             if not len(left):
                 break
             if order > 1:
-                contexts, _, backoffs = self.orders[order - 2]
-                at, hit = self.find(contexts, part >> BITS)
-                weight[left[hit]] += backoffs[at[hit]]
-        keys, logs, _ = self.orders[0]
-        out[left] = weight[left] + (logs[0] if len(keys) and keys[0] == UNSEEN else -BITS * np.log(2.0))
+                values, hit = self.find(ORDER + order - 2, context(part))
+                weight[left[hit]] += values[hit]
+        unseen = self.slots.get(2 * ORDER - 1)
+        out[left] = weight[left] + (unseen[1][0] if unseen else -BITS * np.log(2.0))
         return out
 
 
-def sorted_arrays(tables: list[DataFrame]) -> dict[str, SortedArrays]:
-    """The tables as arrays on the driver; the caller has checked their size."""
-    none = (np.empty(0, np.int64), np.empty(0, np.float32), np.empty(0, np.float32))
-    found: dict[str, list] = {}
-    for order, table in enumerate(tables):
-        rows = table.select("lang", "gram", F.log("p").cast("float").alias("p"), F.coalesce(F.log("backoff"), F.lit(0.0)).cast("float").alias("backoff")).toArrow()
-        for lang in pc.unique(rows["lang"]).to_pylist():
-            one = rows.filter(pc.equal(rows["lang"], lang))
-            grams = one["gram"].to_numpy()
-            at = grams.argsort()
-            found.setdefault(lang, [none] * ORDER)[order] = (grams[at], one["p"].to_numpy()[at], one["backoff"].to_numpy()[at])
-    return {lang: SortedArrays(orders) for lang, orders in found.items()}
+def sorted_arrays(rows: DataFrame) -> dict[str, SortedArrays]:
+    """The entries as arrays on the driver."""
+    found = rows.toArrow()
+    models: dict[str, SortedArrays] = {}
+    for model in pc.unique(found["model"]).to_pylist():
+        one = found.filter(pc.equal(found["model"], model))
+        slot, key, value = (one[c].to_numpy() for c in ("slot", "key", "value"))
+        order = np.lexsort((key, slot))
+        ends = np.searchsorted(slot[order], np.arange(2 * ORDER + 1))
+        models[model] = SortedArrays({i: (key[order[a:b]], value[order[a:b]]) for i, (a, b) in enumerate(zip(ends, ends[1:])) if b > a})
+    return models
+
+
+def blocks(sizes: dict[str, int], most: int) -> list[list[str]]:
+    """Languages in order, as many at a time as have ``most`` entries together, one at least."""
+    found: list[list[str]] = []
+    room = 0
+    for lang in sorted(sizes):
+        if not found or sizes[lang] > room:
+            found.append([])
+            room = most
+        found[-1].append(lang)
+        room -= sizes[lang]
+    return found
 
 
 def base_measures(text: str | None) -> tuple[int, int, int, int, int]:
@@ -240,49 +324,32 @@ def base_measures(text: str | None) -> tuple[int, int, int, int, int]:
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_grams long, log_sum double"
 
 
-def measure(texts: DataFrame, model: dict[str, SortedArrays] | None) -> DataFrame:
-    """Rows (doc_id, lang, text_key, measures) from rows (doc_id, lang, text_key, text); without a
-    model log_sum is NaN."""
-    shared = texts.sparkSession.sparkContext.broadcast(model)
+def measure(texts: DataFrame, models: dict[str, SortedArrays]) -> DataFrame:
+    """Rows (doc_id, lang, measures) from rows (doc_id, lang, fold, text)."""
+    shared = texts.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             pdf = pdf.reset_index(drop=True)
             rows = pdf["text"].fillna("").tolist()
             out = pd.DataFrame([base_measures(t) for t in rows], columns=[c.split()[0] for c in MEASURES.split(", ")][:5])
-            n_grams, log_sum = np.zeros(len(rows), np.int64), np.full(len(rows), np.nan)
-            for lang, part in pdf.groupby("lang"):
+            n_grams, log_sum = np.zeros(len(rows), np.int64), np.zeros(len(rows))
+            for (lang, fold), part in pdf.groupby(["lang", "fold"]):
+                model = shared.value.get(f"{lang}/{fold}") or SortedArrays({})
                 at = part.index.to_numpy()
                 mine = [rows[i] for i in at]
                 for a, b in chunks(mine):
                     grams, sizes = gram_stream(mine[a:b])
                     n_grams[at[a:b]] = sizes
-                    if shared.value is not None:
-                        logs = np.append(shared.value[lang].log_probabilities(grams), 0.0)
-                        ends = sizes.cumsum()
-                        sums = np.append(0.0, logs.cumsum())
-                        log_sum[at[a:b]] = sums[ends] - sums[ends - sizes]
+                    ends = sizes.cumsum()
+                    sums = np.append(0.0, model.log_probabilities(grams).cumsum())
+                    log_sum[at[a:b]] = sums[ends] - sums[ends - sizes]
             out["n_grams"], out["log_sum"] = n_grams, log_sum
             out.insert(0, "doc_id", pdf["doc_id"].array)
             out.insert(1, "lang", pdf["lang"].array)
-            out.insert(2, "text_key", pdf["text_key"].array)
             yield out
 
-    return texts.mapInPandas(run, f"doc_id long, lang string, text_key string, {MEASURES}")
-
-
-def joined_log_sums(texts: DataFrame, table: DataFrame) -> DataFrame:
-    """Rows (lang, text_key, log_sum): the way for a model over the broadcast bound."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for lang, key, text in zip(pdf["lang"], pdf["text_key"], pdf["text"]):
-                grams, n = np.unique(gram_stream([text or ""])[0], return_counts=True)
-                yield pd.DataFrame({"lang": lang, "text_key": key, "gram": grams, "n": n})
-
-    once = texts.select("lang", "text_key", "text").dropDuplicates(["lang", "text_key"])
-    counted = once.mapInPandas(run, "lang string, text_key string, gram long, n long")
-    return counted.join(table, ["lang", "gram"]).groupBy("lang", "text_key").agg(F.sum(F.col("n") * F.log("p")).alias("log_sum"))
+    return texts.mapInPandas(run, f"doc_id long, lang string, {MEASURES}")
 
 
 def bands(measured: DataFrame, config: PerplexityConfig) -> DataFrame:
@@ -305,17 +372,17 @@ def bands(measured: DataFrame, config: PerplexityConfig) -> DataFrame:
 
 def judge(docs: DataFrame, config: PerplexityConfig = PerplexityConfig()) -> DataFrame:
     """One row for each document: base measures, log perplexity a character, bands and verdict."""
-    key = F.md5(F.coalesce("text", F.lit("")))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), language_of(docs, config).alias("lang"), key.alias("text_key"), "text")
-    tables = kneser_ney(stage(count_grams(texts.select("lang", "text")), "grams"))
-    tables = [stage(t, "model") for t in tables]
-    if sum(t.count() for t in tables) <= config.broadcast_grams:
-        measured = measure(texts, sorted_arrays(tables))
-    else:
-        sums = joined_log_sums(texts, tables[-1].select("lang", "gram", "p"))
-        measured = measure(texts, None).drop("log_sum").join(sums, ["lang", "text_key"], "left")
-    measured = measured.withColumn("log_ppl", F.when(F.col("n_grams") == 0, F.lit(0.0)).otherwise(-F.col("log_sum") / F.col("n_grams")))
-    measured = stage(measured.drop("log_sum", "text_key"), "measures")
+    fold = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(2)).cast("int")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), language_of(docs, config).alias("lang"), fold.alias("fold"), "text")
+    arrays = stage(entries(stage(count_grams(texts.select("lang", "fold", "text")), "grams")), "model")
+    sizes = {r["lang"]: 0 for r in texts.select("lang").distinct().collect()}
+    sizes |= {r["lang"]: r["n"] for r in arrays.groupBy(F.regexp_replace("model", "/[01]$", "").alias("lang")).agg(F.count("*").alias("n")).collect()}
+    parts = []
+    for langs in blocks(sizes, config.block_grams) or [[""]]:
+        models = sorted_arrays(arrays.where(F.col("model").isin([f"{x}/{k}" for x in langs for k in (0, 1)])))
+        parts.append(stage(measure(texts.where(F.col("lang").isin(langs)), models), "measures"))
+    measured = functools.reduce(DataFrame.union, parts)
+    measured = measured.withColumn("log_ppl", F.when(F.col("n_grams") == 0, F.lit(0.0)).otherwise(-F.col("log_sum") / F.col("n_grams"))).drop("log_sum")
     found = measured.join(F.broadcast(bands(measured, config)), "lang", "left")  # a row a language
     failed = (F.col("n_words") < config.least_words) | (100 * F.col("n_repeat_words") > config.most_repeated_percent * F.col("n_words"))
     inside = F.coalesce(F.col("log_ppl").between(F.col("lower"), F.col("upper")), F.lit(False))

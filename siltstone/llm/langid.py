@@ -2,8 +2,11 @@
 
 Known words score by their log frequency in each language; a word that training never saw falls
 back to its character n-grams, longest order first, and stops at the first order of which any
-gram is known. The model is fitted on a sample of labelled rows whose size is a parameter; counts
-are gathered by Spark and the kept words and grams are bounded, so the broadcast model is too.
+gram is known. The model is fitted on a sample of labelled rows whose size for each language is a
+parameter. Every label is learned and every word and gram of the sample is kept, so a language
+with few rows has its whole vocabulary. Spark counts the words and grams; the model is their
+64-bit hashes in order, each with the languages that have it, so it is as large as the sample's
+vocabulary (about 16 bytes for each word or gram and language that has it).
 
 Defined results: null text or text without a letter gives ``und`` with score 0. Repeated rows are
 predicted alike. A null ``doc_id`` hashes as the empty text. Ties between languages go to the
@@ -20,42 +23,77 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table, stage
 
 LETTERS = re.compile(r"[^\W\d_]+")
+#: Seed of Spark's xxhash64.
+SEED = 42
 
 
 @dataclass(frozen=True)
 class LangIdConfig:
     #: Labelled rows of each language to fit on; chosen by hash, so about this many at most.
     sample_rows: int = 8_000
-    #: Bound on the words, and on the grams, that the model keeps: most frequent first.
-    max_entries: int = 150_000
-    #: Languages learned: most frequent first.
-    max_languages: int = 64
     max_order: int = 4
     smoothing: float = 0.5
     #: Documents scoring less are rejected by the filter.
     min_score: float = 0.5
 
 
+@dataclass(frozen=True)
+class LogFrequencies:
+    """Log frequencies of hashed items: ``base`` for each language, and for the languages that have an
+    item a gain over it. The gains of ``keys[i]`` are those from ``starts[i]`` to ``starts[i + 1]``."""
+
+    keys: np.ndarray
+    starts: np.ndarray
+    languages: np.ndarray
+    gains: np.ndarray
+    base: np.ndarray
+
+    @staticmethod
+    def of_counts(keys: np.ndarray, languages: np.ndarray, n: np.ndarray, n_languages: int, smoothing: float) -> LogFrequencies:
+        order = np.lexsort((languages, keys))
+        keys, languages, n = keys[order], languages[order], n[order].astype(np.float64)
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
+        total = np.bincount(languages, n, n_languages)
+        base = np.log(smoothing) - np.log(total + smoothing * max(1, len(starts)))
+        return LogFrequencies(keys[starts], np.r_[starts, len(keys)], languages.astype(np.int32), np.log((n + smoothing) / smoothing).astype(np.float32), base.astype(np.float32))
+
+    def rows(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which items are known, and a row of log frequencies for each of those."""
+        at = np.searchsorted(self.keys, wanted)
+        at[at == len(self.keys)] = 0
+        known = self.keys[at] == wanted if len(self.keys) else np.zeros(len(wanted), bool)
+        first, end = self.starts[at[known]], self.starts[at[known] + 1]
+        row = np.repeat(np.arange(len(first)), end - first)
+        gain = np.arange(len(row)) + np.repeat(first - np.r_[0, (end - first).cumsum()[:-1]], end - first) if len(first) else np.empty(0, np.int64)
+        out = np.tile(self.base, (len(first), 1))
+        out[row, self.languages[gain]] += self.gains[gain]
+        return known, out
+
+
 @dataclass(frozen=True)
 class LangIdModel:
     languages: list[str]
     max_order: int
-    words: list[str]
-    word_scores: np.ndarray
-    grams: list[str]
-    gram_scores: np.ndarray
+    words: LogFrequencies | None = None
+    grams: LogFrequencies | None = None
 
 
 def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(3))
 
 
+def hashes(items: list[str]) -> np.ndarray:
+    """Spark's xxhash64 of each string."""
+    return np.array([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), SEED) for x in items], np.uint64).view(np.int64)
+
+
 def grams_of(word: str, order: int) -> list[str]:
     marked = f"^{word}$" if order > 1 else word
     return [marked[i : i + order] for i in range(len(marked) - order + 1)]
@@ -64,51 +102,107 @@ def grams_of(word: str, order: int) -> list[str]:
 def fit(labelled: DataFrame, config: LangIdConfig = LangIdConfig()) -> LangIdModel:
     """Fit on rows (doc_id, text, lang); null texts and labels are passed over."""
     rows = labelled.select("doc_id", "text", "lang").where("text is not null and lang is not null")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(config.max_languages).collect()
-    languages = sorted(r["lang"] for r in sizes)
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row a language, as the model has
+    languages = sorted(sizes)
     if not languages:
-        return LangIdModel([], config.max_order, [], np.empty((0, 0), np.float32), [], np.empty((0, 0), np.float32))
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, config.sample_rows / r["count"]))])
+        return LangIdModel([], config.max_order)
+    shares = rows.sparkSession.createDataFrame([(x, i, min(1.0, config.sample_rows / sizes[x])) for i, x in enumerate(languages)], "lang string, language int, share double")
     place = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1))), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    sample = rows.where(F.col("lang").isin(languages) & (place < share[F.col("lang")]))
+    sample = rows.join(F.broadcast(shares), "lang").where(place < F.col("share")).select("language", "text")
+
+    def counted(batch: pd.DataFrame, count: Callable[[pd.DataFrame], Counter]) -> Iterator[pd.DataFrame]:
+        for language, part in batch.groupby("language"):
+            if counts := count(part):
+                yield pd.DataFrame({"language": language, "item": list(counts), "n": list(counts.values())})
 
     def count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for lang, part in pdf.groupby("lang"):
-                counts = Counter(w for t in part["text"] for w in LETTERS.findall(t.lower()))
-                if counts:
-                    yield pd.DataFrame({"lang": lang, "item": list(counts), "n": list(counts.values())})
+            yield from counted(pdf, lambda part: Counter(w for t in part["text"] for w in LETTERS.findall(t.lower())))
 
     orders = range(1, config.max_order + 1)
 
     def count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def count(part: pd.DataFrame) -> Counter:
+            counts: Counter = Counter()
+            for word, n in zip(part["item"], part["n"]):
+                for order in orders:
+                    for gram in grams_of(word, order):
+                        counts[gram] += n
+            return counts
+
         for pdf in batches:
-            for lang, part in pdf.groupby("lang"):
-                counts: Counter = Counter()
-                for word, n in zip(part["item"], part["n"]):
-                    for order in orders:
-                        for gram in grams_of(word, order):
-                            counts[gram] += n
-                if counts:
-                    yield pd.DataFrame({"lang": lang, "item": list(counts), "n": list(counts.values())})
-
-    schema = "lang string, item string, n long"
-    words = stage(sample.select("lang", "text").mapInPandas(count_words, schema).groupBy("lang", "item").agg(F.sum("n").alias("n")), "langid-words")
-    grams = words.mapInPandas(count_grams, schema)
-    bound = max(1, config.max_entries * 4 // max(4, len(languages)))
-    known_words, word_scores = _scores(words, languages, bound, config.smoothing)
-    known_grams, gram_scores = _scores(grams, languages, bound, config.smoothing)
-    return LangIdModel(languages, config.max_order, known_words, word_scores, known_grams, gram_scores)
-
-
-def _scores(counts: DataFrame, languages: list[str], bound: int, smoothing: float) -> tuple[list[str], np.ndarray]:
-    """The ``bound`` most frequent items and their log frequencies, a column for each language."""
-    by_language = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(languages)]
-    table = counts.groupBy("item").agg(F.sum("n").alias("n"), *by_language)
-    kept = table.orderBy(F.desc("n"), "item").limit(bound).toPandas()
-    n = kept[[f"n{i}" for i in range(len(languages))]].to_numpy(np.float64)
-    logs = np.log(n + smoothing) - np.log(n.sum(0) + smoothing * max(1, len(n)))
-    return kept["item"].tolist(), logs.astype(np.float32)
+            yield from counted(pdf, count)
+
+    schema = "language int, item string, n long"
+    words = stage(sample.mapInPandas(count_words, schema).groupBy("language", "item").agg(F.sum("n").alias("n")), "langid-words")
+    grams = words.mapInPandas(count_grams, schema).groupBy("language", "item").agg(F.sum("n").alias("n"))
+
+    def table(counts: DataFrame) -> LogFrequencies:
+        found = counts.select(F.xxhash64("item").alias("key"), "language", "n").toArrow()  # bounded by the sample
+        return LogFrequencies.of_counts(*[found[c].to_numpy() for c in ("key", "language", "n")], len(languages), config.smoothing)
+
+    return LangIdModel(languages, config.max_order, table(words), table(grams))
+
+
+class WordScores:
+    """Log frequencies of the words met so far, a row each; words are scored anew, alike, after ``clear``."""
+
+    def __init__(self, model: LangIdModel, most_cells: int = 8_000_000):
+        self.model, self.most_rows = model, max(1, most_cells // max(1, len(model.languages)))
+        self.clear()
+
+    def clear(self) -> None:
+        self.at: dict[str, int] = {}
+        self.rows = np.empty((1024, len(self.model.languages)), np.float32)
+
+    def back_off(self, words: list[str]) -> np.ndarray:
+        """The mean over the known grams of the longest order that has any; zeros without any."""
+        out, left = np.zeros((len(words), len(self.model.languages)), np.float32), list(range(len(words)))
+        for order in range(self.model.max_order, 0, -1):
+            grams = [(i, g) for i in left for g in grams_of(words[i], order)]
+            if not grams:
+                continue
+            known, rows = self.model.grams.rows(hashes([g for _, g in grams]))
+            owner = np.array([i for i, _ in grams])[known]
+            n = np.bincount(owner, minlength=len(words))
+            np.add.at(out, owner, rows)
+            met = n > 0
+            out[met] /= n[met, None]
+            left = [i for i in left if not met[i]]
+        return out
+
+    def learn(self, words: list[str]) -> None:
+        if len(self.at) + len(words) > self.most_rows:
+            self.clear()
+        words = [w for w in words if w not in self.at]
+        if not words:
+            return
+        known, rows = self.model.words.rows(hashes(words))
+        fresh = np.empty((len(words), rows.shape[1]), np.float32)
+        fresh[known] = rows
+        fresh[~known] = self.back_off([w for w, k in zip(words, known) if not k])
+        n = len(self.at)
+        while n + len(words) > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
+        self.rows[n : n + len(words)] = fresh
+        self.at.update(zip(words, range(n, n + len(words))))
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        languages = self.model.languages
+        found = [LETTERS.findall(t.lower()) if t else [] for t in texts]
+        if languages:
+            self.learn(list({w for words in found for w in words}))
+        out = []
+        for words in found:
+            if not languages or not any(c.isalpha() for w in words for c in w):
+                out.append(("und", 0.0))
+                continue
+            total = self.rows[[self.at[w] for w in words]].sum(0, dtype=np.float64)
+            logits = total / len(words) * min(len(words), 12)
+            odds = np.exp(logits - logits.max())
+            best = int(odds.argmax())
+            out.append((languages[best], float(odds[best] / odds.sum())))
+        return out
 
 
 def predictor(spark: SparkSession, model: LangIdModel) -> Callable[[Column], Column]:
@@ -117,47 +211,10 @@ def predictor(spark: SparkSession, model: LangIdModel) -> Callable[[Column], Col
 
     @F.pandas_udf("lang_pred string, score double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        known = dict(zip(m.words, range(len(m.words))))
-        gram_at = dict(zip(m.grams, range(len(m.grams))))
-        n_known, unseen = len(known), {}
-        none = np.zeros(len(m.languages), np.float32)
-        fallback: list[np.ndarray] = []
-
-        def back_off(word: str) -> np.ndarray:
-            for order in range(m.max_order, 0, -1):
-                at = [gram_at[g] for g in grams_of(word, order) if g in gram_at]
-                if at:
-                    return m.gram_scores[at].mean(0)
-            return none
-
-        def one(text: str | None) -> tuple[str, float]:
-            words = LETTERS.findall(text.lower()) if text else []
-            if not m.languages or not any(c.isalpha() for w in words for c in w):
-                return "und", 0.0
-            at = [known.get(w, -1) for w in words]
-            for i, place in enumerate(at):
-                if place < 0:
-                    w = words[i]
-                    place = unseen.get(w)
-                    if place is None:
-                        place = unseen[w] = n_known + len(fallback)
-                        fallback.append(back_off(w))
-                    at[i] = place
-            at = np.asarray(at)
-            total = m.word_scores[at[at < n_known]].sum(0, dtype=np.float64)
-            for place, n in zip(*np.unique(at[at >= n_known] - n_known, return_counts=True)):
-                total = total + n * fallback[place].astype(np.float64)
-            logits = total / len(words) * min(len(words), 12)
-            odds = np.exp(logits - logits.max())
-            best = int(odds.argmax())
-            return m.languages[best], float(odds[best] / odds.sum())
-
+        scores = WordScores(shared.value)
         for texts in batches:
-            found = [one(t) for t in texts]
-            if len(unseen) > 200_000:  # words are scored anew, alike, after this
-                unseen.clear()
-                fallback.clear()
+            rows = texts.tolist()
+            found = [x for a in range(0, len(rows), 200) for x in scores.predict(rows[a : a + 200])]
             yield pd.DataFrame(found, columns=["lang_pred", "score"])
 
     # Else Catalyst copies the call into the filters above it, and every text is scored twice.

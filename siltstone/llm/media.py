@@ -9,14 +9,15 @@ bytes back and describes them. Payload rows are unique by digest before the join
 
 Defined results: a null page has no items and a null text is an empty one. A reference without a
 payload stays, unresolved. Repeated rows are parsed each; repeated payloads count once. Equal texts
-give equal values. Extra columns are ignored.
+give equal values. Equal references of a page are items of their own. Extra columns are ignored,
+whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -83,22 +84,35 @@ def items_of(page: str) -> list[tuple[int, str, str | None, str | None, str | No
     return [(i, *item) for i, item in enumerate(items)]
 
 
-def sequences(pages: DataFrame, page: str, keep: list[str]) -> DataFrame:
-    """A row for each item: the kept columns, position, kind, text, ref, caption, digest."""
+def items_column() -> Callable[[Column], Column]:
+    """Column function from a page to its array of items."""
 
     @F.pandas_udf(f"array<{ITEM}>")
     def parsed(column: pd.Series) -> pd.Series:
         names = ("position", "kind", "text", "ref", "caption")
         return pd.Series([[dict(zip(names, x)) for x in items_of(p or "")] for p in column], dtype=object)
 
-    items = pages.select(*keep, F.explode(parsed(F.col(page))).alias("item")).select(*keep, "item.*")
-    return items.withColumn("digest", F.regexp_extract("ref", r"^(?:sha256:|media:)?([0-9a-f]{64})", 1))
+    return parsed
+
+
+def digest_of(ref: Column) -> Column:
+    """The digest that a reference names, null if it names none."""
+    return F.nullif(F.regexp_extract(ref, r"^(?:sha256:|media:)?([0-9a-f]{64})", 1), F.lit(""))
+
+
+def sequences(pages: DataFrame, page: str, keep: list[str]) -> DataFrame:
+    """A row for each item: the kept columns, position, kind, text, ref, caption, digest."""
+    items = pages.select(*keep, F.explode(items_column()(F.col(page))).alias("item")).select(*keep, "item.*")
+    return items.withColumn("digest", digest_of(F.col("ref")))
 
 
 def resolve(items: DataFrame, payloads: DataFrame) -> DataFrame:
-    """``items`` with the columns of ``payloads`` (unique by digest) and whether they were found."""
+    """``items`` with the columns of ``payloads`` (unique by digest) and whether they were found. Rows
+    without a digest don't take part in the join, so they don't meet in one task."""
     marked = payloads.withColumn("resolved", F.lit(True))
-    return items.join(marked, "digest", "left").withColumn("resolved", F.coalesce("resolved", F.lit(False)))
+    named = items.where("digest is not null").join(marked, "digest", "left").withColumn("resolved", F.coalesce("resolved", F.lit(False)))
+    others = items.where("digest is null").withColumn("resolved", F.lit(False))
+    return named.unionByName(others, allowMissingColumns=True)
 
 
 def store(payload: bytes) -> bytes:
@@ -147,14 +161,42 @@ def encode_payloads(payloads: DataFrame) -> DataFrame:
     return payloads.mapInPandas(run, FEATURES).dropDuplicates(["digest"])
 
 
+def document_page(text: Column, caption: Column, digest: Column) -> Column:
+    """A page of a document: its lines as paragraphs, its payload as a figure after the first."""
+    escaped = F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    first, rest = F.substring_index(escaped, "\n", 1), F.regexp_extract(escaped, r"(?s)\n(.*)", 1)
+    figure = F.concat(F.lit("<figure><img src='sha256:"), digest, F.lit("'><figcaption>"), caption, F.lit("</figcaption></figure>"))
+    return F.concat(F.lit("<p>"), first, F.lit("</p>"), figure, F.lit("<p>"), F.replace(rest, F.lit("\n"), F.lit("</p><p>")), F.lit("</p>"))
+
+
 def op6_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as a page that shows its payload between two lines of text."""
+    """Every document as a page that shows its payload after its first line.
+
+    Beside what is read back from the payload: the number of items of the page's sequence, the place
+    and caption of the payload in it, and the SHA-256 of its texts, joined by line ends.
+    """
     texts = read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     payload = payload_of(F.col("text"))
     digest = F.sha2(payload, 256)
     n_bytes = F.octet_length("text").cast("long")
-    page = F.concat(F.lit("<p>Payload of a document</p><figure><img src='sha256:"), digest, F.lit("'><figcaption>"), n_bytes.cast("string"), F.lit(" bytes</figcaption></figure><p>End</p>"))
-    items = sequences(texts.select("doc_id", n_bytes.alias("n_bytes"), page.alias("page")), "page", ["doc_id", "n_bytes"])
+    page = document_page(F.col("text"), F.concat(n_bytes.cast("string"), F.lit(" bytes")), digest)
+    read = texts.select("doc_id", n_bytes.alias("n_bytes"), items_column()(page).alias("items"))
+    shown = F.filter("items", lambda x: x["kind"] == "media")[0]
+    said = F.array_join(F.transform(F.filter("items", lambda x: x["kind"] == "text"), lambda x: x["text"]), "\n")
+    read = read.select(
+        "doc_id", "n_bytes", digest_of(shown["ref"]).alias("digest"), F.size("items").cast("long").alias("n_items"), shown["position"].cast("long").alias("position"),
+        shown["caption"].alias("caption"), F.sha2(said.cast("binary"), 256).alias("texts_sha256"),
+    )
     described = encode_payloads(texts.select(digest.alias("digest"), payload.alias("payload")))
-    found = resolve(items.where("kind = 'media'"), described)
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    found = read.join(described, "digest", "left")
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_items", "position", "caption", "texts_sha256")
+
+
+def page_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sequence of every page: a row for each text, and for each media reference with its caption
+    and whether one of the documents' payloads has its digest."""
+    pages = read_table(spark, sf_dir, "pages")
+    texts = read_table(spark, sf_dir, "documents").select(payload_of(F.coalesce("text", F.lit(""))).alias("payload"))
+    described = texts.select(F.sha2("payload", 256).alias("digest"), F.octet_length("payload").cast("long").alias("payload_bytes")).distinct()
+    found = resolve(sequences(pages, "html", ["page_id"]), described)
+    return found.select("page_id", "position", "kind", "text", "ref", "caption", "resolved", "payload_bytes")

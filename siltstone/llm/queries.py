@@ -6,7 +6,7 @@ from .credentials import op5_credential_links
 from .curriculum import OP9_SQL, op9_curriculum
 from .host_paths import op3_host_paths
 from .langid import op4_word_backoff
-from .media import op6_interleaved_media
+from .media import op6_interleaved_media, page_sequences
 from .order_minhash import op2_order_minhash
 from .perplexity import op1_perplexity_bands
 from .rotation import OP7_SQL, op7_perspectives
@@ -24,6 +24,7 @@ QUERIES = {
     "op8_temporal_lists": op8_temporal_lists,
     "op9_curriculum": op9_curriculum,
     "op10_minimum_bin_slack": op10_minimum_bin_slack,
+    "page_sequences": page_sequences,
 }
 
 ORACLES: dict[str, str] = {

@@ -7,7 +7,8 @@ host with first path segment) as of its fetch day; the most specific active entr
 
 Built from DataFrame functions alone. Keys are joined by equality with the interval as residual,
 so each capture and key meets one interval at most; captures are made distinct first, so that a
-URL fetched over and over is decided once.
+URL fetched over and over is decided once. Keys are salted by URL and the intervals repeated for
+each salt, so that a host or top-level domain with a third of the captures is spread over tasks.
 
 Defined results: a null or unparsable URL, or a null fetch day, matches nothing and has decision
 ``none``. Two entries of a key on one day: remove goes before block, block before allow. Repeated
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import read_table
 
 # How a host and the first path segment are taken from a URL.
-HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:@]+)"
 SEGMENT = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^/?#]+)"
 
 
@@ -50,11 +51,13 @@ def covering_keys(url: Column) -> Column:
     return F.when(host != "", F.concat(suffixes, with_path)).otherwise(F.array().cast("array<string>"))
 
 
-def decide(captures: DataFrame, entries: DataFrame) -> DataFrame:
+def decide(captures: DataFrame, entries: DataFrame, salts: int = 16) -> DataFrame:
     """``captures`` (with url and fetched) and decision, matched_key, valid_from for each row."""
     looked_up = captures.select("url", "fetched").where("url is not null and fetched is not null").distinct()
-    keys = looked_up.select("url", "fetched", F.explode(covering_keys(F.col("url"))).alias("list_key"))
-    active = keys.join(intervals(entries), "list_key").where("fetched >= valid_from and (valid_to is null or fetched < valid_to)")
+    salt = F.pmod(F.xxhash64("url", "fetched"), F.lit(salts)).cast("int").alias("salt")
+    keys = looked_up.select("url", "fetched", salt, F.explode(covering_keys(F.col("url"))).alias("list_key"))
+    spans = intervals(entries).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    active = keys.join(spans, ["list_key", "salt"]).where("fetched >= valid_from and (valid_to is null or fetched < valid_to)")
     match = F.struct(F.length("list_key").alias("specific"), "list_key", "action", "valid_from")
     best = active.groupBy("url", "fetched").agg(F.max(match).alias("best"))
     kept = [c for c in captures.columns if c not in ("decision", "matched_key", "valid_from", "best")]
@@ -93,7 +96,7 @@ def op8_temporal_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP8_SQL = """
 WITH pages_at AS (
   SELECT page_id, url, CAST(DATE '2024-01-01' + CAST(page_id % 365 AS INTEGER) AS DATE) AS fetched,
-         rtrim(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '.') AS host,
+         rtrim(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\\[[^\\]/?#]*\\]|[^/?#:@]+)', 1)), '.') AS host,
          lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^/?#]+)', 1)) AS segment
   FROM pages
 ), hosts AS (

@@ -136,25 +136,25 @@ def whole_in_training_order(docs: DataFrame, config: MixConfig = MixConfig()) ->
     return kept.orderBy("copy.position", "doc.doc_id").select("doc.*")
 
 
-def in_training_order(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
-    """A row for each copy that the mix takes, range-sorted by position, with the columns of ``docs``.
-
-    The last, partly taken copy of a source holds its first words, single-spaced.
-    """
-    copies = assign(docs, docs.columns, config).select("doc", "size", F.explode("copies").alias("copy"))
-    words = F.filter(F.split("doc.text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    text = F.when(F.col("copy.words") == F.col("size"), F.col("doc.text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("copy.words").cast("int")), " "))
-    named = {"text": text, "n_chars": F.length(text).cast("long")}
-    return copies.orderBy("copy.position", "doc.doc_id").select(*[named.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns])
-
-
 def op9_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document, sorted by the position of its first copy; the positions of its
+    second and third copy follow in columns of their own."""
     found = assign(read_table(spark, sf_dir, "documents"), ["doc_id"])
-    position = F.round(F.get("copies", F.lit(0))["position"], 9)
-    return found.select("doc.doc_id", "size", "source_size", "target", "taken", position.alias("position")).orderBy(F.col("position").asc_nulls_last(), "doc_id")
+    positions = [F.round(F.get("copies", F.lit(k))["position"], 9).alias(f"position_{k + 1}" if k else "position") for k in range(MixConfig().most_repeats)]
+    return found.select("doc.doc_id", "size", "source_size", "target", "taken", *positions).orderBy(F.col("position").asc_nulls_last(), "doc_id")
+
+
+def _position_sql(copy: int) -> str:
+    """Position of a copy, counted from 0: the three default schedules inverted in closed form."""
+    at = f"(start + {copy} * source_size)"
+    share = f"(CASE WHEN size > 0 AND {at} < demand THEN {at} / demand END)"
+    return f"""round(CASE schedule WHEN 0 THEN (sqrt(0.25::double + 2 * {share}) - 0.5::double)
+                  WHEN 1 THEN CASE WHEN {share} < 0.5::double THEN (1.5::double - sqrt(2.25::double - 4 * {share})) / 2
+                                   ELSE 0.5::double + (sqrt(0.25::double + 4 * ({share} - 0.5::double)) - 0.5::double) / 2 END
+                  ELSE 1.5::double - sqrt(2.25::double - 2 * {share}) END, 9)"""
 
 
-OP9_SQL = """
+OP9_SQL = f"""
 WITH sized AS (
   SELECT doc_id, source IS NULL AS no_source, coalesce(source, '') AS source_key, md5(coalesce(doc_id::varchar, '')) AS place,
          len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint AS size
@@ -178,16 +178,11 @@ WITH sized AS (
   SELECT s.doc_id, s.size, t.source_size, t.target, t.r % 3 AS schedule, round(t.target)::bigint AS demand,
          sum(s.size) OVER (PARTITION BY no_source, source_key ORDER BY place, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - s.size AS start
   FROM sized s JOIN targets t USING (no_source, source_key)
-), found AS (
-  SELECT doc_id, size, source_size, target,
-         (greatest(least(size, demand - start), 0) + greatest(least(size, demand - start - source_size), 0) + greatest(least(size, demand - start - 2 * source_size), 0))::bigint AS taken,
-         schedule, CASE WHEN size > 0 AND start < demand THEN start / demand END AS share
-  FROM laid
 )
-SELECT doc_id, size::bigint AS size, source_size, target, taken,
-       round(CASE schedule WHEN 0 THEN (sqrt(0.25::double + 2 * share) - 0.5::double)
-                  WHEN 1 THEN CASE WHEN share < 0.5::double THEN (1.5::double - sqrt(2.25::double - 4 * share)) / 2
-                                   ELSE 0.5::double + (sqrt(0.25::double + 4 * (share - 0.5::double)) - 0.5::double) / 2 END
-                  ELSE 1.5::double - sqrt(2.25::double - 2 * share) END, 9) AS position
-FROM found
+SELECT doc_id, size::bigint AS size, source_size, target,
+       (greatest(least(size, demand - start), 0) + greatest(least(size, demand - start - source_size), 0) + greatest(least(size, demand - start - 2 * source_size), 0))::bigint AS taken,
+       {_position_sql(0)} AS position,
+       {_position_sql(1)} AS position_2,
+       {_position_sql(2)} AS position_3
+FROM laid
 """

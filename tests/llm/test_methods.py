@@ -56,43 +56,91 @@ def test_base_measures():
     assert [perplexity.base_measures(c) for c in cases] == [brute(c) for c in cases]
 
 
-def test_kneser_ney_sums_to_one_and_matches_brute_force(spark):
-    texts = ["abracadabra", "abacus", "cadabra!"]
-    counts = perplexity.count_grams(spark.createDataFrame([("x", t) for t in texts], "lang string, text string"))
-    tables = perplexity.kneser_ney(counts)
-    rows = {o + 1: {r["gram"]: r for r in t.collect()} for o, t in enumerate(tables)}
-    grams = Counter(g for t in texts for g in perplexity.gram_stream([t])[0].tolist())
-    assert {r["gram"]: r["n"] for r in counts.collect()} == dict(grams)
-    # Brute force: the same estimate by recursion over dictionaries.
-    by_order = {5: dict(grams)}
+def brute_kneser_ney(grams):
+    """The same estimate by recursion over dictionaries of strings: p of each seen gram by order, and p of any string."""
+    by_order = {5: Counter(grams)}
     for o in range(4, 0, -1):
-        by_order[o] = Counter(g & ((1 << 12 * o) - 1) for g in by_order[o + 1])
-    p: dict[int, dict[int, float]] = {}
-    for o in range(1, 6):
-        c = by_order[o]
+        by_order[o] = Counter(g[1:] for g in by_order[o + 1])
+    d, total, kept = {}, {}, {}
+    for o, c in by_order.items():
         n = [0, *[sum(v == i for v in c.values()) for i in (1, 2, 3, 4)]]
         y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
-        d = [0] + [min(max(i - (i + 1) * y * n[i + 1] / n[i] if n[i] else 0.5, 0.05), i - 0.05) for i in (1, 2, 3)]
-        total, kept = Counter(), Counter()
+        d[o] = [0] + [min(max(i - (i + 1) * y * n[i + 1] / n[i] if n[i] else 0.5, 0.05), i - 0.05) for i in (1, 2, 3)]
         for g, v in c.items():
-            total[g >> 12] += v
-            kept[g >> 12] += d[min(v, 3)]
-        low = (lambda g: 1 / 4096) if o == 1 else (lambda g, o=o: p[o - 1][g & ((1 << 12 * (o - 1)) - 1)])
-        p[o] = {g: (v - d[min(v, 3)]) / total[g >> 12] + kept[g >> 12] / total[g >> 12] * low(g) for g, v in c.items()}
-        assert all(math.isclose(rows[o][g]["p"], x, rel_tol=1e-9) for g, x in p[o].items())
-    model = perplexity.sorted_arrays(tables)["x"]
-    seen = np.array(sorted(grams))
-    assert np.allclose(model.log_probabilities(seen), [math.log(p[5][g]) for g in seen.tolist()], atol=1e-5)
-    # Over all characters the probabilities after one context sum to one, backing off included.
-    context = int(seen[3]) >> 12
-    everything = (context << 12) + np.arange(4096)
-    assert math.isclose(np.exp(model.log_probabilities(everything)).sum(), 1.0, abs_tol=2e-3)
-
-
-def test_broadcast_and_join_agree(docs):
-    a = {r["doc_id"]: r for r in perplexity.judge(docs).collect()}
-    b = {r["doc_id"]: r for r in perplexity.judge(docs, perplexity.PerplexityConfig(broadcast_grams=0)).collect()}
-    assert all(math.isclose(a[k]["log_ppl"], b[k]["log_ppl"], abs_tol=1e-4) and a[k]["kept"] == b[k]["kept"] for k in a)
+            total[g[:-1]] = total.get(g[:-1], 0) + v
+            kept[g[:-1]] = kept.get(g[:-1], 0) + d[o][min(v, 3)]
+
+    def p(g):
+        if not g:
+            return 1 / (len(by_order[1]) + 1)
+        if g[:-1] not in total:
+            return p(g[1:])
+        v = by_order[len(g)].get(g, 0)
+        own = (v - d[len(g)][min(v, 3)]) / total[g[:-1]] if v else 0
+        return own + kept[g[:-1]] / total[g[:-1]] * p(g[1:])
+
+    return by_order, p
+
+
+def strings(text):
+    padded = "\x01" * 4 + "".join(map(chr, perplexity.characters(text))) + "\x02"
+    return [padded[i : i + 5] for i in range(len(padded) - 4)] if text else []
+
+
+def test_kneser_ney_matches_brute_force_and_sums_to_one(spark):
+    train = ["abracadabra", "abacus", "cadabra!", "中文中国文", "😀 ab"]
+    test = ["abracadabra", "zebra 中国", "cab", "😀😀", "ñ"]
+    rows = [("x", f, t) for f, ts in enumerate((train, test)) for t in ts]
+    counts = perplexity.count_grams(spark.createDataFrame(rows, "lang string, fold int, text string"))
+    by_order, p = brute_kneser_ney([g for t in train for g in strings(t)])
+    got = sum((Counter({(r["high"], r["low"]): r["n"]}) for r in counts.where("fold = 0").collect()), Counter())
+    assert sorted(got.values()) == sorted(by_order[5].values())
+    models = perplexity.sorted_arrays(perplexity.entries(counts))
+    model = models["x/1"]  # made of fold 0, holds what occurs in fold 1
+    for t in test:
+        grams, _ = perplexity.gram_stream([t])
+        assert np.allclose(model.log_probabilities(grams), [math.log(p(g)) for g in strings(t)], atol=1e-5)
+    assert sum(len(k) for k, _ in model.slots.values()) < sum(map(len, by_order.values()))
+    # Over all characters seen and one never seen, the probabilities after a context sum to one.
+    for context in ("abra", "zzzz", "\x01\x01\x01\x01", "中国文中"):
+        assert math.isclose(sum(p(context + c) for c in [*by_order[1], "?"]), 1.0)
+
+
+def test_documents_are_scored_by_the_other_fold(spark):
+    """Log perplexities and verdicts against brute force, and alike for any size of block."""
+    random.seed(6)
+    prose = ["the cat sat", "on the mat", "and then", "ran to", "a dog"]
+    rows = [(i, " ".join(random.choices(prose, k=30)), "en") for i in range(30)]
+    rows += [(100 + i, " ".join(random.choices(["el gato", "la casa", "y luego"], k=40)), "es") for i in range(20)]
+    rows += [(200 + i, " ".join("".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(60)), "en") for i in range(2)]
+    rows += [(300, rows[0][1], "en"), (301, None, "en"), (302, "", None), (303, "solo", "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    config = perplexity.PerplexityConfig(least_documents=5)
+    found = {r["doc_id"]: r for r in perplexity.judge(docs, config).collect()}
+    small = {r["doc_id"]: r for r in perplexity.judge(docs, perplexity.PerplexityConfig(least_documents=5, block_grams=1)).collect()}
+    assert found == small
+    fold = {r["doc_id"]: r["f"] for r in docs.select("doc_id", F.expr("pmod(xxhash64(coalesce(text, '')), 2)").alias("f")).collect()}
+    for lang in ("en", "es"):
+        for f in (0, 1):
+            _, p = brute_kneser_ney([g for i, t, x in rows if x == lang and fold[i] != f for g in strings(t or "")])
+            for i, t, x in rows:
+                if x == lang and fold[i] == f and t:
+                    grams = strings(t)
+                    assert math.isclose(found[i]["log_ppl"], -sum(math.log(p(g)) for g in grams) / len(grams), abs_tol=1e-4)
+    assert not found[200]["kept"] and not found[201]["kept"] and found[200]["log_ppl"] > found[200]["upper"]
+    assert found[0]["log_ppl"] == found[300]["log_ppl"] and found[301]["log_ppl"] == 0.0
+
+
+def test_bands_against_brute_force(spark):
+    random.seed(9)
+    rows = [(lang, 60 + i, round(random.gauss(1.5, 0.1), 3)) for lang in ("a", "b") for i in range(101)] + [("a", 3, 9.0)]
+    config = perplexity.PerplexityConfig()
+    for r in perplexity.bands(spark.createDataFrame(rows, "lang string, n_words long, log_ppl double"), config).collect():
+        values = sorted(x for lang, n, x in rows if lang == r["lang"] and n >= config.least_words)
+        middle = values[(len(values) - 1) // 2]
+        spread = sorted(abs(x - middle) for x in values)[(len(values) - 1) // 2]
+        assert math.isclose(r["lower"], middle - max(config.least_distance, 1.4826 * config.lower_deviations * spread), abs_tol=1e-6)
+        assert math.isclose(r["upper"], middle + max(config.least_distance, 1.4826 * config.upper_deviations * spread), abs_tol=1e-6)
 
 
 # 2
@@ -265,6 +313,44 @@ def test_extraction_of_generated_pages(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in found)
 
 
+PARAGRAPH = "<p>" + "A fairly long paragraph of the article with many words in it. " * 3 + "</p>"
+LAYOUTS = {
+    "class mentions a sidebar": f'<div class="content has-sidebar">{PARAGRAPH}</div>',
+    "id of the content": f'<div class="layout no-sidebar" id="content">{PARAGRAPH}</div><div class="x">foo</div>',
+    "topic named social": f'<div class="social-science">{PARAGRAPH}</div>',
+    "state in the class": f'<div class="post-tags-enabled">{PARAGRAPH}</div><div class="post-tags"><p>tag one</p></div>',
+    "page in a form": f'<form action="x"><div>menu</div><div class="c">{PARAGRAPH}</div></form>',
+    "comments open": f'<div class="post comments-open">{PARAGRAPH}<div id="comments"><article class="comment">{PARAGRAPH}</article></div></div>',
+    "wrapper of both": f'<div class="content-sidebar-wrap"><main class="content">{PARAGRAPH}</main><div class="sidebar">side {PARAGRAPH}</div></div>',
+    "long notice": f'<div class="text">{PARAGRAPH}</div><div class="cookie-notice">{PARAGRAPH}</div>',
+    "head never closed": f"<html><head><title>x</title>{PARAGRAPH}",
+}
+
+
+@pytest.mark.parametrize("name", sorted(LAYOUTS))
+def test_layouts(name):
+    config = host_paths.PathConfig()
+    assert host_paths.main_text(host_paths.read_page(LAYOUTS[name], config), None, config) == PARAGRAPH[3:-5]
+
+
+def test_headline_lead_and_sections_stay(spark):
+    article = f'<article><h1>Head</h1><p>lead</p><div class="article-body">{PARAGRAPH * 5}</div></article>'
+    sections = f'<div class="page"><section class="a">{PARAGRAPH * 4}</section><section class="b"><h2>Two</h2>{PARAGRAPH}</section></div>'
+    pages = [(i, f"http://a.example/{i}", article) for i in range(3)] + [(10 + i, f"http://b.example/{i}", sections) for i in range(3)]
+    found = {r["page_id"]: r["text"].split("\n\n") for r in host_paths.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert found[0][:2] == ["Head", "lead"] and len(found[0]) == 7
+    assert len(found[10]) == 6 and found[10][4] == "Two"
+
+
+@pytest.mark.parametrize("page", ["<div>" * 20000 + "x", "<b>" * 20000 + "<p>a" * 4000, "<i><div>" + "<b>" * 20000 + "</i>" * 20000 + "x", "<ul><li>" * 10000 + "x", "<p><span>" * 20000 + "x", "</p>" * 50000 + "x", '<div class="ad">' * 9000 + "x"], ids=range(7))
+def test_deep_and_unclosed_markup_takes_linear_time(page):
+    import time
+
+    began = time.process_time()
+    assert host_paths.main_text(host_paths.read_page(page, host_paths.PathConfig()), None, host_paths.PathConfig())
+    assert time.process_time() - began < 5
+
+
 # 4
 
 
@@ -277,6 +363,74 @@ def test_language_held_out_accuracy(spark):
     assert sum(r["lang_pred"] == truth[r["doc_id"]] for r in held) / len(held) > 0.97
 
 
+def test_hashes_are_those_of_spark(spark):
+    items = ["a", "ñandú", "中文", "", "^the$", "x" * 100]
+    rows = spark.createDataFrame([(x,) for x in items], "x string").select(F.xxhash64("x")).collect()
+    assert langid.hashes(items).tolist() == [r[0] for r in rows]
+
+
+def brute_language(train, text, alpha=0.5, max_order=4):
+    """Word-first back-off over dictionaries of strings; scores of all languages."""
+    words, grams = {}, {}
+    for lang, t in train:
+        for w in langid.LETTERS.findall(t.lower()):
+            words.setdefault(lang, Counter())[w] += 1
+            for k in range(1, max_order + 1):
+                m = f"^{w}$" if k > 1 else w
+                for i in range(len(m) - k + 1):
+                    grams.setdefault(lang, Counter())[m[i : i + k]] += 1
+    langs = sorted({x for x, _ in train})
+
+    def logs(tables, item):
+        size = len({x for c in tables.values() for x in c})
+        return np.array([math.log(tables.get(x, {}).get(item, 0) + alpha) - math.log(sum(tables.get(x, {}).values()) + alpha * size) for x in langs])
+
+    total, met = np.zeros(len(langs)), langid.LETTERS.findall(text.lower())
+    for w in met:
+        if any(w in c for c in words.values()):
+            total += logs(words, w)
+            continue
+        for k in range(max_order, 0, -1):
+            m = f"^{w}$" if k > 1 else w
+            known = [g for i in range(len(m) - k + 1) for g in [m[i : i + k]] if any(g in c for c in grams.values())]
+            if known:
+                total += np.mean([logs(grams, g) for g in known], 0)
+                break
+    x = total / len(met) * min(len(met), 12)
+    odds = np.exp(x - x.max())
+    return langs[int(odds.argmax())], odds.max() / odds.sum()
+
+
+def test_scores_against_brute_force(spark):
+    random.seed(12)
+    made = {x: ["".join(random.choice(letters) for _ in range(random.randint(1, 7))) for _ in range(40)] for x, letters in {"aa": "abcdé", "bb": "defgh", "cc": "ghijß"}.items()}
+    train = [(x, " ".join(random.choices(w, k=random.randint(1, 30)))) for x, w in made.items() for _ in range(12 if x != "cc" else 2)]
+    model = langid.fit(spark.createDataFrame([(i, t, x) for i, (x, t) in enumerate(train)], "doc_id long, text string, lang string"))
+    texts = [" ".join(random.choices(made[x], k=3)) + " " + "".join(random.choices("abdegijzq", k=5)) for x in made for _ in range(20)] + ["zzz qq", "A1b2-c", "d"]
+    for text, (lang, score) in zip(texts, langid.WordScores(model).predict(texts)):
+        expected, odds = brute_language(train, text)
+        assert math.isclose(score, odds, rel_tol=1e-4) and (lang == expected or odds < 0.5), text
+    few = langid.WordScores(model, most_cells=12)  # forgets its words all the time
+    assert [x for t in texts for x in few.predict([t])] == langid.WordScores(model).predict(texts)
+
+
+def test_every_language_is_learned_whole(spark):
+    """A hundred small languages beside a large one, each with words of its own."""
+    rows = [(i, f"palabra{i % 7} comun texto", "large") for i in range(400)]
+    name = lambda k: "".join(chr(97 + int(c)) for c in f"{k:03d}")
+    rows += [(1000 + k, f"zq{name(k)}x wv{name(k)}y", f"l{k:03d}") for k in range(100)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 101
+    found = langid.WordScores(model).predict([f"wv{name(k)}y zq{name(k)}x" for k in range(100)])
+    assert [x for x, _ in found] == [f"l{k:03d}" for k in range(100)]
+
+
+def test_language_ties(spark):
+    rows = [(1, "same words", "b"), (2, "same words", "a"), (3, "same words", "c")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert [x for x, _ in langid.WordScores(model).predict(["same words", "same", "unknown"])] == ["a"] * 3
+
+
 # 5
 
 
@@ -323,12 +477,71 @@ def test_digest_of_base(spark, docs, texts):
 
 
 def test_media_round_trip(spark, texts):
-    for r in QUERIES["op6_interleaved_media"](spark, SF).collect():
-        data = texts[r["doc_id"]].encode()
+    def brute_hash(samples):
+        """Cells of an 8 by 8 grid, pixel by pixel."""
+        height = len(samples) // 64
+        bits = ""
+        for i in range(8):
+            for j in range(8):
+                cell = [samples[y * 64 + x] for y in range(i * height // 8, (i + 1) * height // 8) for x in range(8 * j, 8 * j + 8)]
+                bits += "1" if sum(cell) * len(samples) > len(cell) * sum(samples) else "0"
+        return f"{int(bits, 2):016x}"
+
+    found = QUERIES["op6_interleaved_media"](spark, SF).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        text = texts[r["doc_id"]]
+        data = text.encode()
         payload = data + bytes(-len(data) % 64 or (0 if data else 64))
         assert r["n_bytes"] == len(data) and r["payload_bytes"] == len(payload)
         assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-64:])
-        assert r["media_sha256"] == hashlib.sha256(media.store(payload)).hexdigest() and r["caption"] == f"{len(data)} bytes"
+        assert r["media_sha256"] == hashlib.sha256(media.store(payload)).hexdigest() and r["media_bytes"] == len(media.store(payload)) and r["caption"] == f"{len(data)} bytes"
+        if len(payload) < 20_000:
+            assert r["feature"] == brute_hash(payload)
+        lines = [" ".join(x.split()) for x in text.split("\n")]
+        assert r["position"] == bool(lines[0]) and r["n_items"] == 1 + sum(map(bool, lines))
+        assert r["texts_sha256"] == hashlib.sha256("\n".join(x for x in lines if x).encode()).hexdigest()
+
+
+def test_page_sequences(spark):
+    from html.parser import HTMLParser
+
+    class Brute(HTMLParser):
+        """Texts between block tags, white space as one space."""
+
+        def __init__(self):
+            super().__init__()
+            self.items, self.piece, self.raw = [], "", 0
+
+        def flush(self):
+            if text := " ".join(self.piece.split()):
+                self.items.append(text)
+            self.piece = ""
+
+        def handle_starttag(self, tag, attrs):
+            if tag in media.BLOCK:
+                self.flush()
+            self.piece += " " * (tag == "br")
+            self.raw += tag in ("script", "style", "title")
+
+        def handle_endtag(self, tag):
+            if tag in media.BLOCK:
+                self.flush()
+            self.raw -= tag in ("script", "style", "title")
+
+        def handle_data(self, data):
+            self.piece += data * (not self.raw)
+
+    found = {}
+    for r in QUERIES["page_sequences"](spark, SF).orderBy("page_id", "position").collect():
+        assert r["kind"] == "text" and not r["resolved"]
+        found.setdefault(r["page_id"], []).append(r["text"])
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        brute = Brute()
+        brute.feed(r["html"])
+        brute.close()
+        brute.flush()
+        assert found.get(r["page_id"], []) == brute.items
 
 
 def test_sequences_stay_aligned(spark):
@@ -408,9 +621,11 @@ def test_mix_meets_targets(spark, docs):
         taken[r["doc"]["source"]] += r["taken"]
         target[r["doc"]["source"]] = r["target"]
     assert all(abs(taken[s] - target[s]) <= 1 for s in target)
-    ordered = curriculum.in_training_order(docs)
-    words = ordered.agg(F.sum(curriculum.word_count(F.col("text")))).first()[0]
-    assert ordered.columns == docs.columns and words == sum(taken.values())
+    for r in rows:
+        assert sum(c["words"] for c in r["copies"]) == r["taken"] and [c["position"] for c in r["copies"]] == sorted(c["position"] for c in r["copies"])
+    order = [r["position"] for r in QUERIES["op9_curriculum"](spark, SF).collect()]
+    known = [x for x in order if x is not None]
+    assert known == sorted(known) and order[: len(known)] == known
 
 
 def test_pipeline_mixes_whole_documents(spark):

@@ -21,9 +21,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share; a local one is set only where the session names none."""
+    """Folder that driver and executors share. Where the session names none, a local session gets a
+    temporary one; a cluster must name its own, as executors can't read the driver's folders."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="siltstone-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
@@ -39,14 +42,26 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/siltstone/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged.staged_at = path
+    return staged
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing will read again."""
+    for table in tables:
+        if path := getattr(table, "staged_at", None):
+            _delete(table.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
 
 
 def release(spark: SparkSession) -> None:
     """Delete every staged table of this session's shared folder once its results are written."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/siltstone")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{shared_dir(spark).rstrip('/')}/siltstone")
 
 
 def root_buckets(n_rows: int, least: int = 8) -> int:

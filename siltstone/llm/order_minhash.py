@@ -43,7 +43,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import letter_or_digit_table, mix, read_table, stage, word_hashes
+from .common import discard, letter_or_digit_table, mix, read_table, stage, word_hashes
 
 
 @dataclass(frozen=True)
@@ -51,15 +51,16 @@ class OrderMinHashConfig:
     k: int = 5
     #: k-mers of a sketch: two texts with i of u k-mers in common share one with probability C(i, l) / C(u, l).
     l: int = 5
-    #: Sketches: at i / u = 0.8 all of them miss a pair with probability 7e-6 if the texts are long,
-    #: and with more if they are short (5e-4 at 8 of 10).
-    sketches: int = 30
+    #: Sketches: at i / u = 0.8 all of them miss a pair of long texts with probability 0.008; the word pairs
+    #: below then miss it with probability 1e-35.
+    sketches: int = 12
     #: Pairs of texts of up to so many words are found without fail. At 14 a text has up to 91 such buckets.
     exact_words: int = 14
     #: Texts of up to so many words have as many sketches of ``short_l`` words again in each of two bands.
     #: At 12 of 18 words in common (15 words, 3 replaced) all of them miss a pair with probability 8e-5.
     short_words: int = 40
     short_l: int = 3
+    short_sketches: int = 30
     #: Sketches of word pairs for texts over ``short_words`` words and those similar to them: with a
     #: fifth of the words replaced at random two texts share 0.64 / 1.36 of their pairs, and all of
     #: these sketches miss them with probability 0.04; with 15 percent replaced 0.001.
@@ -148,7 +149,7 @@ def exact_keys(words: np.ndarray, config: OrderMinHashConfig) -> np.ndarray:
 
 def short_sketches(words: np.ndarray, config: OrderMinHashConfig) -> np.ndarray:
     """Sketches of single words under the text's band of length and the next; similar texts share one of the two."""
-    sketches = order_sketches(words, replace(config, l=config.short_l))
+    sketches = order_sketches(words, replace(config, l=config.short_l, sketches=config.short_sketches))
     band = math.floor(math.log(len(words)) / math.log(1 / config.similarity))
     return np.concatenate([mix(sketches * np.uint64(0x9E3779B97F4A7C15) + np.uint64(b)) for b in (band + 1, band + 2)])
 
@@ -263,8 +264,11 @@ def components(edges: DataFrame) -> DataFrame:
         lower = labels.join(heard, "node").select("node", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
         jumps = labels.select(F.col("node").alias("label"), F.col("label").alias("jump"))
         fresh = stage(lower.join(jumps, "label").select("node", "old", F.least("jump", "label").alias("label")), "labels")
-        labels = fresh.select("node", "label")
-        if fresh.where("label <> old").isEmpty():
+        done = fresh.where("label <> old").isEmpty()
+        discard(labels)
+        labels = fresh
+        if done:
+            discard(both)
             return labels
 
 
@@ -272,8 +276,11 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """``labels`` (text_key, label) after the classes that ``links`` connect become one."""
     of = lambda side: labels.select(F.col("text_key").alias(side), F.col("label").alias(f"label_{side}"))
     edges = links.join(of("a"), "a").join(of("b"), "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).where("a <> b")
-    roots = components(edges).select(F.col("node").alias("label"), F.col("label").alias("root"))
-    return stage(labels.join(roots, "label", "left").select("text_key", F.coalesce("root", "label").alias("label")), "classes")
+    found = components(edges)
+    roots = found.select(F.col("node").alias("label"), F.col("label").alias("root"))
+    out = stage(labels.join(roots, "label", "left").select("text_key", F.coalesce("root", "label").alias("label")), "classes")
+    discard(found, labels)
+    return out
 
 
 def may_be_similar(x: Callable[[str], Column], y: Callable[[str], Column], config: OrderMinHashConfig) -> Column:
@@ -284,46 +291,50 @@ def may_be_similar(x: Callable[[str], Column], y: Callable[[str], Column], confi
     return (shorter >= least) & (differ <= longer + shorter - 2 * least)
 
 
-def head_pairs(placed: DataFrame, round_: int, config: OrderMinHashConfig) -> DataFrame:
+def head_pairs(placed: DataFrame, round_: int) -> DataFrame:
     """Pairs (x, y) of a bucket's representative x and its members y of other classes. In the first
     round a member meets the first of its buckets' representatives only: most classes form there."""
-    chosen = F.struct(F.xxhash64("text_key", F.lit(round_)).alias("order"), "text_key", "label", "n_words", "cells")
+    chosen = F.struct(F.xxhash64("text_key", F.lit(round_)).alias("order"), "text_key", "label")
     heads = placed.groupBy("bucket").agg(F.min(chosen).alias("head"))
     met = placed.join(heads, "bucket").where(F.col("label") != F.col("head.label"))
-    met = met.where(may_be_similar(F.col, lambda c: F.col("head")[c], config)).select("text_key", F.struct("head.order", "head.text_key").alias("head"))
     if round_ == 0:
         met = met.groupBy("text_key").agg(F.min("head").alias("head"))
     return met.select(F.col("head.text_key").alias("x"), F.col("text_key").alias("y"))
 
 
-def cross_pairs(placed: DataFrame, config: OrderMinHashConfig) -> DataFrame:
-    """Pairs (x, y) of different classes that still share a bucket and may be similar.
+def possible_pairs(pairs: DataFrame, shapes: DataFrame, config: OrderMinHashConfig) -> DataFrame:
+    """The pairs (a, b) of text keys that may be similar."""
+    side = lambda s: shapes.select(F.col("text_key").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("n_words", "cells")])
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.where(may_be_similar(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"), config)).select("a", "b")
 
-    Similar texts have lengths within a factor of ``similarity``, so they fall in the same or in
-    neighbouring bands of length, which are part of the join's key. A pair is made once, at its
-    smallest common bucket.
-    """
+
+def cross_pairs(placed: DataFrame, shapes: DataFrame, config: OrderMinHashConfig) -> DataFrame:
+    """Pairs (x, y) of different classes that still share a bucket and may be similar. A pair is made
+    once, at its smallest common bucket."""
     mixed = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-    band = F.floor(F.log("n_words") / math.log(1 / config.similarity)).cast("int")
-    left = placed.join(mixed, "bucket").withColumn("band", band)
-    left = left.join(left.groupBy("text_key").agg(F.collect_set("bucket").alias("buckets")), "text_key")  # a few dozen each
-    side = lambda s, *more: left.select("bucket", *more, *[F.col(c).alias(f"{s}_{c}") for c in ("text_key", "label", "n_words", "cells", "buckets")])
-    x, y = side("x", "band"), side("y", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+    left = placed.join(mixed, "bucket")
+    met = left.groupBy("text_key").agg(F.collect_set("bucket").alias("buckets")).join(shapes, "text_key")  # a few dozen each
+    left = left.join(met, "text_key")
+    side = lambda s: left.select("bucket", *[F.col(c).alias(f"{s}_{c}") for c in ("text_key", "label", "n_words", "cells", "buckets")])
     possible = (F.col("x_label") < F.col("y_label")) & may_be_similar(lambda c: F.col(f"x_{c}"), lambda c: F.col(f"y_{c}"), config)
     possible = possible & (F.array_min(F.array_intersect("x_buckets", "y_buckets")) == F.col("bucket"))
-    return x.join(y, ["bucket", "band"]).where(possible).select(F.col("x_text_key").alias("x"), F.col("y_text_key").alias("y"))
+    return side("x").join(side("y"), "bucket").where(possible).select(F.col("x_text_key").alias("x"), F.col("y_text_key").alias("y"))
 
 
 def near_duplicates(docs: DataFrame, config: OrderMinHashConfig = OrderMinHashConfig()) -> DataFrame:
     """One row for each document: doc_id, text_key, label (its class by key), class_id (its class by
     smallest doc_id) and class_size (its documents)."""
     sketched = stage(sketch_texts(docs, config), "sketches")
-    once = sketched.groupBy("text_key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("buckets").alias("buckets"))
-    shapes = sketched.select("text_key", "n_words", "cells").dropDuplicates(["text_key"])
-    buckets = once.select("text_key", F.explode("buckets").alias("bucket"))
+    once = sketched.groupBy("text_key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
+    # Dealt by bucket once, for the counts and for what is kept.
+    sketches = sketched.groupBy("text_key").agg(F.first("buckets").alias("buckets"))
+    buckets = sketches.select("text_key", F.explode("buckets").alias("bucket")).repartition("bucket")
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = stage(buckets.join(shared, "bucket").join(shapes, "text_key"), "buckets")
+    members = stage(buckets.join(shared, "bucket"), "buckets")
     nodes = members.select("text_key").distinct()
+    shapes = sketched.select("text_key", "n_words", "cells").join(nodes, "text_key", "left_semi").dropDuplicates(["text_key"])
+    shapes = stage(shapes, "shapes")
     text = F.coalesce("text", F.lit(""))
     texts = docs.select(F.unhex(F.md5(text)).alias("text_key"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     wanted = nodes.join(once.select("text_key", "first"), "text_key")
@@ -333,10 +344,13 @@ def near_duplicates(docs: DataFrame, config: OrderMinHashConfig = OrderMinHashCo
     labels, tried = nodes.select("text_key", F.col("text_key").alias("label")), None
     for round_ in range(config.rounds + 1):
         placed = members.join(labels, "text_key")
-        pairs = head_pairs(placed, round_, config) if round_ < config.rounds else cross_pairs(placed, config)
+        last = round_ == config.rounds
+        pairs = cross_pairs(placed, shapes, config) if last else head_pairs(placed, round_)
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        if not last:
+            pairs = possible_pairs(pairs, shapes, config)
         pairs = stage(pairs, "pairs")
         tried = pairs if tried is None else tried.union(pairs)
         links = stage(aligned(pairs, texts, config), "links")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from .functions.tokenizer import TokenizerConfig
+
 
 @dataclass(frozen=True)
 class FusionConfig:
@@ -47,6 +49,8 @@ class GraphConfig:
     concepts_per_chunk: int = 8
     min_concept_length: int = 4
     relations_per_chunk: int = 12
+    #: Chunks of a corpus from which concepts are drawn.
+    chunk_budget: int = 200
     heuristic_weight: float = 0.5
 
 
@@ -61,10 +65,16 @@ class ChunkConfig:
     heading_level: int = 4
     max_depth: int = 10
     ast_overlap_lines: int = 20
+    preserve_imports: bool = True
+    #: What becomes of a separator between two pieces: none, prefix of the next or suffix of the one before.
+    separator_keep: str = "suffix"
+    tokenizer: TokenizerConfig = TokenizerConfig()
 
     def __post_init__(self) -> None:
         if self.overlap >= self.size or self.overlap_tokens >= self.target_tokens:
             raise ValueError("an overlap must be smaller than what it overlaps")
+        if self.separator_keep not in ("none", "prefix", "suffix"):
+            raise ValueError(f"no such way to keep separators: {self.separator_keep}")
 
 
 @dataclass(frozen=True)

@@ -36,10 +36,8 @@ def terms(text: Column, most: int, pattern: str = TERM, stopwords: list[str] = S
     return F.slice(F.filter(found, lambda t: ~t.isin(stopwords)), 1, most)
 
 
-def line_at(text: Column, offset: Column) -> Column:
-    """1 and the line ends before ``offset`` (in characters)."""
-    before = F.substring(text, F.lit(1), offset.cast("int"))
-    return (F.lit(1) + F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit("")))).cast("int")
+def line_ends(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
 def normal_path(path: Column) -> Column:

@@ -3,43 +3,63 @@
 from __future__ import annotations
 
 import ast
+import bisect
 import math
 import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import ChunkConfig
-from ..functions.text import estimated_tokens, line_at
+from ..functions.text import estimated_tokens, line_ends
+from ..functions.tokenizer import token_spans
+
+
+def pieces(content: Column, size: int, step: int) -> tuple[Column, Column]:
+    """The number of windows of a text and its consecutive stretches of ``step`` characters; window i
+    begins with stretch i. Texts are walked once, whatever their length."""
+    n = F.length(content)
+    count = (F.greatest(F.lit(0), F.ceil((n - size) / F.lit(step))) + 1).cast("int")
+    return count, F.regexp_extract_all(content, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+
+
+def window_at(stretches: Column, i: Column, size: int, step: int) -> Column:
+    return F.substring(F.array_join(F.slice(stretches, i + 1, -(-size // step)), ""), 1, size)
 
 
 def fixed_chars(files: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
-    """Overlapping character windows; the last one ends with the text."""
+    """Overlapping character windows; the last one ends with the text.
+
+    Lines are counted once for each stretch between two windows, so neither the text nor what stands
+    before a window is carried along with it.
+    """
     size, step = max(100, config.size), max(100, config.size) - config.overlap
-    n = F.length("content")
-    last = F.greatest(F.lit(0), F.ceil((n - size) / F.lit(step))).cast("int") * step
-    cut = files.where(n > 0).select("*", F.posexplode(F.sequence(F.lit(0), last, F.lit(step))).alias("chunk_ordinal", "char_start"))
-    end = F.least(F.col("char_start") + size, n)
-    piece = F.substring(F.col("content"), F.col("char_start") + 1, F.lit(size))
-    out = cut.select(
-        "corpus_id", "file_path", "doc_id", "chunk_ordinal", "char_start", end.cast("int").alias("char_end"), piece.alias("piece"),
-        line_at(F.col("content"), F.col("char_start")).alias("start_line"), line_at(F.col("content"), end).alias("end_line"),
-        F.concat_ws(":", "file_path", F.col("char_start").cast("string")).alias("chunk_id"), (last == 0).alias("lone"),
+    count, stretches = pieces(F.col("content"), size, step)
+    cut = files.where(F.length("content") > 0).select("corpus_id", "file_path", "doc_id", count.alias("count"), stretches.alias("stretches"))
+    lines = F.transform("stretches", line_ends)
+    before = F.aggregate(lines, F.array(F.lit(0)), lambda sums, x: F.array_append(sums, F.element_at(sums, -1) + x))
+    cut = cut.withColumn("before", before)
+    made = F.transform(F.sequence(F.lit(0), F.col("count") - 1), lambda i: F.struct(window_at(F.col("stretches"), i, size, step).alias("content"), (F.get("before", i) + 1).alias("start_line")))
+    out = cut.select("corpus_id", "file_path", "doc_id", F.posexplode(made).alias("chunk_ordinal", "made"), (F.col("count") == 1).alias("lone"))
+    piece, start = F.col("made.content"), F.col("chunk_ordinal") * step
+    out = out.where((F.length(piece) >= config.min_chars) | F.col("lone"))
+    return out.select(
+        "corpus_id", "file_path", "doc_id", "chunk_ordinal", start.alias("char_start"), (start + F.length(piece)).alias("char_end"), piece.alias("content"),
+        F.col("made.start_line").alias("start_line"), (F.col("made.start_line") + line_ends(piece)).alias("end_line"),
+        F.concat_ws(":", "file_path", start.cast("string")).alias("chunk_id"), estimated_tokens(piece).alias("token_count"),
     )
-    kept = out.where((F.length("piece") >= config.min_chars) | F.col("lone"))
-    return kept.withColumn("token_count", estimated_tokens(F.col("piece"))).withColumnRenamed("piece", "content").drop("lone")
 
 
 def estimated_token_windows(files: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
     """Windows of estimated tokens, four characters each (C2 with the estimating tokeniser)."""
     size, step = config.target_tokens * 4, (config.target_tokens - config.overlap_tokens) * 4
-    n = F.length("content")
-    last = F.greatest(F.lit(0), F.ceil((n - size) / F.lit(step))).cast("int") * step
-    cut = files.where(n > 0).select("file_path", "content", F.posexplode(F.sequence(F.lit(0), last, F.lit(step))).alias("chunk_ordinal", "char_start"))
-    piece = F.substring(F.col("content"), F.col("char_start") + 1, F.lit(size))
-    return cut.select("file_path", "chunk_ordinal", "char_start", estimated_tokens(piece).alias("token_count"), F.md5(piece).alias("piece_md5"))
+    count, stretches = pieces(F.col("content"), size, step)
+    cut = files.where(F.length("content") > 0).select("file_path", count.alias("count"), stretches.alias("stretches"))
+    made = F.transform(F.sequence(F.lit(0), F.col("count") - 1), lambda i: window_at(F.col("stretches"), i, size, step))
+    cut = cut.select("file_path", F.posexplode(made).alias("chunk_ordinal", "piece"))
+    return cut.select("file_path", "chunk_ordinal", (F.col("chunk_ordinal") * step).alias("char_start"), estimated_tokens(F.col("piece")).alias("token_count"), F.md5("piece").alias("piece_md5"))
 
 
 # Strategies: a text to spans (start, end). Small helpers; Spark spreads the rows.
@@ -47,9 +67,9 @@ def estimated_token_windows(files: DataFrame, config: ChunkConfig = ChunkConfig(
 Span = tuple[int, int]
 
 
-def whitespace_windows(text: str, config: ChunkConfig) -> list[Span]:
-    """Windows of whitespace tokens with overlap."""
-    at = [m.span() for m in re.finditer(r"\S+", text)]
+def token_windows(text: str, config: ChunkConfig) -> list[Span]:
+    """Windows of the tokeniser's tokens with overlap."""
+    at = token_spans(text, config.tokenizer)
     step = config.target_tokens - config.overlap_tokens
     spans = []
     for i in range(0, max(1, len(at)), step):
@@ -85,11 +105,16 @@ def recursive(text: str, config: ChunkConfig, span: Span | None = None, depth: i
         return [(start, end)] if text[start:end].strip() else []
     separators = ("\n\n", "\n", ". ", " ")
     separator = separators[min(depth, len(separators) - 1)]
-    cuts, at = [start], text.find(separator, start, end)
-    while at >= 0 and at + len(separator) < end:
-        cuts.append(at + len(separator))
-        at = text.find(separator, at + len(separator), end)
-    units = [p for a, b in zip(cuts, [*cuts[1:], end]) for p in recursive(text, config, (a, b), depth + 1)]
+    size = len(separator)
+    marks, at = [], text.find(separator, start, end)
+    while at >= 0:
+        marks.append(at)
+        at = text.find(separator, at + size, end)
+    # What stands between two cuts is left out; with "suffix" a separator stays with what it ends.
+    ends, starts = {"none": (0, size), "prefix": (0, 0), "suffix": (size, size)}[config.separator_keep]
+    cuts = [(m + ends, m + starts) for m in marks if start < m + starts < end or config.separator_keep == "none"]
+    bounds = zip([start, *(b for _, b in cuts)], [*(a for a, _ in cuts), end])
+    units = [p for a, b in bounds if a < b for p in recursive(text, config, (a, b), depth + 1)]
     return packed(units, text, config.target_tokens)
 
 
@@ -113,59 +138,62 @@ def qa_blocks(text: str, config: ChunkConfig) -> list[Span]:
 
 
 def python_statements(text: str, config: ChunkConfig) -> list[Span]:
-    """Top-level statements packed to the budget: imports together, definitions apart."""
+    """Top-level statements, each to the end of its last line, packed to the budget and widened by lines
+    of context on both sides (C7)."""
     try:
         body = ast.parse(text).body
     except (SyntaxError, ValueError):
         return recursive(text, config)
-    if not body:
+    starts = [0, *(m.end() for m in re.finditer("\n", text))]
+    ends = [*starts[1:], len(text)]
+    wanted = [n for n in body if config.preserve_imports or not isinstance(n, (ast.Import, ast.ImportFrom))]
+    cuts = sorted({0, len(text), *(ends[n.end_lineno - 1] for n in wanted)})
+    if not wanted:
         return recursive(text, config)
-    lines = [0, *(m.end() for m in re.finditer("\n", text))]
-    first = lambda n: min([n.lineno, *(d.lineno for d in getattr(n, "decorator_list", []))])
-    defines = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
-    cuts = [0]
-    for before, node in zip(body, body[1:]):
-        if isinstance(node, defines) and isinstance(before, defines) or isinstance(before, defines):
-            cuts.append(lines[first(node) - 1])
-    return [s for part in zip(cuts, [*cuts[1:], len(text)]) for s in recursive(text, config, part)]
+    found = packed(list(zip(cuts, cuts[1:])), text, config.target_tokens)
+    more, line_of = config.ast_overlap_lines, lambda at: bisect.bisect_right(starts, at) - 1
+    return [(starts[max(0, line_of(a) - more)], ends[min(len(ends) - 1, line_of(b - 1) + more)]) for a, b in found] if more else found
+
+
+#: What a brace language skips (comments, strings, templates, expressions after an operator) and its braces.
+BRACE_TOKEN = re.compile(
+    r"""//[^\n]*|/\*.*?(?:\*/|\Z)|"(?:\\.|[^"\\])*+(?:"|\Z)|'(?:\\.|[^'\\])*+(?:'|\Z)|`(?:\\.|[^`\\])*+(?:`|\Z)|(?<=[=(,:!&|?;{}\n])[ \t]*/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*+\]|[^/\\\[\n])++/|[{}]""", re.S
+)
 
 
 def brace_blocks(text: str, config: ChunkConfig) -> list[Span]:
-    """Blocks of brace languages: cut where nesting returns to the top."""
-    depth, cuts, quote = 0, [0], ""
-    i = 0
-    while i < len(text):
-        c = text[i]
-        if quote:
-            if c == "\\":
-                i += 1
-            elif c == quote:
-                quote = ""
-        elif c in "\"'`":
-            quote = c
-        elif text.startswith("//", i):
-            i = (text.find("\n", i) + len(text)) % len(text) if "\n" in text[i:] else len(text)
-        elif text.startswith("/*", i):
-            i = text.find("*/", i) + 1 if "*/" in text[i:] else len(text)
-        elif c == "{":
+    """Blocks of brace languages, from the line on which nesting leaves the top to the end of the line on
+    which it returns, packed to the budget with what stands between them (C8)."""
+    depth, cuts, began = 0, {0, len(text)}, 0
+    for m in BRACE_TOKEN.finditer(text):
+        if m[0] == "{":
+            if not depth:
+                began = text.rfind("\n", 0, m.start()) + 1
             depth += 1
-        elif c == "}":
-            depth = max(0, depth - 1)
+        elif m[0] == "}" and depth:
+            depth -= 1
             if not depth:
-                cuts.append(i + 1)
-        i += 1
-    cuts = sorted({*cuts, len(text)})
-    return [s for part in zip(cuts, cuts[1:]) for s in recursive(text, config, part)]
+                line_end = text.find("\n", m.end())
+                cuts |= {began, line_end + 1 if line_end >= 0 else len(text)}
+    if len(cuts) == 2:
+        return recursive(text, config)
+    ordered = sorted(cuts)
+    return packed(list(zip(ordered, ordered[1:])), text, config.target_tokens)
 
 
 def hard_split(text: str, spans: list[Span], config: ChunkConfig) -> list[Span]:
-    """Spans over the token limit cut again (C10); ordinals are given afterwards, so they stay unique."""
-    size = config.max_tokens * 4
-    return [(a, min(a + size, end)) for start, end in spans for a in range(start, end, size)]
+    """Spans of more tokens than a chunk may have cut again at tokens (C10); ordinals are given
+    afterwards, so they stay unique."""
+    most, out = config.max_tokens, []
+    for start, end in spans:
+        at = [a for a, _ in token_spans(text[start:end], config.tokenizer)] if end - start > most else []
+        cuts = [start, *(start + at[i] for i in range(most, len(at), most)), end]
+        out += list(zip(cuts, cuts[1:]))
+    return out
 
 
 STRATEGIES: dict[str, Callable[[str, ChunkConfig], list[Span]]] = {
-    "fixed_tokens": whitespace_windows,
+    "fixed_tokens": token_windows,
     "recursive": recursive,
     "markdown": markdown,
     "sentence": sentences,
@@ -190,8 +218,9 @@ def split(files: DataFrame, strategy: str, config: ChunkConfig = ChunkConfig())
             for corpus, path, text in zip(pdf["corpus_id"], pdf["file_path"], pdf["content"]):
                 spans = hard_split(text, cut(text, config), config)
                 spans = [s for s in spans if s[1] - s[0] >= config.min_chars] if len(spans) > 1 else spans
+                breaks = [m.start() for m in re.finditer("\n", text)]
                 for i, (a, b) in enumerate(spans):
-                    rows.append((corpus, path, i, a, b, 1 + text.count("\n", 0, a), 1 + text.count("\n", 0, b), text[a:b]))
+                    rows.append((corpus, path, i, a, b, 1 + bisect.bisect_left(breaks, a), 1 + bisect.bisect_left(breaks, b), text[a:b]))
             yield pd.DataFrame(rows, columns=["corpus_id", "file_path", "chunk_ordinal", "char_start", "char_end", "start_line", "end_line", "content"])
 
     schema = "corpus_id string, file_path string, chunk_ordinal int, char_start int, char_end int, start_line int, end_line int, content string"

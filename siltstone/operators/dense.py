@@ -7,18 +7,19 @@ from pyspark.sql import functions as F
 
 from ..functions.text import HASHED, find_all
 from ..functions.vectors import dot, norm
+from .joins import small
 
 
 def scored(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, chunk_id, corpus_id, score) of every vector for every stated query.
 
-    The queries are broadcast by block; their number is the caller's and small.
+    The stated queries are met with all vectors; they are broadcast up to a checked number.
     """
     v = vectors.where("embedding is not null").withColumn("v_norm", norm(F.col("embedding")))
     q = queries.withColumn("q_norm", norm(F.col("query")))
     scale = F.col("v_norm") * F.col("q_norm")
     score = F.when(scale > 0, dot(F.col("embedding"), F.col("query")) / scale).otherwise(F.lit(0.0))
-    return v.crossJoin(F.broadcast(q)).select("query_id", "chunk_id", "corpus_id", score.alias("score"))
+    return v.crossJoin(small(q, 10_000)).select("query_id", "chunk_id", "corpus_id", score.alias("score"))
 
 
 def top_k(hits: DataFrame, k: int, partition: tuple[str, ...] = ("query_id",), score: str = "score", tie: str = "chunk_id") -> DataFrame:

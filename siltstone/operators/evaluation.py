@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EvalConfig
-from ..functions.text import path_matches
+from ..functions.text import extension, path_matches
+from .numbering import at_index
 
 
 def per_query(expected: DataFrame, retrieved: DataFrame, config: EvalConfig = EvalConfig()) -> DataFrame:
@@ -41,9 +42,32 @@ def _count(condition: Column) -> Column:
 
 def ceil_percentile(rows: DataFrame, group: str, value: str, p: float, name: str) -> DataFrame:
     """The value at index ceil(p (n - 1)) from 0 of each group."""
-    w = Window.partitionBy(group)
-    numbered = rows.where(F.col(value).isNotNull()).withColumn("nth", F.row_number().over(w.orderBy(value)) - 1).withColumn("n", F.count("*").over(w))
-    return numbered.where(F.col("nth") == F.ceil(F.lit(p) * (F.col("n") - 1))).select(group, F.col(value).alias(name))
+    return at_index(rows, group, value, F.ceil(F.lit(p) * (F.col("n") - 1)), name)
+
+
+def depth(config: EvalConfig = EvalConfig()) -> int:
+    """How many results an evaluation retrieves: enough for all its metrics."""
+    return max(config.final_k, *config.recall_ks, config.precision_k, config.ndcg_k)
+
+
+def first_entries(entries: DataFrame, sample_size: int | None) -> DataFrame:
+    """The first entries by ``ordinal``, all of them without a sample size (E6); this is a sample by purpose."""
+    return entries.orderBy("ordinal").limit(sample_size) if sample_size else entries
+
+
+#: Extensions of which questions are made.
+CODE_EXTENSIONS = ("py", "js", "ts", "tsx", "go", "rs", "java")
+
+
+def dataset_of(files: DataFrame, questions: int = 20, extensions: tuple[str, ...] = CODE_EXTENSIONS) -> DataFrame:
+    """(entry_id, question, expected_paths, tags) for a sample of files by hash (E9); this is a sample by purpose."""
+    path = F.col("file_path")
+    kind = extension(path)
+    stem = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
+    kept = files.where(kind.isin(*extensions) & ~F.contains(path, F.lit("node_modules"))).select("file_path").distinct()
+    entry = F.md5("file_path")
+    made = kept.select(entry.alias("entry_id"), F.concat(F.lit("How does "), stem, F.lit(" work?")).alias("question"), F.array("file_path").alias("expected_paths"), F.array(kind).alias("tags"))
+    return made.orderBy("entry_id").limit(questions)
 
 
 def nearest_rank(value: str, p: float) -> Column:
@@ -79,6 +103,17 @@ def compare_runs(before: DataFrame, after: DataFrame) -> DataFrame:
     return a.join(b, "ordinal").select("ordinal", "old", "new", (F.col("new") - F.col("old")).alias("delta"), change.alias("change"))
 
 
+def diff_runs(baseline: DataFrame, current: DataFrame) -> DataFrame:
+    """One row from two runs of one row each (metric, k, best, time_to_best, stddev): whether they can be
+    compared, and their differences, null where either lacks a value (A11)."""
+    side = lambda run, name: run.select(*[F.col(c).alias(f"{name}_{c}") for c in ("metric", "k", "best", "time_to_best", "stddev")])
+    both = side(baseline, "old").crossJoin(side(current, "new"))  # one row each
+    same = F.col("old_metric").eqNullSafe(F.col("new_metric")) & F.col("old_k").eqNullSafe(F.col("new_k"))
+    delta = lambda c: F.when(same, F.col(f"new_{c}") - F.col(f"old_{c}")).alias(f"delta_{c}")
+    reason = F.when(~same, F.format_string("Incompatible runs: primary_metric/primary_k differ (baseline=%s@%s, current=%s@%s)", "old_metric", "old_k", "new_metric", "new_k"))
+    return both.select(same.alias("compatible"), reason.alias("reason"), delta("best"), delta("time_to_best"), delta("stddev"))
+
+
 def compare_maps(old: DataFrame, new: DataFrame) -> DataFrame:
     """Keys whose values differ, with what became of them (J14), from rows (key, value)."""
     a, b = old.select("key", F.col("value").alias("old")), new.select("key", F.col("value").alias("new"))

@@ -179,16 +179,38 @@ def overlap_reranker(questions: pd.Series, texts: pd.Series) -> pd.Series:
     return pd.Series([one(q, t) for q, t in zip(questions.fillna(""), texts.fillna(""))])
 
 
-def rerank(hits: DataFrame, reranker: Reranker = overlap_reranker, snippet: int = 700, config: SearchConfig = SearchConfig()) -> DataFrame:
-    """Score (question, content) of the leading hits with a pluggable vectorised model (R11), then blend."""
+#: Why a query keeps its order: nothing to score with, nothing asked, or the model failed.
+MISSING_MODEL, EMPTY_QUERY, ERROR = "missing_model", "empty_query", "error"
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for questions, texts in batches:
-            yield reranker(questions, texts)
 
-    scored = hits.withColumn("rerank_score", F.when(F.col("rank") <= config.rerank_top_n, score("question", F.substring("content", 1, snippet))).otherwise(0.0))
-    return rerank_blend(scored, config.rerank_alpha, config.rerank_top_n)
+def rerank(hits: DataFrame, reranker: Reranker | None = overlap_reranker, snippet: int = 700, config: SearchConfig = SearchConfig()) -> DataFrame:
+    """Score (question, content) of the leading hits with a pluggable vectorised model and blend.
+
+    It fails open: a query keeps its scores and order, and ``skipped_reason`` says why, if there is no
+    model, the question is blank, or the model raised an error on one of its hits.
+    """
+
+    @F.pandas_udf("score double, reason string")
+    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for questions, texts in batches:
+            out = pd.DataFrame({"score": 0.0, "reason": None}, index=questions.index)
+            blank = questions.fillna("").str.strip() == ""
+            out.loc[blank, "reason"] = EMPTY_QUERY
+            if reranker is None:
+                out.loc[~blank, "reason"] = MISSING_MODEL
+            elif not blank.all():
+                try:
+                    out.loc[~blank, "score"] = np.asarray(reranker(questions[~blank], texts[~blank]), float)
+                except Exception:  # whatever a model raises, its queries keep their order
+                    out.loc[~blank, "reason"] = ERROR
+            yield out
+
+    head = F.col("rank") <= config.rerank_top_n
+    scored = hits.withColumn("scored", score("question", F.substring("content", 1, snippet)))
+    reason = F.max(F.when(head, F.col("scored.reason"))).over(Window.partitionBy("query_id"))
+    scored = scored.withColumn("skipped_reason", reason).withColumn("rerank_score", F.when(head, F.col("scored.score")).otherwise(0.0))
+    blended = rerank_blend(scored.where("skipped_reason is null"), config.rerank_alpha, config.rerank_top_n).withColumn("skipped_reason", F.lit(None).cast("string"))
+    return blended.unionByName(scored.where("skipped_reason is not null").select("query_id", "chunk_id", "score", "rank", "skipped_reason"))
 
 
 def graph_blend(seeds: DataFrame, expanded: DataFrame, weight: float, k: int) -> DataFrame:

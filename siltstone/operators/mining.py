@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import hash_bucket, numbered
+
 POSITIVE = ("thumbsup", "star4", "star5", "click")
 
 
@@ -14,7 +16,7 @@ def latest_queries(log: DataFrame) -> DataFrame:
     return log.where("kind in ('search', 'chat')").withColumn("nth", F.row_number().over(w)).where("nth = 1").select("event_id", "query", "corpus_id", "top_paths")
 
 
-def triplets(log: DataFrame, corpus: str | None = None, most: int | None = None) -> DataFrame:
+def triplets(log: DataFrame, corpus: str | list[str] | None = None, most: int | None = None) -> DataFrame:
     """(query, positive, negative) from positive feedback on logged queries (M1, M2).
 
     The positive is the clicked document, or else the first path; the negative the first other
@@ -22,7 +24,7 @@ def triplets(log: DataFrame, corpus: str | None = None, most: int | None = None)
     """
     queries = latest_queries(log)
     if corpus is not None:
-        queries = queries.where(F.col("corpus_id") == corpus)
+        queries = queries.where(F.col("corpus_id").isin([corpus] if isinstance(corpus, str) else corpus))
     feedback = log.where((F.col("kind") == "feedback") & F.lower("signal").isin(*POSITIVE)).select("event_id", "signal", "doc_id", "ts")
     joined = feedback.join(queries, "event_id")
     clicked = (F.col("signal") == "click") & F.col("doc_id").isNotNull()  # this branch minds case, as the reference's
@@ -57,27 +59,50 @@ def hashed(*cols: str) -> Column:
 
 def dev_split(rows: DataFrame, key: str, share: float = 0.1) -> DataFrame:
     """``rows`` with split dev or train (M4): by hash order; one dev row at least from ten rows on."""
-    n = F.count("*").over(Window.partitionBy())
-    nth = F.row_number().over(Window.orderBy(hashed(key), key))
-    least = F.when(n >= 10, 1).otherwise(0)
-    return rows.withColumn("split", F.when(nth <= F.greatest(F.floor(n * F.lit(share)), least), "dev").otherwise("train"))
+    named = rows.withColumn("_hash", hashed(key))
+    total = rows.agg(F.count("*").alias("_total"))  # one row
+    least = F.when(F.col("_total") >= 10, 1).otherwise(0)
+    placed = numbered(named, ["_hash", key], hash_bucket(F.col("_hash"))).crossJoin(F.broadcast(total))
+    dev = F.col("number") <= F.greatest(F.floor(F.col("_total") * F.lit(share)), least)
+    return placed.withColumn("split", F.when(dev, "dev").otherwise("train")).drop("number", "_total", "_hash")
 
 
-def negatives(positives: DataFrame, pool: DataFrame, most: int = 5, per_key: int = 16) -> DataFrame:
-    """(query_id, positive, negative, nth): negatives for each positive drawn from a pool (M5).
+def negatives(positives: DataFrame, pool: DataFrame, most: int = 5) -> DataFrame:
+    """(query_id, positive, negative, nth): ``most`` negatives for each positive from a pool (M5).
 
-    The pool is dealt to ``per_key`` hashed lists; a positive draws from the list of its own hash,
-    so that the join stays on a key. Where the list is short, its documents repeat.
+    The pool is numbered in hash order as a ring. A positive draws the files that follow the place of
+    its own hash, itself left out, so the join is on a number. Where the pool has fewer, they repeat.
     """
-    number = lambda c: F.pmod(F.conv(F.substring(F.md5(F.col(c).cast("string")), 1, 8), 16, 10).cast("long"), F.lit(per_key))
-    dealt = pool.select(F.col("path").alias("negative"), number("path").alias("list"))
-    mine = positives.select("query_id", "positive", number("query_id").alias("list"))
-    met = mine.join(dealt, "list").where("negative <> positive")
-    w = Window.partitionBy("query_id", "positive").orderBy(hashed("query_id", "negative"), "negative")
-    drawn = met.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= most)
-    have = F.count("*").over(Window.partitionBy("query_id", "positive"))
-    again = drawn.withColumn("have", have).withColumn("nth", F.explode(F.expr(f"filter(sequence(nth, {most}, cast(have as int)), x -> true)")))
-    return again.select("query_id", "positive", "negative", "nth")
+    named = pool.select(F.col("path").alias("negative"), hashed("path").alias("_hash"))
+    ring = numbered(named, ["_hash", "negative"], hash_bucket(F.col("_hash"))).select("negative", (F.col("number") - 1).alias("place"))
+    total = ring.agg(F.count("*").alias("total"))  # one row
+    at = F.conv(F.substring(hashed("query_id", "positive"), 1, 8), 16, 10).cast("long")
+    asked = positives.select("query_id", "positive", at.alias("at")).crossJoin(F.broadcast(total)).where("total > 0")
+    steps = F.sequence(F.lit(0), F.least(F.lit(most), F.col("total") - 1).cast("int"))
+    asked = asked.select("query_id", "positive", F.posexplode(steps).alias("step", "_s"), F.pmod(F.col("at") + F.col("_s"), "total").alias("place"))
+    drawn = asked.join(ring, "place").where("negative <> positive")
+    mine = Window.partitionBy("query_id", "positive")
+    drawn = drawn.withColumn("nth", F.row_number().over(mine.orderBy("step"))).withColumn("have", F.count("*").over(mine)).where(F.col("nth") <= most)
+    have = F.least(F.col("have"), F.lit(most))
+    again = drawn.withColumn("nth", F.explode(F.sequence(F.col("nth").cast("long"), F.lit(most).cast("long"), have)))
+    return again.select("query_id", "positive", "negative", F.col("nth").cast("int").alias("nth"))
+
+
+def click_seeds(log: DataFrame) -> DataFrame:
+    """(query, positive, negatives, ts) from searches with a clicked chunk (M7): the negatives are the
+    others of the first five results. Rows (query, clicked_chunk, results, ts)."""
+    others = F.filter(F.slice(F.coalesce("results", F.array().cast("array<string>")), 1, 5), lambda c: c != F.col("clicked_chunk"))
+    kept = log.where("clicked_chunk is not null and clicked_chunk <> ''")
+    return kept.select("query", F.col("clicked_chunk").alias("positive"), others.alias("negatives"), "ts")
+
+
+def counts(**tables: DataFrame) -> DataFrame:
+    """(name, n): rows of logs and triplet tables."""
+    parts = [t.agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name, t in tables.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
 
 
 def cross_triplets(judged: DataFrame) -> DataFrame:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import fields, is_dataclass, replace
+from typing import TypeVar
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import ChunkConfig
 from ..functions.text import extension
 
+T = TypeVar("T")
+
 # Planning constants of the index estimate.
 BYTES_PER_TOKEN = 4
 TOKENS_PER_SECOND = {"deterministic": 120_000, "cloud": 50_000, "local": 8_000}
@@ -107,3 +112,34 @@ def cost(requests: DataFrame, catalog: DataFrame) -> DataFrame:
     each = F.round(F.when(known, F.round(generation, 6) + F.round(embedding, 6) + F.round(rerank, 6)).otherwise(0.0), 6)
     unknown = F.when(~known, F.format_string("Unknown model: %s/%s", "provider", "model")).when(F.col("input_per_1k").isNull() & F.col("output_per_1k").isNull() & (F.col("tokens_in") + F.col("tokens_out") > 0), F.format_string("Missing price: %s/%s", "provider", "model")).otherwise("")
     return priced.select("request_id", each.alias("per_request_usd"), F.round(each * F.col("per_day"), 6).alias("daily_usd"), F.round(each * F.col("per_day") * DAYS, 6).alias("monthly_usd"), unknown.alias("error"))
+
+
+# Shares of the raw size that parts of an index take, and bytes of a number by precision.
+KEYWORD_SHARE, SUMMARY_SHARE, RERANKER_SHARE = 0.20, 0.10, 0.5
+PRECISION_BYTES = {"float32": 4.0, "float16": 2.0, "int8": 1.0, "pq8": 0.5}
+
+
+def storage_plan(corpora: DataFrame, dim: int = 512, precision: str = "float32", overhead: float = 1.5, hydration: float = 1.0, replicas: int = 3, chunk_bytes: int = 4096) -> DataFrame:
+    """Bytes that an index of rows (corpus_id, raw_bytes) takes by part, alone and replicated."""
+    raw = F.col("raw_bytes").cast("double")
+    chunks = F.ceil(raw / chunk_bytes)
+    vectors = chunks * F.lit(dim * PRECISION_BYTES[precision])
+    keep = [vectors, vectors * overhead, raw * hydration, raw * SUMMARY_SHARE, vectors * RERANKER_SHARE]
+    critical = sum(keep[1:], keep[0])
+    single = critical + raw * KEYWORD_SHARE
+    return corpora.select("corpus_id", chunks.alias("chunks"), vectors.alias("vectors"), (vectors * overhead).alias("vector_index"), (raw * KEYWORD_SHARE).alias("keyword_index"), single.alias("single"), (single + (replicas - 1) * critical).alias("replicated"))
+
+
+def flat_config(section: object, prefix: str = "") -> dict[str, object]:
+    """Nested dataclasses or dicts as one dict with dotted names."""
+    given = {f.name: getattr(section, f.name) for f in fields(section)} if is_dataclass(section) else section
+    out: dict[str, object] = {}
+    for name, value in given.items():
+        nested = is_dataclass(value) or isinstance(value, dict)
+        out |= flat_config(value, f"{prefix}{name}.") if nested else {prefix + name: value}
+    return out
+
+
+def patched(section: T, changes: dict[str, object]) -> T:
+    """A section of the configuration with some values changed, checked anew; unknown names are errors."""
+    return replace(section, **changes)

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..engine import Engine
 from ..functions.text import find_all
-from ..operators import evaluation, fusion, mining, recall, stats
+from ..operators import embedding, evaluation, fusion, mining, recall, stats
+from ..operators.embedding import EmbeddingConfig
+from ..operators.joins import small
 from ..sources import files as S
 from ..sources import tables as T
 from . import search
@@ -15,7 +18,7 @@ from .registry import query
 # Evaluation: expected are the files that hold a passage, retrieved those of the best chunks.
 
 EVAL_SQL = f"""{search.BM25_SQL}, expected AS (
-  SELECT b.item_id AS query_id, f.file_path AS path FROM benchmark b JOIN files f ON contains(f.content, substr(b.text, 1, 200))
+  SELECT b.item_id AS query_id, f.file_path AS path FROM benchmark b JOIN files f ON contains(f.content, b.text)
 ), top AS (SELECT * FROM (SELECT query_id, regexp_replace(chunk_id, ':[0-9]+$', '') AS path, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) AS place FROM bm25) WHERE place <= 40
 ), retrieved AS (SELECT query_id, path, row_number() OVER (PARTITION BY query_id ORDER BY min(place)) AS rank FROM top GROUP BY query_id, path
 ), met AS (SELECT r.query_id, r.rank, r.path, e.path AS expected FROM retrieved r JOIN expected e ON r.query_id = e.query_id AND contains(lower(r.path), lower(e.path))
@@ -29,12 +32,28 @@ EVAL_SQL = f"""{search.BM25_SQL}, expected AS (
   FROM wanted t LEFT JOIN per_rank p USING (query_id) LEFT JOIN per_expected x USING (query_id))"""
 
 
+def holders(files: DataFrame, passages: DataFrame, anchor: int = 24) -> DataFrame:
+    """(query_id, path) of the files that hold a passage whole.
+
+    The first ``anchor`` characters of a passage are met by equality with the stretches of a file that
+    begin with the same word, and what is met is compared whole; shorter passages are met with every
+    file.
+    """
+    word = r"^[\p{L}\p{N}_]+"
+    head = F.regexp_extract("passage", word, 0)
+    usable = (F.length("passage") >= anchor) & (head != "")
+    anchored = passages.where(usable).select("query_id", "passage", F.substring("passage", 1, anchor).alias("anchor"))
+    cut = files.select("file_path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(rf"(?s)(?<![\p{{L}}\p{{N}}_])(?=([\p{{L}}\p{{N}}_].{{{anchor - 1}}}))"), F.lit(1)))).alias("anchor"))
+    near = cut.join(small(anchored), "anchor").select("file_path", "query_id", "passage").join(files.select("file_path", "content"), "file_path").where(F.contains("content", F.col("passage")))
+    rest = files.join(small(passages.where(~usable), 1000), F.contains("content", F.col("passage")))
+    return near.select("query_id", F.col("file_path").alias("path")).union(rest.select("query_id", "file_path")).distinct()
+
+
 def metrics(spark: SparkSession, sf: str) -> DataFrame:
-    passages = T.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 200).alias("passage"))
-    files = T.files(spark, sf)
-    expected = files.join(F.broadcast(passages), F.contains("content", F.col("passage"))).select("query_id", F.col("file_path").alias("path"))
-    hits = search.sparse.bm25(T.chunks(spark, sf), T.questions(spark, sf)).withColumn("score", F.round("score", 6))
-    retrieved = search.sparse.best(hits, 40).select("query_id", F.regexp_replace("chunk_id", ":[0-9]+$", "").alias("path"), "rank")
+    passages = T.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
+    expected = holders(T.files(spark, sf), passages)
+    hits = search.sparse.bm25(T.index(spark, sf), T.questions(spark, sf)).withColumn("score", F.round("score", 6))
+    retrieved = search.sparse.best(hits, 2 * evaluation.depth()).select("query_id", F.regexp_replace("chunk_id", ":[0-9]+$", "").alias("path"), "rank")
     return evaluation.per_query(expected, retrieved)
 
 
@@ -163,18 +182,69 @@ def dev_split(spark: SparkSession, sf: str) -> DataFrame:
     return mining.dev_split(rows, "key")
 
 
-NUMBER_SQL = "(('0x' || substr(md5({}::varchar), 1, 8))::bigint % 16)"
-
-
-@query(f"""WITH {T.FILES_SQL}, pos AS (SELECT doc_id AS query_id, file_path AS positive FROM files WHERE doc_id < 60
-), met AS (SELECT p.query_id, p.positive, f.file_path AS negative FROM pos p JOIN files f ON {NUMBER_SQL.format('f.file_path')} = {NUMBER_SQL.format('p.query_id')} AND f.file_path <> p.positive)
-SELECT query_id, positive, negative, nth::int AS nth FROM (SELECT *, row_number() OVER (PARTITION BY query_id, positive ORDER BY md5(query_id || '|' || negative), negative) AS nth FROM met) WHERE nth <= 5""")
+@query(f"""WITH {T.FILES_SQL}, ring AS (SELECT file_path AS negative, row_number() OVER (ORDER BY md5(file_path), file_path) - 1 AS place, count(*) OVER () AS total FROM files
+), pos AS (SELECT doc_id AS query_id, file_path AS positive, ('0x' || substr(md5(doc_id || '|' || file_path), 1, 8))::bigint AS spot FROM files WHERE doc_id % 100 = 0
+), steps AS (SELECT query_id, positive, spot, unnest(range(0, 6)) AS step FROM pos
+), drawn AS (SELECT s.query_id, s.positive, r.negative, row_number() OVER (PARTITION BY s.query_id, s.positive ORDER BY s.step) AS nth FROM steps s JOIN ring r ON (s.spot + s.step) % r.total = r.place WHERE r.negative <> s.positive)
+SELECT query_id, positive, negative, nth::int AS nth FROM drawn WHERE nth <= 5""")
 def negative_sampling(spark: SparkSession, sf: str) -> DataFrame:
+    """Five negatives out of all files for every hundredth file."""
     files = T.files(spark, sf)
-    positives = files.where("doc_id < 60").select(F.col("doc_id").alias("query_id"), F.col("file_path").alias("positive"))
+    positives = files.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("file_path").alias("positive"))
     return mining.negatives(positives, files.select(F.col("file_path").alias("path")))
 
 
+@query("""WITH searched AS (SELECT event_id AS ts, 'q' || (k % 20) AS query, CASE WHEN event_type = 'click' THEN 'f' || ((k + 3 * (k % 3)) % 50) END AS clicked, list_transform(range(0, 7), lambda i: 'f' || ((k + i * 3) % 50)) AS results
+  FROM (SELECT *, json_extract_string(props, '$.k')::int AS k FROM events))
+SELECT query, clicked AS positive, array_to_string(list_filter(results[1:5], lambda c: c <> clicked), ',') AS negatives, ts FROM searched WHERE clicked IS NOT NULL""")
+def click_log_seeds(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("int")
+    name = lambda n: F.concat(F.lit("f"), (n % 50).cast("string"))
+    e = T.table(spark, sf, "events").select(F.col("event_id").alias("ts"), "event_type", k.alias("k"))
+    log = e.select("ts", F.concat(F.lit("q"), (F.col("k") % 20).cast("string")).alias("query"), F.when(F.col("event_type") == "click", name(F.col("k") + 3 * (F.col("k") % 3))).alias("clicked_chunk"), F.array(*[name(F.col("k") + 3 * i) for i in range(7)]).alias("results"))
+    return mining.click_seeds(log).withColumn("negatives", F.array_join("negatives", ","))
+
+
+@query(f"WITH {TRIPLETS_SQL} SELECT 'log' AS name, count(*) AS n FROM logged UNION ALL SELECT 'triplets', count(*) FROM triplets")
+def log_and_triplet_counts(spark: SparkSession, sf: str) -> DataFrame:
+    log = logged(spark, sf)
+    return mining.counts(log=log, triplets=mining.triplets(log, "en"))
+
+
+@query(f"WITH {TRIPLETS_SQL.replace("a.corpus_id = 'en'", "a.corpus_id IN ('en', 'fr')")} SELECT * FROM triplets")
+def mine_triplets_of_corpora(spark: SparkSession, sf: str) -> DataFrame:
+    return mining.triplets(logged(spark, sf), ["en", "fr"])
+
+
+@query(f"""WITH {T.FILES_SQL}, made AS (SELECT md5(file_path) AS entry_id, 'How does ' || doc_id || ' work?' AS question, file_path AS expected_path, 'md' AS tag FROM files)
+SELECT * FROM made ORDER BY entry_id LIMIT 20""")
+def eval_dataset(spark: SparkSession, sf: str) -> DataFrame:
+    made = evaluation.dataset_of(T.files(spark, sf), 20, ("md",))
+    return made.select("entry_id", "question", F.col("expected_paths")[0].alias("expected_path"), F.col("tags")[0].alias("tag"))
+
+
+@query(f"WITH {EVAL_SQL} SELECT query_id, round(reciprocal_rank, 6) AS reciprocal_rank FROM metrics ORDER BY query_id LIMIT 15")
+def eval_first_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """An evaluation of the first fifteen entries, each to the depth that all metrics need."""
+    entries = evaluation.first_entries(metrics(spark, sf).withColumn("ordinal", F.col("query_id")), 15)
+    return entries.select("query_id", F.round("reciprocal_rank", 6).alias("reciprocal_rank"))
+
+
+@query("""WITH runs AS (SELECT event_type AS run, 'mrr' AS metric, CASE event_type WHEN 'error' THEN 5 ELSE 10 END AS k, max(value) AS best, min(event_id)::double AS time_to_best, CASE WHEN event_type <> 'view' THEN stddev_pop(value) END AS stddev FROM events GROUP BY event_type
+), pairs AS (SELECT * FROM (VALUES ('click', 'purchase'), ('click', 'view'), ('click', 'error')) v(a, b))
+SELECT p.b AS run, a.k = b.k AS compatible, CASE WHEN a.k <> b.k THEN 'Incompatible runs: primary_metric/primary_k differ (baseline=mrr@' || a.k || ', current=mrr@' || b.k || ')' END AS reason,
+  round(CASE WHEN a.k = b.k THEN b.best - a.best END, 6) AS delta_best, round(CASE WHEN a.k = b.k THEN b.time_to_best - a.time_to_best END, 6) AS delta_time_to_best, round(CASE WHEN a.k = b.k THEN b.stddev - a.stddev END, 6) AS delta_stddev
+FROM pairs p JOIN runs a ON a.run = p.a JOIN runs b ON b.run = p.b""")
+def run_diff_gate(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs side by side, one of them without a standard deviation, one measured at another k."""
+    e = T.table(spark, sf, "events")
+    runs = e.groupBy(F.col("event_type").alias("run")).agg(F.max("value").alias("best"), F.min("event_id").cast("double").alias("time_to_best"), F.stddev_pop("value").alias("stddev"))
+    runs = runs.withColumn("metric", F.lit("mrr")).withColumn("k", F.when(F.col("run") == "error", 5).otherwise(10)).withColumn("stddev", F.when(F.col("run") != "view", F.col("stddev")))
+    parts = [evaluation.diff_runs(runs.where("run = 'click'"), runs.where(F.col("run") == b)).withColumn("run", F.lit(b)) for b in ("purchase", "view", "error")]
+    found = parts[0].union(parts[1]).union(parts[2])
+    return found.select("run", "compatible", "reason", *[F.round(c, 6).alias(c) for c in ("delta_best", "delta_time_to_best", "delta_stddev")])
+
+
 @query(f"""WITH {search.TOP_CHUNKS_SQL}, judged AS (SELECT query_id, chunk_id AS path, rank <= 3 AS relevant FROM top_chunks WHERE rank <= 10)
 SELECT p.query_id, p.path AS positive, n.path AS negative FROM judged p JOIN judged n USING (query_id) WHERE p.relevant AND NOT n.relevant""")
 def eval_triplets_cross(spark: SparkSession, sf: str) -> DataFrame:
@@ -245,6 +315,73 @@ def lang_breakdown(spark: SparkSession, sf: str) -> DataFrame:
     return T.files(spark, sf).groupBy("corpus_id").agg(F.count("*").alias("n_files"), F.sum(F.octet_length("content")).alias("bytes"))
 
 
+@query(f"""WITH {T.FILES_SQL}, r AS (SELECT corpus_id, sum(strlen(content))::double AS raw FROM files GROUP BY corpus_id), v AS (SELECT *, ceil(raw / 4096) AS n, ceil(raw / 4096) * 512 * 2 AS e FROM r)
+SELECT corpus_id, n::bigint AS chunks, e AS vectors, e * 1.5::double AS vector_index, round(raw * 0.2::double, 3) AS keyword_index, round(e + e * 1.5::double + raw + raw * 0.1::double + e * 0.5::double + raw * 0.2::double, 3) AS single,
+  round(3 * (e + e * 1.5::double + raw + raw * 0.1::double + e * 0.5::double) + raw * 0.2::double, 3) AS replicated FROM v""")
+def storage_plan(spark: SparkSession, sf: str) -> DataFrame:
+    raw = T.files(spark, sf).groupBy("corpus_id").agg(F.sum(F.octet_length("content")).alias("raw_bytes"))
+    found = stats.storage_plan(raw, 512, "float16")
+    return found.select("corpus_id", "chunks", "vectors", "vector_index", *[F.round(c, 3).alias(c) for c in ("keyword_index", "single", "replicated")])
+
+
+@query(f"""WITH {T.CHUNKS_SQL} SELECT chunk_id FROM chunks WHERE NOT (list_contains(string_split(lower(file_path), '/'), 'src3') OR list_contains(string_split(lower(file_path), '/'), 'fr')
+  OR regexp_matches(file_path, '^.*7\\.md$') OR contains(lower(content), 'license'))""")
+def summary_filters(spark: SparkSession, sf: str) -> DataFrame:
+    chunks = T.chunks(spark, sf)
+    return chunks.where(~S.excluded(F.col("file_path"), F.col("content"), ["SRC3", "/fr/"], ["*7.md"], ["License "])).select("chunk_id")
+
+
+@query(f"""WITH {T.CHUNKS_SQL}, one AS (SELECT min(file_path) AS path FROM chunks WHERE chunk_ordinal = 5)
+SELECT chunk_id, chunk_ordinal AS ordinal FROM chunks, one WHERE file_path = path AND chunk_ordinal IN (0, 2, 5)""")
+def chunks_by_json_ordinal(spark: SparkSession, sf: str) -> DataFrame:
+    """Three chunks of one file by the ordinal in their metadata, one in ten of which is empty or missing elsewhere."""
+    chunks = T.chunks(spark, sf)
+    path = chunks.where("chunk_ordinal = 5").agg(F.min("file_path")).first()[0]
+    blank = F.when(F.col("file_path") != path, F.when(F.col("chunk_ordinal") % 10 == 0, F.lit("{}")).when(F.col("chunk_ordinal") % 10 == 1, F.lit('{"chunk_ordinal": ""}')))
+    named = chunks.withColumn("metadata", F.coalesce(blank, F.to_json(F.struct("chunk_ordinal", "char_start"))))
+    return S.with_ordinals(named, path, [0, 2, 5]).select("chunk_id", "ordinal")
+
+
+@query(f"WITH {T.CHUNKS_SQL} SELECT corpus_id, count(DISTINCT file_path) AS n_files, count(*) AS n_chunks FROM chunks GROUP BY corpus_id")
+def list_corpora(spark: SparkSession, sf: str) -> DataFrame:
+    return Engine(T.index(spark, sf), T.chunks(spark, sf)).list_corpora()
+
+
+@query(f"""WITH {T.GRAPH_SQL} SELECT e.entity_type, r.relation_type, count(*) AS n FROM entities e JOIN relationships r ON r.target_id = e.entity_id GROUP BY ALL""")
+def adhoc_graph_query(spark: SparkSession, sf: str) -> DataFrame:
+    """A query of the caller's own over views of the graph."""
+    Engine(T.index(spark, sf), T.chunks(spark, sf), entities=T.entities(spark, sf), relationships=T.relationships(spark, sf)).register_views()
+    return spark.sql("SELECT e.entity_type, r.relation_type, count(*) AS n FROM corpus_entities e JOIN corpus_relationships r ON r.target_id = e.entity_id GROUP BY e.entity_type, r.relation_type")
+
+
+@query(search.fused_sql("1 / (60::double + rank)", 10).replace("FROM ranked GROUP", "FROM (SELECT query_id, corpus_id, chunk_id, 1 AS list, row_number() OVER (PARTITION BY query_id, corpus_id ORDER BY round(score, 6) DESC, chunk_id) AS rank FROM bm25 QUALIFY rank <= 50) GROUP"))
+def engine_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Keyword search of all passages through the engine's entry point."""
+    return Engine(T.index(spark, sf), T.chunks(spark, sf)).search(T.questions(spark, sf), mode="sparse")
+
+
+EMBED = EmbeddingConfig(dim=16, prefix="passage: ", max_tokens=40, hard_max_tokens=64)
+
+
+@query(f"""WITH {T.FILES_SQL}, w AS (SELECT file_path, 'passage: ' || content AS t, regexp_extract_all('passage: ' || content, '[^ \t\n\r]+[ \t\n\r]*') AS ws FROM files)
+SELECT file_path, md5(CASE WHEN len(ws) <= 40 THEN t ELSE array_to_string(ws[1:40], '') END) AS prepared_md5 FROM w WHERE regexp_full_match(t, '[ -~\n\t]*')""")
+def embed_prepare(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts of printable ASCII between a prefix and the model's limit of forty words; the others'
+    white space and compatibility forms are beyond SQL and checked in the tests."""
+    plain = F.concat(F.lit("passage: "), F.col("content")).rlike(r"\A[ -~\n\t]*\z")
+    return embedding.prepare(T.files(spark, sf).where(plain), "content", EMBED).select("file_path", F.md5("prepared").alias("prepared_md5"))
+
+
+@query()
+def embed_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return embedding.embed(T.files(spark, sf), "file_path", "content", config=EMBED).select("file_path", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
+
+
+@query()
+def late_chunking(spark: SparkSession, sf: str) -> DataFrame:
+    return embedding.late_chunks(T.files(spark, sf), config=EmbeddingConfig(dim=16)).withColumn("embedding", F.transform("embedding", lambda x: F.round(x, 6)))
+
+
 @query("""WITH t AS (SELECT doc_id, ('0x' || substr(md5(text), 1, 8))::bigint AS x, strlen(text) AS bytes, floor(strlen(text) / 4)::bigint AS tokens FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, tokens, ceil(tokens / 448)::bigint AS chunks, (tokens / 120000::double + 12) * 0.6::double AS seconds_low, (tokens / 120000::double + 12) * 1.9::double AS seconds_high FROM t""")
 def index_estimate(spark: SparkSession, sf: str) -> DataFrame:
@@ -346,7 +483,8 @@ def rate_5m(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.date_format("w", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n", F.round(F.col("n") / F.lit(300.0), 6).alias("rate"))
 
 
-@query()
+@query(f"""WITH {search.TOP_CHUNKS_SQL}, found AS (SELECT t.query_id, t.chunk_id, t.rank, list_distinct(regexp_extract_all(lower(c.content), '[a-z0-9_]{{2,64}}')) AS x FROM top_chunks t JOIN chunks c USING (chunk_id) WHERE t.rank <= 10)
+SELECT query_id, chunk_id, least(len(x), 64)::int AS n_words, row_number() OVER (PARTITION BY query_id ORDER BY rank)::int AS rank FROM found""")
 def score_pairs_mmr_words(spark: SparkSession, sf: str) -> DataFrame:
     """Word sets that diversification compares, of the ten best chunks of a query."""
     texts = T.chunks(spark, sf).select("chunk_id", fusion.word_set(F.col("content")).alias("words"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ChunkConfig
 from ..operators import chunking, dense, graph
+from ..operators.numbering import numbered
 from ..sources import tables as T
 from .registry import query
 from .search import COSINE_SQL, dense_hits
@@ -74,12 +75,12 @@ def entity_chunk_search(spark: SparkSession, sf: str) -> DataFrame:
     return graph.entity_chunks(searched(spark, sf), links(spark, sf)).withColumn("score", F.round("score", 6))
 
 
-@query(f"""WITH {WALK_SQL}, {LINKS_SQL}, seeds AS (SELECT chunk_id, 1 / (1 + chunk_ordinal)::double AS score FROM chunks WHERE doc_id IN (3, 14)
+@query(f"""WITH {WALK_SQL}, {LINKS_SQL}, seeds AS (SELECT chunk_id, 1 / (1 + chunk_ordinal)::double AS score FROM chunks WHERE doc_id % 100 = 0
 ), start_at AS (SELECT entity_id, max(score) AS seed_score FROM seeds JOIN links USING (chunk_id) GROUP BY entity_id
 ), {walk_sql('SELECT entity_id AS seed, entity_id AS node FROM start_at')}
 SELECT l.chunk_id, round(max(s.seed_score / (1 + w.hops)), 6) AS score FROM walked w JOIN start_at s ON s.entity_id = w.seed JOIN links l ON l.entity_id = w.node GROUP BY l.chunk_id""")
 def expand_via_entities(spark: SparkSession, sf: str) -> DataFrame:
-    seeds = T.chunks(spark, sf).where("doc_id in (3, 14)").select("chunk_id", (F.lit(1.0) / (1 + F.col("chunk_ordinal"))).alias("score"))
+    seeds = T.chunks(spark, sf).where("doc_id % 100 = 0").select("chunk_id", (F.lit(1.0) / (1 + F.col("chunk_ordinal"))).alias("score"))
     return graph.expand_chunks(seeds, links(spark, sf), T.relationships(spark, sf), 2).withColumn("score", F.round("score", 6))
 
 
@@ -105,10 +106,38 @@ def graph_stats(spark: SparkSession, sf: str) -> DataFrame:
     return graph.graph_stats(T.entities(spark, sf), T.relationships(spark, sf))
 
 
-@query(f"WITH {T.GRAPH_SQL} SELECT source_id, target_id, relation_type, max(weight) AS weight FROM relationships WHERE source_id IN (SELECT entity_id FROM entities) AND target_id IN (SELECT entity_id FROM entities) GROUP BY ALL")
+WRITES_SQL = f"""{T.GRAPH_SQL}, writes AS (
+  SELECT *, 1 AS written FROM relationships UNION ALL SELECT source_id, target_id, relation_type, weight / 2, 2 FROM relationships WHERE relation_type = 'contains'
+  UNION ALL SELECT source_id, target_id, 'likes', weight, 3 FROM relationships UNION ALL SELECT source_id, 'gone:1', relation_type, weight, 3 FROM relationships UNION ALL SELECT source_id, target_id, relation_type, 7, 0 FROM relationships)"""
+
+
+@query(f"""WITH {WRITES_SQL} SELECT source_id, target_id, relation_type, arg_max(least(greatest(weight, 0), 1), written) AS weight FROM writes
+WHERE relation_type <> 'likes' AND source_id IN (SELECT entity_id FROM entities) AND target_id IN (SELECT entity_id FROM entities) GROUP BY ALL""")
 def relationship_upsert(spark: SparkSession, sf: str) -> DataFrame:
-    edges = T.relationships(spark, sf)
-    return graph.valid_edges(T.entities(spark, sf), edges.union(edges))
+    """Edges written up to three times, the later writes smaller; some of an unknown type or to an unknown end."""
+    e = T.relationships(spark, sf)
+    columns = ["source_id", "target_id", "relation_type", "weight"]
+    write = lambda t, n: t.select(*columns, F.lit(n).alias("written"))
+    writes = write(e, 1).union(write(e.where("relation_type = 'contains'").withColumn("weight", F.col("weight") / 2), 2))
+    writes = writes.union(write(e.withColumn("relation_type", F.lit("likes")), 3)).union(write(e.withColumn("target_id", F.lit("gone:1")), 3)).union(write(e.withColumn("weight", F.lit(7.0)), 0))
+    return graph.valid_edges(T.entities(spark, sf), writes, "written")
+
+
+@query(f"""WITH {T.GRAPH_SQL}, members AS (SELECT entity_id, name FROM entities WHERE split_part(file_path, '/', 1) = 'geo' ORDER BY name, entity_id LIMIT 20)
+SELECT DISTINCT source_id, target_id, relation_type, weight FROM relationships WHERE source_id IN (SELECT entity_id FROM members) AND target_id IN (SELECT entity_id FROM members)""")
+def community_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """The subgraph of the first twenty members of a community."""
+    entities = T.entities(spark, sf)
+    return graph.community_subgraph("geo", graph.communities(entities), entities, T.relationships(spark, sf), 20)[1]
+
+
+@query(f"""WITH {T.GRAPH_SQL}, {T.CHUNKS_SQL}, given AS (SELECT 'part:' || doc_id AS entity_id, chunk_id FROM chunks UNION ALL SELECT 'gone:' || doc_id, chunk_id FROM chunks UNION ALL SELECT 'part:1', 'nowhere' FROM chunks)
+SELECT DISTINCT entity_id, chunk_id FROM given WHERE entity_id IN (SELECT entity_id FROM entities) AND chunk_id IN (SELECT chunk_id FROM chunks)""")
+def explicit_entity_links(spark: SparkSession, sf: str) -> DataFrame:
+    chunks = T.chunks(spark, sf)
+    name = lambda kind: F.concat(F.lit(kind + ":"), F.col("doc_id").cast("string")).alias("entity_id")
+    given = chunks.select(name("part"), "chunk_id").union(chunks.select(name("gone"), "chunk_id")).union(chunks.select(F.lit("part:1"), F.lit("nowhere")))
+    return graph.explicit_links(given, T.entities(spark, sf), chunks)
 
 
 @query(f"""WITH {T.CHUNKS_SQL}, spans AS (SELECT file_path, file_path || '#' || k AS entity_id, 2 * k + 1 AS start_line, 2 * k + 3 AS end_line FROM files, (SELECT unnest(range(0, 10)) AS k))
@@ -135,12 +164,19 @@ def concept_star_edges(spark: SparkSession, sf: str) -> DataFrame:
     return graph.concept_star(graph.concepts(T.chunks(spark, sf)))
 
 
+@query(f"""WITH {CONCEPTS_SQL.replace("FROM chunks\n), concepts", "FROM budget\n), concepts").replace("named AS (", "budget AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY corpus_id ORDER BY file_path, chunk_ordinal) AS nth FROM chunks) WHERE nth <= 200), named AS (")}
+SELECT DISTINCT sha1('concept|' || concept) AS entity_id, concept AS name, chunk_id FROM concepts""")
+def concept_entity_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Concepts of the first two hundred chunks of each corpus, which is the budget, linked to their chunks."""
+    return graph.concept_links(graph.concepts(graph.within_budget(T.chunks(spark, sf))))
+
+
 @query(f"""WITH {COSINE_SQL}, seeds AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored) WHERE rank <= 10
 ), seqs AS (SELECT vec_id AS chunk_id, label AS corpus_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS seq FROM embeddings)
 SELECT s.query_id, n.chunk_id, round(max(s.score) / (1 + min(abs(n.seq - a.seq))), 6) AS score FROM seeds s JOIN seqs a USING (chunk_id) JOIN seqs n ON n.corpus_id = a.corpus_id AND abs(n.seq - a.seq) <= 1 GROUP BY ALL""")
 def chunk_sequence_neighbors(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("corpus_id").orderBy("chunk_id")
-    seqs = T.vectors(spark, sf).select("chunk_id", "corpus_id", F.row_number().over(w).alias("seq"))
+    rows = T.vectors(spark, sf).select("chunk_id", "corpus_id")
+    seqs = numbered(rows, ["chunk_id"], F.floor(F.col("chunk_id") / 4096), "seq", ["corpus_id"])
     seeds = dense.top_k(dense_hits(spark, sf), 10).select("query_id", "chunk_id", "score")
     return graph.sequence_neighbours(seeds, seqs, 1).withColumn("score", F.round("score", 6))
 
@@ -180,7 +216,7 @@ def _split(strategy: str):
     return run
 
 
-for _name, _strategy in (("chunk_sentences", "sentence"), ("chunk_markdown", "markdown"), ("chunk_recursive", "recursive"), ("chunk_qa_blocks", "qa_blocks"), ("chunk_fixed_tokens", "fixed_tokens")):
+for _name, _strategy in (("chunk_sentences", "sentence"), ("chunk_markdown", "markdown"), ("chunk_recursive", "recursive"), ("chunk_qa_blocks", "qa_blocks"), ("chunk_fixed_tokens", "fixed_tokens"), ("chunk_python_statements", "ast"), ("chunk_brace_blocks", "braces")):
     _run = _split(_strategy)
     _run.__name__ = _name
     query()(_run)

@@ -9,6 +9,7 @@ from ..config import FusionConfig, SearchConfig
 from ..functions.vectors import cosine
 from ..operators import dense, fusion, sparse
 from ..operators.chunking import message_chunks
+from ..operators.joins import small
 from ..sources import tables as T
 from .registry import query
 
@@ -16,16 +17,18 @@ K = SearchConfig().final_k
 
 COSINE_SQL = """scored AS (
   SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, e.label AS corpus_id, list_cosine_similarity(e.embedding::double[], q.embedding::double[]) AS score
-  FROM embeddings e, embeddings q WHERE q.vec_id < 8)"""
+  FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0)"""
 
 
-def dense_hits(spark: SparkSession, sf: str, n: int = 8) -> DataFrame:
-    return dense.scored(T.vectors(spark, sf), T.query_vectors(spark, sf, n))
+def dense_hits(spark: SparkSession, sf: str) -> DataFrame:
+    return dense.scored(T.vectors(spark, sf), T.query_vectors(spark, sf))
 
 
 @query(f"WITH {COSINE_SQL} SELECT chunk_id, corpus_id, round(score, 6) AS score FROM scored WHERE query_id = 0 ORDER BY score DESC, chunk_id LIMIT 10")
 def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
-    hits = dense_hits(spark, sf, 1).orderBy(F.desc("score"), "chunk_id").limit(K)
+    """The ten vectors nearest to one given vector, out of all: what a single request asks for."""
+    one = T.query_vectors(spark, sf).where("query_id = 0")
+    hits = dense.scored(T.vectors(spark, sf), one).orderBy(F.desc("score"), "chunk_id").limit(K)
     return hits.select("chunk_id", "corpus_id", F.round("score", 6).alias("score"))
 
 
@@ -43,7 +46,7 @@ def dense_threshold(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {COSINE_SQL} SELECT query_id, corpus_id AS label, count(*) AS n, round(avg(score), 6) AS mean_cosine FROM scored GROUP BY ALL")
 def pairwise_cosine_labels(spark: SparkSession, sf: str) -> DataFrame:
     v, q = T.vectors(spark, sf), T.query_vectors(spark, sf)
-    pairs = v.crossJoin(F.broadcast(q)).select("query_id", F.col("corpus_id").alias("label"), cosine(F.col("embedding"), F.col("query")).alias("c"))
+    pairs = v.crossJoin(small(q)).select("query_id", F.col("corpus_id").alias("label"), cosine(F.col("embedding"), F.col("query")).alias("c"))
     return pairs.groupBy("query_id", "label").agg(F.count("*").alias("n"), F.round(F.avg("c"), 6).alias("mean_cosine"))
 
 
@@ -55,7 +58,7 @@ def hash_embedding_buckets(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "bucket", F.round("weight", 6).alias("weight"))
 
 
-BM25_SQL = f"""{T.POSTINGS_SQL}, {T.QUESTIONS_SQL}, asked AS (
+BM25_SQL = f"""{T.POSTINGS_SQL}, {T.QUESTIONS_SQL}, {T.HYBRID_SQL}, asked AS (
   SELECT DISTINCT query_id, unnest(string_split(question, ' ')) AS term FROM questions
 ), totals AS (SELECT corpus_id, count(*) AS n_chunks, avg(n) AS avg_length FROM lengths GROUP BY corpus_id
 ), dfs AS (SELECT corpus_id, term, count(*) AS df FROM postings GROUP BY ALL
@@ -68,7 +71,7 @@ BM25_SQL = f"""{T.POSTINGS_SQL}, {T.QUESTIONS_SQL}, asked AS (
 
 @query(f"WITH {BM25_SQL} SELECT query_id, corpus_id, chunk_id, round(score, 6) AS score, rank::int AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) AS rank FROM bm25) WHERE rank <= 10")
 def sparse_bm25(spark: SparkSession, sf: str) -> DataFrame:
-    hits = sparse.bm25(T.chunks(spark, sf), T.questions(spark, sf)).withColumn("score", F.round("score", 6))
+    hits = sparse.bm25(T.index(spark, sf), T.questions(spark, sf)).withColumn("score", F.round("score", 6))
     return sparse.best(hits, K).select("query_id", "corpus_id", "chunk_id", "score", "rank")
 
 
@@ -80,21 +83,44 @@ ALL_TERMS_SQL = f"""{T.POSTINGS_SQL}, {T.QUESTIONS_SQL}, asked AS (
 
 @query(f"WITH {ALL_TERMS_SQL} SELECT query_id, corpus_id, chunk_id, score FROM every_term")
 def sparse_and(spark: SparkSession, sf: str) -> DataFrame:
-    return sparse.all_terms(T.chunks(spark, sf), T.questions(spark, sf))
+    return sparse.all_terms(T.index(spark, sf), T.questions(spark, sf))
 
 
 @query(f"""WITH {T.POSTINGS_SQL}, {T.QUESTIONS_SQL}, asked AS (SELECT query_id, string_split(question, ' ') AS q FROM questions
 ), placed AS (SELECT corpus_id, chunk_id, ws, unnest(range(1, len(ws) + 1)) AS pos FROM words)
 SELECT query_id, corpus_id, chunk_id, count(*)::double AS score FROM placed JOIN asked ON ws[pos] = q[1] AND ws[pos:pos + len(q) - 1] = q GROUP BY ALL""")
 def sparse_phrase(spark: SparkSession, sf: str) -> DataFrame:
-    return sparse.phrase(T.chunks(spark, sf), T.questions(spark, sf))
+    return sparse.phrase(T.index(spark, sf), T.questions(spark, sf))
+
+
+@query(f"""WITH {ALL_TERMS_SQL}, places AS (
+  SELECT e.query_id, e.corpus_id, e.chunk_id, p.pos, list_position(list_distinct(string_split(q.question, ' ')), w.ws[p.pos]) AS nth, w.ws[p.pos] AS term, len(list_distinct(string_split(q.question, ' '))) AS n_terms
+  FROM every_term e JOIN words w USING (corpus_id, chunk_id) JOIN questions q USING (query_id), unnest(range(1, len(w.ws) + 1)) AS p(pos) WHERE list_contains(string_split(q.question, ' '), w.ws[p.pos])
+), ends AS (
+  SELECT b.query_id, b.corpus_id, b.chunk_id, b.pos AS ends, a.term, max(a.pos) AS last, b.n_terms FROM places b JOIN places a ON a.query_id = b.query_id AND a.corpus_id = b.corpus_id AND a.chunk_id = b.chunk_id AND a.pos <= b.pos GROUP BY ALL
+), stretches AS (SELECT query_id, corpus_id, chunk_id, ends, min(last) AS begins FROM ends GROUP BY query_id, corpus_id, chunk_id, ends, n_terms HAVING count(*) = n_terms
+), covers AS (SELECT query_id, corpus_id, chunk_id, begins, min(ends) AS ends FROM stretches GROUP BY ALL
+), noise AS (
+  SELECT c.query_id, c.corpus_id, c.chunk_id, c.begins, c.ends - c.begins + 1 - count(*) AS n FROM covers c JOIN places p ON p.query_id = c.query_id AND p.corpus_id = c.corpus_id AND p.chunk_id = c.chunk_id AND p.pos BETWEEN c.begins AND c.ends GROUP BY c.query_id, c.corpus_id, c.chunk_id, c.begins, c.ends
+), scored AS (SELECT query_id, corpus_id, chunk_id, round(sum(1 / (1 + n)::double), 6) AS score FROM noise GROUP BY ALL)
+SELECT query_id, corpus_id, chunk_id, score, rank::int AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored) WHERE rank <= 50""")
+def sparse_cover_density(spark: SparkSession, sf: str) -> DataFrame:
+    hits = sparse.cover_density(T.index(spark, sf), T.questions(spark, sf)).withColumn("score", F.round("score", 6))
+    return sparse.best(hits, SearchConfig().top_k).select("query_id", "corpus_id", "chunk_id", "score", "rank")
 
 
 @query(f"""WITH {T.POSTINGS_SQL}
 SELECT corpus_id, chunk_id, (1 + list_contains(ws, 'with')::int + list_contains(ws, 'from')::int)::double AS score FROM words
 WHERE list_contains(ws, 'the') AND NOT list_contains(ws, 'this') AND (list_contains(ws, 'with') OR list_contains(ws, 'from'))""")
 def sparse_boolean(spark: SparkSession, sf: str) -> DataFrame:
-    return sparse.boolean(T.chunks(spark, sf), *sparse.parse_boolean("the with OR from -this"))
+    return sparse.boolean(T.index(spark, sf), *sparse.parse_boolean("the with OR from -this"))
+
+
+@query(f"""WITH {T.POSTINGS_SQL}, t AS (SELECT *, ' ' || array_to_string(ws, ' ') || ' ' AS line FROM words)
+SELECT corpus_id, chunk_id, 1 + contains(line, ' by the ')::int + contains(line, ' is ')::int::double AS score FROM t
+WHERE contains(line, ' of the ') AND NOT contains(line, ' to the ') AND (contains(line, ' by the ') OR contains(line, ' is '))""")
+def sparse_boolean_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    return sparse.boolean(T.index(spark, sf), *sparse.parse_boolean('"of the" "by the" OR is -"to the"'))
 
 
 STOP_SQL = "(" + ", ".join(f"'{w}'" for w in sparse.PATH_STOPWORDS[:-3]) + ")"
@@ -109,7 +135,7 @@ RELAXED_SQL = f"""relaxed_terms AS (
 
 @query(f"WITH {T.CHUNKS_SQL}, {T.QUESTIONS_SQL}, {RELAXED_SQL} SELECT query_id, corpus_id, chunk_id, score, rank::int AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM relaxed) WHERE rank <= 50")
 def sparse_relaxed_or(spark: SparkSession, sf: str) -> DataFrame:
-    hits = sparse.relaxed_or(T.chunks(spark, sf), T.questions(spark, sf))
+    hits = sparse.relaxed_or(T.index(spark, sf), T.questions(spark, sf))
     return sparse.best(hits, SearchConfig().top_k).select("query_id", "corpus_id", "chunk_id", "score", "rank")
 
 
@@ -131,19 +157,47 @@ def file_path_search(spark: SparkSession, sf: str) -> DataFrame:
     return sparse.best(hits, 20, "file_path").select("query_id", "corpus_id", "file_path", "score", "rank")
 
 
-@query(f"""WITH {ALL_TERMS_SQL}, {RELAXED_SQL}, steps AS (
-  SELECT query_id, corpus_id, chunk_id AS item, score, 0 AS step, 'fts' AS engine FROM every_term UNION ALL SELECT query_id, corpus_id, chunk_id, score, 1, 'relaxed_or' FROM relaxed)
-SELECT query_id, engine, count(*) AS n_hits, max(score) AS best_score FROM (SELECT *, min(step) OVER (PARTITION BY query_id) AS first FROM steps) WHERE step = first GROUP BY ALL""")
+CHAIN_PATHS_SQL = """chain_path_terms AS (
+  SELECT query_id, unnest(list_filter(ts, lambda x, i: x NOT IN """ + "(" + ", ".join(f"'{w}'" for w in sparse.PATH_STOPWORDS) + ")" + """)[1:6]) AS term
+  FROM (SELECT query_id, list_filter(ws, lambda x, i: list_position(ws, x) = i) AS ts FROM (SELECT query_id, regexp_extract_all(question, '[a-z0-9][a-z0-9_.\\-]{1,63}') AS ws FROM questions))
+), chain_paths AS (
+  SELECT query_id, corpus_id, file_path, count(DISTINCT term)::double AS score FROM files JOIN chain_path_terms ON contains(lower(file_path), term) GROUP BY ALL)"""
+MADE_UP_SQL = T.QUESTIONS_SQL.replace("questions AS (", "asked_for AS (") + """, questions AS (
+  SELECT query_id, CASE query_id % 4 WHEN 1 THEN question || ' qqqqq' WHEN 2 THEN 'xqxq src1' WHEN 3 THEN 'xqxq zqzq' ELSE question END AS question FROM asked_for)"""
+CHAIN_SQL = ALL_TERMS_SQL.replace(T.QUESTIONS_SQL, MADE_UP_SQL)
+
+
+def chain_questions(spark: SparkSession, sf: str) -> DataFrame:
+    """The questions, a quarter of them with a word that no chunk has, a quarter of a folder's name and a
+    quarter of nothing that there is."""
+    kind = F.col("query_id") % 4
+    made = F.when(kind == 1, F.concat("question", F.lit(" qqqqq"))).when(kind == 2, "xqxq src1").when(kind == 3, "xqxq zqzq").otherwise(F.col("question"))
+    return T.questions(spark, sf).withColumn("question", made)
+
+
+def chain_sql(head: str) -> str:
+    return f"""WITH {CHAIN_SQL}, {RELAXED_SQL}, {CHAIN_PATHS_SQL}, bm25_hits AS (SELECT query_id, corpus_id, chunk_id, 1::double AS score FROM postings JOIN asked USING (term) GROUP BY query_id, corpus_id, chunk_id
+), steps AS ({head}
+  UNION ALL SELECT query_id, corpus_id, chunk_id, score, 1, 'relaxed_or' FROM relaxed UNION ALL SELECT query_id, corpus_id, file_path, score, 2, 'file_path' FROM chain_paths)"""
+
+
+@query(chain_sql("SELECT query_id, corpus_id, chunk_id AS item, score, 0 AS step, 'fts' AS engine FROM every_term")
+       + " SELECT query_id, engine, count(*) AS n_hits, max(score) AS best_score FROM (SELECT *, min(step) OVER (PARTITION BY query_id) AS first FROM steps) WHERE step = first GROUP BY ALL")
 def sparse_fallback_chain(spark: SparkSession, sf: str) -> DataFrame:
-    chunks, questions = T.chunks(spark, sf), T.questions(spark, sf)
-    found = sparse.first_answer([("fts", sparse.all_terms(chunks, questions)), ("relaxed_or", sparse.relaxed_or(chunks, questions))])
+    found = sparse.fallback_chain(T.index(spark, sf), chain_questions(spark, sf), "fts")
     return found.groupBy("query_id", "engine").agg(F.count("*").alias("n_hits"), F.max("score").alias("best_score"))
 
 
+@query(chain_sql("SELECT query_id, corpus_id, chunk_id AS item, score, 0 AS step, 'bm25' AS engine FROM bm25_hits") + " SELECT query_id, engine, count(*) AS n_hits FROM (SELECT *, min(step) OVER (PARTITION BY query_id) AS first FROM steps) WHERE step = first GROUP BY ALL")
+def sparse_bm25_chain(spark: SparkSession, sf: str) -> DataFrame:
+    found = sparse.fallback_chain(T.index(spark, sf), chain_questions(spark, sf), "bm25")
+    return found.groupBy("query_id", "engine").agg(F.count("*").alias("n_hits"))
+
+
 @query(f"""WITH {T.CHUNKS_SQL}, d AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT chunk_id, unnest(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}_]+')) AS term FROM chunks) GROUP BY term)
 SELECT term, df, count(*) OVER () AS vocabulary FROM d ORDER BY df DESC, term LIMIT 50""")
 def vocab_preview(spark: SparkSession, sf: str) -> DataFrame:
-    return sparse.document_frequency(T.chunks(spark, sf))
+    return sparse.document_frequency(T.index(spark, sf))
 
 
 @query(f"""WITH {T.FILES_SQL} SELECT token, count(*) AS freq FROM (SELECT unnest(regexp_extract_all(lower(content), '[a-z_][a-z0-9_]{{2,63}}')) AS token FROM files)
@@ -154,19 +208,20 @@ def keywords_topn(spark: SparkSession, sf: str) -> DataFrame:
 
 # Hybrid legs: the vector of a document is that of its number, its best chunk stands for it.
 
-LEGS_SQL = f"""{BM25_SQL}, legs AS (
+LEGS_SQL = f"""{BM25_SQL}, bm25_hybrid AS (SELECT b.* REPLACE (b.query_id * 100 AS query_id) FROM bm25 b WHERE b.query_id * 100 IN (SELECT query_id FROM hybrid_questions)), legs AS (
   SELECT q.vec_id AS query_id, f.corpus_id, 'vector' AS leg, f.file_path AS chunk_id, round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 6) AS score
-  FROM embeddings e JOIN files f ON f.doc_id = e.vec_id, embeddings q WHERE q.vec_id < 8
-  UNION ALL SELECT query_id, corpus_id, 'sparse', regexp_replace(chunk_id, ':[0-9]+$', ''), round(max(score), 6) FROM bm25 WHERE query_id < 8 GROUP BY ALL
+  FROM embeddings e JOIN files f ON f.doc_id = e.vec_id, embeddings q WHERE q.vec_id % 100 = 0
+  UNION ALL SELECT query_id, corpus_id, 'sparse', regexp_replace(chunk_id, ':[0-9]+$', ''), round(max(score), 6) FROM bm25_hybrid GROUP BY ALL
 ), ranked AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, corpus_id, leg ORDER BY score DESC, chunk_id) AS rank, CASE leg WHEN 'vector' THEN 0 ELSE 1 END AS list FROM legs) WHERE rank <= 50)"""
 
 
 def legs(spark: SparkSession, sf: str) -> DataFrame:
-    """The vector and keyword lists, 50 hits each, of eight queries over all corpora."""
+    """The vector and keyword lists, 50 hits each, of every hundredth vector and the question that goes
+    with it, over all corpora."""
     files = T.files(spark, sf).select(F.col("doc_id").alias("chunk_id"), F.col("corpus_id").alias("corpus"), "file_path")
     v = dense_hits(spark, sf).join(files, "chunk_id").select("query_id", F.col("corpus").alias("corpus_id"), F.lit("vector").alias("leg"), F.col("file_path").alias("chunk_id"), F.round("score", 6).alias("score"))
-    s = sparse.bm25(T.chunks(spark, sf), T.questions(spark, sf).where("query_id < 8"))
+    s = sparse.bm25(T.index(spark, sf), T.hybrid_questions(spark, sf))
     s = s.groupBy("query_id", "corpus_id", F.regexp_replace("chunk_id", ":[0-9]+$", "").alias("chunk_id")).agg(F.round(F.max("score"), 6).alias("score"))
     both = v.unionByName(s.select("query_id", "corpus_id", F.lit("sparse").alias("leg"), "chunk_id", "score"))
     return fusion.ranked_lists(both).where(F.col("rank") <= SearchConfig().top_k)
@@ -214,11 +269,11 @@ def leg_debug_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 TOP_CHUNKS_SQL = f"""{BM25_SQL}, top_chunks AS (
-  SELECT query_id, corpus_id, chunk_id, regexp_replace(chunk_id, ':[0-9]+$', '') AS file_path, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id)::int AS rank FROM bm25 WHERE query_id < 8)"""
+  SELECT query_id, corpus_id, chunk_id, regexp_replace(chunk_id, ':[0-9]+$', '') AS file_path, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id)::int AS rank FROM bm25)"""
 
 
 def top_chunks(spark: SparkSession, sf: str, k: int = 50) -> DataFrame:
-    hits = sparse.bm25(T.chunks(spark, sf), T.questions(spark, sf).where("query_id < 8")).withColumn("score", F.round("score", 6))
+    hits = sparse.bm25(T.index(spark, sf), T.questions(spark, sf)).withColumn("score", F.round("score", 6))
     return sparse.best(hits, k).withColumn("file_path", F.regexp_replace("chunk_id", ":[0-9]+$", ""))
 
 
@@ -279,7 +334,7 @@ def rerank_blend(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def lexical_rerank(spark: SparkSession, sf: str) -> DataFrame:
-    hits = top_chunks(spark, sf, 60).join(T.chunks(spark, sf).select("chunk_id", "content"), "chunk_id").join(F.broadcast(T.questions(spark, sf)), "query_id")
+    hits = top_chunks(spark, sf, 60).join(T.chunks(spark, sf).select("chunk_id", "content"), "chunk_id").join(small(T.questions(spark, sf)), "query_id")
     return fusion.rerank(hits)
 
 
@@ -327,7 +382,7 @@ def hydrate_ordered(spark: SparkSession, sf: str) -> DataFrame:
 def recall_search(spark: SparkSession, sf: str) -> DataFrame:
     """Chat memory: keyword search over message chunks, newer turns preferred."""
     memory = message_chunks(T.turns(spark, sf)).select(F.lit("recall_default").alias("corpus_id"), "chunk_id", "content", "conv_id")
-    hits = sparse.best(sparse.bm25(memory, T.questions(spark, sf, 8).where("query_id < 8")), 5)
+    hits = sparse.best(sparse.bm25(sparse.index_of(memory), T.questions(spark, sf, 8)), 5)
     ts = F.split("chunk_id", ":")[1].cast("long") * 3600 + F.split("chunk_id", ":")[2].cast("long") * 60
     blended = fusion.recency_blend(hits.withColumn("ts", ts), 0.3)
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("blended", 9)), "chunk_id")

@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 # Folders that are never read and languages by extension.
 IGNORED_FOLDERS = ".git .hg .svn node_modules __pycache__ .venv venv dist build target .idea .vscode .mypy_cache .pytest_cache".split()
 LANGUAGES = {
-    "py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "java": "java", "go": "go", "rs": "rust", "c": "c", "h": "c", "cpp": "cpp",
-    "hpp": "cpp", "cs": "csharp", "rb": "ruby", "php": "php", "sh": "bash", "sql": "sql", "md": "markdown", "html": "html", "css": "css", "json": "json", "yaml": "yaml", "yml": "yaml",
+    "py": "python", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "json": "json", "yml": "yaml", "yaml": "yaml", "md": "markdown", "toml": "toml", "sql": "sql",
+    "sh": "shell", "bash": "shell", "go": "go", "rs": "rust", "java": "java", "kt": "kotlin", "swift": "swift", "c": "c", "h": "c", "cpp": "cpp", "hpp": "cpp",
 }
 LOG_SCHEMA = "ts string, kind string, event_id string, query string, corpus_id string, corpus_ids array<string>, top_paths array<string>, signal string, doc_id string, rating int, _corrupt string"
 
@@ -33,7 +33,7 @@ def ignore_predicate(path: Column, rules: list[str]) -> Column:
             continue
         negated, text = text.startswith("!"), text.lstrip("!")
         folder, anchored = text.endswith("/"), "/" in text.rstrip("/")
-        body = "".join("[^/]*" if c == "*" else "[^/]" if c == "?" else re.escape(c) for c in text.strip("/").replace("**", "*"))
+        body = "".join({"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(x, re.escape(x)) for x in re.findall(r"\*\*/|\*\*|.", text.strip("/")))
         pattern = ("^" if anchored else "(^|/)") + body + ("/" if folder else "(/|$)")
         out = F.when(path.rlike(pattern), F.lit(not negated)).otherwise(out)
     folders = "|".join(re.escape(f) for f in IGNORED_FOLDERS)
@@ -52,7 +52,72 @@ def list_files(spark: SparkSession, root: str, ignore: list[str] | None = None,
         for g in include:
             keep = keep | F.col("relative").rlike("^" + glob_pattern(g) + "$") | name.rlike("^" + glob_pattern(g) + "$")
         found = found.where(keep)
-    return found.where(F.instr(F.hex("content"), "00") % 2 == 0).select(F.col("relative").alias("path"), "length", "content")
+    return found.where(~has_nul(F.col("content"))).select(F.col("relative").alias("path"), "length", "content")
+
+
+def has_nul(content: Column) -> Column:
+    """Whether one of the bytes is 0."""
+    return F.instr(F.decode(content, "ISO-8859-1"), "\0") > 0
+
+
+def folder_rules(rules: dict[str, list[str]]) -> list[str]:
+    """One list from the ignore rules of several folders, outer folders first (S1): a rule holds below its
+    folder, at any depth there unless it is anchored."""
+    out = []
+    for folder in sorted(rules, key=lambda f: f.strip("/").count("/") + bool(f.strip("/"))):
+        at = folder.strip("/")
+        for rule in rules[folder]:
+            text = rule.strip()
+            if not text or text.startswith("#"):
+                continue
+            sign, text = ("!", text[1:]) if text.startswith("!") else ("", text)
+            if at:
+                inner = text.lstrip("/") if "/" in text.rstrip("/") else f"**/{text}"
+                text = f"/{at}/{inner}"
+            out.append(sign + text)
+    return out
+
+
+def read_rules(spark: SparkSession, root: str, name: str = ".gitignore", depth: int = 8) -> dict[str, list[str]]:
+    """The ignore rules of the folders below ``root``, down to a depth: a small file each. Spark's readers
+    pass over files with a leading dot, so they are opened through the file system."""
+    jvm = spark.sparkContext._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    top = fs.makeQualified(jvm.org.apache.hadoop.fs.Path(root)).toString().rstrip("/") + "/"
+    found = {}
+    for d in range(depth + 1):
+        for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{top}{'*/' * d}{name}")) or []:
+            stream = fs.open(status.getPath())
+            lines = jvm.java.util.Scanner(stream, "UTF-8").useDelimiter("\\A")
+            found[status.getPath().toString().removeprefix(top).rpartition("/")[0]] = lines.next().splitlines() if lines.hasNext() else []
+            stream.close()
+    return found
+
+
+def excluded(path: Column, content: Column, folders: list[str] = (), globs: list[str] = (), keywords: list[str] = ()) -> Column:
+    """Whether a chunk is left out of summaries (F7): a folder on its path, a glob of its path or name, or
+    a keyword in its text; folders and keywords in either case."""
+    fp = F.replace(F.coalesce(path, F.lit("")), F.lit("\\"), F.lit("/"))
+    name = F.element_at(F.split(fp, "/"), -1)
+    out = F.lit(False)
+    names = [d.strip().strip("/").lower() for d in folders if d.strip()]
+    if names:
+        out = out | F.arrays_overlap(F.split(F.lower(fp), "/"), F.array(*map(F.lit, names)))
+    for g in (g.strip() for g in globs):
+        if g:
+            out = out | fp.rlike("^" + glob_pattern(g) + "$") | name.rlike("^" + glob_pattern(g) + "$")
+    for k in (k.strip().lower() for k in keywords):
+        if k:
+            out = out | F.contains(F.lower(F.coalesce(content, F.lit(""))), F.lit(k))
+    return out
+
+
+def with_ordinals(chunks: DataFrame, file_path: str, ordinals: list[int]) -> DataFrame:
+    """Chunks of a file whose ``metadata`` (JSON) names one of the ordinals, in order (F5); an empty or
+    missing ordinal matches nothing."""
+    ordinal = F.expr("try_cast(nullif(get_json_object(metadata, '$.chunk_ordinal'), '') as int)")
+    kept = chunks.where(F.col("file_path") == file_path).withColumn("ordinal", ordinal)
+    return kept.where(F.col("ordinal").isin(ordinals)).orderBy("ordinal", "start_line", "chunk_id")
 
 
 def language(path: Column) -> Column:
@@ -116,6 +181,8 @@ def read_dataset(spark: SparkSession, path: str) -> DataFrame:
 def append_log(rows: DataFrame, path: str) -> None:
     """Append log rows, texts shortened to their stored lengths, a missing time filled in."""
     out = rows.withColumn("ts", F.coalesce("ts", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'"))).withColumn("query", F.substring("query", 1, 2000))
+    if "note" in rows.columns:
+        out = out.withColumn("note", F.substring("note", 1, 4000))
     out.write.mode("append").json(path)
 
 
@@ -135,6 +202,11 @@ def without_corpus(tables: dict[str, DataFrame], corpus: str) -> dict[str, DataF
     return {name: t.where(F.col("corpus_id") != corpus) for name, t in tables.items()}
 
 
+def save_run(run: DataFrame, path: str) -> None:
+    """Write an evaluation run (run_id, started_at, ...) in a folder of its own; written again it is replaced."""
+    run.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").json(path)
+
+
 def latest_runs(runs: DataFrame, n: int = 20) -> DataFrame:
     """Evaluation runs, newest first."""
     return runs.orderBy(F.desc("started_at"), "run_id").limit(n)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import find_all, tokens
 from ..functions.vectors import doubles
 from ..operators.chunking import fixed_chars
+from ..operators.sparse import SearchIndex, open_index, store_index
+from .shared import exists, shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,15 +30,31 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixed_chars(files(spark, sf_dir))
 
 
+#: Index folders of this process by application and input folder.
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def index(spark: SparkSession, sf_dir: str) -> SearchIndex:
+    """The stored search index of the chunks: written by the first query of an application that needs
+    it, read by the others."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    path = _INDEXES.get(key)
+    if path is None or not exists(spark, f"{path}/totals/_SUCCESS"):
+        path = f"{shared_dir(spark)}/siltstone-index/{uuid.uuid4().hex}"
+        store_index(chunks(spark, sf_dir), path)
+        _INDEXES[key] = path
+    return open_index(spark, path)
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(chunk_id, corpus_id, embedding); the label of a vector is its corpus."""
     e = table(spark, sf_dir, "embeddings").where("embedding is not null")
     return e.select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("corpus_id"), doubles(F.col("embedding")).alias("embedding"))
 
 
-def query_vectors(spark: SparkSession, sf_dir: str, n: int = 8) -> DataFrame:
-    """(query_id, query): a fixed number of stated queries."""
-    e = table(spark, sf_dir, "embeddings").where(F.col("vec_id") < n)
+def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, query): the stated queries, every hundredth vector."""
+    e = table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0 and embedding is not null")
     return e.select(F.col("vec_id").alias("query_id"), doubles(F.col("embedding")).alias("query"))
 
 
@@ -44,6 +64,12 @@ def questions(spark: SparkSession, sf_dir: str, words: int = 4) -> DataFrame:
     return b.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(tokens(F.col("text")), 1, words), " ").alias("question"))
 
 
+def hybrid_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The questions that go with the query vectors: the k-th of them asks for passage k."""
+    asked = questions(spark, sf_dir).withColumn("query_id", F.col("query_id") * 100)
+    return asked.join(query_vectors(spark, sf_dir).select("query_id"), "query_id", "left_semi")
+
+
 def identifiers(text):
     return find_all(text, r"[A-Za-z_][A-Za-z0-9_]{2,63}")
 
@@ -116,6 +142,8 @@ CHUNKS_SQL = FILES_SQL + """, starts AS (
   FROM cut)"""
 QUESTIONS_SQL = """questions AS (
   SELECT item_id AS query_id, array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')[1:4], ' ') AS question FROM benchmark)"""
+HYBRID_SQL = """hybrid_questions AS (
+  SELECT query_id * 100 AS query_id, question FROM questions WHERE query_id * 100 IN (SELECT vec_id FROM embeddings WHERE vec_id % 100 = 0 AND embedding IS NOT NULL))"""
 POSTINGS_SQL = CHUNKS_SQL + """, words AS (
   SELECT corpus_id, chunk_id, regexp_extract_all(lower(content), '[\\p{L}\\p{N}_]+') AS ws FROM chunks
 ), lengths AS (SELECT corpus_id, chunk_id, len(ws) AS n FROM words WHERE len(ws) > 0

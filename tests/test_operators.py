@@ -71,14 +71,62 @@ def test_rerank_and_blends(spark):
 
 def test_full_text_fallback(spark):
     chunks = spark.createDataFrame([("c", "c1", "src/auth/login_controller.py", "authentication flow token refresh login")], "corpus_id string, chunk_id string, file_path string, content string")
+    index = sparse.index_of(chunks)
     asked = spark.createDataFrame([(1, "Where is the authentication flow unicorn token refresh code?"), (2, "token refresh")], "query_id int, question string")
-    assert [r["query_id"] for r in sparse.all_terms(chunks, asked).collect()] == [2]
-    found = sparse.first_answer([("fts", sparse.all_terms(chunks, asked)), ("relaxed", sparse.relaxed_or(chunks, asked))]).orderBy("query_id").collect()
+    assert [r["query_id"] for r in sparse.all_terms(index, asked).collect()] == [2]
+    found = sparse.first_answer([("fts", sparse.all_terms(index, asked)), ("relaxed", sparse.relaxed_or(index, asked))]).orderBy("query_id").collect()
     assert [(r["query_id"], r["engine"]) for r in found] == [(1, "relaxed"), (2, "fts")]
     path = sparse.path_search(chunks, spark.createDataFrame([(1, "login controller")], "query_id int, question string")).collect()
     assert path[0]["score"] == 2.0
-    assert sparse.phrase(chunks, asked).count() == 1
-    assert sparse.parse_boolean("a b OR c -d") == (["a"], ["d"], [["b", "c"]])
+    assert sparse.phrase(index, asked).count() == 1
+    more = spark.createDataFrame([(1, "token unicorn"), (2, "zzzz controller"), (3, "zzzz"), (4, "token")], "query_id int, question string")
+    chain = {r["query_id"]: r["engine"] for r in sparse.fallback_chain(index, more, "fts").collect()}
+    assert chain == {1: "relaxed_or", 2: "file_path", 4: "fts"}
+    assert sparse.relaxed_or(index, more.limit(0)).count() == 0
+    quoted = sparse.bm25(index, spark.createDataFrame([(1, "flow token"), (2, "token flow")], "query_id int, question string"), quoted=True)
+    assert [r["query_id"] for r in quoted.collect()] == [1]
+
+
+def test_boolean_search_with_phrases(spark):
+    assert sparse.parse_boolean('a b OR c -d') == ([("a",)], [("d",)], [[("b",), ("c",)]])
+    assert sparse.parse_boolean('"x y" OR z -"p q" "" w') == ([("w",)], [("p", "q")], [[("x", "y"), ("z",)]])
+    rows = [("c", "1", "red fox runs"), ("c", "2", "fox red runs"), ("c", "3", "the red fox sleeps now"), ("c", "4", "a b")]
+    index = sparse.index_of(spark.createDataFrame(rows, "corpus_id string, chunk_id string, content string"))
+    ids = lambda q: sorted(r["chunk_id"] for r in sparse.boolean(index, *sparse.parse_boolean(q)).collect())
+    assert ids('"red fox"') == ["1", "3"] and ids('red fox -"red fox"') == ["2"] and ids('"red fox" runs OR now') == ["1", "3"] and ids('"fox runs" OR b') == ["1", "4"]
+
+
+def brute_covers(words, asked):
+    """Sum over minimal stretches that hold every term of 1 / (1 + words not asked for)."""
+    n, score = len(words), 0.0
+    whole = [(i, j) for i in range(n) for j in range(i, n) if set(asked) <= set(words[i : j + 1])]
+    for i, j in whole:
+        if not any((a, b) != (i, j) and i <= a and b <= j for a, b in whole):
+            score += 1 / (1 + sum(w not in asked for w in words[i : j + 1]))
+    return score
+
+
+def test_cover_density(spark):
+    import random
+
+    random.seed(4)
+    rows = [("c", str(i), " ".join(random.choices("abcdef", k=random.randint(1, 14)))) for i in range(60)]
+    asked = [(1, "a b"), (2, "c"), (3, "a b c"), (4, "b a b")]
+    index = sparse.index_of(spark.createDataFrame(rows, "corpus_id string, chunk_id string, content string"))
+    found = {(r["query_id"], r["chunk_id"]): r["score"] for r in sparse.cover_density(index, spark.createDataFrame(asked, "query_id int, question string")).collect()}
+    for q, text in asked:
+        for _, i, content in rows:
+            expected = brute_covers(content.split(), text.split())
+            assert math.isclose(found.get((q, i), 0.0), expected, abs_tol=1e-9), (text, content)
+
+
+def test_stored_index_equals_index(spark, tmp_path):
+    rows = [("c", "1", "x y x"), ("d", "2", "y"), ("c", "3", "")]
+    chunks = spark.createDataFrame(rows, "corpus_id string, chunk_id string, content string")
+    made, stored = sparse.index_of(chunks), sparse.store_index(chunks, str(tmp_path / "index"))
+    for name in ("words", "postings", "vocabulary", "totals"):
+        columns = sorted(getattr(made, name).columns)
+        assert sorted(map(str, getattr(made, name).select(columns).collect())) == sorted(map(str, getattr(stored, name).select(columns).collect()))
 
 
 def spans(strategy, text, **config):
@@ -97,11 +145,20 @@ def test_structural_strategies():
     heads = spans("markdown", "# Title\n" + "w " * 120 + "\n## Sub\n" + "x " * 120, target_tokens=64, overlap_tokens=4)
     assert len(heads) >= 2 and heads[0].startswith("# Title") and any(h.startswith("## Sub") for h in heads)
     code = "import os\n\ndef foo():\n    return 1\n\ndef bar():\n    return 2\n"
-    parts = spans("ast", code)
-    assert "foo" in parts[0] and "import os" in parts[0] and "bar" not in parts[0]
+    parts = spans("ast", code, target_tokens=10, overlap_tokens=1, ast_overlap_lines=0)
+    assert "foo" in parts[0] and "import os" in parts[0] and "bar" not in parts[0] and "".join(parts) == code
+    assert spans("ast", code) == [code]
+    wide = spans("ast", code, target_tokens=10, overlap_tokens=1, ast_overlap_lines=1)
+    assert wide == ["import os\n\ndef foo():\n    return 1\n\n", "    return 1\n\ndef bar():\n    return 2\n"]
+    assert len(spans("ast", code, target_tokens=3, overlap_tokens=1, preserve_imports=False, ast_overlap_lines=0)) == 2
     assert spans("ast", "def broken(:\n")
-    ts = spans("braces", "function foo() { return '}'; }\nfunction bar() { return 2; }\n")
-    assert [("foo" in p, "bar" in p) for p in ts if p.strip()] == [(True, False), (False, True)]
+    source = "const x = 1;\nfunction foo() { return '}' + /[}/]/.source; } // }\nfunction bar() {\n  /* { */ return `${2}`; }\n"
+    ts = spans("braces", source, target_tokens=16, overlap_tokens=1)
+    assert "".join(ts) == source and [("foo" in p, "bar" in p) for p in ts][-2:] == [(True, False), (False, True)]
+    assert spans("braces", source) == [source] and len(spans("braces", "{" * 5000 + "'" * 5000, target_tokens=16, overlap_tokens=1)) >= 1
+    keep = lambda how: spans("recursive", "aaaa b\n\ncccc d\n\neeee f", target_tokens=2, overlap_tokens=1, separator_keep=how)
+    assert keep("none") == ["aaaa b", "cccc d", "eeee f"] and keep("suffix") == ["aaaa b\n\n", "cccc d\n\n", "eeee f"] and keep("prefix") == ["aaaa b", "\n\ncccc d", "\n\neeee f"]
+    assert chunking.hard_split("one two three four", [(0, 18)], ChunkConfig(max_tokens=3)) == [(0, 14), (14, 18)]
     assert spans("qa_blocks", "Q: a?\nA: b\nQ: c?\nA: d\n", target_tokens=4, overlap_tokens=1)[0].startswith("Q: a?")
     assert spans("sentence", "One. Two. Three.")[0] == "One. Two. Three."
 
@@ -121,8 +178,12 @@ def test_graph(spark):
     r = spark.createDataFrame([("f", "m", "calls", 0.45), ("b", "m", "imports", 2.0), ("b", "gone", "calls", 0.5)], "source_id string, target_id string, relation_type string, weight double")
     found = graph.entity_search(e, r, spark.createDataFrame([(1, "foo")], "query_id int, question string")).orderBy("rank").collect()
     assert [(x["name"], x["hops"], round(x["score"], 6)) for x in found] == [("Foo", 0, 1.0), ("Mid", 1, 0.35), ("Bar", 2, round(0.7 / 3, 6))]
-    valid = graph.valid_edges(e, r).collect()
-    assert sorted(x["weight"] for x in valid) == [0.45, 1.0]
+    later = spark.createDataFrame([("f", "m", "calls", 0.2), ("f", "m", "likes", 0.9)], r.schema)
+    writes = r.withColumn("written", F.lit(1)).union(later.withColumn("written", F.lit(2)))
+    valid = graph.valid_edges(e, writes, "written").collect()
+    assert sorted(x["weight"] for x in valid) == [0.2, 1.0]
+    nodes, inside = graph.community_subgraph("src", graph.communities(e), e, r.union(spark.createDataFrame([("f", "b", "calls", 0.1)], r.schema)), 5)
+    assert [x["entity_id"] for x in nodes.collect()] == ["b", "f"] and [(x["source_id"], x["target_id"]) for x in inside.collect()] == [("f", "b")]
     assert {x["entity_id"]: x["community"] for x in graph.communities(e).collect()} == {"f": "src", "b": "src", "m": "(root)"}
 
 
@@ -154,8 +215,19 @@ def test_mining(spark):
     assert [(r["query"], r["positive"], r["negative"]) for r in found] == [("q", "good.txt", "bad.txt")]
     split = mining.dev_split(spark.range(12), "id")
     assert split.where("split = 'dev'").count() == 1
-    short = mining.negatives(spark.createDataFrame([(1, "p")], "query_id int, positive string"), spark.createDataFrame([("n",)], "path string"), 5, 1).collect()
-    assert sorted(r["nth"] for r in short) == [1, 2, 3, 4, 5]
+    positives = spark.createDataFrame([(1, "p"), (2, "q")], "query_id int, positive string")
+    short = mining.negatives(positives, spark.createDataFrame([("n",), ("p",)], "path string"), 5).collect()
+    assert sorted((r["query_id"], r["nth"]) for r in short) == [(q, i) for q in (1, 2) for i in range(1, 6)]
+    assert {r["negative"] for r in short if r["query_id"] == 1} == {"n"} and {r["negative"] for r in short if r["query_id"] == 2} == {"n", "p"}
+    pool = spark.range(300).select(F.concat(F.lit("f"), "id").alias("path"))
+    drawn = mining.negatives(spark.range(200).select(F.col("id").alias("query_id"), F.concat(F.lit("f"), "id").alias("positive")), pool, 4).collect()
+    assert len({(r["query_id"], r["negative"]) for r in drawn}) == 800 and all(r["positive"] != r["negative"] for r in drawn)
+    seeds = mining.click_seeds(spark.createDataFrame([("q", "b", ["a", "b", "c", "d", "e", "f"], 1), ("r", None, ["a"], 2), ("s", "x", None, 3)], "query string, clicked_chunk string, results array<string>, ts int"))
+    assert sorted((r["query"], r["positive"], r["negatives"]) for r in seeds.collect()) == [("q", "b", ["a", "c", "d", "e"]), ("s", "x", [])]
+    texts = spark.createDataFrame([("p", "text"), ("n", " "), ("m", "more")], "path string, text string")
+    cleaned = mining.clean_triplets(spark.createDataFrame([(" q ", "p", "m"), ("q", "p", "n"), ("q", "p", "gone"), ("", "p", "m")], "query string, positive string, negative string"))
+    kept, counts = mining.with_texts(cleaned, texts)
+    assert [(r["query"], r["negative_text"]) for r in kept.collect()] == [("q", "more")] and tuple(counts.first()) == (1, 1, 1)
 
 
 def test_evaluation(spark):
@@ -166,6 +238,11 @@ def test_evaluation(spark):
     assert rows[2]["reciprocal_rank"] == 0 and not rows[2]["topk_hit"]
     series = spark.createDataFrame([("a", float(50 + 10 * i)) for i in range(10)], "k string, v double")
     assert evaluation.ceil_percentile(series, "k", "v", 0.95, "p").first()["p"] == 140.0
+    many = [(g, float((i * 7919) % 1000 // d)) for g, d in (("x", 1), ("y", 50), ("z", 2000)) for i in range(1000)]
+    for p in (0.0, 0.5, 0.95, 1.0):
+        found = {r["k"]: r["p"] for r in evaluation.ceil_percentile(spark.createDataFrame(many, "k string, v double"), "k", "v", p, "p").collect()}
+        assert found == {g: sorted(v for k, v in many if k == g)[math.ceil(p * 999)] for g in "xyz"}
+    assert evaluation.depth() == 20
     labels = spark.createDataFrame([(0, "x", 1.0), (1, "y", 0.5), (2, "z", 1.0)], "row int, key string, label double")
     assert evaluation.profile(labels).first()["label_kind"] == "graded"
 
@@ -179,7 +256,7 @@ def test_cost(spark):
 
 
 def test_files(spark, tmp_path):
-    for name, content in {"a.py": "x", "b.log": "y", "keep/b.log": "z", "node_modules/c.js": "n", "bin.dat": "a\0b"}.items():
+    for name, content in {"a.py": "x", "b.log": "y", "keep/b.log": "z", "node_modules/c.js": "n", "bin.dat": "a\0b", "late.dat": "\x10\nA\0"}.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text(content)
     found = files.list_files(spark, str(tmp_path), ignore=["*.log", "!keep/b.log"])
@@ -190,8 +267,139 @@ def test_files(spark, tmp_path):
     rows = spark.createDataFrame([("a/b",), ("../x",), ("/etc",)], "p string")
     assert [r[0] for r in rows.select(files.contained(F.col("p"))).collect()] == [True, False, False]
     assert spark.range(1).select(files.clean_sources(F.array(F.lit(" a"), F.lit("a"), F.lit(""), F.lit("b")))).first()[0] == ["a", "b"]
-    assert spark.range(1).select(files.language(F.lit("x/y.PY"))).first()[0] == "python"
+    assert spark.range(1).select(*[files.language(F.lit(f"x/y.{e}")) for e in ("PY", "sh", "kt", "toml", "swift", "rb")]).first()[:] == ("python", "shell", "kotlin", "toml", "swift", None)
+    assert sorted(r["path"] for r in files.list_files(spark, str(tmp_path), include=["*.log", "a.*"]).collect()) == ["a.py", "b.log", "keep/b.log"]
+    for name, content in {".gitignore": "*.tmp\n/top.txt", "sub/.gitignore": "top.txt\n!x.tmp", "top.txt": "1", "x.tmp": "1", "sub/top.txt": "1", "sub/x.tmp": "1", "sub/y.tmp": "1", "other/top.txt": "1"}.items():
+        (tmp_path / "rules" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "rules" / name).write_text(content)
+    rules = files.folder_rules(files.read_rules(spark, str(tmp_path / "rules")))
+    assert sorted(r["path"] for r in files.list_files(spark, str(tmp_path / "rules"), ignore=rules, include=["*.txt", "*.tmp"]).collect()) == ["other/top.txt", "sub/x.tmp"]
     new = files.upsert(spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), spark.createDataFrame([(2, "c")], "k int, v string"), ["k"])
     assert sorted(map(tuple, new.collect())) == [(1, "a"), (2, "c")]
     blocks = files.block_offsets(spark.createDataFrame([("f", 0, "a\nb"), ("f", 1, "c")], "file_path string, block int, content string")).orderBy("block").collect()
     assert [(r["char_offset"], r["line_offset"]) for r in blocks] == [(0, 0), (3, 1)]
+
+
+def test_logs_runs_and_corpora(spark, tmp_path):
+    rows = spark.createDataFrame([(None, "search", "e", "q" * 3000), ("2024", "chat", "f", "x")], "ts string, kind string, event_id string, query string")
+    files.append_log(rows, str(tmp_path / "log"))
+    found = {r["event_id"]: r for r in files.read_log(spark, str(tmp_path / "log")).collect()}
+    assert len(found["e"]["query"]) == 2000 and found["e"]["ts"] and found["f"]["ts"] == "2024"
+    for started in (1, 2, 3):
+        files.save_run(spark.createDataFrame([(f"r{started}", started, 0.5)], "run_id string, started_at int, mrr double"), str(tmp_path / "runs"))
+    assert [r["run_id"] for r in files.latest_runs(spark.read.json(str(tmp_path / "runs")), 2).collect()] == ["r3", "r2"]
+    files.write_corpus(spark.createDataFrame([("a", 1), ("b", 2)], "corpus_id string, n int"), str(tmp_path / "chunks"))
+    files.write_corpus(spark.createDataFrame([("b", 3)], "corpus_id string, n int"), str(tmp_path / "chunks"))
+    table = spark.read.parquet(str(tmp_path / "chunks"))
+    assert sorted((r["corpus_id"], r["n"]) for r in table.collect()) == [("a", 1), ("b", 3)]
+    assert files.without_corpus({"t": table}, "a")["t"].count() == 1
+    files.split_named_texts(spark.createDataFrame([("x.txt", "one"), ("y.txt", " ")], "filename string, text string"), str(tmp_path / "named"))
+    assert [p.name for p in (tmp_path / "named").iterdir() if p.is_dir()] == ["filename=x.txt"]
+    (tmp_path / "data.json").write_text(json.dumps([{"question": "q", "expected_chunks": ["a"]}, {"entry_id": "no question"}]))
+    assert [r["expected_paths"] for r in files.read_dataset(spark, str(tmp_path / "data.json")).collect()] == [["a"]]
+    (tmp_path / "t.csv").write_text("a, b\n1,2\n")
+    assert sorted(r["line"] for r in files.read_csv_lines(spark, str(tmp_path / "t.csv")).collect()) == ["1\t2", "a\tb"]
+    assert files.read_texts(spark, str(tmp_path / "t.csv")).first()["content"] == "a, b\n1,2\n"
+
+
+def test_filters(spark):
+    rows = [("src/gen/a.py", "x"), ("src/a.min.js", "x"), ("src/b.py", "All Rights reserved"), ("src/c.py", None)]
+    kept = spark.createDataFrame(rows, "p string, c string").where(~files.excluded(F.col("p"), F.col("c"), ["GEN/"], ["*.min.js", ""], ["rights"]))
+    assert [r["p"] for r in kept.collect()] == ["src/c.py"]
+    chunks = spark.createDataFrame([("f", 1, "a", '{"chunk_ordinal": "2"}'), ("f", 1, "b", '{"chunk_ordinal": ""}'), ("f", 1, "c", '{"chunk_ordinal": 1}'), ("f", 1, "d", None), ("g", 1, "e", '{"chunk_ordinal": 1}')], "file_path string, start_line int, chunk_id string, metadata string")
+    assert [r["chunk_id"] for r in files.with_ordinals(chunks, "f", [1, 2]).collect()] == ["c", "a"]
+
+
+def test_embedding_hooks(spark):
+    import numpy as np
+    import pandas as pd
+
+    from siltstone.functions import tokenizer
+    from siltstone.operators import embedding
+
+    plain = tokenizer.TokenizerConfig()
+    assert tokenizer.truncated("a b  c d", 2, plain) == "a b  " and tokenizer.truncated("a b c d e", 3, plain, "truncate_middle") == "a …d e"
+    assert tokenizer.truncated("ﬁ A", 9, tokenizer.TokenizerConfig(lowercase=True)) == "fi a" and tokenizer.same_length("ﬁ A", tokenizer.TokenizerConfig(lowercase=True)) == "ﬁ a"
+    assert tokenizer.count("abcde", tokenizer.TokenizerConfig("estimate")) == 2
+    with pytest.raises(ValueError):
+        tokenizer.truncated("a b", 1, plain, "error")
+    rows = spark.createDataFrame([(1, "one two"), (2, None)], "id int, t string")
+    config = embedding.EmbeddingConfig(dim=4, prefix="<", suffix=">")
+    assert [r["prepared"] for r in embedding.prepare(rows, "t", config).orderBy("id").collect()] == ["<one two>", "<>"]
+    given = embedding.embed(rows, "id", "t", lambda texts: np.array([[len(t), 0, 0, 1] for t in texts]), config).orderBy("id").collect()
+    assert [r["embedding"] for r in given] == [[9, 0, 0, 1], [2, 0, 0, 1]]
+    with pytest.raises(Exception, match="embeddings of shape"):
+        embedding.embed(rows, "id", "t", lambda texts: np.zeros((len(texts), 3)), config).collect()
+    text = "\n".join(f"w{i} x" for i in range(30))
+    files_ = spark.createDataFrame([("c", "f", text), ("c", "g", "")], "corpus_id string, file_path string, content string")
+    found = embedding.late_chunks(files_, config=embedding.EmbeddingConfig(dim=8), chunking=ChunkConfig(target_tokens=20, overlap_tokens=5)).collect()
+    assert [r["chunk_ordinal"] for r in found] == [0, 1, 2, 3] and found[-1]["char_end"] == len(text)
+    vectors = embedding.hashed_tokens(8)
+    for r in found:
+        assert r["start_line"] == 1 + text[: r["char_start"]].count("\n") and r["end_line"] == 1 + text[: r["char_end"]].count("\n")
+        piece = text[r["char_start"] : r["char_end"]]
+        mean = vectors(piece, tokenizer.token_spans(piece, plain)).mean(0)
+        assert np.allclose(r["embedding"], mean / np.linalg.norm(mean)) and r["token_count"] == len(piece.split())
+    hits_ = spark.createDataFrame([(1, "a", 0.5, 1, "q", "x"), (1, "b", 0.4, 2, "q", "q"), (2, "a", 0.5, 1, " ", "x")], "query_id int, chunk_id string, score double, rank int, question string, content string")
+    order = lambda model: {(r["query_id"], r["rank"]): (r["chunk_id"], r["skipped_reason"]) for r in fusion.rerank(hits_, model).collect()}
+
+    def failing(questions: pd.Series, texts: pd.Series) -> pd.Series:
+        raise RuntimeError("no")
+
+    assert order(fusion.overlap_reranker) == {(1, 1): ("b", None), (1, 2): ("a", None), (2, 1): ("a", "empty_query")}
+    assert order(None)[(1, 1)] == ("a", "missing_model") and order(failing)[(1, 1)] == ("a", "error")
+
+
+def brute_mmr(rows, k, lam):
+    def similarity(a, b):
+        if a[3] is not None and b[3] is not None:
+            return sum(x * y for x, y in zip(a[3], b[3])) / math.sqrt(sum(x * x for x in a[3]) * sum(y * y for y in b[3]))
+        x, y = set(a[2].split()), set(b[2].split())
+        return len(x & y) / len(x | y)
+
+    left, chosen = list(rows), []
+    while left and len(chosen) < k:
+        best = max(left, key=lambda r: (lam * r[1] - (1 - lam) * max([similarity(r, c) for c in chosen], default=0), -rows.index(r)))
+        left.remove(best)
+        chosen.append(best)
+    return [r[0] for r in chosen]
+
+
+def test_diversification_against_brute_force(spark):
+    import random
+
+    random.seed(2)
+    for vectors in (False, True):
+        rows = [(f"c{i}", round(1 - i / 40, 4), " ".join(random.choices(["aa", "bb", "cc", "dd", "ee"], k=4)), [random.random() - 0.5 for _ in range(3)] if vectors else None) for i in range(25)]
+        hits_ = spark.createDataFrame([(1, c, s, i + 1, t, v) for i, (c, s, t, v) in enumerate(rows)], "query_id int, chunk_id string, score double, rank int, text string, embedding array<double>")
+        found = fusion.mmr(hits_.withColumn("words", fusion.word_set(F.col("text"))), 8, 0.6).orderBy("rank").collect()
+        assert [r["chunk_id"] for r in found] == brute_mmr(rows, 8, 0.6)
+
+
+def test_config_and_engine(spark):
+    from siltstone.engine import Engine
+
+    assert stats.flat_config({"a": SearchConfig(), "b": {"c": 1}})["a.top_k"] == 50 and stats.flat_config({"b": {"c": 1}}) == {"b.c": 1}
+    assert stats.patched(ChunkConfig(), {"size": 400}).size == 400
+    with pytest.raises(ValueError):
+        stats.patched(ChunkConfig(), {"size": 100})
+    with pytest.raises(TypeError):
+        stats.patched(ChunkConfig(), {"nothing": 1})
+    rows = [("c", "f", "f:0", "red fox"), ("c", "g", "g:0", "blue fox"), ("d", "h", "h:0", "green")]
+    chunks = spark.createDataFrame(rows, "corpus_id string, file_path string, chunk_id string, content string")
+    vectors = spark.createDataFrame([("c", "f:0", [1.0, 0.0]), ("d", "h:0", [0.0, 1.0])], "corpus_id string, chunk_id string, embedding array<double>")
+    engine = Engine(sparse.index_of(chunks), chunks, vectors)
+    asked, queries = spark.createDataFrame([(1, "red fox")], "query_id int, question string"), spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, query array<double>")
+    assert [r["chunk_id"] for r in engine.search(asked, queries).orderBy("rank").collect()][0] == "f:0"
+    assert {r["chunk_id"] for r in engine.search(asked, mode="sparse").collect()} == {"f:0", "g:0"}
+    assert {r["corpus_id"] for r in engine.search(asked, queries, corpora=["d"]).collect()} == {"d"}
+    assert engine.answer(asked, mode="sparse").first()["context"].startswith("[1] f\nred fox")
+    with pytest.raises(ValueError):
+        engine.search(asked, mode="dense")
+    assert "corpus_chunks" in engine.register_views() and spark.sql("SELECT count(*) FROM corpus_chunks").first()[0] == 3
+
+
+def test_python_concepts_and_keys(spark):
+    texts = spark.createDataFrame([("1", "Use `load_file` with ThingMaker; helper imported from tools.io")], "chunk_id string, content string")
+    r = graph.docstring_concepts(texts).first()
+    assert r["concepts"] == ["load_file", "ThingMaker"] and (r["imported"], r["imported_from"]) == ("helper", "tools.io")

@@ -1,4 +1,11 @@
-"""Corpus pipeline: stages that turn documents into packed training sequences."""
+"""Corpus pipeline: stages that turn documents into packed training sequences.
+
+Defined results: a document without text or without a letter has no language and is dropped by the
+first stage. A null source is a source of its own; a null language is filled in by the first stage.
+Repeated rows are copies of each other, of which the second stage keeps one. Of equal candidates the
+smallest ``doc_id`` stays, null last. An empty table gives no rows. Long texts are read whole. Extra
+columns, whatever their names, pass through all stages but the last, which returns pieces.
+"""
 
 from __future__ import annotations
 

@@ -1,6 +1,9 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import datetime
+
 import pytest
+from pyspark.sql import functions as F
 
 from siltstone.llm import credentials, curriculum, host_paths, langid, media, order_minhash, perplexity, rotation, slack_packing, url_lists
 
@@ -66,3 +69,64 @@ def test_pages_and_media(spark):
     assert host_paths.extract(pages).count() == 5
     assert found[2]["text"] == "" and found[2]["n_chars"] == 0 and found[1]["text"] == "one"
     assert media.sequences(pages, "html", ["page_id"]).where("page_id in (2, 3)").count() == 0
+
+
+def test_pipeline_stages(spark, docs):
+    import corpus_pipeline
+
+    for rows in (docs, docs.limit(0), docs.where("text is null"), docs.withColumn("lang", F.lit(None).cast("string")).withColumn("source", F.lit(None).cast("string"))):
+        n = rows.count()
+        for name, apply in corpus_pipeline.STAGES:
+            found = apply(spark, rows, "")
+            kept = found.count()
+            assert name == corpus_pipeline.STAGES[-1][0] or found.columns == docs.columns
+            assert kept == n if name == "secret scans" else kept >= n if name == "best-fit packing" else n == 0 or kept <= 3 * n, name
+
+
+def test_media_edges(spark, monkeypatch):
+    rows = [(1, "", "d", 1), (2, None, "d", 1), (1, "", "d", 1), (3, LONG, "d", 1), (4, "a < b & c\n\n<img src='x'>", "d", 1)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, digest string, position int")
+    for given in (table, table.limit(0)):
+        monkeypatch.setattr(media, "read_table", lambda *_, t=given: t)
+        found = media.op6_interleaved_media(spark, "").collect()
+        assert len(found) == given.count()
+    monkeypatch.setattr(media, "read_table", lambda *_: table)
+    found = {r["doc_id"]: r for r in media.op6_interleaved_media(spark, "").collect()}
+    assert found[1]["n_bytes"] == found[2]["n_bytes"] == 0 and found[1]["payload_bytes"] == 64 and found[1]["feature"] == found[2]["feature"]
+    assert found[3]["n_items"] == 2 and found[4]["n_items"] == 3 and found[4]["position"] == 1
+    items = media.sequences(spark.createDataFrame([(1, "<img src=a><img src=a>", 7)], "id long, page string, position int"), "page", ["id"])
+    payloads = spark.createDataFrame([], "digest string, payload_bytes long")
+    assert [(r["position"], r["resolved"]) for r in media.resolve(items, payloads).orderBy("position").collect()] == [(0, False), (1, False)]
+
+
+def test_rotation_edges(spark):
+    schema = "conv_id long, turn long, role string, text string, participant string, run int, seq int, length int"
+    rows = [(1, i, f"s{i % 3}", f"turn {i}", "p", 1, 1, 1) for i in range(400)] + [(2, 0, "a", "x", "p", 1, 1, 1)] * 3 + [(3, None, "a", LONG, "p", 1, 1, 1)]
+    found = rotation.rotate(spark.createDataFrame(rows, schema)).collect()
+    assert len(found) == 1200 + 3 + 1
+    for p in ("s0", "s1", "s2"):
+        mine = sorted((r for r in found if r["conv_id"] == 1 and r["participant"] == p), key=lambda r: r["seq"])
+        assert [r["turn"] for r in mine] == list(range(400)) and all(a["char_end"] == b["char_start"] for a, b in zip(mine, mine[1:]))
+    assert sorted(r["seq"] for r in found if r["conv_id"] == 2) == [0, 1, 2]
+
+
+def test_list_edges(spark):
+    day = datetime.date(2024, 1, 5)
+    captures = spark.createDataFrame([("http://a.example/x", day, "own", 1)] * 3 + [("http://[::1]:80/", day, "own", 2), ("http://b.a.example", None, "own", 3)], "url string, fetched date, list_key string, salt int")
+    entries = [("a.example", day, "block", 1), ("a.example", day, "block", 2), ("a.example", day, "allow", 3), ("example", day, "allow", 1), ("[::1]", day, "block", 1), (None, day, "block", 1), ("b.a.example", None, "block", 1)]
+    found = url_lists.decide(captures, spark.createDataFrame(entries, "list_key string, effective date, action string, url int")).collect()
+    assert len(found) == 5 and [r["decision"] for r in found if r["url"] == "http://a.example/x"] == ["block"] * 3
+    by_url = {r["url"]: r for r in found}
+    assert by_url["http://[::1]:80/"]["decision"] == "block" and by_url["http://b.a.example"]["decision"] == "none" and by_url["http://[::1]:80/"]["list_key"] == "own"
+
+
+def test_repeated_rows_share(spark):
+    rows = [(1, "one two three four", "a")] * 4 + [(2, "five six", "b")] * 2
+    found = curriculum.assign(spark.createDataFrame(rows, "doc_id long, text string, source string"), ["doc_id"]).collect()
+    taken = [r["taken"] for r in found if r["doc"]["doc_id"] == 1]
+    assert len(found) == 6 and abs(sum(taken) - next(r["target"] for r in found if r["doc"]["doc_id"] == 1)) <= 1 and all(0 <= x <= 12 for x in taken)
+
+
+def test_repeated_rows_are_packed_each(spark):
+    pieces = slack_packing.pack_documents(spark.createDataFrame([(1, "one two three")] * 5 + [(None, "x")] * 2, "doc_id long, text string")).collect()
+    assert len(pieces) == 7 and len({(p["sequence_id"], p["offset"]) for p in pieces}) == 7

@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.mining import POSITIVE
 from ..sources.files import upsert
+from ..sources.shared import exists
 
 
 def event_stream(spark: SparkSession, path: str, schema, ts: str = "ts") -> DataFrame:
@@ -49,27 +50,37 @@ def conversation_sessions(turns: DataFrame, gap: str = "5 seconds", late: str =
     return grouped.agg(F.count("*").alias("n_turns"), F.max("turn").alias("last_turn")).select("conv_id", F.col("s.start").alias("started"), F.col("s.end").alias("ended"), "n_turns", "last_turn")
 
 
-def keep_last(target: str, key: str, order: str, n: int) -> Callable[[DataFrame, int], None]:
-    """Batch writer that keeps the last ``n`` rows of each key in a table by batch (X4): a batch's
-    own last rows are written; readers take the last ``n`` over all."""
+def _merge_buckets(target: str, keys: list[str], buckets: int, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """Batch writer into a table of hashed buckets: a batch reads and replaces the buckets of its own keys
+    alone. ``merge`` (old rows, batch) must give the same if a batch is tried again."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        w = Window.partitionBy(key).orderBy(F.desc(order))
-        batch.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= n).drop("nth").write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        spark = batch.sparkSession
+        new = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        if exists(spark, target):
+            touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # as many as there are buckets, at most
+            new = merge(spark.read.parquet(target).where(F.col("bucket").isin(touched)).select(new.columns), new)
+        else:
+            new = merge(new.limit(0), new)
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(target)
 
     return write
 
 
-def upsert_into(target: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """Batch writer that upserts chunks (X5): each batch gives a new version of the table, so a
-    batch that is tried again writes the same version."""
+def keep_last(target: str, key: str, order: str, n: int, buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """Batch writer that keeps the last ``n`` rows of each key (X4), told apart by ``order``."""
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        old = spark.read.parquet(f"{target}/version={batch_id - 1}") if batch_id else batch.limit(0)
-        upsert(old, batch, keys).write.mode("overwrite").parquet(f"{target}/version={batch_id}")
+    def merge(old: DataFrame, new: DataFrame) -> DataFrame:
+        w = Window.partitionBy(key).orderBy(F.desc(order))
+        once = old.unionByName(new).dropDuplicates([key, order])
+        return once.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= n).drop("nth")
 
-    return write
+    return _merge_buckets(target, [key], buckets, merge)
+
+
+def upsert_into(target: str, keys: list[str], buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """Batch writer that upserts chunks."""
+    return _merge_buckets(target, keys, buckets, lambda old, new: upsert(old, new, keys))
 
 
 def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:

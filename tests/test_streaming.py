@@ -26,7 +26,35 @@ def test_mined_triplets(spark, tmp_path):
 
 
 def test_upsert_batches(spark, tmp_path):
-    write = jobs.upsert_into(str(tmp_path), ["k"])
-    write(spark.createDataFrame([(1, "a")], "k int, v string"), 0)
-    write(spark.createDataFrame([(1, "b"), (2, "c")], "k int, v string"), 1)
-    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/version=1").collect())) == [(1, "b"), (2, "c")]
+    target = str(tmp_path / "t")
+    write = jobs.upsert_into(target, ["k"], 4)
+    second = spark.createDataFrame([(1, "b"), (2, "c")], "k int, v string")
+    write(spark.createDataFrame([(k, "a") for k in (1, 3, 4, 5, 6, 7)], "k int, v string"), 0)
+    write(second, 1)
+    write(second, 1)  # tried again
+    assert sorted((r["k"], r["v"]) for r in spark.read.parquet(target).collect()) == [(1, "b"), (2, "c"), *((k, "a") for k in (3, 4, 5, 6, 7))]
+
+
+def test_last_rows_are_kept(spark, tmp_path):
+    target = str(tmp_path / "t")
+    write = jobs.keep_last(target, "k", "ts", 3, 4)
+    for batch in (range(4), range(4, 6), range(4, 6)):
+        write(spark.createDataFrame([(k, ts) for k in ("a", "b") for ts in batch] + [("c", 0)], "k string, ts int"), 0)
+    found = sorted((r["k"], r["ts"]) for r in spark.read.parquet(target).collect())
+    assert found == [(k, ts) for k in ("a", "b") for ts in (3, 4, 5)] + [("c", 0)]
+
+
+def test_sessions_and_latency_buckets(spark, tmp_path):
+    rows = [("c1", i, f"2024-01-01 00:00:0{i}") for i in range(3)] + [("c2", 0, "2024-01-01 00:00:00"), ("c2", 1, "2024-01-01 00:00:20"), ("c3", 0, "2024-01-02 00:00:00")]
+    t = spark.createDataFrame(rows, "conv_id string, turn int, ts string").withColumn("ts", F.to_timestamp("ts"))
+    t.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = jobs.event_stream(spark, str(tmp_path / "in"), t.schema)
+    jobs.run_once(jobs.conversation_sessions(stream), str(tmp_path / "out"), str(tmp_path / "cp"))
+    found = sorted((r["conv_id"], r["n_turns"], r["last_turn"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert set(found) <= {("c1", 3, 2), ("c2", 1, 0), ("c2", 1, 1), ("c3", 1, 0)} and ("c1", 3, 2) in found
+    valued = t.withColumn("value", F.col("turn").cast("double"))
+    valued.write.parquet(str(tmp_path / "in2"))
+    stream = jobs.event_stream(spark, str(tmp_path / "in2"), valued.schema)
+    jobs.run_once(jobs.latency_buckets(stream, lambda v: F.ceil(v)), str(tmp_path / "out2"), str(tmp_path / "cp2"))
+    n = {(str(r["window_start"]), r["upper"]): r["n"] for r in spark.read.parquet(str(tmp_path / "out2")).collect()}
+    assert n.get(("2024-01-01 00:00:00", 0)) == 2

@@ -332,10 +332,16 @@ def rerank_blend(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(f"""WITH {TOP_CHUNKS_SQL}, texts AS (
+  SELECT t.query_id, t.chunk_id, t.score, t.rank, list_distinct(string_split(q.question, ' ')) AS asked, regexp_split_to_array(trim(lower(substr(c.content, 1, 700)), ' ' || chr(9) || chr(10) || chr(13)), '[ \\t\\n\\r]+') AS said
+  FROM top_chunks t JOIN chunks c USING (chunk_id) JOIN questions q USING (query_id) WHERE t.rank <= 60
+), hits AS (SELECT *, CASE WHEN rank <= 50 THEN len(list_filter(asked, lambda w: list_contains(said, w))) / len(asked)::double ELSE 0 END AS rr FROM texts
+), spans AS (SELECT *, min(CASE WHEN rank <= 50 THEN score END) OVER q AS lo, max(CASE WHEN rank <= 50 THEN score END) OVER q AS hi, min(CASE WHEN rank <= 50 THEN rr END) OVER q AS rlo, max(CASE WHEN rank <= 50 THEN rr END) OVER q AS rhi FROM hits WINDOW q AS (PARTITION BY query_id)
+), blended AS (SELECT query_id, chunk_id, rank, CASE WHEN rank <= 50 THEN round(0.3::double * CASE WHEN hi - lo <= 1e-12 THEN 0 ELSE (score - lo) / (hi - lo) END + 0.7::double * CASE WHEN rhi - rlo <= 1e-12 THEN 0 ELSE (rr - rlo) / (rhi - rlo) END, 9) ELSE score END AS b FROM spans)
+SELECT query_id, chunk_id, round(b, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY (rank > 50)::int, CASE WHEN rank <= 50 THEN -b END, CASE WHEN rank <= 50 THEN chunk_id END, rank)::int AS rank, NULL::varchar AS skipped_reason FROM blended""")
 def lexical_rerank(spark: SparkSession, sf: str) -> DataFrame:
     hits = top_chunks(spark, sf, 60).join(T.chunks(spark, sf).select("chunk_id", "content"), "chunk_id").join(small(T.questions(spark, sf)), "query_id")
-    return fusion.rerank(hits)
+    return fusion.rerank(hits).withColumn("score", F.round("score", 6))
 
 
 @query(f"""WITH {TOP_CHUNKS_SQL}, hits AS (SELECT query_id, chunk_id, score, rank FROM top_chunks WHERE rank <= 20), both_ AS (
@@ -378,11 +384,24 @@ def hydrate_ordered(spark: SparkSession, sf: str) -> DataFrame:
     return found.select((F.col("pos") + 1).alias("pos"), "chunk_id", "corpus_id").orderBy("pos")
 
 
-@query()
+RECALL_SQL = """said AS (SELECT conv_id, turn, string_split(regexp_replace(trim(text), '([.!?])[ \\t\\n\\r\\f\\v]+', '\\1' || chr(1), 'g'), chr(1)) AS ps FROM conversations WHERE role IN ('user', 'assistant') AND text IS NOT NULL
+), kept AS (SELECT conv_id, turn, list_filter(ps, lambda p: trim(p) <> '') AS ps FROM said
+), memory AS (SELECT 'recall:' || conv_id || ':' || turn || ':' || part AS chunk_id, regexp_extract_all(lower(ps[part + 1]), '[\\p{L}\\p{N}_]+') AS ws FROM (SELECT conv_id, turn, unnest(range(0, len(ps))) AS part, ps FROM kept)
+), asked AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')[1:8]) AS term FROM benchmark
+), post AS (SELECT chunk_id, len(ws) AS n, term, count(*) AS tf FROM (SELECT chunk_id, ws, unnest(ws) AS term FROM memory) GROUP BY ALL
+), t AS (SELECT count(*) AS n_chunks, avg(len(ws)) AS avg_length FROM memory WHERE len(ws) > 0), d AS (SELECT term, count(*) AS df FROM post GROUP BY term
+), bm25 AS (SELECT a.query_id, p.chunk_id, round(sum(ln(1 + (n_chunks - df + 0.5::double) / (df + 0.5::double)) * tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * n / avg_length))), 6) AS score FROM post p JOIN asked a USING (term) JOIN d USING (term), t GROUP BY ALL
+), hits AS (SELECT *, split_part(chunk_id, ':', 2)::bigint * 3600 + split_part(chunk_id, ':', 3)::bigint * 60 AS ts FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM bm25) WHERE r <= 5
+), w AS (SELECT *, max(score) OVER q AS top, min(ts) OVER q AS lo, max(ts) OVER q AS hi FROM hits WINDOW q AS (PARTITION BY query_id)
+), blended AS (SELECT query_id, chunk_id, CASE WHEN hi > lo THEN 0.7::double * CASE WHEN top > 0 THEN score / top ELSE score END + 0.3::double * (ts - lo) / (hi - lo) ELSE score END AS b FROM w)"""
+
+
+@query(f"WITH {RECALL_SQL} SELECT query_id, chunk_id, round(b, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(b, 9) DESC, chunk_id)::int AS rank FROM blended")
 def recall_search(spark: SparkSession, sf: str) -> DataFrame:
     """Chat memory: keyword search over message chunks, newer turns preferred."""
     memory = message_chunks(T.turns(spark, sf)).select(F.lit("recall_default").alias("corpus_id"), "chunk_id", "content", "conv_id")
-    hits = sparse.best(sparse.bm25(sparse.index_of(memory), T.questions(spark, sf, 8)), 5)
+    scored = sparse.bm25(sparse.index_of(memory), T.questions(spark, sf, 8)).withColumn("score", F.round("score", 6))
+    hits = sparse.best(scored, 5)
     ts = F.split("chunk_id", ":")[1].cast("long") * 3600 + F.split("chunk_id", ":")[2].cast("long") * 60
     blended = fusion.recency_blend(hits.withColumn("ts", ts), 0.3)
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("blended", 9)), "chunk_id")

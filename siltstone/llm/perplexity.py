@@ -131,8 +131,13 @@ def language_of(docs: DataFrame, config: PerplexityConfig) -> Column:
     return F.when(F.col("lang").isin(large), F.col("lang")).otherwise("") if large else F.lit("")
 
 
+FOLDS = (0, 1)
+GRAM = ["lang", "high", "low"]
+
+
 def count_grams(texts: DataFrame) -> DataFrame:
-    """Rows (lang, fold, high, low, n) from rows (lang, fold, text), summed in each batch before the shuffle."""
+    """Rows (lang, high, low, n0, n1) with a gram's counts in both folds, from rows (lang, fold, text),
+    summed in each batch before the shuffle."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -141,13 +146,10 @@ def count_grams(texts: DataFrame) -> DataFrame:
                 for a, b in chunks(rows):
                     grams, _ = gram_stream(rows[a:b])
                     _, at, n = np.unique(keys_of(grams), return_index=True, return_counts=True)
-                    yield pd.DataFrame({"lang": lang, "fold": fold, "high": grams[0][at], "low": grams[1][at], "n": n})
-
-    counted = texts.mapInPandas(run, "lang string, fold int, high long, low long, n long")
-    return counted.groupBy("lang", "fold", "high", "low").agg(F.sum("n").alias("n"))
-
+                    yield pd.DataFrame({"lang": lang, "high": grams[0][at], "low": grams[1][at], "n0": n * (fold == 0), "n1": n * (fold == 1)})
 
-GRAM = ["model", "high", "low"]
+    counted = texts.mapInPandas(run, "lang string, high long, low long, n0 long, n1 long")
+    return counted.groupBy(*GRAM).agg(*[F.sum(f"n{f}").alias(f"n{f}") for f in FOLDS])
 
 
 def suffix_columns(order: int) -> list[Column]:
@@ -160,81 +162,86 @@ def context_columns() -> list[Column]:
 
 
 def discounts(counts: DataFrame) -> DataFrame:
-    """Modified Kneser-Ney discounts of one order, a row for each model."""
-    n = counts.groupBy("model").agg(*[F.sum((F.col("n") == i).cast("double")).alias(f"n{i}") for i in (1, 2, 3, 4)])
-    y = F.when(F.col("n1") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(F.lit(0.5))
+    """Modified Kneser-Ney discounts of one order, a row for each language with those of both folds."""
+    n = counts.groupBy("lang").agg(*[F.count_if(F.col(f"n{f}") == i).cast("double").alias(f"n{f}_{i}") for f in FOLDS for i in (1, 2, 3, 4)])
 
-    def discount(i: int) -> Column:
-        value = F.lit(float(i)) - (i + 1) * y * F.col(f"n{i + 1}") / F.when(F.col(f"n{i}") > 0, F.col(f"n{i}"))
-        return F.least(F.greatest(F.coalesce(value, F.lit(0.5)), F.lit(0.05)), F.lit(i - 0.05)).alias(f"d{i}")
+    def discount(f: int, i: int) -> Column:
+        of = lambda k: F.col(f"n{f}_{k}")
+        y = F.when(of(1) > 0, of(1) / (of(1) + 2 * of(2))).otherwise(F.lit(0.5))
+        value = F.lit(float(i)) - (i + 1) * y * of(i + 1) / F.when(of(i) > 0, of(i))
+        return F.least(F.greatest(F.coalesce(value, F.lit(0.5)), F.lit(0.05)), F.lit(i - 0.05)).alias(f"d{f}_{i}")
 
-    return n.select("model", *[discount(i) for i in (1, 2, 3)])
+    return n.select("lang", *[discount(f, i) for f in FOLDS for i in (1, 2, 3)])
+
+
+def in_both(a: str, b: str) -> Column:
+    return (F.col(a) > 0) & (F.col(b) > 0)
 
 
 def kneser_ney(counts: DataFrame) -> tuple[list[DataFrame], list[DataFrame], DataFrame]:
-    """Tables (model, high, low, p) of orders 1 to ORDER and (model, high, low, backoff) of contexts of
-    1 to ORDER - 1 characters, and rows (model, p) for a character never seen, from the counts (model,
-    high, low, n) of the highest order.
+    """Tables (lang, high, low, p0, p1) of orders 1 to ORDER and (lang, high, low, b0, b1) of contexts of 1 to
+    ORDER - 1 characters, both less what isn't in both folds, and rows (lang, p0, p1) for a character
+    never seen, from the counts (lang, high, low, n0, n1) of the highest order. A number at the end of a
+    name is the fold whose counts it is made of.
 
-    ``n`` of a lower order is the number of distinct characters seen before the gram. ``backoff``
-    is the weight of the lower order after a context.
+    ``n`` of a lower order is the number of distinct characters seen before the gram. A back-off
+    weight is that of the lower order after a context.
     """
     by_order = {ORDER: counts}
     for order in range(ORDER - 1, 0, -1):
-        by_order[order] = by_order[order + 1].groupBy("model", *suffix_columns(order)).agg(F.count("*").alias("n"))
+        longer = by_order[order + 1].groupBy("lang", *suffix_columns(order))
+        by_order[order] = stage(longer.agg(*[F.count_if(F.col(f"n{f}") > 0).alias(f"n{f}") for f in FOLDS]), f"grams-{order}")
     tables: list[DataFrame] = []
     backoffs: list[DataFrame] = []
     unseen = None
     for order in range(1, ORDER + 1):
-        t = by_order[order].join(F.broadcast(discounts(by_order[order])), "model")  # a row a model
-        d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+        t = by_order[order].join(F.broadcast(discounts(by_order[order])), "lang")  # a row a language
+        n = [F.col(f"n{f}") for f in FOLDS]
+        d = [F.when(n[f] == 0, 0.0).when(n[f] == 1, F.col(f"d{f}_1")).when(n[f] == 2, F.col(f"d{f}_2")).otherwise(F.col(f"d{f}_3")).alias(f"d{f}") for f in FOLDS]
         before = [c.alias(f"c_{name}") for c, name in zip(context_columns(), ("high", "low"))]
-        t = t.select(*GRAM, "n", d.alias("d"), *before)
-        weights = t.groupBy("model", "c_high", "c_low").agg(F.sum("n").alias("total"), F.sum("d").alias("kept"), F.count("*").alias("kinds"))
-        t = t.join(weights, ["model", "c_high", "c_low"])
-        own, left = (F.col("n") - F.col("d")) / F.col("total"), F.col("kept") / F.col("total")
+        t = t.select(*GRAM, "n0", "n1", *d, *before)
+        sums = [F.sum(f"{x}{f}").alias(f"{y}{f}") for f in FOLDS for x, y in (("n", "total"), ("d", "kept"))]
+        kinds = [F.count_if(F.col(f"n{f}") > 0).alias(f"kinds{f}") for f in FOLDS]
+        weights = stage(t.groupBy("lang", "c_high", "c_low").agg(*sums, *kinds).where(in_both("total0", "total1") if order > 1 else F.lit(True)), f"weights-{order}")
+        t = t.where(in_both("n0", "n1")).join(weights, ["lang", "c_high", "c_low"])
+        own, left = ([(F.col(f"n{f}") - F.col(f"d{f}")) / F.col(f"total{f}") for f in FOLDS], [F.col(f"kept{f}") / F.col(f"total{f}") for f in FOLDS])
         if order == 1:
-            each = left / (F.col("kinds") + 1)
-            t = t.select(*GRAM, (own + each).alias("p"))
-            unseen = weights.select("model", each.alias("p"))
+            each = [F.try_divide(F.col(f"kept{f}"), F.col(f"total{f}")) / (F.col(f"kinds{f}") + 1) for f in FOLDS]
+            t = t.select(*GRAM, *[(own[f] + each[f]).alias(f"p{f}") for f in FOLDS])
+            unseen = weights.select("lang", *[each[f].alias(f"p{f}") for f in FOLDS])
         else:
             shorter = [c.alias(f"s_{name}") for c, name in zip(suffix_columns(order - 1), ("high", "low"))]
-            lower = tables[-1].select("model", F.col("high").alias("s_high"), F.col("low").alias("s_low"), F.col("p").alias("lower"))
-            t = t.select("*", *shorter).join(lower, ["model", "s_high", "s_low"]).select(*GRAM, (own + left * F.col("lower")).alias("p"))
-            backoffs.append(weights.select("model", F.col("c_high").alias("high"), F.col("c_low").alias("low"), left.alias("backoff")))
+            lower = tables[-1].select("lang", F.col("high").alias("s_high"), F.col("low").alias("s_low"), *[F.col(f"p{f}").alias(f"lower{f}") for f in FOLDS])
+            t = t.select("*", *shorter).join(lower, ["lang", "s_high", "s_low"])
+            t = t.select(*GRAM, *[(own[f] + left[f] * F.col(f"lower{f}")).alias(f"p{f}") for f in FOLDS])
+            backoffs.append(weights.select("lang", F.col("c_high").alias("high"), F.col("c_low").alias("low"), *[left[f].alias(f"b{f}") for f in FOLDS]))
         tables.append(stage(t, f"order-{order}"))
     return tables, backoffs, unseen
 
 
-ENTRIES = "model string, slot int, key long, value float"
+ENTRIES = "lang string, part int, key long, value float"
 
 
 def entries(counts: DataFrame) -> DataFrame:
-    """Rows (model, slot, key, value) of all arrays from ``counts`` (lang, fold, high, low, n).
+    """Rows (lang, part, key, value) of all arrays from ``counts`` (lang, high, low, n0, n1).
 
+    ``part`` is the number of arrays of a model times the fold that it scores, plus the array's slot.
     Slots 0 to ORDER - 1 are log probabilities by order, the next ones back-off weights by length of
-    context, the last one a character never seen. The model of a fold is that of the other fold's
-    counts, less what doesn't occur in the fold.
+    context, the last one a character never seen. The model of a fold is that of the other fold's counts.
     """
-    named = lambda fold: counts.select(F.concat_ws("/", "lang", fold.cast("string")).alias("model"), "high", "low", "n")
-    asked = named(F.col("fold")).select(*GRAM)
-    tables, backoffs, unseen = kneser_ney(named(1 - F.col("fold")))
-    parts = []
-    for order, table in enumerate(tables, 1):
-        looked_up = asked.select("model", *suffix_columns(order)).distinct()
-        parts.append(table.join(looked_up, GRAM, "left_semi").select(*GRAM, F.lit(order - 1).alias("slot"), F.log("p").alias("value")))
-        if order < ORDER:
-            looked_up = asked.select("model", *suffix_columns(order + 1)).select("model", *context_columns()).distinct()
-            parts.append(backoffs[order - 1].join(looked_up, GRAM, "left_semi").select(*GRAM, F.lit(ORDER + order - 1).alias("slot"), F.log("backoff").alias("value")))
-    parts.append(unseen.select("model", F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(2 * ORDER - 1), F.log("p")))
-    every = functools.reduce(DataFrame.union, parts)
+    tables, backoffs, unseen = kneser_ney(counts)
+    lone = unseen.select("lang", F.lit(0).cast("long").alias("high"), F.lit(0).cast("long").alias("low"), *[F.col(f"p{f}") for f in FOLDS])
+    slots = [(t, "p") for t in tables] + [(t, "b") for t in backoffs] + [(lone, "p")]
+    parts = [t.select(*GRAM, F.lit(slot).alias("slot"), *[F.col(f"{x}{f}").alias(f"x{f}") for f in FOLDS]) for slot, (t, x) in enumerate(slots)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             keys = keys_of((pdf["high"].to_numpy(), pdf["low"].to_numpy())).view(np.int64)
-            yield pd.DataFrame({"model": pdf["model"], "slot": pdf["slot"], "key": keys, "value": pdf["value"].astype(np.float32)})
+            for fold in FOLDS:
+                made = pd.DataFrame({"lang": pdf["lang"], "part": pdf["slot"] + 2 * ORDER * fold, "key": keys, "value": np.log(pdf[f"x{1 - fold}"]).astype(np.float32)})
+                yield made[made["value"].notna()]
 
-    return every.mapInPandas(run, ENTRIES)
+    return functools.reduce(DataFrame.union, parts).mapInPandas(run, ENTRIES)
 
 
 NO_ENTRIES = (np.empty(0, np.int64), np.empty(0, np.float32))
@@ -276,16 +283,22 @@ class SortedArrays:
 
 
 def sorted_arrays(rows: DataFrame) -> dict[str, SortedArrays]:
-    """The entries as arrays on the driver."""
-    found = rows.toArrow()
-    models: dict[str, SortedArrays] = {}
-    for model in pc.unique(found["model"]).to_pylist():
-        one = found.filter(pc.equal(found["model"], model))
-        slot, key, value = (one[c].to_numpy() for c in ("slot", "key", "value"))
-        order = np.lexsort((key, slot))
-        ends = np.searchsorted(slot[order], np.arange(2 * ORDER + 1))
-        models[model] = SortedArrays({i: (key[order[a:b]], value[order[a:b]]) for i, (a, b) in enumerate(zip(ends, ends[1:])) if b > a})
-    return models
+    """The entries as arrays on the driver, by language and fold."""
+    langs = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
+    if not langs:
+        return {}
+    number = F.array_position(F.array(*map(F.lit, langs)), F.col("lang")).cast("int") - 1
+    found = rows.select((number * 4 * ORDER + F.col("part")).alias("place"), "key", "value").toArrow()
+    place, key, value = (found[c].to_numpy() for c in ("place", "key", "value"))
+    del found
+    order = np.lexsort((key, place))
+    place, key, value = place[order], key[order], value[order]
+    ends = np.searchsorted(place, np.arange(4 * ORDER * len(langs) + 1))
+    models: dict[str, dict] = {}
+    for i, (a, b) in enumerate(zip(ends, ends[1:])):
+        if b > a:
+            models.setdefault(f"{langs[i // (4 * ORDER)]}/{i // (2 * ORDER) % 2}", {})[i % (2 * ORDER)] = (key[a:b], value[a:b])
+    return {name: SortedArrays(slots) for name, slots in models.items()}
 
 
 def blocks(sizes: dict[str, int], most: int) -> list[list[str]]:
@@ -376,10 +389,10 @@ def judge(docs: DataFrame, config: PerplexityConfig = PerplexityConfig()) -> Dat
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), language_of(docs, config).alias("lang"), fold.alias("fold"), "text")
     arrays = stage(entries(stage(count_grams(texts.select("lang", "fold", "text")), "grams")), "model")
     sizes = {r["lang"]: 0 for r in texts.select("lang").distinct().collect()}
-    sizes |= {r["lang"]: r["n"] for r in arrays.groupBy(F.regexp_replace("model", "/[01]$", "").alias("lang")).agg(F.count("*").alias("n")).collect()}
+    sizes |= {r["lang"]: r["n"] for r in arrays.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     parts = []
     for langs in blocks(sizes, config.block_grams) or [[""]]:
-        models = sorted_arrays(arrays.where(F.col("model").isin([f"{x}/{k}" for x in langs for k in (0, 1)])))
+        models = sorted_arrays(arrays.where(F.col("lang").isin(langs)))
         parts.append(stage(measure(texts.where(F.col("lang").isin(langs)), models), "measures"))
     measured = functools.reduce(DataFrame.union, parts)
     measured = measured.withColumn("log_ppl", F.when(F.col("n_grams") == 0, F.lit(0.0)).otherwise(-F.col("log_sum") / F.col("n_grams"))).drop("log_sum")

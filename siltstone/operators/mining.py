@@ -1,4 +1,4 @@
-"""Training data from logs."""
+"""Training data from logs."""
 
 from __future__ import annotations
 

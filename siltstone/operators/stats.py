@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import ChunkConfig
 from ..functions.text import extension
+from .joins import small
 
 T = TypeVar("T")
 
@@ -95,7 +96,7 @@ def price(requests: DataFrame, catalog: DataFrame, provider: str, model: str, co
     p, m = key(F.col(provider)), key(F.col(model))
     same_provider, same_model = (p != "") & (F.col("c_provider") == p), (m != "") & (F.col("c_model") == m)
     level = F.when(same_provider & same_model, 0).when(same_model, 1).when(same_provider, 2)
-    met = requests.join(F.broadcast(c), same_provider | same_model, "left").withColumn("level", level)
+    met = requests.join(small(c), same_provider | same_model, "left").withColumn("level", level)
     w = Window.partitionBy("request_id").orderBy(F.col("level").asc_nulls_last(), F.col("position"))
     return met.withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth", "c_provider", "c_model", "position")
 

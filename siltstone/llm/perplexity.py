@@ -47,7 +47,10 @@ START, END = 1, 2
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
 WORD = re.compile(WORD_PATTERN)
-CHUNK_CHARS = 2_000_000
+#: Characters of texts that are counted, or scored, together.
+COUNT_CHARS, SCORE_CHARS = 1_000_000, 500_000
+#: Bits of a character's number among those of a chunk.
+SHORT_BITS = 12
 
 
 @dataclass(frozen=True)
@@ -94,29 +97,69 @@ def keys_of(grams: Grams) -> np.ndarray:
     return mix(mix(high) + low)
 
 
-def gram_stream(texts: list[str]) -> tuple[Grams, np.ndarray]:
-    """Grams of all texts in order and the number of grams of each; a text has a gram for each
-    character and one for its end."""
-    parts, sizes = [], []
+def code_stream(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts in order, each after starts and before an end, and the number of grams of
+    each text; a text has a gram for each character and one for its end."""
+    parts, sizes = [np.empty(0, np.int64)], []
     for t in texts:
         c = characters(t) if t else np.empty(0, np.int64)
         parts += [np.full(ORDER - 1, START), c, np.array([END])] if len(c) else []
         sizes.append(len(c) + 1 if len(c) else 0)
-    if not parts:
-        return (np.empty(0, np.int64), np.empty(0, np.int64)), np.array(sizes)
-    codes = np.concatenate(parts)
-    n = len(codes) - ORDER + 1
-    ends = codes[ORDER - 1 :] != START
-    high = codes[:n] << BITS | codes[1 : n + 1]
-    low = codes[2 : n + 2] << 2 * BITS | codes[3 : n + 3] << BITS | codes[4 : n + 4]
-    return (high[ends], low[ends]), np.array(sizes)
-
-
-def chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about CHUNK_CHARS characters; a longer text is a run of its own."""
+    return np.concatenate(parts), np.array(sizes)
+
+
+def packed(codes: list[np.ndarray]) -> Grams:
+    a, b, c, d, e = codes
+    return a << BITS | b, c << 2 * BITS | d << BITS | e
+
+
+def windows(codes: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The five columns of all windows, and which of these are grams: those that don't end in a start."""
+    n = max(0, len(codes) - ORDER + 1)
+    return [codes[k : k + n] for k in range(ORDER)], codes[ORDER - 1 :][:n] != START
+
+
+def gram_stream(texts: list[str]) -> tuple[Grams, np.ndarray]:
+    """Grams of all texts in order and the number of grams of each."""
+    codes, sizes = code_stream(texts)
+    columns, is_gram = windows(codes)
+    high, low = packed(columns)
+    return (high[is_gram], low[is_gram]), sizes
+
+
+def distinct_grams(texts: list[str], inverse: bool) -> tuple[Grams, np.ndarray, np.ndarray]:
+    """The different grams of all texts, for each gram in order its number among these or, without
+    ``inverse``, for each different gram its count, and the number of grams of each text.
+
+    A chunk has few different characters, so a gram of their numbers fits one integer and sorts fast.
+    """
+    codes, sizes = code_stream(texts)
+    seen = np.zeros(0x110000, bool)
+    seen[codes] = True
+    alphabet = np.flatnonzero(seen)
+    wanted = {"return_inverse": True} if inverse else {"return_counts": True}
+    if len(alphabet) > 1 << SHORT_BITS:
+        columns, is_gram = windows(codes)
+        high, low = packed(columns)
+        high, low = high[is_gram], low[is_gram]
+        _, at, more = np.unique(keys_of((high, low)), return_index=True, **wanted)
+        return (high[at], low[at]), more, sizes
+    number = np.zeros(0x110000, np.int16)
+    number[alphabet] = np.arange(len(alphabet))
+    columns, is_gram = windows(number[codes].astype(np.int64))
+    short = np.zeros(len(is_gram), np.int64)
+    for column in columns:
+        short <<= SHORT_BITS
+        short |= column
+    short, more = np.unique(short[codes[ORDER - 1 :][: len(is_gram)] != START], **wanted)
+    return packed([alphabet[short >> SHORT_BITS * (ORDER - 1 - k) & ((1 << SHORT_BITS) - 1)] for k in range(ORDER)]), more, sizes
+
+
+def chunks(texts: list[str], chars: int) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about so many characters; a longer text is a run of its own."""
     start = size = 0
     for i, t in enumerate(texts):
-        if size and size + len(t) > CHUNK_CHARS:
+        if size and size + len(t) > chars:
             yield start, i
             start, size = i, 0
         size += len(t)
@@ -143,10 +186,9 @@ def count_grams(texts: DataFrame) -> DataFrame:
         for pdf in batches:
             for (lang, fold), part in pdf.groupby(["lang", "fold"]):
                 rows = part["text"].fillna("").tolist()
-                for a, b in chunks(rows):
-                    grams, _ = gram_stream(rows[a:b])
-                    _, at, n = np.unique(keys_of(grams), return_index=True, return_counts=True)
-                    yield pd.DataFrame({"lang": lang, "high": grams[0][at], "low": grams[1][at], "n0": n * (fold == 0), "n1": n * (fold == 1)})
+                for a, b in chunks(rows, COUNT_CHARS):
+                    grams, n, _ = distinct_grams(rows[a:b], inverse=False)
+                    yield pd.DataFrame({"lang": lang, "high": grams[0], "low": grams[1], "n0": n * (fold == 0), "n1": n * (fold == 1)})
 
     counted = texts.mapInPandas(run, "lang string, high long, low long, n0 long, n1 long")
     return counted.groupBy(*GRAM).agg(*[F.sum(f"n{f}").alias(f"n{f}") for f in FOLDS])
@@ -319,12 +361,15 @@ def base_measures(text: str | None) -> tuple[int, int, int, int, int]:
     if not text:
         return 0, 0, 0, 0, 0
     words = WORD.findall(text)
+    size = len(words)
     seen: dict[str, int] = {}
-    ids = np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int64, len(words))
+    ids = np.fromiter(map(seen.setdefault, words, range(size)), np.int64, size)  # a word's first place
     repeated = 0
-    if len(ids) > 3:
-        _, pair = np.unique(ids[:-1] * len(seen) + ids[1:], return_inverse=True)
-        _, window, n = np.unique(pair[:-1] * len(seen) + ids[2:], return_inverse=True, return_counts=True)
+    if size > 3:
+        pair = ids[:-1] * size + ids[1:]
+        if size >= 2_000_000:  # three places don't fit one number
+            _, pair = np.unique(pair, return_inverse=True)
+        _, window, n = np.unique(pair[:-1] * size + ids[2:], return_inverse=True, return_counts=True)
         again = n[window] > 1
         covered = np.zeros(len(ids), bool)
         for k in range(3):
@@ -351,11 +396,11 @@ def measure(texts: DataFrame, models: dict[str, SortedArrays]) -> DataFrame:
                 model = shared.value.get(f"{lang}/{fold}") or SortedArrays({})
                 at = part.index.to_numpy()
                 mine = [rows[i] for i in at]
-                for a, b in chunks(mine):
-                    grams, sizes = gram_stream(mine[a:b])
+                for a, b in chunks(mine, SCORE_CHARS):
+                    grams, number, sizes = distinct_grams(mine[a:b], inverse=True)
                     n_grams[at[a:b]] = sizes
                     ends = sizes.cumsum()
-                    sums = np.append(0.0, model.log_probabilities(grams).cumsum())
+                    sums = np.append(0.0, model.log_probabilities(grams)[number].cumsum())
                     log_sum[at[a:b]] = sums[ends] - sums[ends - sizes]
             out["n_grams"], out["log_sum"] = n_grams, log_sum
             out.insert(0, "doc_id", pdf["doc_id"].array)

@@ -106,6 +106,18 @@ def test_kneser_ney_matches_brute_force_and_sums_to_one(spark):
         assert math.isclose(sum(p(context + c) for c in [*by_order[1], "?"]), 1.0)
 
 
+def test_distinct_grams(monkeypatch):
+    texts = ["abcab", "", "中文 abc", "x" * 50, "😀"]
+    for bits in (perplexity.SHORT_BITS, 1):  # by numbers of characters, and by hashes where there are too many
+        monkeypatch.setattr(perplexity, "SHORT_BITS", bits)
+        grams, sizes = perplexity.gram_stream(texts)
+        (high, low), number, n = perplexity.distinct_grams(texts, inverse=True)
+        assert (high[number] == grams[0]).all() and (low[number] == grams[1]).all() and (n == sizes).all()
+        (high, low), count, _ = perplexity.distinct_grams(texts, inverse=False)
+        assert dict(zip(zip(high.tolist(), low.tolist()), count.tolist())) == Counter(zip(grams[0].tolist(), grams[1].tolist()))
+        assert len(perplexity.distinct_grams([""], inverse=True)[1]) == 0
+
+
 def test_documents_are_scored_by_the_other_fold(spark):
     """Log perplexities and verdicts against brute force, and alike for any size of block."""
     random.seed(6)

@@ -30,6 +30,11 @@ class SearchConfig:
     top_k: int = 50
     final_k: int = 10
     similarity_threshold: float = 0.0
+    min_score_sparse: float = 0.0
+    min_score_graph: float = 0.0
+    #: What shaping keeps one hit of: chunk_id or file_path.
+    dedup_by: str = "chunk_id"
+    enable_mmr: bool = False
     relax_max_terms: int = 8
     file_path_max_terms: int = 6
     max_chunks_per_file: int = 3
@@ -45,6 +50,9 @@ class SearchConfig:
 class GraphConfig:
     max_hops: int = 2
     top_k: int = 30
+    #: Seeds are drawn from so many times ``top_k`` hits of an index that corpora share.
+    overfetch: int = 10
+    neighbor_window: int = 1
     expansion_weight: float = 0.8
     concepts_per_chunk: int = 8
     min_concept_length: int = 4

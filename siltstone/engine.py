@@ -4,43 +4,97 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .config import FusionConfig, SearchConfig
-from .operators import dense, fusion, sparse
+from .config import FusionConfig, GraphConfig, SearchConfig
+from .operators import dense, fusion, graph, sparse
 from .operators.joins import small
 
 
 @dataclass(frozen=True)
 class Engine:
-    """A corpus as tables: its index, chunks (corpus_id, chunk_id, file_path, content) and, where there are any,
-    vectors (corpus_id, chunk_id, embedding) and the graph's entities and relationships."""
+    """A corpus as tables: its index, chunks (corpus_id, chunk_id, file_path, chunk_ordinal, content) and, where there are
+    any, vectors (corpus_id, chunk_id, embedding), the graph's entities and relationships, and links (entity_id, chunk_id)."""
 
     index: sparse.SearchIndex
     chunks: DataFrame
     vectors: DataFrame | None = None
     entities: DataFrame | None = None
     relationships: DataFrame | None = None
+    links: DataFrame | None = None
     fusion: FusionConfig = FusionConfig()
     config: SearchConfig = SearchConfig()
+    graph: GraphConfig = GraphConfig()
+    #: Types of relations that the graph leg follows; all of them if none is named.
+    relation_types: tuple[str, ...] = ()
+    reranker: fusion.Reranker | None = None
 
-    def search(self, questions: DataFrame, queries: DataFrame | None = None, mode: str = "all", corpora: list[str] | None = None) -> DataFrame:
-        """(query_id, corpus_id, chunk_id, score, rank) for rows (query_id, question) and, for the vector leg,
-        rows (query_id, query)."""
-        legs = []
-        if "sparse" in fusion.MODES[mode]:
-            legs.append(sparse.bm25(self.index, questions, self.config).withColumn("leg", F.lit("sparse")))
-        if "vector" in fusion.MODES[mode] and self.vectors is not None and queries is not None:
-            legs.append(dense.above(dense.scored(self.vectors, queries), self.config.similarity_threshold).withColumn("leg", F.lit("vector")))
-        if not legs:
+    def legs(self, questions: DataFrame, queries: DataFrame | None = None, mode: str = "all", corpora: list[str] | None = None) -> DataFrame:
+        """The ranked lists that a mode turns on: (query_id, corpus_id, leg, chunk_id, score, rank), ``top_k`` a list.
+
+        The graph leg starts from the nearest chunks if there are vectors for the questions, else from entities that
+        are named in them. A leg whose tables are missing is left out.
+        """
+        on, hits = fusion.MODES[mode], []
+        vector = self.vectors is not None and queries is not None
+        near = dense.nearest(self.vectors, queries, max(self.config.top_k, self.graph.top_k * self.graph.overfetch)) if vector else None
+        if "vector" in on and vector:
+            hits.append(("vector", dense.above(near, self.config.similarity_threshold)))
+        if "sparse" in on:
+            hits.append(("sparse", dense.above(sparse.bm25(self.index, questions, self.config), self.config.min_score_sparse)))
+        if "graph" in on and self.links is not None and self.relationships is not None and (vector or self.entities is not None):
+            hits.append(("graph", dense.above(self._graph(near, questions), self.config.min_score_graph)))
+        if not hits:
             raise ValueError(f"nothing to search with in mode {mode}")
-        hits = legs[0] if len(legs) == 1 else legs[0].unionByName(legs[1])
+        every = None
+        for leg, found in hits:
+            rows = found.select("query_id", "corpus_id", F.lit(leg).alias("leg"), "chunk_id", F.round("score", 6).alias("score"))
+            every = rows if every is None else every.unionByName(rows)
         if corpora is not None:
-            hits = hits.where(F.col("corpus_id").isin(corpora))
-        ranked = fusion.ranked_lists(hits.withColumn("score", F.round("score", 6))).where(F.col("rank") <= self.config.top_k)
+            every = every.where(F.col("corpus_id").isin(corpora))
+        return fusion.ranked_lists(every).where(F.col("rank") <= self.config.top_k)
+
+    def _graph(self, near: DataFrame | None, questions: DataFrame) -> DataFrame:
+        types = list(self.relation_types) or None
+        if near is not None:
+            return graph.chunk_search(near, self.chunks, self.links, self.relationships, self.graph, types)
+        found = graph.entity_search(self.entities, self.relationships, questions, self.graph, types)
+        return graph.entity_chunks(found, self.links).join(self.chunks.select("corpus_id", "chunk_id"), "chunk_id")
+
+    def search(self, questions: DataFrame, queries: DataFrame | None = None, mode: str = "all", corpora: list[str] | None = None, shaped: bool = False) -> DataFrame:
+        """(query_id, corpus_id, chunk_id, score, rank) for rows (query_id, question) and, for the vector leg,
+        rows (query_id, query). The lists are fused; if ``shaped``, what follows is `shape`."""
         fuse = fusion.weighted if self.fusion.method == "weighted" else fusion.reciprocal_rank
-        return fuse(ranked, self.config.final_k, self.fusion)
+        ranked = self.legs(questions, queries, mode, corpora)
+        if not shaped:
+            return fuse(ranked, self.config.final_k, self.fusion)
+        return self.shape(fuse(ranked, 2**31 - 1, self.fusion), questions)
+
+    def shape(self, hits: DataFrame, questions: DataFrame) -> DataFrame:
+        """Fused hits re-ranked if there is a model, one of each key and few of each file, diversified if that is
+        turned on, widened by neighbours, and cut to ``final_k``."""
+        c = self.config
+        texts = self.chunks.select("corpus_id", "chunk_id", "file_path", "content")
+        name = F.concat_ws("\u0001", "corpus_id", "chunk_id")  # chunks of different corpora may have one id
+        known = hits.join(texts, ["corpus_id", "chunk_id"]).withColumn("name", name)
+        if self.reranker is not None:
+            asked = known.select("query_id", F.col("name").alias("chunk_id"), "score", "rank", "content").join(small(questions.select("query_id", "question")), "query_id")
+            order = fusion.rerank(asked, self.reranker, config=c).select("query_id", F.col("chunk_id").alias("name"), "score", "rank")
+            known = known.drop("score", "rank").join(order, ["query_id", "name"])
+        kept = fusion.dedup(known, ["corpus_id", c.dedup_by])
+        kept = _renumbered(fusion.cap(kept, ["corpus_id", "file_path"], c.max_chunks_per_file))
+        if c.enable_mmr:
+            pool = kept.select("query_id", F.col("name").alias("chunk_id"), "score", "rank", fusion.word_set(F.col("content")).alias("words"))
+            if self.vectors is not None:
+                own = self.vectors.select(name.alias("chunk_id"), "embedding")
+                pool = pool.join(own, "chunk_id", "left")
+            chosen = fusion.mmr(pool, c.final_k, c.mmr_lambda).select("query_id", F.col("chunk_id").alias("name"), "rank")
+            kept = kept.drop("rank").join(chosen, ["query_id", "name"])
+        found = kept.select("query_id", "corpus_id", "chunk_id", "score", "rank")
+        if c.neighbor_window <= 0:
+            return found.where(F.col("rank") <= c.final_k)
+        return fusion.neighbours(found, self.chunks, c).withColumnRenamed("final_rank", "rank")
 
     def answer(self, questions: DataFrame, queries: DataFrame | None = None, mode: str = "all") -> DataFrame:
         """(query_id, context): the leading chunks of each question as one numbered text."""
@@ -61,3 +115,7 @@ class Engine:
                 t.createOrReplaceTempView(prefix + name)
                 names.append(prefix + name)
         return names
+
+
+def _renumbered(hits: DataFrame) -> DataFrame:
+    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))

@@ -139,12 +139,12 @@ def qa_blocks(text: str, config: ChunkConfig) -> list[Span]:
 
 def python_statements(text: str, config: ChunkConfig) -> list[Span]:
     """Top-level statements, each to the end of its last line, packed to the budget and widened by lines
-    of context on both sides (C7)."""
+    of context on both sides (C7). What Python can't parse, nested too deeply for its parser included, is cut recursively."""
     try:
         body = ast.parse(text).body
-    except (SyntaxError, ValueError):
+    except (SyntaxError, ValueError, MemoryError, RecursionError):
         return recursive(text, config)
-    starts = [0, *(m.end() for m in re.finditer("\n", text))]
+    starts = [0, *(m.end() for m in re.finditer("\r\n|\r|\n", text))]  # line ends as Python counts them
     ends = [*starts[1:], len(text)]
     wanted = [n for n in body if config.preserve_imports or not isinstance(n, (ast.Import, ast.ImportFrom))]
     cuts = sorted({0, len(text), *(ends[n.end_lineno - 1] for n in wanted)})

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import HASHED, find_all
 from ..functions.vectors import dot, norm
@@ -22,6 +27,71 @@ def scored(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     return v.crossJoin(small(q, 10_000)).select("query_id", "chunk_id", "corpus_id", score.alias("score"))
 
 
+#: Stated queries that are scored in one pass over the vectors.
+BLOCK = 5_000
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, places: int = 6) -> DataFrame:
+    """(query_id, corpus_id, chunk_id, score): of every query and corpus the ``k`` vectors of the largest cosine, and any
+    others that a batch held as near; scores are rounded to ``places``, ties go to whoever ranks the rows.
+
+    For many queries at once: a block of queries is a matrix that every task holds, a batch of vectors is multiplied
+    with it, and only a batch's best leave the task. Vectors of another length than the queries' score 0.
+    """
+    known = queries.where("query is not null").withColumn("nth", F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64("query_id"), F.lit(64))).orderBy("query_id")))
+    blocks = known.agg(F.max("nth")).first()[0] or 0
+    kinds, of_id = dict(vectors.dtypes) | dict(queries.dtypes), to_arrow_type(queries.schema["query_id"].dataType)
+    schema = f"query_id {kinds['query_id']}, corpus_id {kinds['corpus_id']}, chunk_id {kinds['chunk_id']}, score double"
+    per_block = max(1, BLOCK // 64)
+    out = None
+    for low in range(0, max(1, blocks), per_block):
+        rows = known.where((F.col("nth") > low) & (F.col("nth") <= low + per_block)).select("query_id", "query").collect()  # BLOCK rows at most
+        ids = [r["query_id"] for r in rows]
+        width = max((len(r["query"]) for r in rows), default=0)
+        matrix = _unit(np.array([[*r["query"], *[0.0] * (width - len(r["query"]))] for r in rows]).reshape(len(rows), width))
+        sizes = np.array([len(r["query"]) for r in rows])
+
+        def run(batches: Iterator[pa.RecordBatch], ids: list = ids, matrix: np.ndarray = matrix, sizes: np.ndarray = sizes) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = _best_of(batch, matrix, sizes, k, places) if len(ids) else None
+                if found is not None:
+                    query, row, score = found
+                    take = pa.array(row)
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[q] for q in query], of_id), batch.column("corpus_id").take(take), batch.column("chunk_id").take(take), pa.array(score)], names=["query_id", "corpus_id", "chunk_id", "score"])
+
+        part = vectors.where("embedding is not null").select("corpus_id", "chunk_id", "embedding").mapInArrow(run, schema)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    length = np.sqrt((rows * rows).sum(1, keepdims=True))
+    return np.divide(rows, length, out=np.zeros_like(rows, dtype=float), where=length > 0)
+
+
+def _best_of(batch: pa.RecordBatch, matrix: np.ndarray, sizes: np.ndarray, k: int, places: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """(query, row, score) of the ``k`` best rows of each query and corpus in a batch, with those as good as the last."""
+    column = batch.column("embedding")
+    lengths = np.diff(column.offsets.to_numpy())
+    corpora = np.unique(np.array([str(c) for c in batch.column("corpus_id").to_pylist()], object).astype(str), return_inverse=True)[1]
+    scores = np.zeros((len(lengths), len(matrix)))
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    starts = np.concatenate([[0], np.cumsum(lengths)])
+    for n in np.unique(sizes):
+        rows, asked = np.flatnonzero(lengths == n), np.flatnonzero(sizes == n)
+        if len(rows) and n:
+            scores[np.ix_(rows, asked)] = _unit(flat[starts[rows][:, None] + np.arange(n)]) @ matrix[asked, :n].T
+    scores = np.round(scores, places)
+    found = []
+    for c in range(corpora.max(initial=-1) + 1):
+        rows = np.flatnonzero(corpora == c)
+        own = scores[rows]
+        last = np.partition(own, len(rows) - k, axis=0)[len(rows) - k] if len(rows) > k else np.full(own.shape[1], -np.inf)
+        row, query = np.nonzero(own >= last)
+        found.append((query, rows[row], own[row, query]))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else None
+
+
 def top_k(hits: DataFrame, k: int, partition: tuple[str, ...] = ("query_id",), score: str = "score", tie: str = "chunk_id") -> DataFrame:
     """The best ``k`` of each partition with their ranks from 1; ties go to the smaller key."""
     w = Window.partitionBy(*partition).orderBy(F.desc(score), tie)
@@ -41,3 +111,15 @@ def hash_embedding(rows: DataFrame, key: str, text: str, dim: int = 3072) -> Dat
     counts = found.groupBy(key, bucket.alias("bucket")).agg(F.count("*").alias("n"))
     length = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(key)))
     return counts.select(key, "bucket", (F.col("n") / length).alias("weight"))
+
+
+def hashed_vectors(rows: DataFrame, keys: list[str], dim: int) -> DataFrame:
+    """(*keys, embedding): the counts of hashed words, from rows (*keys, words); rows without a word have none.
+
+    A row's words stay in its partition from the explode on, so one shuffle serves all three aggregates.
+    """
+    each = rows.where(F.size("words") > 0).select(*keys, "words").repartition(*keys).select(*keys, F.explode("words").alias("word"))
+    bucket = (F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("long") % dim).cast("int")
+    counts = each.groupBy(*keys, "word").agg(F.count("*").alias("n")).groupBy(*keys, bucket.alias("bucket")).agg(F.sum("n").cast("double").alias("w"))
+    held = counts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "w"))).alias("m"))  # dim entries at most
+    return held.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("embedding"))

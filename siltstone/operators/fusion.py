@@ -214,7 +214,7 @@ def rerank(hits: DataFrame, reranker: Reranker | None = overlap_reranker, snippe
 
 
 def graph_blend(seeds: DataFrame, expanded: DataFrame, weight: float, k: int) -> DataFrame:
-    """The larger of a chunk's seed score and its weighted expansion score."""
+    """The larger of a chunk's seed score and its weighted expansion score (R12); by query, without corpora."""
     both = seeds.select("query_id", "chunk_id", "score").unionByName(expanded.select("query_id", "chunk_id", (F.col("score") * weight).alias("score")))
     best = both.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")

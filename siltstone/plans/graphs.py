@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from ..config import ChunkConfig
 from ..operators import chunking, dense, graph
+from ..operators.joins import small
 from ..operators.numbering import numbered
 from ..sources import tables as T
+from .linked import LINKS_SQL as LINKED_SQL, links
 from .registry import query
 from .search import COSINE_SQL, dense_hits
 
-SEEDS = ["nation:3", "supplier:5", "part:7"]
+LINKS_SQL = f"{T.CHUNKS_SQL}, {LINKED_SQL}"
 WALK_SQL = f"""{T.GRAPH_SQL}, both_ways AS (SELECT source_id AS src, target_id AS dst FROM relationships UNION SELECT target_id, source_id FROM relationships)"""
 
 
@@ -22,13 +24,27 @@ def walk_sql(seeds: str, most: int = 2) -> str:
 ), walked AS (SELECT seed, node, min(hops) AS hops FROM (SELECT seed, node, 0 AS hops FROM h0 UNION ALL SELECT seed, node, 1 FROM h1 UNION ALL SELECT seed, node, 2 FROM h2) WHERE hops <= {most} GROUP BY ALL)"""
 
 
-def the_seeds(spark: SparkSession) -> DataFrame:
-    return spark.range(1).select(F.explode(F.array(*[F.lit(s) for s in SEEDS])).alias("seed")).select("seed", F.col("seed").alias("node"))
+#: Stated entities: the suppliers and customers whose number is divisible by 100.
+STATED_SQL = "SELECT entity_id, name FROM entities WHERE split_part(entity_id, ':', 1) IN ('supplier', 'customer') AND split_part(entity_id, ':', 2)::bigint % 100 = 0"
 
 
-@query(f"WITH {WALK_SQL}, {walk_sql('SELECT unnest([' + ', '.join(repr(s) for s in SEEDS) + ']) AS seed, seed AS node')} SELECT seed, node, hops::int AS hops FROM walked")
+def stated(spark: SparkSession, sf: str) -> DataFrame:
+    kind, number = F.split_part("entity_id", F.lit(":"), F.lit(1)), F.split_part("entity_id", F.lit(":"), F.lit(2)).cast("bigint")
+    return T.entities(spark, sf).where(kind.isin("supplier", "customer") & (number % 100 == 0)).select("entity_id", "name")
+
+
+@query(f"WITH {WALK_SQL}, {walk_sql(f'SELECT entity_id AS seed, entity_id AS node FROM ({STATED_SQL})')} SELECT seed, node, hops::int AS hops FROM walked")
 def entity_hops(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.hops(the_seeds(spark), T.relationships(spark, sf), 2)
+    seeds = stated(spark, sf).select(F.col("entity_id").alias("seed"), F.col("entity_id").alias("node"))
+    return graph.hops(seeds, T.relationships(spark, sf), 2)
+
+
+@query(f"""WITH {T.GRAPH_SQL}, both_ways AS (SELECT source_id AS src, target_id AS dst FROM relationships WHERE relation_type = 'contains' UNION SELECT target_id, source_id FROM relationships WHERE relation_type = 'contains'
+), {walk_sql(f'SELECT entity_id AS seed, entity_id AS node FROM ({STATED_SQL})')} SELECT seed, node, hops::int AS hops FROM walked""")
+def entity_hops_contained(spark: SparkSession, sf: str) -> DataFrame:
+    """Hops over one type of relation."""
+    seeds = stated(spark, sf).select(F.col("entity_id").alias("seed"), F.col("entity_id").alias("node"))
+    return graph.hops(seeds, T.relationships(spark, sf), 2, ["contains"])
 
 
 @query(f"WITH {T.GRAPH_SQL} SELECT entity_id, name, entity_type FROM entities WHERE entity_type = 'class' AND contains(lower(name), '1') ORDER BY name, entity_id LIMIT 25")
@@ -37,13 +53,13 @@ def entity_list(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("entity_id", "name", "entity_type").orderBy("name", "entity_id").limit(25)
 
 
-@query(f"WITH {T.GRAPH_SQL} SELECT target_id, relation_type, weight FROM relationships WHERE source_id = 'supplier:5'")
+@query(f"WITH {T.GRAPH_SQL} SELECT source_id, target_id, relation_type, weight FROM relationships WHERE source_id IN (SELECT entity_id FROM ({STATED_SQL}))")
 def entity_relationships(spark: SparkSession, sf: str) -> DataFrame:
-    return T.relationships(spark, sf).where("source_id = 'supplier:5'").select("target_id", "relation_type", "weight")
+    asked = small(stated(spark, sf).select(F.col("entity_id").alias("source_id")))
+    return T.relationships(spark, sf).join(asked, "source_id", "left_semi").select("source_id", "target_id", "relation_type", "weight")
 
 
-ASKED = [(1, "asia region trade"), (2, "supplier#000000007"), (3, "nation_3 africa")]
-SEARCH_SQL = f"""{WALK_SQL}, asked AS (SELECT * FROM (VALUES (1, 'asia'), (1, 'region'), (1, 'trade'), (2, 'supplier#000000007'), (3, 'nation_3'), (3, 'africa')) v(query_id, token)
+SEARCH_SQL = f"""{WALK_SQL}, asked AS (SELECT entity_id AS query_id, lower(name) AS token FROM ({STATED_SQL})
 ), {walk_sql('SELECT DISTINCT query_id AS seed, entity_id AS node FROM entities JOIN asked ON contains(lower(name), token)')}, ranked_entities AS (
   SELECT w.seed AS query_id, e.entity_id, e.name, w.hops, CASE WHEN w.hops = 0 THEN 1::double ELSE 0.7::double END / (1 + w.hops) AS score,
          row_number() OVER (PARTITION BY w.seed ORDER BY (w.hops = 0) DESC, w.hops, e.name, e.entity_id) AS rank
@@ -51,7 +67,9 @@ SEARCH_SQL = f"""{WALK_SQL}, asked AS (SELECT * FROM (VALUES (1, 'asia'), (1, 'r
 
 
 def searched(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.entity_search(T.entities(spark, sf), T.relationships(spark, sf), spark.createDataFrame(ASKED, "query_id int, question string"))
+    """What is near the stated entities, asked for by their names."""
+    asked = stated(spark, sf).select(F.col("entity_id").alias("query_id"), F.col("name").alias("question"))
+    return graph.entity_search(T.entities(spark, sf), T.relationships(spark, sf), asked)
 
 
 @query(f"WITH {SEARCH_SQL} SELECT query_id, entity_id, name, hops::int AS hops, round(score, 6) AS score, rank::int AS rank FROM found")
@@ -59,17 +77,6 @@ def entity_search(spark: SparkSession, sf: str) -> DataFrame:
     return searched(spark, sf).select("query_id", "entity_id", "name", "hops", F.round("score", 6).alias("score"), "rank")
 
 
-def links(spark: SparkSession, sf: str) -> DataFrame:
-    """A part is named in the chunks of the document of its number, a supplier in those of twenty."""
-    chunks = T.chunks(spark, sf)
-    part = chunks.select(F.concat(F.lit("part:"), F.col("doc_id").cast("string")).alias("entity_id"), "chunk_id")
-    supplier = chunks.select(F.concat(F.lit("supplier:"), F.expr("doc_id div 20").cast("string")).alias("entity_id"), "chunk_id")
-    return part.union(supplier).distinct()
-
-
-LINKS_SQL = f"{T.CHUNKS_SQL}, links AS (SELECT 'part:' || doc_id AS entity_id, chunk_id FROM chunks UNION SELECT 'supplier:' || (doc_id // 20), chunk_id FROM chunks)"
-
-
 @query(f"WITH {SEARCH_SQL}, {LINKS_SQL} SELECT query_id, chunk_id, round(max(score), 6) AS score FROM found JOIN links USING (entity_id) GROUP BY ALL")
 def entity_chunk_search(spark: SparkSession, sf: str) -> DataFrame:
     return graph.entity_chunks(searched(spark, sf), links(spark, sf)).withColumn("score", F.round("score", 6))

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import FusionConfig, SearchConfig
+from ..config import FusionConfig, GraphConfig, SearchConfig
+from ..functions.dictionaries import lexeme, lexeme_sql
 from ..functions.vectors import cosine
-from ..operators import dense, fusion, sparse
+from ..operators import dense, fusion, graph, sparse, vector_index
 from ..operators.chunking import message_chunks
 from ..operators.joins import small
 from ..sources import tables as T
-from .registry import query
+from ..engine import Engine
+from . import linked
+from .registry import ORACLES, query
 
 K = SearchConfig().final_k
 
@@ -37,6 +40,13 @@ def dense_topk_multi_query(spark: SparkSession, sf: str) -> DataFrame:
     return dense.top_k(dense_hits(spark, sf), K).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query(ORACLES["dense_topk_multi_query"])
+def dense_topk_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """The same through the vector index, exactly: cells that can't hold a nearer vector aren't read."""
+    found = vector_index.search(T.vector_index_of(spark, sf), T.query_vectors(spark, sf), K, exact=True)
+    return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
 @query(f"WITH {COSINE_SQL} SELECT query_id, chunk_id, round(score, 6) AS score FROM scored WHERE round(score, 6) >= 0.2")
 def dense_threshold(spark: SparkSession, sf: str) -> DataFrame:
     hits = dense_hits(spark, sf).withColumn("score", F.round("score", 6))
@@ -69,12 +79,51 @@ BM25_SQL = f"""{T.POSTINGS_SQL}, {T.QUESTIONS_SQL}, {T.HYBRID_SQL}, asked AS (
   GROUP BY ALL)"""
 
 
-@query(f"WITH {BM25_SQL} SELECT query_id, corpus_id, chunk_id, round(score, 6) AS score, rank::int AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) AS rank FROM bm25) WHERE rank <= 10")
+BM25_TOP_SQL = f"WITH {BM25_SQL} SELECT query_id, corpus_id, chunk_id, round(score, 6) AS score, rank::int AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) AS rank FROM bm25) WHERE rank <= 10"
+
+
+@query(BM25_TOP_SQL)
+def sparse_bm25_bounded(spark: SparkSession, sf: str) -> DataFrame:
+    """The same rows as ``sparse_bm25``: frequent terms that can't lift a chunk among the best are scored last."""
+    hits = sparse.bm25_top(T.index(spark, sf), T.questions(spark, sf), K).withColumn("score", F.round("score", 6))
+    return sparse.best(hits, K).select("query_id", "corpus_id", "chunk_id", "score", "rank")
+
+
+@query(BM25_TOP_SQL)
 def sparse_bm25(spark: SparkSession, sf: str) -> DataFrame:
     hits = sparse.bm25(T.index(spark, sf), T.questions(spark, sf)).withColumn("score", F.round("score", 6))
     return sparse.best(hits, K).select("query_id", "corpus_id", "chunk_id", "score", "rank")
 
 
+LANGUAGES = ["en", "fr", "de", "es"]
+STEMMED_SQL = f"""{T.POSTINGS_SQL}, {T.QUESTIONS_SQL}, lexemes AS (SELECT corpus_id, term, {lexeme_sql('term', 'corpus_id')} AS lexeme FROM (SELECT DISTINCT corpus_id, term FROM postings)
+), lexeme_postings AS (SELECT corpus_id, chunk_id, lexeme AS term, sum(tf)::bigint AS tf FROM postings JOIN lexemes USING (corpus_id, term) WHERE lexeme IS NOT NULL GROUP BY ALL
+), lexeme_lengths AS (SELECT corpus_id, chunk_id, sum(tf) AS n FROM lexeme_postings GROUP BY ALL
+), totals AS (SELECT corpus_id, count(*) AS n_chunks, avg(n) AS avg_length FROM lexeme_lengths GROUP BY corpus_id), dfs AS (SELECT corpus_id, term, count(*) AS df FROM lexeme_postings GROUP BY ALL
+), said AS (SELECT DISTINCT query_id, unnest(string_split(question, ' ')) AS word FROM questions
+), asked AS (SELECT DISTINCT query_id, {lexeme_sql('word', 'language')} AS term FROM said, (SELECT unnest({LANGUAGES}) AS language)
+), bm25 AS (
+  SELECT a.query_id, p.corpus_id, p.chunk_id,
+         sum(ln(1 + (t.n_chunks - d.df + 0.5::double) / (d.df + 0.5::double)) * p.tf * 2.2::double / (p.tf + 1.2::double * (0.25::double + 0.75::double * l.n / t.avg_length))) AS score
+  FROM lexeme_postings p JOIN asked a USING (term) JOIN lexeme_lengths l USING (corpus_id, chunk_id) JOIN totals t USING (corpus_id) JOIN dfs d ON d.corpus_id = p.corpus_id AND d.term = p.term
+  GROUP BY ALL)"""
+
+
+@query(f"WITH {STEMMED_SQL} SELECT query_id, corpus_id, chunk_id, round(score, 6) AS score, rank::int AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) AS rank FROM bm25) WHERE rank <= 10")
+def sparse_bm25_lexemes(spark: SparkSession, sf: str) -> DataFrame:
+    """BM25 over lexemes: a corpus's dictionary is that of its language."""
+    index = sparse.with_dictionaries(T.index(spark, sf), F.col("corpus_id"))
+    hits = sparse.bm25(index, sparse.in_dictionaries(T.questions(spark, sf), LANGUAGES)).withColumn("score", F.round("score", 6))
+    return sparse.best(hits, K).select("query_id", "corpus_id", "chunk_id", "score", "rank")
+
+
+@query(f"WITH {T.POSTINGS_SQL}, distinct_words AS (SELECT corpus_id, term, sum(tf)::bigint AS n FROM postings GROUP BY ALL) SELECT corpus_id, {lexeme_sql('term', 'corpus_id')} AS lexeme, count(*) AS forms, sum(n)::bigint AS n FROM distinct_words GROUP BY ALL")
+def lexeme_forms(spark: SparkSession, sf: str) -> DataFrame:
+    """The lexemes of each corpus, how many forms each has and how often they occur; null for stop words."""
+    counts = T.index(spark, sf).postings.groupBy("corpus_id", "term").agg(F.sum("tf").alias("n"))
+    return counts.groupBy("corpus_id", lexeme(F.col("term"), F.col("corpus_id")).alias("lexeme")).agg(F.count("*").alias("forms"), F.sum("n").alias("n"))
+
+
 ALL_TERMS_SQL = f"""{T.POSTINGS_SQL}, {T.QUESTIONS_SQL}, asked AS (
   SELECT *, count(*) OVER (PARTITION BY query_id) AS n_terms FROM (SELECT DISTINCT query_id, unnest(string_split(question, ' ')) AS term FROM questions)
 ), every_term AS (
@@ -109,18 +158,29 @@ def sparse_cover_density(spark: SparkSession, sf: str) -> DataFrame:
     return sparse.best(hits, SearchConfig().top_k).select("query_id", "corpus_id", "chunk_id", "score", "rank")
 
 
-@query(f"""WITH {T.POSTINGS_SQL}
-SELECT corpus_id, chunk_id, (1 + list_contains(ws, 'with')::int + list_contains(ws, 'from')::int)::double AS score FROM words
-WHERE list_contains(ws, 'the') AND NOT list_contains(ws, 'this') AND (list_contains(ws, 'with') OR list_contains(ws, 'from'))""")
+SIX_WORDS_SQL = "asked AS (SELECT item_id AS query_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')[1:6] AS q FROM benchmark)"
+
+
+@query(f"""WITH {T.POSTINGS_SQL}, {SIX_WORDS_SQL}
+SELECT query_id, corpus_id, chunk_id, len(list_distinct(list_filter(q[1:3], lambda w: list_contains(ws, w))))::double AS score FROM words, asked
+WHERE list_contains(ws, q[1]) AND NOT list_contains(ws, q[4]) AND (list_contains(ws, q[2]) OR list_contains(ws, q[3]))""")
 def sparse_boolean(spark: SparkSession, sf: str) -> DataFrame:
-    return sparse.boolean(T.index(spark, sf), *sparse.parse_boolean("the with OR from -this"))
+    """Of every passage the first word, and the second or the third, but not the fourth."""
+    w = F.split("question", " ")
+    asked = T.questions(spark, sf, 6).select("query_id", F.concat(w[0], F.lit(" "), w[1], F.lit(" OR "), w[2], F.lit(" -"), w[3]).alias("question"))
+    return sparse.boolean_search(T.index(spark, sf), asked)
 
 
-@query(f"""WITH {T.POSTINGS_SQL}, t AS (SELECT *, ' ' || array_to_string(ws, ' ') || ' ' AS line FROM words)
-SELECT corpus_id, chunk_id, 1 + contains(line, ' by the ')::int + contains(line, ' is ')::int::double AS score FROM t
-WHERE contains(line, ' of the ') AND NOT contains(line, ' to the ') AND (contains(line, ' by the ') OR contains(line, ' is '))""")
+@query(f"""WITH {T.POSTINGS_SQL}, {SIX_WORDS_SQL}, lines AS (SELECT *, ' ' || array_to_string(ws, ' ') || ' ' AS line FROM words
+), phrases AS (SELECT query_id, [' ' || q[1] || ' ' || q[2] || ' ', ' ' || q[3] || ' ' || q[4] || ' '] AS either, ' ' || q[5] || ' ' || q[6] || ' ' AS out FROM asked)
+SELECT query_id, corpus_id, chunk_id, len(list_distinct(list_filter(either, lambda p: contains(line, p))))::double AS score FROM lines, phrases
+WHERE (contains(line, either[1]) OR contains(line, either[2])) AND NOT contains(line, out)""")
 def sparse_boolean_phrases(spark: SparkSession, sf: str) -> DataFrame:
-    return sparse.boolean(T.index(spark, sf), *sparse.parse_boolean('"of the" "by the" OR is -"to the"'))
+    """Of every passage the first two words or the next two side by side, but not the two after them."""
+    w = F.split("question", " ")
+    quoted = lambda i: F.concat(F.lit('"'), w[i], F.lit(" "), w[i + 1], F.lit('"'))
+    asked = T.questions(spark, sf, 6).select("query_id", F.concat(quoted(0), F.lit(" OR "), quoted(2), F.lit(" -"), quoted(4)).alias("question"))
+    return sparse.boolean_search(T.index(spark, sf), asked)
 
 
 STOP_SQL = "(" + ", ".join(f"'{w}'" for w in sparse.PATH_STOPWORDS[:-3]) + ")"
@@ -139,22 +199,19 @@ def sparse_relaxed_or(spark: SparkSession, sf: str) -> DataFrame:
     return sparse.best(hits, SearchConfig().top_k).select("query_id", "corpus_id", "chunk_id", "score", "rank")
 
 
-PATH_QUERIES = [(1, "where is src1 en"), (2, "src12 fr 17.md"), (3, "find the file de")]
-
-
-def path_questions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PATH_QUERIES, "query_id int, question string")
-
-
-PATH_SQL = """path_terms AS (SELECT * FROM (VALUES (1, 'src1'), (1, 'en'), (2, 'src12'), (2, 'fr'), (2, '17.md'), (3, 'de')) v(query_id, term)
+PATH_STOP_SQL = "(" + ", ".join(f"'{w}'" for w in sparse.PATH_STOPWORDS) + ")"
+PATH_SQL = f"""path_words AS (SELECT doc_id AS query_id, regexp_extract_all('find ' || replace(lower(file_path), '/', ' '), '[a-z0-9][a-z0-9_.\\-]{{1,63}}') AS ws FROM files WHERE doc_id % 100 = 0
+), path_terms AS (SELECT query_id, unnest(list_filter(list_filter(ws, lambda x, i: list_position(ws, x) = i), lambda x: x NOT IN {PATH_STOP_SQL})[1:6]) AS term FROM path_words
 ), path_hits AS (
   SELECT query_id, corpus_id, file_path, count(DISTINCT term)::double AS score FROM (SELECT DISTINCT corpus_id, file_path FROM files) JOIN path_terms ON contains(lower(file_path), term) GROUP BY ALL)"""
 
 
 @query(f"WITH {T.FILES_SQL}, {PATH_SQL} SELECT query_id, corpus_id, file_path, score, rank::int AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file_path) AS rank FROM path_hits) WHERE rank <= 20")
 def file_path_search(spark: SparkSession, sf: str) -> DataFrame:
-    hits = sparse.path_search(T.files(spark, sf), path_questions(spark))
-    return sparse.best(hits, 20, "file_path").select("query_id", "corpus_id", "file_path", "score", "rank")
+    """Asks for the folders and name of every hundredth file."""
+    files = T.files(spark, sf)
+    asked = files.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.concat(F.lit("find "), F.replace("file_path", F.lit("/"), F.lit(" "))).alias("question"))
+    return sparse.best(sparse.path_search(files, asked), 20, "file_path").select("query_id", "corpus_id", "file_path", "score", "rank")
 
 
 CHAIN_PATHS_SQL = """chain_path_terms AS (
@@ -258,14 +315,87 @@ def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
     return fusion.reciprocal_rank(fusion.in_mode(legs(spark, sf), "sparse"), 50)
 
 
-@query(f"WITH {LEGS_SQL} SELECT query_id, corpus_id, chunk_id, arg_min(score, list) AS score, arg_min(leg, list) AS leg, CASE WHEN min(list) = 0 THEN (SELECT NULL) END AS note FROM ranked GROUP BY ALL".replace(", CASE WHEN min(list) = 0 THEN (SELECT NULL) END AS note", ""))
+# Three legs over chunks: cosines of hashed words, BM25, and the graph from the nearest chunks on.
+
+GRAPH_LEG_SQL = f"""{BM25_SQL}, {T.CHUNK_COSINES_SQL}, {T.GRAPH_SQL}, {linked.LINKS_SQL}, contained AS (
+  SELECT source_id AS src, target_id AS dst FROM relationships WHERE relation_type = 'contains' UNION SELECT target_id, source_id FROM relationships WHERE relation_type = 'contains'
+), seeds AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, corpus_id ORDER BY score DESC, chunk_id) AS nth FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS overall FROM chunk_cosines) WHERE overall <= 300) WHERE nth <= 30
+), near_all AS (
+  SELECT s.query_id, s.corpus_id, n.chunk_id, max(s.score) / (1 + min(abs(n.chunk_ordinal - c.chunk_ordinal))) AS score
+  FROM seeds s JOIN chunks c ON c.chunk_id = s.chunk_id JOIN chunks n ON n.corpus_id = c.corpus_id AND n.file_path = c.file_path AND abs(n.chunk_ordinal - c.chunk_ordinal) <= 1 GROUP BY ALL
+), near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, corpus_id ORDER BY score DESC, chunk_id) AS nth FROM near_all) WHERE nth <= 30
+), g0 AS (SELECT query_id, corpus_id, entity_id AS node, max(score) AS s FROM near JOIN links USING (chunk_id) GROUP BY ALL
+), g1 AS (SELECT query_id, corpus_id, dst AS node, max(s) AS s FROM g0 JOIN contained ON node = src GROUP BY ALL
+), g2 AS (SELECT query_id, corpus_id, dst AS node, max(s) AS s FROM g1 JOIN contained ON node = src GROUP BY ALL
+), spread AS (SELECT query_id, corpus_id, node, max(score) AS score FROM (
+  SELECT query_id, corpus_id, node, s AS score FROM g0 UNION ALL SELECT query_id, corpus_id, node, s / 2 FROM g1 UNION ALL SELECT query_id, corpus_id, node, s / 3 FROM g2) GROUP BY ALL
+), expanded_all AS (SELECT p.query_id, p.corpus_id, l.chunk_id, max(p.score) AS score FROM spread p JOIN links l ON l.entity_id = p.node JOIN chunks c ON c.chunk_id = l.chunk_id AND c.corpus_id = p.corpus_id GROUP BY ALL
+), expanded AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, corpus_id ORDER BY score DESC, chunk_id) AS nth FROM expanded_all) WHERE nth <= 30
+), graph_all AS (SELECT query_id, corpus_id, chunk_id, max(score) AS score FROM (SELECT query_id, corpus_id, chunk_id, score FROM near UNION ALL SELECT query_id, corpus_id, chunk_id, score * 0.8::double FROM expanded) GROUP BY ALL
+), graph_leg AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, corpus_id ORDER BY score DESC, chunk_id) AS nth FROM graph_all) WHERE nth <= 30)"""
+THREE_SQL = f"""{GRAPH_LEG_SQL}, three AS (
+  SELECT query_id, corpus_id, 'vector' AS leg, chunk_id, score, 0 AS list FROM chunk_cosines UNION ALL SELECT query_id, corpus_id, 'sparse', chunk_id, round(score, 6), 1 FROM bm25
+  UNION ALL SELECT query_id, corpus_id, 'graph', chunk_id, round(score, 6), 2 FROM graph_leg
+), ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, corpus_id, leg ORDER BY score DESC, chunk_id) AS rank FROM three) WHERE rank <= 50)"""
+
+
+def engine(spark: SparkSession, sf: str, **knobs) -> Engine:
+    """The stored index, chunks and vectors with the graph of the trade tables; the graph leg follows containment."""
+    known = {"vectors": T.chunk_vectors(spark, sf), "entities": T.entities(spark, sf), "relationships": T.relationships(spark, sf), "links": linked.links(spark, sf), "relation_types": ("contains",)}
+    return Engine(T.index(spark, sf), T.stored_chunks(spark, sf), **(known | knobs))
+
+
+def three_legs(spark: SparkSession, sf: str, mode: str = "all") -> DataFrame:
+    asked = T.questions(spark, sf)
+    return engine(spark, sf).legs(asked, T.question_vectors(spark, asked), mode)
+
+
+def three_fused_sql(part: str, source: str = "ranked") -> str:
+    return f"""fused AS (SELECT query_id, corpus_id, chunk_id, round(sum({part}), 9) AS score, min(list * 1000 + rank) AS first FROM {source} GROUP BY ALL
+), final AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, corpus_id, chunk_id) AS rank FROM fused)
+SELECT query_id, corpus_id, chunk_id, score, rank::int AS rank FROM final WHERE rank <= 10"""
+
+
+@query(f"WITH {GRAPH_LEG_SQL} SELECT query_id, corpus_id, chunk_id, round(score, 6) AS score, nth::int AS rank FROM graph_leg")
+def graph_leg(spark: SparkSession, sf: str) -> DataFrame:
+    """Over-fetched nearest chunks, their neighbours in the file and what their entities link to."""
+    return three_legs(spark, sf, "graph").select("query_id", "corpus_id", "chunk_id", "score", "rank")
+
+
+@query(f"WITH {THREE_SQL}, {three_fused_sql('1 / (60::double + rank)')}")
+def three_leg_rrf(spark: SparkSession, sf: str) -> DataFrame:
+    asked = T.questions(spark, sf)
+    return engine(spark, sf).search(asked, T.question_vectors(spark, asked))
+
+
+@query(f"""WITH {THREE_SQL}, tops AS (SELECT *, max(score) OVER (PARTITION BY query_id, leg) AS top FROM ranked
+), scaled AS (SELECT *, CASE WHEN top > 0 THEN score / top ELSE score END * CASE leg WHEN 'vector' THEN 0.4::double ELSE 0.3::double END AS part FROM tops), {three_fused_sql('part', 'scaled')}""")
+def three_leg_weighted(spark: SparkSession, sf: str) -> DataFrame:
+    asked = T.questions(spark, sf)
+    return engine(spark, sf, fusion=FusionConfig(method="weighted")).search(asked, T.question_vectors(spark, asked))
+
+
+@query()
+def search_shaped(spark: SparkSession, sf: str) -> DataFrame:
+    """Three legs fused, re-ranked, one chunk of a file, diversified and widened, in one call."""
+    asked = T.questions(spark, sf)
+    config = SearchConfig(enable_mmr=True, dedup_by="file_path")
+    return engine(spark, sf, config=config, reranker=fusion.overlap_reranker).search(asked, T.question_vectors(spark, asked), shaped=True)
+
+
+@query(f"""WITH {THREE_SQL} SELECT query_id, corpus_id, chunk_id, arg_min(score, list) AS score, arg_min(leg, list) AS leg,
+       max(CASE WHEN leg = 'vector' THEN score END) AS cosine, max(CASE WHEN leg = 'sparse' THEN score END) AS bm25, max(CASE WHEN leg = 'graph' THEN score END) AS near FROM ranked GROUP BY ALL""")
 def merge_hits(spark: SparkSession, sf: str) -> DataFrame:
-    return fusion.merge_hits(legs(spark, sf), [])
+    """One record for each chunk, with what only one of its lists knows filled in."""
+    of = lambda leg: F.when(F.col("leg") == leg, F.col("score"))
+    hits = three_legs(spark, sf).withColumns({"cosine": of("vector"), "bm25": of("sparse"), "near": of("graph")})
+    return fusion.merge_hits(hits, ["cosine", "bm25", "near"])
 
 
-@query(f"WITH {LEGS_SQL} SELECT query_id, corpus_id, sum((leg = 'vector')::int)::bigint AS n_vector, sum((leg = 'sparse')::int)::bigint AS n_sparse, 0::bigint AS n_graph, count(*) AS n_hits FROM ranked GROUP BY ALL")
+@query(f"WITH {THREE_SQL} SELECT query_id, corpus_id, sum((leg = 'vector')::int)::bigint AS n_vector, sum((leg = 'sparse')::int)::bigint AS n_sparse, sum((leg = 'graph')::int)::bigint AS n_graph, count(*) AS n_hits FROM ranked GROUP BY ALL")
 def leg_debug_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return fusion.leg_counts(legs(spark, sf))
+    return fusion.leg_counts(three_legs(spark, sf))
 
 
 TOP_CHUNKS_SQL = f"""{BM25_SQL}, top_chunks AS (
@@ -344,12 +474,20 @@ def lexical_rerank(spark: SparkSession, sf: str) -> DataFrame:
     return fusion.rerank(hits).withColumn("score", F.round("score", 6))
 
 
-@query(f"""WITH {TOP_CHUNKS_SQL}, hits AS (SELECT query_id, chunk_id, score, rank FROM top_chunks WHERE rank <= 20), both_ AS (
-  SELECT query_id, chunk_id, score FROM hits WHERE rank <= 10 UNION ALL SELECT query_id, chunk_id, score * 0.8::double FROM hits WHERE rank > 5)
+@query(f"""WITH {GRAPH_LEG_SQL}, both_ AS (SELECT query_id, chunk_id, score FROM near WHERE corpus_id = 'en' UNION ALL SELECT query_id, chunk_id, score * 0.8::double FROM expanded_all WHERE corpus_id = 'en')
 SELECT query_id, chunk_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT query_id, chunk_id, max(score) AS score FROM both_ GROUP BY ALL)) WHERE rank <= 30""")
 def graph_score_blend(spark: SparkSession, sf: str) -> DataFrame:
-    hits = top_chunks(spark, sf, 20)
-    return fusion.graph_blend(hits.where("rank <= 10"), hits.where("rank > 5"), 0.8, 30).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+    """Chunks near the questions and what their entities link to, blended, in one corpus."""
+    asked, by = T.questions(spark, sf), ["query_id", "corpus_id"]
+    chunks, vectors = T.stored_chunks(spark, sf), T.chunk_vectors(spark, sf)
+    config = GraphConfig()
+    hits = sparse.best(dense.nearest(vectors, T.question_vectors(spark, asked), config.top_k * config.overfetch), config.top_k * config.overfetch)
+    in_corpus = fusion.ranked_lists(hits.withColumn("leg", F.lit("graph"))).where((F.col("corpus_id") == "en") & (F.col("rank") <= config.top_k))
+    near = graph.chunk_neighbours(in_corpus, chunks, config.neighbor_window)
+    near = fusion.ranked_lists(near.withColumn("leg", F.lit("graph"))).where(F.col("rank") <= config.top_k)
+    expanded = graph.expand_chunks(near, linked.links(spark, sf), T.relationships(spark, sf), config.max_hops, by, ["contains"])
+    expanded = expanded.join(chunks.select("corpus_id", "chunk_id"), ["corpus_id", "chunk_id"], "left_semi")
+    return fusion.graph_blend(near, expanded, config.expansion_weight, config.top_k).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
 @query(fused_sql("1 / (60::double + rank)", 10).replace("SELECT query_id, corpus_id, chunk_id, score, rank::int AS rank FROM final WHERE rank <= 10", """SELECT query_id, round(greatest(0, least(1, max(CASE WHEN rank = 1 THEN score END) / (2 / 61::double))), 6) AS conf_top1,

@@ -22,3 +22,11 @@ def shared_dir(spark: SparkSession) -> str:
 def exists(spark: SparkSession, path: str) -> bool:
     found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(found)
+
+
+def state_of(spark: SparkSession, path: str) -> tuple[int, int, int]:
+    """Number, bytes and latest change of the files at ``path``."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    kept = [s for s in system.listStatus(found) if not s.isDirectory()]
+    return len(kept), sum(s.getLen() for s in kept), max((s.getModificationTime() for s in kept), default=0)

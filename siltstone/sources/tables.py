@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.text import find_all, tokens
 from ..functions.vectors import doubles
 from ..operators.chunking import fixed_chars
+from ..operators.dense import hashed_vectors
 from ..operators.sparse import SearchIndex, open_index, store_index
-from .shared import exists, shared_dir
+from ..operators.vector_index import VectorIndex, open_vectors, store_vectors
+from .shared import exists, shared_dir, state_of
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,20 +32,47 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixed_chars(files(spark, sf_dir))
 
 
-#: Index folders of this process by application and input folder.
-_INDEXES: dict[tuple[str, str], str] = {}
+#: Index folders of this process by application and the state of the input files.
+_INDEXES: dict[tuple, str] = {}
+#: Length of the chunks' vectors.
+DIM = 64
 
 
-def index(spark: SparkSession, sf_dir: str) -> SearchIndex:
-    """The stored search index of the chunks: written by the first query of an application that needs
-    it, read by the others."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def _index_path(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of the stored index of the chunks, which the first query of an application that needs it writes.
+    Input files of another number, size or time have another index."""
+    key = (spark.sparkContext.applicationId, sf_dir, state_of(spark, f"{sf_dir}/documents.parquet"))
     path = _INDEXES.get(key)
     if path is None or not exists(spark, f"{path}/totals/_SUCCESS"):
         path = f"{shared_dir(spark)}/siltstone-index/{uuid.uuid4().hex}"
-        store_index(chunks(spark, sf_dir), path)
+        chunks(spark, sf_dir).write.parquet(f"{path}/chunks")
+        store_index(spark.read.parquet(f"{path}/chunks"), path)
         _INDEXES[key] = path
-    return open_index(spark, path)
+    return path
+
+
+def index(spark: SparkSession, sf_dir: str) -> SearchIndex:
+    return open_index(spark, _index_path(spark, sf_dir))
+
+
+def stored_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks beside the index."""
+    return spark.read.parquet(f"{_index_path(spark, sf_dir)}/chunks")
+
+
+def chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(corpus_id, chunk_id, embedding) of every chunk with a word, written beside the index when first asked for."""
+    path = _index_path(spark, sf_dir)
+    if not exists(spark, f"{path}/vectors/_SUCCESS"):
+        words = open_index(spark, path).words
+        hashed_vectors(words, ["corpus_id", "chunk_id"], DIM).write.mode("overwrite").parquet(f"{path}/vectors")
+    return spark.read.parquet(f"{path}/vectors")
+
+
+def question_vectors(spark: SparkSession, asked: DataFrame) -> DataFrame:
+    """(query_id, query) of rows (query_id, question)."""
+    words = asked.select("query_id", tokens(F.col("question")).alias("words"))
+    return hashed_vectors(words, ["query_id"], DIM).withColumnRenamed("embedding", "query")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +81,17 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("corpus_id"), doubles(F.col("embedding")).alias("embedding"))
 
 
+def vector_index_of(spark: SparkSession, sf_dir: str) -> VectorIndex:
+    """The stored index of the vectors, written like that of the chunks."""
+    key = (spark.sparkContext.applicationId, sf_dir, state_of(spark, f"{sf_dir}/embeddings.parquet"))
+    path = _INDEXES.get(key)
+    if path is None or not exists(spark, f"{path}/centres/_SUCCESS"):
+        path = f"{shared_dir(spark)}/siltstone-index/{uuid.uuid4().hex}"
+        store_vectors(vectors(spark, sf_dir), path)
+        _INDEXES[key] = path
+    return open_vectors(spark, path)
+
+
 def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, query): the stated queries, every hundredth vector."""
     e = table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0 and embedding is not null")
@@ -148,6 +188,15 @@ POSTINGS_SQL = CHUNKS_SQL + """, words AS (
   SELECT corpus_id, chunk_id, regexp_extract_all(lower(content), '[\\p{L}\\p{N}_]+') AS ws FROM chunks
 ), lengths AS (SELECT corpus_id, chunk_id, len(ws) AS n FROM words WHERE len(ws) > 0
 ), postings AS (SELECT corpus_id, chunk_id, term, count(*) AS tf FROM (SELECT corpus_id, chunk_id, unnest(ws) AS term FROM words) GROUP BY ALL)"""
+#: Cosines of chunk and question vectors, both hashed counts of words.
+CHUNK_COSINES_SQL = """hashed AS (SELECT corpus_id, chunk_id, (('0x' || substr(md5(term), 1, 8))::bigint % 64)::int AS bucket, sum(tf)::double AS w FROM postings GROUP BY ALL
+), chunk_norms AS (SELECT corpus_id, chunk_id, sqrt(sum(w * w)) AS norm FROM hashed GROUP BY ALL
+), hashed_questions AS (SELECT query_id, (('0x' || substr(md5(term), 1, 8))::bigint % 64)::int AS bucket, count(*)::double AS w FROM (SELECT query_id, unnest(string_split(question, ' ')) AS term FROM questions) GROUP BY ALL
+), question_norms AS (SELECT query_id, sqrt(sum(w * w)) AS norm FROM hashed_questions GROUP BY ALL
+), chunk_dots AS (SELECT q.query_id, h.corpus_id, h.chunk_id, sum(q.w * h.w) AS dot FROM hashed h JOIN hashed_questions q USING (bucket) GROUP BY ALL
+), chunk_cosines AS (
+  SELECT q.query_id, c.corpus_id, c.chunk_id, round(coalesce(d.dot / (q.norm * c.norm), 0), 6) AS score
+  FROM question_norms q CROSS JOIN chunk_norms c LEFT JOIN chunk_dots d ON d.query_id = q.query_id AND d.corpus_id = c.corpus_id AND d.chunk_id = c.chunk_id)"""
 GRAPH_SQL = """entities AS (
   SELECT 'region:' || r_regionkey AS entity_id, r_name AS name, 'module' AS entity_type, 'geo/' || r_regionkey AS file_path FROM region
   UNION ALL SELECT 'nation:' || n_nationkey, n_name, 'module', 'geo/' || n_nationkey FROM nation

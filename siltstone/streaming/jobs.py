@@ -50,15 +50,17 @@ def conversation_sessions(turns: DataFrame, gap: str = "5 seconds", late: str =
     return grouped.agg(F.count("*").alias("n_turns"), F.max("turn").alias("last_turn")).select("conv_id", F.col("s.start").alias("started"), F.col("s.end").alias("ended"), "n_turns", "last_turn")
 
 
-def _merge_buckets(target: str, keys: list[str], buckets: int, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+def merge_buckets(target: str, keys: list[str], buckets: int, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
     """Batch writer into a table of hashed buckets: a batch reads and replaces the buckets of its own keys
     alone. ``merge`` (old rows, batch) must give the same if a batch is tried again."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         new = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # as many as there are buckets, at most
+        if not touched:
+            return
         if exists(spark, target):
-            touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # as many as there are buckets, at most
             new = merge(spark.read.parquet(target).where(F.col("bucket").isin(touched)).select(new.columns), new)
         else:
             new = merge(new.limit(0), new)
@@ -75,12 +77,12 @@ def keep_last(target: str, key: str, order: str, n: int, buckets: int = 64) -> C
         once = old.unionByName(new).dropDuplicates([key, order])
         return once.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= n).drop("nth")
 
-    return _merge_buckets(target, [key], buckets, merge)
+    return merge_buckets(target, [key], buckets, merge)
 
 
 def upsert_into(target: str, keys: list[str], buckets: int = 64) -> Callable[[DataFrame, int], None]:
     """Batch writer that upserts chunks."""
-    return _merge_buckets(target, keys, buckets, lambda old, new: upsert(old, new, keys))
+    return merge_buckets(target, keys, buckets, lambda old, new: upsert(old, new, keys))
 
 
 def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.config import ChunkConfig, FusionConfig, SearchConfig
+from siltstone.functions.dictionaries import lexeme, lexeme_sql
 from siltstone.operators import chunking, evaluation, fusion, graph, mining, recall, sparse, stats
 from siltstone.sources import files
 
@@ -163,6 +164,49 @@ def test_structural_strategies():
     assert spans("sentence", "One. Two. Three.")[0] == "One. Two. Three."
 
 
+def test_python_that_its_parser_refuses(spark):
+    """Too deep, cut off, or with other line ends than the platform's: cut some other way, never an error."""
+    for text in ("-" * 100_000 + "1", "(" * 50_000, "x = " + "[" * 300 + "]" * 300, "a\0b", "def f(:"):
+        assert "".join(spans("ast", text, target_tokens=64, overlap_tokens=4, ast_overlap_lines=0)) == text
+    for text in ("a = 1\rb = 2\r", "a = 1\r\nb = 2\r\nc = 3", "a = 1\n\rb = 2"):
+        parts = spans("ast", text, target_tokens=2, overlap_tokens=1, ast_overlap_lines=0)
+        assert "".join(parts) == text and len(parts) >= 2
+    deep = "+".join(["f(1)"] * 30_000)
+    files_ = spark.createDataFrame([("c", "deep.py", deep), ("c", "minus.py", "-" * 100_000 + "1"), ("c", "ok.py", "import os")], "corpus_id string, file_path string, content string")
+    found = graph.python_graph(files_).collect()
+    assert {(r["file_path"], r["kind"]) for r in found} == {("deep.py", "module"), ("minus.py", "module"), ("ok.py", "module"), ("ok.py", "imports")}
+
+
+FORMS = {
+    "en": [("walks", "walking", "walked", "walk"), ("study", "studies", "studied"), ("hope", "hoping", "hoped"), ("running", "runs", "run"), ("boxes", "box"), ("quickly", "quick")],
+    "fr": [("cheval", "chevaux"), ("donner", "donnait", "donnent", "donnez"), ("petits", "petit", "petite", "petites")],
+    "de": [("häuser", "hauses"), ("schöne", "schönen", "schöner", "schönes"), ("freiheit", "freiheiten")],
+    "es": [("niños", "niño", "niña", "niñas"), ("hablar", "hablando", "hablaron", "hablamos"), ("nación", "naciones")],
+}
+
+
+def test_inflected_forms_meet(spark):
+    import duckdb
+
+    rows = spark.createDataFrame([(n, w, i) for n, groups in FORMS.items() for i, g in enumerate(groups) for w in g] + [("en", "the", -1), ("de", "und", -1), ("xx", "walks", -2), (None, "walks", -2)], "language string, word string, family int")
+    found = [(r["language"], r["word"], r["family"], r["lexeme"]) for r in rows.withColumn("lexeme", lexeme(F.col("word"), F.col("language"))).collect()]
+    for name, groups in FORMS.items():
+        for i in range(len(groups)):
+            assert len({x for n, _, f, x in found if (n, f) == (name, i)}) == 1, (name, groups[i], [x for n, _, f, x in found if (n, f) == (name, i)])
+    assert {x for _, _, f, x in found if f == -1} == {None} and {x for _, _, f, x in found if f == -2} == {"walks"}
+    for language, word, _, expected in found:
+        quoted = "NULL" if language is None else f"'{language}'"
+        assert duckdb.sql("SELECT " + lexeme_sql("word", "language") + f" FROM (SELECT '{word}' AS word, {quoted}::varchar AS language)").fetchone()[0] == expected, word
+
+
+def test_search_by_lexemes(spark):
+    rows = [("en", "1", "She was walking home"), ("fr", "2", "des chevaux noirs"), ("de", "3", "ein schönes Haus"), ("en", "4", "the of and")]
+    index = sparse.with_dictionaries(sparse.index_of(spark.createDataFrame(rows, "corpus_id string, chunk_id string, content string")), F.col("corpus_id"))
+    asked = spark.createDataFrame([(1, "who walks"), (2, "le cheval"), (3, "schöner"), (4, "the")], "query_id int, question string")
+    found = sparse.bm25(index, sparse.in_dictionaries(asked, ["en", "fr", "de", "es"])).collect()
+    assert {(r["query_id"], r["chunk_id"]) for r in found} == {(1, "1"), (2, "2"), (3, "3")}
+
+
 def test_split_and_message_chunks(spark):
     f = spark.createDataFrame([("c", "a.txt", "One. Two.\nThree."), ("c", "b.txt", "")], "corpus_id string, file_path string, content string")
     found = chunking.split(f, "sentence").collect()

@@ -11,9 +11,9 @@ def test_matches_sql(spark, oracle, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_runs(spark, oracle, name):
-    assert QUERIES[name](spark, oracle.sf).columns
-    QUERIES[name](spark, oracle.sf).write.format("noop").mode("overwrite").save()
+def test_runs(spark, name):
+    """Queries without SQL, on larger tables than the others: odd texts are few."""
+    QUERIES[name](spark, "/root/testdata/sf0.01").write.format("noop").mode("overwrite").save()
 
 
 def test_entry(spark):

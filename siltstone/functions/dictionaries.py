@@ -41,8 +41,8 @@ RULES: dict[str, list[tuple[str, str]]] = {
     ],
     "de": [
         (r"^(.{3,}?)(?:ungen|ung|heiten|heit|keiten|keit|lichen|licher|liches|liche|lich|ischen|ischer|isches|ische|isch)$", r"\1"),
-        (r"^(.{3,}?)(?:erinnen|erin|esten|ester|estes|este|est|end|ten|test|tet|ern|em|en|er|es)$", r"\1"),
-        (r"^(.{3,})[etsn]$", r"\1"),
+        (r"^(.{3,}?)(?:erinnen|erin|esten|ester|estes|este|est|end|ten|test|tet|ern|em|en|er|es|e)$", r"\1"),
+        (r"^(.{3,})[st]$", r"\1"),
     ],
     "es": [
         (r"^(.{3,}?)(?:amientos|amiento|imientos|imiento|aciones|acion|amente|mente|idades|idad)$", r"\1"),

@@ -47,7 +47,7 @@ RULES: dict[str, list[tuple[str, str]]] = {
     "es": [
         (r"^(.{3,}?)(?:amientos|amiento|imientos|imiento|aciones|acion|amente|mente|idades|idad)$", r"\1"),
         (r"^(.{3,}?)(?:ariamos|aremos|abamos|ieron|iendo|ando|aron|aban|aran|aria|aba|ada|adas|ado|ados|ida|idas|ido|idos|amos|emos|imos|aste|iste|are|ar|er|ir|an|en)$", r"\1"),
-        (r"^(.{3,})(?:os|as|es|o|a|e|s)$", r"\1"),
+        (r"^(.{3,}?)(?:os|as|es|o|a|e|s)$", r"\1"),
     ],
 }
 

@@ -155,24 +155,35 @@ def python_statements(text: str, config: ChunkConfig) -> list[Span]:
     return [(starts[max(0, line_of(a) - more)], ends[min(len(ends) - 1, line_of(b - 1) + more)]) for a, b in found] if more else found
 
 
-#: What a brace language skips (comments, strings, templates, expressions after an operator) and its braces.
-BRACE_TOKEN = re.compile(
-    r"""//[^\n]*|/\*.*?(?:\*/|\Z)|"(?:\\.|[^"\\])*+(?:"|\Z)|'(?:\\.|[^'\\])*+(?:'|\Z)|`(?:\\.|[^`\\])*+(?:`|\Z)|(?<=[=(,:!&|?;{}\n])[ \t]*/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*+\]|[^/\\\[\n])++/|[{}]""", re.S
+#: In the code of a brace language: what is skipped (comments, strings, expressions after an operator), templates and braces.
+CODE_TOKEN = re.compile(
+    r"""//[^\n]*|/\*.*?(?:\*/|\Z)|"(?:\\.|[^"\\])*+(?:"|\\?\Z)|'(?:\\.|[^'\\])*+(?:'|\\?\Z)|(?<=[=(,:!&|?;{}\n])[ \t]*/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*+\]|[^/\\\[\n])++/|[`{}]""", re.S
 )
+#: In the text of a template: what is skipped, its end, and the start of an expression.
+TEMPLATE_TOKEN = re.compile(r"\\.|`|\$\{", re.S)
 
 
 def brace_blocks(text: str, config: ChunkConfig) -> list[Span]:
     """Blocks of brace languages, from the line on which nesting leaves the top to the end of the line on
-    which it returns, packed to the budget with what stands between them (C8)."""
-    depth, cuts, began = 0, {0, len(text)}, 0
-    for m in BRACE_TOKEN.finditer(text):
-        if m[0] == "{":
-            if not depth:
+    which it returns, packed to the budget with what stands between them (C8).
+
+    A stack holds the open braces, templates and expressions of templates, in which braces count again.
+    """
+    stack, cuts, began, at = [], {0, len(text)}, 0, 0
+    while m := (TEMPLATE_TOKEN if stack and stack[-1] == "`" else CODE_TOKEN).search(text, at):
+        at, token = m.end(), m[0]
+        if stack and stack[-1] == "`":
+            if token == "`":
+                stack.pop()
+            elif token == "${":
+                stack.append(token)
+        elif token in "`{":
+            if not stack and token == "{":
                 began = text.rfind("\n", 0, m.start()) + 1
-            depth += 1
-        elif m[0] == "}" and depth:
-            depth -= 1
-            if not depth:
+            stack.append(token)
+        elif token == "}" and stack:
+            stack.pop()
+            if not stack:
                 line_end = text.find("\n", m.end())
                 cuts |= {began, line_end + 1 if line_end >= 0 else len(text)}
     if len(cuts) == 2:

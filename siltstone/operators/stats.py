@@ -68,6 +68,22 @@ def quantile_from_buckets(buckets: DataFrame, group: list[str], p: float) -> Dat
     return hit.select(*group, (F.col("lower") + (F.col("upper") - F.col("lower")) * (wanted - (F.col("below") - F.col("n"))) / F.col("n")).alias("quantile"))
 
 
+def counter_increases(samples: DataFrame, series: list[str], ts: str, value: str) -> DataFrame:
+    """``samples`` of counters with ``increase``, what each gained since the sample of its series before. A counter
+    that fell was set back to zero in between and gained what it shows; a series' first sample gains nothing."""
+    before = F.lag(value).over(Window.partitionBy(*series).orderBy(ts))
+    return samples.withColumn("increase", F.when(before.isNull(), F.lit(0)).when(F.col(value) >= before, F.col(value) - before).otherwise(F.col(value)))
+
+
+def histogram_quantile(samples: DataFrame, series: list[str], le: str, ts: str, value: str, window: str, p: float) -> DataFrame:
+    """(window_start, quantile) of cumulative bucket counters sampled in many series (A12): increases are corrected for
+    resets in every series, added up over the series for each window and bucket, and the quantile is read from the sums."""
+    gained = counter_increases(samples, [*series, le], ts, value).groupBy(F.window(ts, window)["start"].alias("window_start"), F.col(le).alias("upper")).agg(F.sum("increase").alias("upto"))
+    inside = Window.partitionBy("window_start").orderBy("upper")  # a row a bucket
+    buckets = gained.withColumn("n", F.col("upto") - F.coalesce(F.lag("upto").over(inside), F.lit(0)))
+    return quantile_from_buckets(buckets, ["window_start"], p)
+
+
 def bucket_upper(value: Column, edges: list[float]) -> Column:
     """The smallest edge that the value doesn't exceed; the last edge for those over it."""
     out = F.lit(edges[-1])

@@ -129,6 +129,25 @@ def histogram_quantile_5m(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.date_format("w", "yyyy-MM-dd HH:mm:ss").alias("window_start"), F.round("quantile", 6).alias("p95"))
 
 
+@query(f"""WITH e AS (SELECT user_id % 5 AS instance, time_bucket(INTERVAL 1 MINUTE, ts) AS m, floor((epoch(ts) + 3600 * (user_id % 5)) / 21600)::bigint AS life, value FROM events
+), counted AS (SELECT instance, m, life, le, sum((value <= le OR le = 250)::int) AS n FROM e, (SELECT unnest({EDGES}::double[]) AS le) GROUP BY ALL
+), samples AS (SELECT instance, le, m, sum(n) OVER (PARTITION BY instance, le, life ORDER BY m) AS v FROM counted
+), gains AS (SELECT m, le, CASE WHEN lag(v) OVER x IS NULL THEN 0 WHEN v >= lag(v) OVER x THEN v - lag(v) OVER x ELSE v END AS d FROM samples WINDOW x AS (PARTITION BY instance, le ORDER BY m)
+), gained AS (SELECT time_bucket(INTERVAL 1 HOUR, m) AS w, le AS upper, sum(d) AS upto FROM gains GROUP BY ALL
+), b AS (SELECT w, upper, upto - coalesce(lag(upto) OVER (PARTITION BY w ORDER BY upper), 0) AS n FROM gained
+), c AS (SELECT *, sum(n) OVER x AS below, coalesce(lag(upper) OVER x, 0) AS lower, sum(n) OVER (PARTITION BY w) AS total FROM b WINDOW x AS (PARTITION BY w ORDER BY upper))
+SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, round(lower + (upper - lower) * (0.95::double * total - (below - n)) / n, 6) AS p95 FROM c WHERE below >= 0.95::double * total AND below - n < 0.95::double * total""")
+def histogram_quantile_counters(spark: SparkSession, sf: str) -> DataFrame:
+    """Counters of five instances that start again every six hours, sampled in the minutes in which they moved."""
+    e = T.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("instance", F.col("user_id") % 5)
+    e = e.withColumn("m", F.date_trunc("minute", "ts")).withColumn("life", F.floor((F.unix_timestamp("m") + 3600 * F.col("instance")) / 21600))
+    under = lambda edge: F.sum(((F.col("value") <= edge) | F.lit(edge == EDGES[-1])).cast("int"))
+    counted = e.groupBy("instance", "m", "life").agg(F.array(*[F.struct(F.lit(x).alias("le"), under(x).alias("n")) for x in EDGES]).alias("b")).select("instance", "m", "life", F.inline("b"))
+    samples = counted.withColumn("v", F.sum("n").over(Window.partitionBy("instance", "le", "life").orderBy("m")))
+    found = stats.histogram_quantile(samples, ["instance"], "le", "m", "v", "1 hour", 0.95)
+    return found.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), F.round("quantile", 6).alias("p95"))
+
+
 @query("SELECT user_id, round(1 - sum((event_type = 'error')::int) / greatest(count(*), 1)::double, 6) AS success FROM events GROUP BY user_id")
 def success_ratio(spark: SparkSession, sf: str) -> DataFrame:
     e = T.table(spark, sf, "events")

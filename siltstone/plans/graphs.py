@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -188,12 +190,33 @@ def chunk_sequence_neighbors(spark: SparkSession, sf: str) -> DataFrame:
     return graph.sequence_neighbours(seeds, seqs, 1).withColumn("score", F.round("score", 6))
 
 
+NAMES = r"\b[A-Z][a-z]{3,}"
+
+
+def proper_names(text: str) -> list[str]:
+    """Capitalised words; a text without any is refused."""
+    found = list(dict.fromkeys(re.findall(NAMES, text)))
+    if not found:
+        raise ValueError("no names")
+    return found
+
+
+graph.register_extractor("proper_names", proper_names)
+
+
+@query(f"""WITH {CONCEPTS_SQL}, given AS (SELECT chunk_id, list_transform(regexp_extract_all(content, '{NAMES}'), lambda w: lower(w)) AS ns FROM chunks
+), each AS (SELECT chunk_id, list_filter(ns, lambda x, i: list_position(ns, x) = i)[1:8] AS ns FROM given WHERE len(ns) > 0)
+SELECT chunk_id, concept, freq, rank::int AS rank FROM concepts WHERE chunk_id NOT IN (SELECT chunk_id FROM each)
+UNION ALL SELECT chunk_id, unnest(ns), 1::bigint, generate_subscripts(ns, 1)::int FROM each""")
+def concept_extract_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Concepts by a second extractor, with identifiers for the chunks that it refuses."""
+    return graph.concepts(T.chunks(spark, sf), extractor="proper_names")
+
+
 @query()
 def python_ast_graph(spark: SparkSession, sf: str) -> DataFrame:
-    """Entities and relations of a Python source made for each nation."""
-    n = T.table(spark, sf, "nation")
-    source = F.format_string("import os\nfrom json import loads\n\nclass Base%d:\n    def load(self):\n        return loads('1')\n\nclass Nation%d(Base%d):\n    pass\n\ndef run():\n    return Nation%d().load()\n", *["n_nationkey"] * 4)
-    return graph.python_graph(n.select(F.lit("nations").alias("corpus_id"), F.concat(F.lit("src/n"), F.col("n_nationkey").cast("string"), F.lit(".py")).alias("file_path"), source.alias("content")))
+    """Entities and relations of the modules made for the suppliers."""
+    return graph.python_graph(python_files(spark, sf))
 
 
 # Chunks
@@ -215,18 +238,77 @@ def chunk_estimate_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.estimated_token_windows(T.files(spark, sf))
 
 
-def _split(strategy: str):
+def markdown_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents with a heading on top and one before each further line."""
+    content = F.concat(F.lit("# Document "), F.col("doc_id").cast("string"), F.lit("\n\n"), F.replace("content", F.lit("\n"), F.lit("\n\n## More\n\n")))
+    return T.files(spark, sf).withColumn("content", content)
+
+
+def question_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents with every sentence on a line of its own, questions and answers by turns."""
+    lines = F.filter(F.split(F.regexp_replace("content", r"([.!?])[ \t\n\r\f]+", "$1\u0001"), "\u0001"), lambda x: x != "")
+    return T.files(spark, sf).withColumn("content", F.array_join(F.transform(lines, lambda x, i: F.concat(F.when(i % 2 == 0, "Q: ").otherwise("A: "), x)), "\n"))
+
+
+QUESTION_FILES_SQL = f"""{T.FILES_SQL.replace("files AS", "plain_files AS")}, files AS (
+  SELECT corpus_id, file_path, doc_id, array_to_string(list_transform(ls, lambda x, i: CASE WHEN i % 2 = 1 THEN 'Q: ' ELSE 'A: ' END || x), chr(10)) AS content
+  FROM (SELECT *, list_filter(string_split(regexp_replace(content, '([.!?])[ \\t\\n\\r\\f]+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS ls FROM plain_files))"""
+
+
+def brace_files(spark: SparkSession, sf: str) -> DataFrame:
+    """A source for each supplier: a class with its nation's name and functions with templates, braces in them and regular expressions."""
+    s, n = T.table(spark, sf, "supplier"), T.table(spark, sf, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
+    made = F.transform(F.sequence(F.lit(0), F.lit(24)), lambda i: F.format_string(
+        "function part%d(rows) {\n  // } %s\n  const all = rows.map((r) => { return `${r.map((x) => { return `${x}}`; }).join('}')}`; });\n  return /[}/]/.test(all) ? '{' : `\\`${all}`;\n}\n", i, F.col("s_name")))
+    head = F.format_string("/* { */\nclass Supplier%d {\n  nation() { return \"%s }\"; }\n}\n", "s_suppkey", "n_name")
+    path = F.concat(F.lit("src/s"), F.col("s_suppkey").cast("string"), F.lit(".js"))
+    return s.join(F.broadcast(n), "s_nationkey").select(F.lit("suppliers").alias("corpus_id"), path.alias("file_path"), F.concat(head, F.array_join(made, "")).alias("content"))
+
+
+def python_files(spark: SparkSession, sf: str) -> DataFrame:
+    """A module for each supplier: imports, a class and functions named after parts."""
+    s = T.table(spark, sf, "supplier")
+    made = F.transform(F.sequence(F.lit(0), F.lit(24)), lambda i: F.format_string("def part_%d(rows):\n    \"\"\"Rows of %s.\"\"\"\n    found = [r for r in rows if r]\n    return sorted(found)\n\n", i, F.col("s_name")))
+    head = F.format_string("import os\nfrom json import loads\n\n\nclass Supplier%d:\n    def load(self):\n        return loads('1')\n\n", "s_suppkey")
+    path = F.concat(F.lit("src/s"), F.col("s_suppkey").cast("string"), F.lit(".py"))
+    return s.select(F.lit("suppliers").alias("corpus_id"), path.alias("file_path"), F.concat(head, F.array_join(made, "")).alias("content"))
+
+
+def packed_sql(files: str, unit: str) -> str:
+    """Units that tile a text, joined while they fit 128 estimated tokens, blank and short ones left out."""
+    return f"""WITH RECURSIVE {files}, units AS MATERIALIZED (SELECT corpus_id, file_path, content, {unit} AS us FROM files
+), ends AS MATERIALIZED (
+  SELECT file_path, nth, sum(length(u)) OVER (PARTITION BY file_path ORDER BY nth)::bigint AS e FROM (SELECT file_path, unnest(us) AS u, generate_subscripts(us, 1) AS nth FROM units)
+), cut(file_path, s, e, made) AS (
+  SELECT file_path, 0::bigint, coalesce(max(CASE WHEN e <= 512 THEN e END), min(e)), true FROM ends GROUP BY file_path
+  UNION ALL SELECT c.file_path, c.e, coalesce(max(CASE WHEN n.e <= c.e + 512 THEN n.e END), min(n.e)), true FROM cut c JOIN ends n ON n.file_path = c.file_path AND n.e > c.e GROUP BY c.file_path, c.e
+), pieces AS (SELECT c.file_path, c.s, c.e, u.content, substr(u.content, (c.s + 1)::bigint, (c.e - c.s)::bigint) AS piece FROM cut c JOIN units u USING (file_path)
+), filled AS (SELECT *, count(*) OVER (PARTITION BY file_path) AS n FROM pieces WHERE trim(piece, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '')
+SELECT file_path, (row_number() OVER (PARTITION BY file_path ORDER BY s) - 1)::int AS chunk_ordinal, s::int AS char_start, e::int AS char_end,
+       (1 + s - length(replace(substr(content, 1, s::bigint), chr(10), '')))::int AS start_line, (1 + e - length(replace(substr(content, 1, e::bigint), chr(10), '')))::int AS end_line
+FROM filled WHERE n = 1 OR e - s >= 50"""
+
+
+SENTENCE_UNIT = "regexp_extract_all(content, '(?s).+?(?:[.!?][ \t\n\r\f\v]+|$)')"
+QUESTION_UNIT = "list_transform(string_split(replace(content, chr(10) || 'Q:', chr(10) || chr(1) || 'Q:'), chr(1)), lambda x: x)"
+
+
+def _split(strategy: str, files):
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        found = chunking.split(T.files(spark, sf), strategy, ChunkConfig(target_tokens=128, overlap_tokens=16))
+        found = chunking.split(files(spark, sf), strategy, ChunkConfig(target_tokens=128, overlap_tokens=16))
         return found.select("file_path", "chunk_ordinal", "char_start", "char_end", "start_line", "end_line")
 
     return run
 
 
-for _name, _strategy in (("chunk_sentences", "sentence"), ("chunk_markdown", "markdown"), ("chunk_recursive", "recursive"), ("chunk_qa_blocks", "qa_blocks"), ("chunk_fixed_tokens", "fixed_tokens"), ("chunk_python_statements", "ast"), ("chunk_brace_blocks", "braces")):
-    _run = _split(_strategy)
+for _name, _strategy, _files, _sql in (
+    ("chunk_sentences", "sentence", T.files, packed_sql(T.FILES_SQL, SENTENCE_UNIT)), ("chunk_markdown", "markdown", markdown_files, None), ("chunk_recursive", "recursive", T.files, None),
+    ("chunk_qa_blocks", "qa_blocks", question_files, packed_sql(QUESTION_FILES_SQL, QUESTION_UNIT)), ("chunk_fixed_tokens", "fixed_tokens", T.files, None),
+    ("chunk_python_statements", "ast", python_files, None), ("chunk_python_fallback", "ast", T.files, None), ("chunk_brace_blocks", "braces", brace_files, None),
+):
+    _run = _split(_strategy, _files)
     _run.__name__ = _name
-    query()(_run)
+    query(_sql)(_run)
 
 
 @query(f"WITH {T.CHUNKS_SQL} SELECT * FROM (SELECT corpus_id, chunk_id AS src, lead(chunk_id) OVER (PARTITION BY corpus_id, file_path ORDER BY chunk_ordinal) AS dst FROM chunks) WHERE dst IS NOT NULL")

@@ -447,3 +447,99 @@ def test_python_concepts_and_keys(spark):
     texts = spark.createDataFrame([("1", "Use `load_file` with ThingMaker; helper imported from tools.io")], "chunk_id string, content string")
     r = graph.docstring_concepts(texts).first()
     assert r["concepts"] == ["load_file", "ThingMaker"] and (r["imported"], r["imported_from"]) == ("helper", "tools.io")
+
+
+def brute_braces(text):
+    """Top-level blocks by a recursive reading of code and templates, character by character."""
+    blocks, opened = [], [None]
+
+    def code(i, depth, inside):
+        """From ``i`` to the brace that ends an expression of a template, or the end."""
+        while i < len(text):
+            c = text[i]
+            if text.startswith("//", i):
+                i = text.find("\n", i) if "\n" in text[i:] else len(text)
+                continue
+            if text.startswith("/*", i):
+                end = text.find("*/", i + 2)
+                i = end + 2 if end >= 0 else len(text)
+                continue
+            if c in "\"'":
+                i += 1
+                while i < len(text) and text[i] != c:
+                    i += 2 if text[i] == "\\" else 1
+                i += 1
+                continue
+            if c == "`":
+                i = template(i + 1)
+                continue
+            if c == "{":
+                if not depth and not inside:
+                    opened[0] = text.rfind("\n", 0, i) + 1
+                depth += 1
+            elif c == "}":
+                if not depth and inside:
+                    return i + 1
+                if depth:
+                    depth -= 1
+                    if not depth and not inside:
+                        end = text.find("\n", i)
+                        blocks.append((opened[0], end + 1 if end >= 0 else len(text)))
+            i += 1
+        return i
+
+    def template(i):
+        while i < len(text):
+            if text[i] == "\\":
+                i += 2
+            elif text[i] == "`":
+                return i + 1
+            elif text.startswith("${", i):
+                i = code(i + 2, 0, True)
+            else:
+                i += 1
+        return i
+
+    code(0, 0, False)
+    return blocks
+
+
+def test_braces_inside_templates(spark):
+    import random
+
+    rng = random.Random(12)
+    parts = ["{", "}", "`", "${", "}", "'", '"', "\\", "// ", "/* ", " */", "\n", "a ", "x.y()", "\n", "{\n", "}\n", "`a${b}c`", "'}'"]
+    config = ChunkConfig(target_tokens=1, overlap_tokens=0)
+    seen = 0
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 25)))
+        cuts = sorted({0, len(text), *(x for b in brute_braces(text) for x in b)})
+        expected = chunking.recursive(text, config) if len(cuts) == 2 else chunking.packed(list(zip(cuts, cuts[1:])), text, 1)
+        assert chunking.brace_blocks(text, config) == expected, text
+        seen += len(cuts) > 2
+    assert seen > 300
+    nested = "function f() {\n  return `${a.map((x) => { return `${x}}`; })}`;\n}\nfunction g() {\n}\n"
+    assert spans("braces", nested, target_tokens=8, overlap_tokens=0) == [nested[: nested.index("function g")], nested[nested.index("function g") :]]
+
+
+def test_concept_extractors_fail_by_chunk(spark):
+    def first_two(text):
+        if "bad" in text:
+            raise RuntimeError("no answer")
+        return [" Alpha ", "", text.split()[0], "alpha"]
+
+    graph.register_extractor("first_two", first_two)
+    rows = spark.createDataFrame([("1", "Words here words"), ("2", "bad things things"), ("3", ""), ("4", None)], "chunk_id string, content string")
+    found = sorted((r["chunk_id"], r["rank"], r["concept"], r["freq"]) for r in graph.concepts(rows, extractor="first_two").collect())
+    assert found[:2] == [("1", 1, "alpha", 2), ("1", 2, "words", 1)] and [f for f in found if f[0] == "2"] == [("2", 1, "things", 2)]
+    plain = sorted((r["chunk_id"], r["rank"], r["concept"], r["freq"]) for r in graph.concepts(rows).collect())
+    assert plain == [("1", 1, "words", 2), ("1", 2, "here", 1), ("2", 1, "things", 2)]
+
+
+def test_counters_that_start_again(spark):
+    samples = [("a", 1.0, 10, 5), ("a", 1.0, 70, 9), ("a", 1.0, 130, 2), ("a", 2.0, 10, 5), ("a", 2.0, 70, 15), ("a", 2.0, 130, 4), ("b", 1.0, 60, 100), ("b", 2.0, 60, 100), ("b", 1.0, 200, 100), ("b", 2.0, 200, 103)]
+    rows = spark.createDataFrame(samples, "series string, le double, s int, v int").withColumn("ts", F.timestamp_seconds("s"))
+    gained = {(r["series"], r["le"], r["s"]): r["increase"] for r in stats.counter_increases(rows, ["series", "le"], "ts", "v").collect()}
+    assert gained == {("a", 1.0, 10): 0, ("a", 1.0, 70): 4, ("a", 1.0, 130): 2, ("a", 2.0, 10): 0, ("a", 2.0, 70): 10, ("a", 2.0, 130): 4, ("b", 1.0, 60): 0, ("b", 2.0, 60): 0, ("b", 1.0, 200): 0, ("b", 2.0, 200): 3}
+    found = stats.histogram_quantile(rows, ["series"], "le", "ts", "v", "1 hour", 0.5).collect()
+    assert len(found) == 1 and math.isclose(found[0]["quantile"], 1 + (0.5 * 17 - 6) / 11)  # 6 up to 1.0, 11 between 1.0 and 2.0

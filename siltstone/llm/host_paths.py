@@ -11,7 +11,9 @@ Menus, headers outside articles, footers, sidebars, notices, adverts, forms, scr
 reader comments are left out by element, role, class or id. A class counts if it is such a name as a
 whole (``cookie-notice``, ``post-comments``), not if it mentions one (``has-sidebar``,
 ``comments-open``, ``social-science``). Forms, headers and what classes or roles alone mark are
-judged when the page is parsed: one that holds a main element, the article or nearly all text stays.
+judged when the page is parsed: one that holds a main element, the article or nearly all text stays. Boxes
+for sharing, tags, related pages and page numbers are menus where at least half of what they hold is links; else they
+are text like any other.
 
 A page is read in one pass and its elements are walked a fixed number of times, so the time grows
 with the page's length, however deep or unclosed its elements are.
@@ -43,10 +45,12 @@ from .url_lists import host_of
 DROPPED = frozenset("nav aside footer script style noscript template svg button select option dialog iframe object canvas textarea title head menu input label".split())
 MARKED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog menu menubar toolbar form".split())
 MARKED_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline consent cookie cookies disclaimer footer gdpr login masthead menu modal nav "
-    "navbar navigation newsletter notice notices overlay pager pagination paywall popup promo promotion promoted related recommended recommendations share sharing sidebar sidenav "
-    "signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets alert announcement".split()
+    "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs consent cookie cookies disclaimer footer gdpr login masthead menu modal nav "
+    "navbar navigation newsletter notice notices overlay paywall popup promo promotion promoted sidebar sidenav "
+    "signup skip sponsor sponsored subscribe subscription toolbar topbar widget widgets alert announcement".split()
 )
+# Words that mark a menu where most of what is held is links, and article text elsewhere.
+LINK_WORDS = frozenset("pager pagination related recommended recommendations share sharing social tags".split())
 COMMENT_WORDS = frozenset("comment comments commentlist disqus replies reply respond".split())
 HEADER_WORDS = frozenset("header siteheader pageheader topheader".split())
 #: Words that may stand before and after such a word in the name of a class.
@@ -66,6 +70,8 @@ HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 class PathConfig:
     #: Winning paths are broadcast up to this many hosts; beyond, they are joined.
     broadcast_hosts: int = 100_000
+    #: Share of the text of a page's own best container below which the host's winner is passed over.
+    least_share: float = 0.5
     parent_share: float = 0.6
     content_bonus: float = 1.5
     #: Share of a page's text from which on a form, a header or a marked container stays.
@@ -75,7 +81,7 @@ class PathConfig:
 
 
 #: Why an element may be left out.
-PLAIN, MARKED, COMMENTS = 0, 1, 2
+PLAIN, LINKS, MARKED, COMMENTS = 0, 1, 2, 3
 
 
 @dataclass(slots=True)
@@ -138,9 +144,9 @@ def mark_of_name(name: str) -> int:
     words = re.findall(r"[a-z]+", HUMP.sub("-", name).lower())
     while len(words) > 1 and words[0] in BEFORE:
         words = words[1:]
-    if not words or not all(w in MARKED_WORDS or w in COMMENT_WORDS or w in AFTER for w in words):
+    if not words or not all(w in MARKED_WORDS or w in COMMENT_WORDS or w in LINK_WORDS or w in AFTER for w in words):
         return PLAIN
-    return COMMENTS if words[0] in COMMENT_WORDS else MARKED if words[0] in MARKED_WORDS else PLAIN
+    return COMMENTS if words[0] in COMMENT_WORDS else MARKED if words[0] in MARKED_WORDS else LINKS if words[0] in LINK_WORDS else PLAIN
 
 
 def mark_of(tag: str, found: dict[str, str], inside_article: bool) -> int:
@@ -223,7 +229,7 @@ def parse(html: str) -> Page:
             close_open(("p",))
         found = attributes(source) if source.strip() else {}
         mark = mark_of(tag, found, bool(places["article"] or places["main"]))
-        drop = tag in RAW or tag in DROPPED or "hidden" in found or found.get("aria-hidden") == "true" or mark != PLAIN and tag not in BLOCK
+        drop = tag in RAW or tag in DROPPED or "hidden" in found or found.get("aria-hidden") == "true" or mark > LINKS and tag not in BLOCK
         element = -1
         if tag in BLOCK:
             flush()
@@ -245,10 +251,12 @@ def parse(html: str) -> Page:
 def judge_marks(page: Page, config: PathConfig) -> None:
     """Decide which marked elements are left out."""
     elements, n = page.elements, len(page.elements)
-    chars = [0] * n
+    chars, links, texts = [0] * n, [0] * n, [0] * n
     for block in page.blocks:
         chars[block.element] += block.own_chars() + 1
-    held = page.summed(chars)
+        links[block.element] += block.link_chars
+        texts[block.element] += len(block.text)
+    held, links, texts = map(page.summed, (chars, links, texts))
     mains = page.summed([e.tag == "main" for e in elements])
     story = page.summed([e.tag == "article" and 2 * held[i] >= held[0] for i, e in enumerate(elements)])
 
@@ -256,6 +264,8 @@ def judge_marks(page: Page, config: PathConfig) -> None:
         mark = elements[i].mark
         if mark == COMMENTS:
             return comments_too and not mains[i]
+        if mark == LINKS:
+            return marked_too and 2 * links[i] >= texts[i]
         return mark == MARKED and marked_too and not mains[i] and not story[i] and held[i] < config.most_text * held[0]
 
     # Where nothing is left, marked containers are taken for what they hold, and at last comments too.
@@ -314,10 +324,12 @@ def main_text(page: Page, winner: str | None, config: PathConfig) -> str:
         inside = page.below(chosen)
         return [b.text for b in page.kept() if inside[b.element]]
 
+    size = lambda blocks: sum(map(len, blocks))
     blocks = within([e.path == winner for e in page.elements]) if winner is not None else []
-    if not blocks:
-        best, _ = best_container(page, config)
-        blocks = within([i == best for i in range(len(page.elements))]) if best >= 0 else [b.text for b in page.kept()]
+    best, _ = best_container(page, config)
+    own = within([i == best for i in range(len(page.elements))]) if best >= 0 else [b.text for b in page.kept()]
+    if not blocks or size(blocks) < config.least_share * size(own):
+        blocks = own
     return "\n\n".join(blocks)
 
 

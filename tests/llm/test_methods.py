@@ -310,6 +310,40 @@ def test_extraction(spark):
     assert found[9] == "No such container here"
 
 
+def extracted(spark, htmls, hosts=None):
+    pages = [(i, f"http://{(hosts or ['one.example'] * len(htmls))[i]}/{i}", h) for i, h in enumerate(htmls)]
+    found = {r["page_id"]: r["text"] for r in host_paths.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    return [found[i] for i in range(len(htmls))]
+
+
+def test_winner_that_misses_the_article(spark):
+    """A page whose article stands elsewhere than on its host's other pages keeps its own."""
+    usual = f'<body><div class="main"><p>{PARAGRAPH[3:-5]}</p><p>{PARAGRAPH[3:-5]}</p></div></body>'
+    odd = f'<body><div class="main"><p>Teaser.</p></div><article><p>{PARAGRAPH[3:-5]}</p></article></body>'
+    found = extracted(spark, [usual, usual, usual, odd])
+    assert found[3] == PARAGRAPH[3:-5] and found[:3] == [PARAGRAPH[3:-5] + "\n\n" + PARAGRAPH[3:-5]] * 3
+
+
+def test_boxes_that_are_menus_only_as_lists_of_links(spark):
+    text = PARAGRAPH[3:-5]
+    links = '<ul><li><a href="/a">Another page of this site</a></li><li><a href="/b">One more page of this site</a></li></ul>'
+    for name in ("byline", "tags", "related", "recommended", "pagination", "share"):
+        kept = f'<article><p>{text}</p><div class="{name}"><p>Written about {name} by a person.</p></div><p>{text}</p></article>'
+        assert extracted(spark, [kept]) == [f"{text}\n\nWritten about {name} by a person.\n\n{text}"]
+        if name != "byline":
+            menu = f'<article><p>{text}</p><div class="{name}">{links}</div><p>{text}</p></article>'
+            assert extracted(spark, [menu]) == [f"{text}\n\n{text}"]
+
+
+def test_equal_votes_go_to_the_higher_score_then_the_smaller_path(spark):
+    page = lambda name, n: f'<body><div class="{name}">' + f"<p>{PARAGRAPH[3:-5]}</p>" * n + "</div></body>"
+    rows = [(0, "http://a.example/", page("x", 1)), (1, "http://a.example/", page("y", 2)), (2, "http://b.example/", page("x", 1)), (3, "http://b.example/", page("y", 1))]
+    winners = {r["host"]: r["winner"] for r in host_paths.winning_paths(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    paths = {n: host_paths.read_page(page(n, 1), host_paths.PathConfig()).elements[-1].path for n in "xy"}
+    own = {n: [e.path for e in host_paths.read_page(page(n, 1), host_paths.PathConfig()).elements if e.path.startswith(f"div.{n}@")][0] for n in "xy"}
+    assert winners["a.example"] == own["y"] and winners["b.example"] == min(own.values()) and paths
+
+
 def test_extraction_of_generated_pages(spark):
     import html
     import re

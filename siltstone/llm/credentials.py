@@ -149,23 +149,32 @@ def find_secrets(docs: DataFrame, config: LinkConfig = LinkConfig()) -> DataFram
 
 def redact(docs: DataFrame, config: LinkConfig = LinkConfig()) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; ``n_chars`` follows the text."""
+
+    @F.pandas_udf("string")
+    def replaced(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([_without(t, s) for t, s in zip(texts, spans)], dtype=object)
+
     columns = docs.columns
     found = find_secrets(docs, config).where(F.size("span_list") > 0).select("text_key", "span_list").dropDuplicates(["text_key"])
     keyed = docs.withColumn("text_key", F.md5(F.coalesce("text", F.lit("")))).join(found, "text_key", "left")
-    start = F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at"))
-
-    def step(state: Column, x: Column) -> Column:
-        marked = F.concat(state["done"], F.substring(F.col("text"), (state["at"] + 1).cast("int"), F.greatest(x["start"] - state["at"], F.lit(0)).cast("int")), F.concat(F.lit("["), F.get(F.array(*[F.lit(k) for k in KINDS]), x["kind"]), F.lit("]")))
-        inside = x["end"] <= state["at"]
-        return F.struct(F.when(inside, state["done"]).otherwise(marked).alias("done"), F.greatest(state["at"], x["end"]).alias("at"))
-
-    text = F.aggregate("span_list", start, step, lambda s: F.concat(s["done"], F.substring(F.col("text"), (s["at"] + 1).cast("int"), F.length("text"))))
-    out = keyed.withColumn("text", F.when(F.col("span_list").isNull(), F.col("text")).otherwise(text))
+    out = keyed.withColumn("text", F.when(F.col("span_list").isNull(), F.col("text")).otherwise(replaced("text", "span_list")))
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.when(F.col("span_list").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(columns)
 
 
+def _without(text: str | None, spans: list | None) -> str | None:
+    """A text with each span replaced by its kind, in one pass; a span inside one before it is gone with it."""
+    if text is None or spans is None:
+        return text
+    pieces, at = [], 0
+    for span in spans:
+        if span["end"] > at:
+            pieces += [text[at : max(at, span["start"])], "[", KINDS[span["kind"]], "]"]
+            at = span["end"]
+    return "".join([*pieces, text[at:]])
+
+
 def op5_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")

@@ -19,9 +19,9 @@ language is never split, so an executor must hold the largest one (12 bytes an e
 are the same whatever the blocks.
 
 Defined results: a null text has no words and fails the base rules; a document without characters
-has perplexity 1. A null language, and languages of fewer than ``least_documents`` documents, are
-modelled together as one language named by the empty string. Where all documents of a language fall
-in one fold, each character has the probability 2 ** -21. Repeated rows count and score each. Extra
+has perplexity 1. A null language is a language named by the empty string. Every language, however small, has a
+model and bands of its own; the fewer documents it has, the wider its bands, as its model and its median are less
+certain. Where all documents of a language fall in one fold, each character has the probability 2 ** -21. Repeated rows count and score each. Extra
 columns are ignored.
 """
 
@@ -55,8 +55,8 @@ SHORT_BITS = 12
 
 @dataclass(frozen=True)
 class PerplexityConfig:
-    #: Languages of fewer documents are pooled.
-    least_documents: int = 200
+    #: Documents of a language from which on its bands hardly widen for want of documents.
+    enough_documents: int = 200
     #: Entries of the arrays of all languages that are broadcast at once, unless one alone has more.
     block_grams: int = 6_000_000
     #: Bands: so many scaled median absolute deviations below and above the median, and at least
@@ -167,11 +167,9 @@ def chunks(texts: list[str], chars: int) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def language_of(docs: DataFrame, config: PerplexityConfig) -> Column:
+def language_of() -> Column:
     """Column with the name under which a document's language is modelled."""
-    sizes = docs.groupBy("lang").count().where(F.col("count") >= config.least_documents)
-    large = [r["lang"] for r in sizes.collect() if r["lang"]]
-    return F.when(F.col("lang").isin(large), F.col("lang")).otherwise("") if large else F.lit("")
+    return F.coalesce("lang", F.lit(""))
 
 
 FOLDS = (0, 1)
@@ -411,7 +409,10 @@ def measure(texts: DataFrame, models: dict[str, SortedArrays]) -> DataFrame:
 
 
 def bands(measured: DataFrame, config: PerplexityConfig) -> DataFrame:
-    """Rows (lang, lower, upper) from a histogram of log perplexity in steps of a thousandth."""
+    """Rows (lang, lower, upper) from a histogram of log perplexity in steps of a thousandth.
+
+    Widths grow by the square root of one more than ``enough_documents`` over the language's documents.
+    """
     known = measured.where((F.col("n_words") >= config.least_words) & F.col("log_ppl").isNotNull())
     steps = known.groupBy("lang", F.round(F.col("log_ppl") * 1000).cast("long").alias("step")).count()
 
@@ -423,15 +424,16 @@ def bands(measured: DataFrame, config: PerplexityConfig) -> DataFrame:
     centre = middle(steps, "step")
     away = steps.join(centre, "lang").withColumn("away", F.abs(F.col("step") - F.col("middle")))
     spread = middle(away.groupBy("lang", "away").agg(F.sum("count").alias("count")), "away").withColumnRenamed("middle", "spread")
-    width = lambda k: F.greatest(1.4826 * k * F.col("spread") / 1000, F.lit(config.least_distance))
-    both = centre.join(spread, "lang")
+    n = steps.groupBy("lang").agg(F.sum("count").alias("n"))
+    width = lambda k: F.greatest(1.4826 * k * F.col("spread") / 1000, F.lit(config.least_distance)) * F.sqrt(1 + config.enough_documents / F.col("n"))
+    both = centre.join(spread, "lang").join(n, "lang")
     return both.select("lang", (F.col("middle") / 1000 - width(config.lower_deviations)).alias("lower"), (F.col("middle") / 1000 + width(config.upper_deviations)).alias("upper"))
 
 
 def judge(docs: DataFrame, config: PerplexityConfig = PerplexityConfig()) -> DataFrame:
     """One row for each document: base measures, log perplexity a character, bands and verdict."""
     fold = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(2)).cast("int")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), language_of(docs, config).alias("lang"), fold.alias("fold"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), language_of().alias("lang"), fold.alias("fold"), "text")
     arrays = stage(entries(stage(count_grams(texts.select("lang", "fold", "text")), "grams")), "model")
     sizes = {r["lang"]: 0 for r in texts.select("lang").distinct().collect()}
     sizes |= {r["lang"]: r["n"] for r in arrays.groupBy("lang").agg(F.count("*").alias("n")).collect()}

@@ -127,9 +127,9 @@ def test_documents_are_scored_by_the_other_fold(spark):
     rows += [(200 + i, " ".join("".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(60)), "en") for i in range(2)]
     rows += [(300, rows[0][1], "en"), (301, None, "en"), (302, "", None), (303, "solo", "xx")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    config = perplexity.PerplexityConfig(least_documents=5)
+    config = perplexity.PerplexityConfig(enough_documents=5)
     found = {r["doc_id"]: r for r in perplexity.judge(docs, config).collect()}
-    small = {r["doc_id"]: r for r in perplexity.judge(docs, perplexity.PerplexityConfig(least_documents=5, block_grams=1)).collect()}
+    small = {r["doc_id"]: r for r in perplexity.judge(docs, perplexity.PerplexityConfig(enough_documents=5, block_grams=1)).collect()}
     assert found == small
     fold = {r["doc_id"]: r["f"] for r in docs.select("doc_id", F.expr("pmod(xxhash64(coalesce(text, '')), 2)").alias("f")).collect()}
     for lang in ("en", "es"):
@@ -143,6 +143,24 @@ def test_documents_are_scored_by_the_other_fold(spark):
     assert found[0]["log_ppl"] == found[300]["log_ppl"] and found[301]["log_ppl"] == 0.0
 
 
+
+def test_every_language_has_its_own_bands(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    judged = perplexity.judge(docs).join(docs.select("doc_id", "lang"), "doc_id").where("not base_failed")
+    found = {r["lang"]: r for r in judged.groupBy("lang").agg(F.min("lower").alias("lower"), F.max("upper").alias("upper"), F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
+    assert len(found) == 4 and len({(r["lower"], r["upper"]) for r in found.values()}) == 4 and all(r["kept"] > 0.95 for r in found.values())
+
+
+def test_languages_of_few_documents_keep_them(spark):
+    """A language of one, two or five documents judges them by itself, and generously."""
+    rng = random.Random(21)
+    words = {lang: ["".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) for _ in range(60)] for lang, letters in (("one", "abcdef"), ("two", "ghijkl"), ("five", "mnopqr"), ("many", "stuvwx"))}
+    rows = [(lang, " ".join(rng.choice(words[lang]) + str(rng.random())[2:3] for _ in range(120))) for lang, n in (("one", 1), ("two", 2), ("five", 5), ("many", 150)) for _ in range(n)]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, lang string, text string")
+    judged = perplexity.judge(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert all(r["kept"] for r in judged if r["lang"] in ("one", "two", "five")) and sum(r["kept"] for r in judged) > 0.97 * len(rows)
+
+
 def test_bands_against_brute_force(spark):
     random.seed(9)
     rows = [(lang, 60 + i, round(random.gauss(1.5, 0.1), 3)) for lang in ("a", "b") for i in range(101)] + [("a", 3, 9.0)]
@@ -151,8 +169,9 @@ def test_bands_against_brute_force(spark):
         values = sorted(x for lang, n, x in rows if lang == r["lang"] and n >= config.least_words)
         middle = values[(len(values) - 1) // 2]
         spread = sorted(abs(x - middle) for x in values)[(len(values) - 1) // 2]
-        assert math.isclose(r["lower"], middle - max(config.least_distance, 1.4826 * config.lower_deviations * spread), abs_tol=1e-6)
-        assert math.isclose(r["upper"], middle + max(config.least_distance, 1.4826 * config.upper_deviations * spread), abs_tol=1e-6)
+        wider = math.sqrt(1 + config.enough_documents / len(values))
+        assert math.isclose(r["lower"], middle - wider * max(config.least_distance, 1.4826 * config.lower_deviations * spread), abs_tol=1e-6)
+        assert math.isclose(r["upper"], middle + wider * max(config.least_distance, 1.4826 * config.upper_deviations * spread), abs_tol=1e-6)
 
 
 # 2
@@ -499,6 +518,19 @@ def test_weak_parts_need_their_complement(spark):
     assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in text.collect()} == {1: ('[weak_id] [assign]"', 19), 2: ("clean", 5)}
 
 
+
+def test_redaction_of_a_long_text_is_linear(spark):
+    import time
+
+    line = "token=" + "A1b2C3d4E5f6" * 2 + "\n"
+    docs = spark.createDataFrame([(1, line * 32_000, 1), (2, None, None), (3, "", 0)], "doc_id long, text string, n_chars long")
+    credentials.redact(docs.limit(1)).count()
+    began = time.time()
+    found = {r["doc_id"]: r for r in credentials.redact(docs).collect()}
+    assert time.time() - began < 30
+    assert found[1]["text"] == "[assign]\n" * 32_000 and found[1]["n_chars"] == 9 * 32_000 and found[2]["text"] is None and found[3]["text"] == ""
+
+
 def test_parts_link_by_the_gap_between_them(spark):
     parts = {"weak": ("user=alice", "pwd=hunter2x"), "long": ("token=" + "a1B2" * 150, "user=bob"), "end": ("login=carol", "api_key: " + "Zz9-" * 400)}
     reach = credentials.LinkConfig().scope_chars

@@ -12,9 +12,9 @@ of its words that a similar text of at most as many words can share with it: suc
 bucket if and only if they are similar. Up to ``short_words`` words it is also placed under sketches
 of single words, by band of length.
 
-A word replaced here and there spoils five five-word windows each, so longer texts also have sketches
-of word pairs, labelled and ordered alike: they find texts that differ in up to a fifth of their
-words, which the alignment accepts and five-word sketches mostly miss.
+A word replaced, put in or taken out here and there spoils five-word windows around it, so longer texts also
+have sketches of word pairs, labelled and ordered alike: they find texts that differ in up to a fifth of
+their words, which the alignment accepts and five-word sketches mostly miss.
 
 Exact copies are collapsed to one text first. A bucket of texts with one sketch is never expanded
 into its pairs while they can be spared: in some rounds every member is aligned with one
@@ -51,8 +51,8 @@ class OrderMinHashConfig:
     k: int = 5
     #: k-mers of a sketch: two texts with i of u k-mers in common share one with probability C(i, l) / C(u, l).
     l: int = 5
-    #: Sketches: at i / u = 0.8 all of them miss a pair of long texts with probability 0.008; the word pairs
-    #: below then miss it with probability 1e-35.
+    #: Sketches: at i / u = 0.8 all of them miss a pair of long texts with probability 0.008, which the word pairs
+    #: below hardly ever miss then.
     sketches: int = 12
     #: Pairs of texts of up to so many words are found without fail. At 14 a text has up to 91 such buckets.
     exact_words: int = 14
@@ -61,12 +61,12 @@ class OrderMinHashConfig:
     short_words: int = 40
     short_l: int = 3
     short_sketches: int = 30
-    #: Sketches of word pairs for texts over ``short_words`` words and those similar to them: with a
-    #: fifth of the words replaced at random two texts share 0.64 / 1.36 of their pairs, and all of
-    #: these sketches miss them with probability 0.04; with 15 percent replaced 0.001.
+    #: Sketches of word pairs for texts over ``short_words`` words and those similar to them. With a fifth of the
+    #: words moved, or deleted and as many put in elsewhere, two texts share 0.51 / 1.49 of their pairs, and all
+    #: of these sketches miss them with probability 0.04; with a fifth replaced, 0.0002.
     loose_k: int = 2
-    loose_l: int = 4
-    loose_sketches: int = 64
+    loose_l: int = 3
+    loose_sketches: int = 80
     similarity: float = 0.8
     #: Rounds of alignment with representatives before what is left is aligned pair by pair.
     rounds: int = 2

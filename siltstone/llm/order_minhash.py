@@ -75,6 +75,10 @@ class OrderMinHashConfig:
     cells: int = 2048
 
 
+#: Hashes that are ranked at once, and rows of a batch that a worker holds the words of.
+MOST_RANKS, WORKER_ROWS = 1_000_000, 500
+
+
 def kmers(words: np.ndarray, k: int) -> np.ndarray:
     """64-bit hashes of the windows of ``k`` word hashes; of all words if there are fewer."""
     if not len(words):
@@ -105,13 +109,18 @@ def with_occurrence(items: np.ndarray) -> np.ndarray:
 def order_sketches(kmer: np.ndarray, config: OrderMinHashConfig) -> np.ndarray:
     """One number for each sketch: its smallest labelled k-mers in text order."""
     labelled = with_occurrence(kmer)
-    seeds = mix(np.arange(1, config.sketches + 1, dtype=np.uint64))
+    every = mix(np.arange(1, config.sketches + 1, dtype=np.uint64))
+    some = max(1, MOST_RANKS // max(1, len(kmer)))
+    return np.concatenate([_sketches(labelled, every[i : i + some], config.l) for i in range(0, len(every), some)])
+
+
+def _sketches(labelled: np.ndarray, seeds: np.ndarray, l: int) -> np.ndarray:
     ranks = (labelled[None, :] ^ seeds[:, None]) * np.uint64(0x9FB21C651E98DF25)
     ranks ^= ranks >> np.uint64(32)
-    if len(kmer) > config.l:
-        chosen = np.sort(np.argpartition(ranks, config.l - 1, axis=1)[:, : config.l], axis=1)
+    if len(labelled) > l:
+        chosen = np.sort(np.argpartition(ranks, l - 1, axis=1)[:, :l], axis=1)
     else:
-        chosen = np.broadcast_to(np.arange(len(kmer)), (config.sketches, len(kmer)))
+        chosen = np.broadcast_to(np.arange(len(labelled)), (len(seeds), len(labelled)))
     out = seeds.copy()
     for column in chosen.T:
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) + labelled[column])
@@ -225,10 +234,12 @@ def sketch_texts(docs: DataFrame, config: OrderMinHashConfig) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         is_word = letter_or_digit_table()
         for pdf in batches:
-            words = [word_hashes(t.lower(), is_word) for t in pdf["text"]]
-            buckets = [text_buckets(w, config) for w in words]
-            cells = [odd_cells(w, config.cells) for w in words]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text_key": pdf["text_key"], "n_words": [len(w) for w in words], "buckets": buckets, "cells": cells})
+            for i in range(0, len(pdf), WORKER_ROWS):
+                part = pdf.iloc[i : i + WORKER_ROWS]
+                words = [word_hashes(t.lower(), is_word) for t in part["text"]]
+                buckets = [text_buckets(w, config) for w in words]
+                cells = [odd_cells(w, config.cells) for w in words]
+                yield pd.DataFrame({"doc_id": part["doc_id"], "text_key": part["text_key"], "n_words": [len(w) for w in words], "buckets": buckets, "cells": cells})
 
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("text_key"), text.alias("text"))
@@ -242,8 +253,12 @@ def aligned(pairs: DataFrame, texts: DataFrame, config: OrderMinHashConfig) -> D
     def verify(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         is_word = letter_or_digit_table()
         for left, right in columns:
-            words = {t: word_hashes(t.lower(), is_word) for t in {*left, *right}}
-            yield pd.Series([similar(words[a], words[b], config.similarity) for a, b in zip(left, right)], dtype=bool)
+            found: list[bool] = []
+            for i in range(0, len(left), WORKER_ROWS):
+                a, b = left.iloc[i : i + WORKER_ROWS], right.iloc[i : i + WORKER_ROWS]
+                words = {t: word_hashes(t.lower(), is_word) for t in {*a, *b}}
+                found += [similar(words[x], words[y], config.similarity) for x, y in zip(a, b)]
+            yield pd.Series(found, dtype=bool)
 
     named = lambda side: texts.select(F.col("text_key").alias(side), F.col("text").alias(f"text_{side}"))
     both = pairs.join(named("b"), "b").join(named("a"), "a")

@@ -147,7 +147,7 @@ def fit(labelled: DataFrame, config: LangIdConfig = LangIdConfig()) -> LangIdMod
 class WordScores:
     """Log frequencies of the words met so far, a row each; words are scored anew, alike, after ``clear``."""
 
-    def __init__(self, model: LangIdModel, most_cells: int = 8_000_000):
+    def __init__(self, model: LangIdModel, most_cells: int = 2_000_000):
         self.model, self.most_rows = model, max(1, most_cells // max(1, len(model.languages)))
         self.clear()
 

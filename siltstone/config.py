@@ -87,6 +87,8 @@ class ChunkConfig:
 
 @dataclass(frozen=True)
 class RecallConfig:
+    #: Off: every message searches with the default intensity.
+    enabled: bool = True
     default_intensity: str = "standard"
     skip_max_tokens: int = 4
     light_top_k: int = 3

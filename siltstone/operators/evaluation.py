@@ -70,14 +70,18 @@ def dataset_of(files: DataFrame, questions: int = 20, extensions: tuple[str, ...
     return made.orderBy("entry_id").limit(questions)
 
 
-def nearest_rank(value: str, p: float) -> Column:
-    """Aggregate: the smallest value that ``p`` of the rows don't exceed."""
-    return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})")
-
-
-def interpolated(value: str, p: float) -> Column:
-    """Aggregate: linear interpolation between neighbours."""
-    return F.percentile(value, p)
+def nearest_rank(rows: DataFrame, group: str, value: str, p: float, name: str) -> DataFrame:
+    """(group, name): the smallest value that ``p`` of a group's rows don't exceed."""
+    return at_index(rows, group, value, F.greatest(F.ceil(F.lit(p) * F.col("n")) - 1, F.lit(0)), name)
+
+
+def interpolated(rows: DataFrame, group: str, value: str, p: float, name: str) -> DataFrame:
+    """(group, name): linear interpolation between the neighbours of a place in a group's rows."""
+    place = F.lit(p) * (F.col("n") - 1)
+    low, high = at_index(rows, group, value, F.floor(place), "_low"), at_index(rows, group, value, F.ceil(place), "_high")
+    sizes = rows.where(F.col(value).isNotNull()).groupBy(group).agg(F.count("*").alias("n"))
+    share = place - F.floor(place)
+    return low.join(high, group).join(sizes, group).select(group, (F.col("_low") + (F.col("_high") - F.col("_low")) * share).alias(name))
 
 
 def profile(labels: DataFrame, k: int = 10) -> DataFrame:

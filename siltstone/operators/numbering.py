@@ -30,16 +30,18 @@ def hash_bucket(hashed: Column) -> Column:
 def at_index(rows: DataFrame, group: str, value: str, index: Column, name: str) -> DataFrame:
     """(group, name): the value at an index from 0 of each group's values in order.
 
-    ``index`` is a function of the column ``n``, the number of a group's values. Approximate
-    percentiles cut a group into a hundred stretches; only the rows of the one that holds the index
-    are put in order.
+    ``index`` is a function of the column ``n``, the number of a group's values. Equal values are counted first, so they
+    are one row however many there are. Approximate percentiles cut a group into a hundred stretches; only
+    the values of the one that holds the index are put in order.
     """
     known = rows.where(F.col(value).isNotNull()).select(group, value)
     edges = known.groupBy(group).agg(F.percentile_approx(value, [i / 100 for i in range(1, 100)], 10_000).alias("_edges"), F.count("*").alias("n"))
-    cut = known.join(edges, group).withColumn("_bucket", F.size(F.filter("_edges", lambda e: e < F.col(value))))
-    counts = cut.groupBy(group, "_bucket").agg(F.count("*").alias("_n"), F.first("n").alias("n"))
+    each = known.groupBy(group, value).agg(F.count("*").alias("_c"))
+    cut = each.join(edges, group).withColumn("_bucket", F.size(F.filter("_edges", lambda e: e < F.col(value)))).drop("_edges")
+    counts = cut.groupBy(group, "_bucket").agg(F.sum("_c").alias("_n"), F.first("n").alias("n"))
     upto = F.sum("_n").over(Window.partitionBy(group).orderBy("_bucket"))  # a hundred rows a group
     held = counts.withColumn("_upto", upto).withColumn("_index", index).where((F.col("_index") < F.col("_upto")) & (F.col("_index") >= F.col("_upto") - F.col("_n")))
     held = held.select(group, "_bucket", (F.col("_index") - F.col("_upto") + F.col("_n")).alias("_nth"))
-    inside = F.row_number().over(Window.partitionBy(group, "_bucket").orderBy(value)) - 1
-    return cut.join(held, [group, "_bucket"]).withColumn("_at", inside).where("_at = _nth").select(group, F.col(value).alias(name))
+    inside = F.sum("_c").over(Window.partitionBy(group, "_bucket").orderBy(value))
+    found = cut.join(held, [group, "_bucket"]).withColumn("_to", inside)
+    return found.where((F.col("_nth") < F.col("_to")) & (F.col("_nth") >= F.col("_to") - F.col("_c"))).select(group, F.col(value).alias(name))

@@ -17,6 +17,9 @@ STANDALONE = r"(?i)^(what\s+is|what'?s\s+the|how\s+does|how\s+do\s+I|explain|def
 QUESTION = r"(?i)^(what|where|how|why|when|who|which|is|are|do|does|can|could|should|would|will|did)\b"
 
 
+INTENSITIES = ("skip", "light", "standard", "deep")
+
+
 def intensity(message: Column, turn: Column, config: RecallConfig = RecallConfig(), rag_active: Column | None = None, skip_when_rag: bool = False) -> Column:
     """skip, light, standard or deep; the first rule that holds decides."""
     text = F.trim(F.regexp_replace(F.coalesce(message, F.lit("")), r"^\s+|\s+$", ""))
@@ -37,11 +40,31 @@ def intensity(message: Column, turn: Column, config: RecallConfig = RecallConfig
 
 
 def gate(messages: DataFrame, config: RecallConfig = RecallConfig()) -> DataFrame:
-    """``messages`` (message, turn) with intensity, top_k, recency_weight and use_vector."""
-    out = messages.withColumn("intensity", intensity(F.col("message"), F.col("turn"), config))
+    """``messages`` (message, turn) with intensity, top_k, recency_weight, use_vector and decided_by.
+
+    Where there is a column ``override`` its intensity, if it is one, goes before the rules; with the gate off
+    every message has the default intensity, whatever it asks for.
+    """
+    chosen = F.lower(F.trim("override")) if "override" in messages.columns else F.lit(None).cast("string")
+    asked = F.when(chosen.isin(*INTENSITIES), chosen)
+    if config.enabled:
+        found, by = F.coalesce(asked, intensity(F.col("message"), F.col("turn"), config)), F.when(asked.isNotNull(), "user").otherwise("rules")
+    else:
+        found, by = F.lit(config.default_intensity), F.lit("gate off")
+    out = messages.withColumns({"intensity": found, "decided_by": by})
     pick = lambda light, standard, deep: F.when(F.col("intensity") == "light", light).when(F.col("intensity") == "standard", standard).when(F.col("intensity") == "deep", deep)
     return out.withColumns({
         "top_k": pick(config.light_top_k, config.standard_top_k, config.deep_top_k),
         "recency_weight": pick(config.standard_recency, config.standard_recency, config.deep_recency),
         "use_vector": F.col("intensity").isin("standard", "deep"),
     })
+
+
+def intensity_sql(message: str, turn: str, config: RecallConfig = RecallConfig()) -> str:
+    """The rules in SQL, from the same patterns."""
+    is_ = lambda pattern, text=message: f"regexp_matches({text}, '" + pattern.replace("'", "''") + "')"
+    words = f"len(list_filter(regexp_split_to_array({message}, '\\s+'), lambda w: w <> ''))"
+    asks = f"(contains({message}, '?') OR {is_(QUESTION)})"
+    return f"""CASE WHEN {is_(GREETING)} OR {is_(ACKNOWLEDGMENT)} OR {is_(FAREWELL)} THEN 'skip' WHEN {is_(PAST)} THEN 'deep'
+  WHEN {is_(SHARED)} AND {turn} > 0 THEN 'standard' WHEN {is_(STANDALONE)} THEN 'skip' WHEN {asks} AND {words} < 10 THEN 'light'
+  WHEN {words} <= {config.skip_max_tokens} AND NOT {asks} THEN 'light' ELSE '{config.default_intensity}' END"""

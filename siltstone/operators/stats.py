@@ -117,9 +117,12 @@ def price(requests: DataFrame, catalog: DataFrame, provider: str, model: str, co
     return met.withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth", "c_provider", "c_model", "position")
 
 
+POWER = ("kwh_rate", "watts", "hours_per_day")
+
+
 def cost(requests: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Costs of rows (request_id, provider, model, tokens_in, tokens_out, embeds, reranks, per_day),
-    with the errors of what couldn't be priced."""
+    """Costs of rows (request_id, provider, model, tokens_in, tokens_out, embeds, reranks, per_day) and, where there are
+    such columns, (kwh_rate, watts, hours_per_day), with the errors of what couldn't be priced."""
     priced = price(requests, catalog, "provider", "model", ["input_per_1k", "output_per_1k", "embed_per_1k", "per_request", "rerank_per_1k"])
     known = F.col("level").isNotNull()
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
@@ -128,7 +131,32 @@ def cost(requests: DataFrame, catalog: DataFrame) -> DataFrame:
     rerank = F.when(F.col("per_request").isNotNull(), F.col("reranks") * F.col("per_request")).otherwise(F.col("reranks") * RERANK_TOKENS / 1000 * zero("rerank_per_1k"))
     each = F.round(F.when(known, F.round(generation, 6) + F.round(embedding, 6) + F.round(rerank, 6)).otherwise(0.0), 6)
     unknown = F.when(~known, F.format_string("Unknown model: %s/%s", "provider", "model")).when(F.col("input_per_1k").isNull() & F.col("output_per_1k").isNull() & (F.col("tokens_in") + F.col("tokens_out") > 0), F.format_string("Missing price: %s/%s", "provider", "model")).otherwise("")
-    return priced.select("request_id", each.alias("per_request_usd"), F.round(each * F.col("per_day"), 6).alias("daily_usd"), F.round(each * F.col("per_day") * DAYS, 6).alias("monthly_usd"), unknown.alias("error"))
+    power, wanted = F.lit(0.0), F.lit(None).cast("string")
+    if all(c in requests.columns for c in POWER):
+        rate, watts, hours = map(F.col, POWER)
+        power = F.coalesce(watts / 1000 * hours * rate, F.lit(0.0))
+        some, every = F.coalesce(rate, watts, hours).isNotNull(), (rate + watts + hours).isNotNull()
+        wanted = F.when(some & ~every, "Electricity needs kwh_rate, watts and hours_per_day")
+    daily = F.round(each * F.col("per_day") + power, 6)
+    error = F.concat_ws("; ", F.when(unknown != "", unknown), wanted)
+    return priced.select("request_id", each.alias("per_request_usd"), F.round(power, 6).alias("electricity_usd"), daily.alias("daily_usd"), F.round(daily * DAYS, 6).alias("monthly_usd"), error.alias("error"))
+
+
+#: Components that models serve as.
+COMPONENTS = ("EMB", "GEN", "RERANK")
+
+
+def models_for(catalog: DataFrame, component: str) -> DataFrame:
+    """Rows of a catalogue (provider, model, components) that serve as a component, named in either case."""
+    if component.upper() not in COMPONENTS:
+        raise ValueError(f"no such component: {component}")
+    return catalog.where(F.array_contains("components", component.upper()))
+
+
+def merged(old: Column, new: Column) -> Column:
+    """A map with the entries of both; those of ``new`` go before, and a null map has none."""
+    kept = F.filter(F.map_entries(old), lambda e: ~F.map_contains_key(new, e["key"]))
+    return F.when(old.isNull(), new).when(new.isNull(), old).otherwise(F.map_from_entries(F.concat(kept, F.map_entries(new))))
 
 
 # Shares of the raw size that parts of an index take, and bytes of a number by precision.

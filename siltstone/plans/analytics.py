@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..config import RecallConfig
 from ..engine import Engine
-from ..functions.text import find_all
+from ..functions.text import find_all, line_ends
 from ..operators import embedding, evaluation, fusion, mining, recall, stats
 from ..operators.embedding import EmbeddingConfig
 from ..operators.joins import small
 from ..sources import files as S
 from ..sources import tables as T
+from ..sources.blocks import read_blocks
+from ..sources.shared import shared_dir
 from . import search
 from .registry import query
 
@@ -85,8 +90,11 @@ def metric_profile(spark: SparkSession, sf: str) -> DataFrame:
 SELECT event_type, max(CASE WHEN nth = ceil(0.95::double * (n - 1)) THEN value END) AS p95_ceil, quantile_disc(value, 0.95) AS p95_nearest, round(quantile_cont(value, 0.1), 6) AS p10, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90 FROM n GROUP BY event_type""")
 def latency_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     e = T.table(spark, sf, "events").select("event_type", "value")
-    rest = e.groupBy("event_type").agg(evaluation.nearest_rank("value", 0.95).alias("p95_nearest"), *[F.round(evaluation.interpolated("value", p), 6).alias(f"p{int(p * 100)}") for p in (0.1, 0.5, 0.9)])
-    return evaluation.ceil_percentile(e, "event_type", "value", 0.95, "p95_ceil").join(rest, "event_type")
+    found = evaluation.ceil_percentile(e, "event_type", "value", 0.95, "p95_ceil").join(evaluation.nearest_rank(e, "event_type", "value", 0.95, "p95_nearest"), "event_type")
+    for p in (0.1, 0.5, 0.9):
+        name = f"p{int(p * 100)}"
+        found = found.join(evaluation.interpolated(e, "event_type", "value", p, name).withColumn(name, F.round(name, 6)), "event_type")  # a row a type
+    return found
 
 
 @query("""SELECT user_id, round(stddev_pop(value), 6) AS tail_stddev, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r <= 5 GROUP BY user_id""")
@@ -290,24 +298,30 @@ def telemetry_deltas(spark: SparkSession, sf: str) -> DataFrame:
 # Recall gate
 
 MESSAGES = ["hi", "thanks a lot!", "lol", "how does chunking work?", "you mentioned a better approach", "the bug", "why is it slow?", "fix it", "we decided on a plan last week", "please write a long summary of all the files in this corpus"]
-GATE_SQL = r"""CASE WHEN regexp_matches(m, '(?i)^(hi|hello|hey|yo|sup|howdy|good\s+(morning|afternoon|evening)|what''?s\s+up|greetings)[\s!.?]*$')
-       OR regexp_matches(m, '(?i)^(ok(ay)?(\s+(got\s+it|thanks?))?|got\s+it|sure|yep|yeah|yes|no|nah|nope|right|exactly|makes?\s+sense|understood|perfect|great|cool|nice|awesome|sounds?\s+good|agreed|k|lol|haha|lmao|ty|thx|hmm+|ah+|oh+)[\s!.?]*$')
-       OR regexp_matches(m, '(?i)^(bye|goodbye|see\s+ya|later|peace|cheers|take\s+care|thanks?(\s+(a\s+lot|so\s+much))?)[\s!.?]*$') THEN 'skip'
-  WHEN past THEN 'deep'
-  WHEN regexp_matches(m, '(?i)\b(the\s+(thing|issue|problem|approach|idea|plan|decision|conversation|discussion|point|question|bug|change))\b') AND turn > 0 THEN 'standard'
-  WHEN regexp_matches(m, '(?i)^(what\s+is|what''?s\s+the|how\s+does|how\s+do\s+I|explain|define|what\s+are\s+the|show\s+me|can\s+you|where\s+is|how\s+to|what''?s\s+the\s+difference)') THEN 'skip'
-  WHEN asks AND words < 10 THEN 'light' WHEN words <= 4 AND NOT asks THEN 'light' ELSE 'standard' END"""
-
-
-@query(r"""WITH said AS (SELECT conv_id, turn, trim(text) AS m FROM conversations WHERE text IS NOT NULL UNION ALL SELECT -1 - i, 3, list_extract([""" + ", ".join("'" + m + "'" for m in MESSAGES) + r"""], i + 1) FROM range(0, 10) t(i)
-), s AS (SELECT *, len(list_filter(regexp_split_to_array(m, '\s+'), lambda w: w <> '')) AS words, contains(m, '?') OR regexp_matches(m, '(?i)^(what|where|how|why|when|who|which|is|are|do|does|can|could|should|would|will|did)\b') AS asks,
-  regexp_matches(m, '(?i)(we\s+(discussed|talked|chatted|covered|went\s+over|decided)|you\s+(said|mentioned|suggested|told|explained|recommended)|(last|earlier|before|previous(ly)?|remember\s+when|as\s+(I|we)\s+mentioned|from\s+our|in\s+our\s+last|do\s+you\s+recall|what\s+was\s+that|what\s+did\s+we|didn''t\s+we|wasn''t\s+there|back\s+when\s+we))') AS past FROM said
-), g AS (SELECT conv_id, turn, """ + GATE_SQL + r""" AS intensity FROM s)
-SELECT conv_id, turn, intensity, CASE intensity WHEN 'light' THEN 3 WHEN 'standard' THEN 5 WHEN 'deep' THEN 10 ELSE 0 END AS top_k FROM g""")
-def recall_gate(spark: SparkSession, sf: str) -> DataFrame:
+SAID_SQL = "said AS (SELECT conv_id, turn, trim(text) AS m FROM conversations WHERE text IS NOT NULL UNION ALL SELECT -1 - i, 3, list_extract([" + ", ".join("'" + m + "'" for m in MESSAGES) + "], i + 1) FROM range(0, 10) t(i))"
+TOP_K_SQL = "CASE intensity WHEN 'light' THEN 3 WHEN 'standard' THEN 5 WHEN 'deep' THEN 10 ELSE 0 END AS top_k"
+
+
+def said_messages(spark: SparkSession, sf: str) -> DataFrame:
     said = T.table(spark, sf, "conversations").where("text is not null").select("conv_id", "turn", F.col("text").alias("message"))
     made = spark.range(1).select(F.posexplode(F.array(*[F.lit(m) for m in MESSAGES])).alias("i", "message")).select((-1 - F.col("i")).cast("long").alias("conv_id"), F.lit(3).cast("long").alias("turn"), "message")
-    return recall.gate(said.union(made)).select("conv_id", "turn", "intensity", F.coalesce("top_k", F.lit(0)).alias("top_k"))
+    return said.union(made)
+
+
+@query(f"WITH {SAID_SQL}, g AS (SELECT conv_id, turn, {recall.intensity_sql('m', 'turn')} AS intensity FROM said) SELECT conv_id, turn, intensity, {TOP_K_SQL} FROM g")
+def recall_gate(spark: SparkSession, sf: str) -> DataFrame:
+    return recall.gate(said_messages(spark, sf)).select("conv_id", "turn", "intensity", F.coalesce("top_k", F.lit(0)).alias("top_k"))
+
+
+@query(f"""WITH {SAID_SQL}, asked AS (SELECT *, CASE turn % 4 WHEN 0 THEN 'Deep ' WHEN 1 THEN 'skip' WHEN 2 THEN 'whatever' END AS o FROM said
+), g AS (SELECT conv_id, turn, CASE WHEN lower(trim(o)) IN ('skip', 'light', 'standard', 'deep') THEN lower(trim(o)) ELSE {recall.intensity_sql('m', 'turn')} END AS intensity, CASE WHEN lower(trim(o)) IN ('skip', 'light', 'standard', 'deep') THEN 'user' ELSE 'rules' END AS decided_by FROM asked)
+SELECT conv_id, turn, 'on' AS gate, intensity, decided_by, {TOP_K_SQL} FROM g UNION ALL SELECT conv_id, turn, 'off', 'standard', 'gate off', 5 FROM said""")
+def recall_gate_overrides(spark: SparkSession, sf: str) -> DataFrame:
+    """With what users ask for, some of it unknown, and with the gate off."""
+    turn = F.col("turn") % 4
+    asked = said_messages(spark, sf).withColumn("override", F.when(turn == 0, "Deep ").when(turn == 1, "skip").when(turn == 2, "whatever"))
+    shown = lambda config, name: recall.gate(asked, config).select("conv_id", "turn", F.lit(name).alias("gate"), "intensity", "decided_by", F.coalesce("top_k", F.lit(0)).alias("top_k"))
+    return shown(RecallConfig(), "on").union(shown(RecallConfig(enabled=False), "off"))
 
 
 # Statistics
@@ -419,21 +433,31 @@ CATALOG_SQL = "catalog AS (SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("
 ), met AS (SELECT r.*, c.* EXCLUDE (provider, model), CASE WHEN lower(trim(r.provider)) = c.provider AND r.model = c.model THEN 0 WHEN r.model = c.model THEN 1 WHEN lower(trim(r.provider)) = c.provider THEN 2 END AS level FROM r LEFT JOIN catalog c ON lower(trim(r.provider)) = c.provider OR r.model = c.model
 ), one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY level NULLS LAST, position) AS nth FROM met) WHERE nth = 1
 ), priced AS (SELECT *, round(CASE WHEN level IS NULL THEN 0 ELSE round(tokens_in / 1000::double * coalesce(input_per_1k, 0) + tokens_out / 1000::double * coalesce(output_per_1k, 0), 6) + round(embeds * 1000 / 1000::double * coalesce(embed_per_1k, 0), 6)
-   + round(CASE WHEN per_request IS NOT NULL THEN reranks * per_request ELSE reranks * 500 / 1000::double * coalesce(rerank_per_1k, 0) END, 6) END, 6) AS each_usd FROM one)
-SELECT request_id, each_usd AS per_request_usd, round(each_usd * per_day, 6) AS daily_usd, round(each_usd * per_day * 30, 6) AS monthly_usd,
-  CASE WHEN level IS NULL THEN 'Unknown model: ' || provider || '/' || model WHEN input_per_1k IS NULL AND output_per_1k IS NULL AND tokens_in + tokens_out > 0 THEN 'Missing price: ' || provider || '/' || model ELSE '' END AS error FROM priced""")
+   + round(CASE WHEN per_request IS NOT NULL THEN reranks * per_request ELSE reranks * 500 / 1000::double * coalesce(rerank_per_1k, 0) END, 6) END, 6) AS each_usd FROM one
+), powered AS (SELECT *, CASE WHEN request_id % 3 > 0 THEN 0.25::double END AS kwh_rate, CASE WHEN request_id % 3 = 2 THEN 150::double END AS watts, CASE WHEN request_id % 3 = 2 THEN (request_id % 24)::double END AS hours FROM priced
+), summed AS (SELECT *, coalesce(watts / 1000 * hours * kwh_rate, 0) AS power, (kwh_rate IS NOT NULL OR watts IS NOT NULL OR hours IS NOT NULL) AND (kwh_rate IS NULL OR watts IS NULL OR hours IS NULL) AS partly FROM powered)
+SELECT request_id, each_usd AS per_request_usd, round(power, 6) AS electricity_usd, round(each_usd * per_day + power, 6) AS daily_usd, round(round(each_usd * per_day + power, 6) * 30, 6) AS monthly_usd,
+  concat_ws('; ', CASE WHEN level IS NULL THEN 'Unknown model: ' || provider || '/' || model WHEN input_per_1k IS NULL AND output_per_1k IS NULL AND tokens_in + tokens_out > 0 THEN 'Missing price: ' || provider || '/' || model END,
+    CASE WHEN partly THEN 'Electricity needs kwh_rate, watts and hours_per_day' END) AS error FROM summed""")
 def cost_estimate(spark: SparkSession, sf: str) -> DataFrame:
     o = T.table(spark, sf, "orders")
     pick = lambda names, k: F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("o_orderkey") % k + 1).cast("int"))
     part = lambda k: (F.col("o_custkey") % k).cast("int")
     requests = o.select(F.col("o_orderkey").alias("request_id"), pick(["Acme", "zeta", "acme ", "nobody"], 4).alias("provider"), pick(["large", "small", "bare", "gone", "huge"], 5).alias("model"), part(3000).alias("tokens_in"), part(700).alias("tokens_out"), part(4).alias("embeds"), part(3).alias("reranks"), F.lit(100).alias("per_day"))
+    third, key = F.col("request_id") % 3, F.col("request_id")
+    requests = requests.withColumns({"kwh_rate": F.when(third > 0, 0.25), "watts": F.when(third == 2, 150.0), "hours_per_day": F.when(third == 2, (key % 24).cast("double"))})
     return stats.cost(requests, spark.createDataFrame(CATALOG, CATALOG_COLUMNS))
 
 
-@query(f"WITH {CATALOG_SQL} SELECT provider, count(*) AS n_models FROM catalog WHERE input_per_1k IS NOT NULL GROUP BY provider")
+@query("""WITH catalog AS (SELECT p_brand AS provider, p_name || '-' || p_partkey AS model, list_filter(['EMB', 'GEN', 'RERANK'], lambda c, i: p_size % (i + 1) = 0) AS components FROM part)
+SELECT component, provider, count(*) AS n_models, min(model) AS first_model FROM (SELECT provider, model, unnest(components) AS component FROM catalog) GROUP BY ALL""")
 def models_by_type(spark: SparkSession, sf: str) -> DataFrame:
-    c = spark.createDataFrame(CATALOG, CATALOG_COLUMNS).where("input_per_1k is not null")
-    return c.groupBy("provider").agg(F.count("*").alias("n_models")).orderBy("provider")
+    """Models of every component in a catalogue made from the parts."""
+    size = F.col("p_size")
+    components = F.array_compact(F.array(*[F.when(size % (i + 2) == 0, F.lit(c)) for i, c in enumerate(stats.COMPONENTS)]))
+    catalog = T.table(spark, sf, "part").select(F.col("p_brand").alias("provider"), F.concat_ws("-", "p_name", F.col("p_partkey").cast("string")).alias("model"), components.alias("components"))
+    found = [stats.models_for(catalog, c.lower()).withColumn("component", F.lit(c)) for c in stats.COMPONENTS]
+    return found[0].unionByName(found[1]).unionByName(found[2]).groupBy("component", "provider").agg(F.count("*").alias("n_models"), F.min("model").alias("first_model"))
 
 
 SUMMARY_SQL = r"""found AS (
@@ -482,6 +506,39 @@ def parquet_row_text(spark: SparkSession, sf: str) -> DataFrame:
     return S.rows_as_text(T.table(spark, sf, "part"), "p_partkey")
 
 
+@query("SELECT sum(length(text) + 1)::bigint AS chars, sum(length(text) - length(replace(text, chr(10), '')) + 1)::bigint AS lines FROM documents WHERE text IS NOT NULL")
+def block_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents written as text files and read again as blocks of bytes: no character is lost or read twice."""
+    path = f"{shared_dir(spark)}/siltstone-texts/{uuid.uuid4().hex}"
+    T.table(spark, sf, "documents").where("text is not null").select("text").write.text(path)
+    blocks = read_blocks(spark, path, 1 << 16)
+    return blocks.agg(F.sum(F.length("content")).alias("chars"), F.sum(line_ends(F.col("content"))).alias("lines"))
+
+
+@query("""WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS nth, list_filter([CASE WHEN trim(text) <> '' THEN '[text]' || chr(10) || CASE WHEN length(trim(text)) > 400 THEN substr(trim(text), 1, 400) || '…' ELSE trim(text) END END,
+  CASE WHEN trim(lang) <> '' THEN '[lang]' || chr(10) || trim(lang) END, CASE WHEN trim(source) <> '' THEN '[source]' || chr(10) || trim(source) END], lambda c: c IS NOT NULL) AS cells FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 5000)
+), p AS (SELECT nth, CASE WHEN len(cells) > 0 THEN chr(10) || chr(10) || '--- row ' || nth || ' ---' || chr(10) || chr(10) || array_to_string(cells, chr(10) || chr(10)) END AS part FROM d
+), kept AS (SELECT * FROM (SELECT *, coalesce(length(part), 0) AS size, sum(coalesce(length(part), 0)) OVER (ORDER BY nth) - coalesce(length(part), 0) AS before FROM p) WHERE before < 60000
+), w AS (SELECT trim(string_agg(part, chr(10) ORDER BY nth), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t, count(*) AS n, sum(size) AS chars FROM kept)
+SELECT CASE WHEN n >= 5000 AND length(t) < 60000 THEN t || chr(10) || chr(10) || '… (truncated by max_rows)' WHEN chars >= 60000 THEN substr(t, 1, 60000) || chr(10) || chr(10) || '… (truncated by max_chars)' ELSE t END AS text FROM w""")
+def parquet_preview(spark: SparkSession, sf: str) -> DataFrame:
+    """The first rows of the documents as one bounded text, which is what a preview is."""
+    d = T.table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+    return S.table_as_text(d, "doc_id", max_chars=60_000, max_cell=400)
+
+
+@query("""WITH m AS (SELECT event_id, CASE WHEN event_id % 7 > 0 THEN map(['type', 'k'], [event_type, json_extract_string(props, '$.k')]) END AS old, CASE WHEN event_id % 5 > 0 THEN map(['user', 'type'], [user_id::varchar, upper(event_type)]) END AS new FROM events
+), e AS (SELECT event_id, CASE WHEN old IS NULL THEN new WHEN new IS NULL THEN old ELSE map_concat(old, new) END AS mm FROM m)
+SELECT event_id, array_to_string(list_sort(list_transform(map_keys(mm), lambda k: k || '=' || coalesce(mm[k], ''))), ',') AS merged FROM e""")
+def metadata_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """Maps of an event, each missing now and then, with the newer one's entries going before."""
+    e, text = T.table(spark, sf, "events"), F.col("event_type")
+    old = F.when(F.col("event_id") % 7 > 0, F.create_map(F.lit("type"), text, F.lit("k"), F.get_json_object("props", "$.k")))
+    new = F.when(F.col("event_id") % 5 > 0, F.create_map(F.lit("user"), F.col("user_id").cast("string"), F.lit("type"), F.upper(text)))
+    shown = F.transform(F.map_entries("both"), lambda x: F.concat(x["key"], F.lit("="), F.coalesce(x["value"], F.lit(""))))
+    return e.select("event_id", stats.merged(old, new).alias("both")).select("event_id", F.array_join(F.array_sort(shown), ",").alias("merged"))
+
+
 @query("SELECT n_nationkey, concat_ws(chr(9), n_nationkey::varchar, trim(n_name), n_regionkey::varchar) AS line FROM nation")
 def csv_normalise(spark: SparkSession, sf: str) -> DataFrame:
     return T.table(spark, sf, "nation").select("n_nationkey", S.tab_line(["n_nationkey", "n_name", "n_regionkey"]).alias("line"))

@@ -448,17 +448,15 @@ def neighbor_expand(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumn("score", F.round("score", 6))
 
 
-RERANK_SQL = "((('0x' || substr(md5(chunk_id), 1, 8))::bigint % 1000) / 1000::double)"
-
-
-@query(f"""WITH {TOP_CHUNKS_SQL}, hits AS (SELECT *, {RERANK_SQL} AS rr FROM top_chunks WHERE rank <= 60
+@query(f"""WITH {TOP_CHUNKS_SQL}, {T.CHUNK_COSINES_SQL}, hits AS (SELECT t.query_id, t.chunk_id, t.score, t.rank, c.score AS rr FROM top_chunks t JOIN chunk_cosines c ON c.query_id = t.query_id AND c.corpus_id = t.corpus_id AND c.chunk_id = t.chunk_id WHERE t.rank <= 60
 ), spans AS (SELECT *, min(CASE WHEN rank <= 50 THEN score END) OVER q AS lo, max(CASE WHEN rank <= 50 THEN score END) OVER q AS hi, min(CASE WHEN rank <= 50 THEN rr END) OVER q AS rlo, max(CASE WHEN rank <= 50 THEN rr END) OVER q AS rhi FROM hits WINDOW q AS (PARTITION BY query_id)
 ), blended AS (SELECT query_id, chunk_id, rank, CASE WHEN rank <= 50 THEN round(0.3::double * CASE WHEN hi - lo <= 1e-12 THEN 0 ELSE (score - lo) / (hi - lo) END + 0.7::double * CASE WHEN rhi - rlo <= 1e-12 THEN 0 ELSE (rr - rlo) / (rhi - rlo) END, 9) ELSE score END AS b FROM spans)
 SELECT query_id, chunk_id, round(b, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY (rank > 50)::int, CASE WHEN rank <= 50 THEN -b END, CASE WHEN rank <= 50 THEN chunk_id END, rank)::int AS rank FROM blended""")
 def rerank_blend(spark: SparkSession, sf: str) -> DataFrame:
-    """Blend with a made-up but fixed second score: a hash of the chunk's name."""
-    second = (F.conv(F.substring(F.md5("chunk_id"), 1, 8), 16, 10).cast("long") % 1000) / F.lit(1000.0)
-    found = fusion.rerank_blend(top_chunks(spark, sf, 60).withColumn("rerank_score", second))
+    """Keyword hits blended with the cosines of their vectors and their question's as second scores."""
+    asked = T.question_vectors(spark, T.questions(spark, sf))
+    hits = top_chunks(spark, sf, 60).join(T.chunk_vectors(spark, sf), ["corpus_id", "chunk_id"]).join(small(asked), "query_id")
+    found = fusion.rerank_blend(hits.withColumn("rerank_score", F.round(cosine(F.col("embedding"), F.col("query")), 6)))
     return found.withColumn("score", F.round("score", 6))
 
 
@@ -513,13 +511,17 @@ def recency_blend(spark: SparkSession, sf: str) -> DataFrame:
     return fusion.recency_blend(hits, 0.3).select("query_id", "turn", F.round("blended", 6).alias("blended"))
 
 
-@query("""WITH asked AS (SELECT * FROM (VALUES (1, 30, 1), (2, 10, 2), (3, 20, 3), (4, 10, 4), (5, 999999, 5)) v(pos, vec_id, nth))
-SELECT a.pos, e.vec_id AS chunk_id, e.label AS corpus_id FROM asked a JOIN embeddings e USING (vec_id)""")
+@query("""WITH asked AS (SELECT row_number() OVER (ORDER BY vec_id DESC) AS pos, vec_id FROM embeddings WHERE vec_id % 100 = 0 UNION ALL SELECT -1 - vec_id // 100, vec_id FROM embeddings WHERE vec_id % 200 = 0 UNION ALL SELECT 0, -1)
+SELECT a.pos::int AS pos, e.vec_id AS chunk_id, e.label AS corpus_id, len(e.embedding)::int AS dim, e.embedding[1]::double AS first, e.embedding[len(e.embedding)]::double AS last FROM asked a JOIN embeddings e USING (vec_id)""")
 def hydrate_ordered(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows of a stated list of ids with the place of each in the list; unknown ids are missing."""
-    asked = spark.range(1).select(F.posexplode(F.array(*[F.lit(x) for x in (30, 10, 20, 10, 999999)])).alias("pos", "chunk_id"))
-    found = F.broadcast(asked).join(T.vectors(spark, sf).select("chunk_id", "corpus_id"), "chunk_id")
-    return found.select((F.col("pos") + 1).alias("pos"), "chunk_id", "corpus_id").orderBy("pos")
+    """Rows of a stated list of ids, some twice, with their vectors and places in the list; an unknown id is missing."""
+    ids = T.query_vectors(spark, sf).select(F.col("query_id").alias("chunk_id"))
+    asked = ids.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("chunk_id"))))  # the stated ids
+    again = ids.where("chunk_id % 200 = 0").select("chunk_id", (-1 - F.expr("chunk_id div 100")).cast("int").alias("pos"))
+    asked = asked.unionByName(again).unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("chunk_id"), F.lit(0).alias("pos")))
+    found = small(asked).join(T.vectors(spark, sf), "chunk_id").orderBy("pos")
+    e = F.col("embedding")
+    return found.select("pos", "chunk_id", "corpus_id", F.size(e).alias("dim"), F.get(e, F.lit(0)).alias("first"), F.element_at(e, -1).alias("last"))
 
 
 RECALL_SQL = """said AS (SELECT conv_id, turn, string_split(regexp_replace(trim(text), '([.!?])[ \\t\\n\\r\\f\\v]+', '\\1' || chr(1), 'g'), chr(1)) AS ps FROM conversations WHERE role IN ('user', 'assistant') AND text IS NOT NULL

@@ -5,6 +5,7 @@ from __future__ import annotations
 import fnmatch
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,21 +24,36 @@ def glob_pattern(glob: str) -> str:
     return fnmatch.translate(glob).replace(r"(?s:", "(?s)").replace(r")\Z", "").replace(r")\z", "")
 
 
+def rule_pattern(rule: str) -> tuple[bool, str] | None:
+    """(takes back, regular expression over a path) of one gitignore rule: ``!`` takes back, ``/`` anchors, a trailing
+    ``/`` means folders. None for a comment."""
+    text = rule.strip()
+    if not text or text.startswith("#"):
+        return None
+    negated, text = text.startswith("!"), text.lstrip("!")
+    folder, anchored = text.endswith("/"), "/" in text.rstrip("/")
+    body = "".join({"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(x, re.escape(x)) for x in re.findall(r"\*\*/|\*\*|.", text.strip("/")))
+    return negated, ("^" if anchored else "(^|/)") + body + ("/" if folder else "(/|$)")
+
+
+def always_ignored() -> str:
+    return rf"(^|/)({'|'.join(re.escape(f) for f in IGNORED_FOLDERS)})(/|$)"
+
+
 def ignore_predicate(path: Column, rules: list[str]) -> Column:
-    """Whether gitignore rules, later ones first, leave a path out: ``!`` takes back, ``/`` anchors,
-    a trailing ``/`` means folders."""
+    """Whether gitignore rules, later ones first, leave a path out."""
     out = F.lit(False)
-    for rule in rules:
-        text = rule.strip()
-        if not text or text.startswith("#"):
-            continue
-        negated, text = text.startswith("!"), text.lstrip("!")
-        folder, anchored = text.endswith("/"), "/" in text.rstrip("/")
-        body = "".join({"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(x, re.escape(x)) for x in re.findall(r"\*\*/|\*\*|.", text.strip("/")))
-        pattern = ("^" if anchored else "(^|/)") + body + ("/" if folder else "(/|$)")
+    for negated, pattern in filter(None, map(rule_pattern, rules)):
         out = F.when(path.rlike(pattern), F.lit(not negated)).otherwise(out)
-    folders = "|".join(re.escape(f) for f in IGNORED_FOLDERS)
-    return path.rlike(rf"(^|/)({folders})(/|$)") | out
+    return path.rlike(always_ignored()) | out
+
+
+def included(relative: Column, globs: list[str]) -> Column:
+    """Whether a path or its last part fits one of the globs."""
+    name, keep = F.element_at(F.split(relative, "/"), -1), F.lit(False)
+    for g in globs:
+        keep = keep | relative.rlike("^" + glob_pattern(g) + "$") | name.rlike("^" + glob_pattern(g) + "$")
+    return keep
 
 
 def list_files(spark: SparkSession, root: str, ignore: list[str] | None = None, include: list[str] | None = None, max_bytes: int = 2_000_000) -> DataFrame:
@@ -47,11 +63,7 @@ def list_files(spark: SparkSession, root: str, ignore: list[str] | None = None,
     relative = F.regexp_replace("path", "^.*?" + re.escape(root.rstrip("/")) + "/", "")
     found = found.withColumn("relative", relative).where((F.col("length") <= max_bytes) & ~ignore_predicate(F.col("relative"), ignore or []))
     if include:
-        name = F.element_at(F.split("relative", "/"), -1)
-        keep = F.lit(False)
-        for g in include:
-            keep = keep | F.col("relative").rlike("^" + glob_pattern(g) + "$") | name.rlike("^" + glob_pattern(g) + "$")
-        found = found.where(keep)
+        found = found.where(included(F.col("relative"), include))
     return found.where(~has_nul(F.col("content"))).select(F.col("relative").alias("path"), "length", "content")
 
 
@@ -127,8 +139,13 @@ def language(path: Column) -> Column:
 
 
 def decoded(content: Column) -> Column:
-    """UTF-8 text of bytes, bad sequences replaced."""
-    return F.decode(content, "UTF-8")
+    """UTF-8 text of bytes, bad sequences dropped."""
+
+    @F.pandas_udf("string")
+    def run(parts: pd.Series) -> pd.Series:
+        return pd.Series([None if b is None else bytes(b).decode("utf-8", "ignore") for b in parts], dtype=object)
+
+    return run(content)
 
 
 def read_texts(spark: SparkSession, root: str) -> DataFrame:
@@ -157,6 +174,30 @@ def rows_as_text(table: DataFrame, order: str, max_rows: int = 5000, max_chars:
     return bounded.withColumn("upto", upto).where(F.col("upto") <= max_chars).select("row", "text")
 
 
+def table_as_text(table: DataFrame, order: str, max_rows: int = 5000, max_chars: int = 2_000_000, max_cell: int = 20_000, text_only: bool = True, names: bool = True) -> DataFrame:
+    """(text): the first rows of a table as one bounded text, with a notice if rows or characters were left out.
+
+    Text columns alone, or all of them where there is none or ``text_only`` is off; empty cells are passed over and
+    long ones end in an ellipsis. A preview: its bounds are its purpose.
+    """
+    fields = [f.name for f in table.schema.fields if isinstance(f.dataType, T.StringType)] if text_only else []
+    fields = fields or table.columns
+    cells = []
+    for n in fields:
+        value = F.trim(F.col(n).cast("string"))
+        short = F.when(F.length(value) > max_cell, F.concat(F.substring(value, 1, max_cell), F.lit("…"))).otherwise(value)
+        cells.append(F.when(value != "", F.concat(F.lit(f"[{n}]\n"), short) if names else short))
+    rows = table.orderBy(order).limit(max_rows).select(order, F.array_compact(F.array(*cells)).alias("cells"))
+    nth = F.row_number().over(Window.orderBy(order)) - 1  # at most max_rows rows
+    part = F.when(F.size("cells") > 0, F.concat(F.lit("\n\n--- row "), F.col("nth").cast("string"), F.lit(" ---\n\n"), F.array_join("cells", "\n\n")))
+    parts = rows.withColumn("nth", nth).withColumn("part", part).withColumn("size", F.coalesce(F.length("part"), F.lit(0)))
+    parts = parts.withColumn("before", F.sum("size").over(Window.orderBy("nth")) - F.col("size")).where(F.col("before") < max_chars)
+    whole = parts.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("part").isNotNull(), F.struct("nth", "part")))), lambda x: x["part"]), "\n").alias("text"), F.count("*").alias("n"), F.sum("size").alias("chars"))
+    text = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"^\s+|\s+$", ""))
+    by_rows, by_chars = (F.col("n") >= max_rows) & (F.length(text) < max_chars), F.col("chars") >= max_chars
+    return whole.select(F.when(by_rows, F.concat(text, F.lit("\n\n… (truncated by max_rows)"))).when(by_chars, F.concat(F.substring(text, 1, max_chars), F.lit("\n\n… (truncated by max_chars)"))).otherwise(text).alias("text"))
+
+
 def block_offsets(blocks: DataFrame) -> DataFrame:
     """Blocks (file_path, block, content) with the characters and lines before each."""
     w = Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,3 +31,11 @@ def state_of(spark: SparkSession, path: str) -> tuple[int, int, int]:
     system = found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     kept = [s for s in system.listStatus(found) if not s.isDirectory()]
     return len(kept), sum(s.getLen() for s in kept), max((s.getModificationTime() for s in kept), default=0)
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written as a Parquet table in the shared folder and read again: what a loop's next step starts from."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/siltstone-staged/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -6,10 +6,10 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.config import ChunkConfig, FusionConfig, SearchConfig
+from siltstone.config import ChunkConfig, FusionConfig, RecallConfig, SearchConfig
 from siltstone.functions.dictionaries import lexeme, lexeme_sql
 from siltstone.operators import chunking, evaluation, fusion, graph, mining, recall, sparse, stats
-from siltstone.sources import files
+from siltstone.sources import files, walk
 
 HIT = "query_id int, corpus_id string, leg string, chunk_id string, score double"
 
@@ -286,6 +286,15 @@ def test_evaluation(spark):
     for p in (0.0, 0.5, 0.95, 1.0):
         found = {r["k"]: r["p"] for r in evaluation.ceil_percentile(spark.createDataFrame(many, "k string, v double"), "k", "v", p, "p").collect()}
         assert found == {g: sorted(v for k, v in many if k == g)[math.ceil(p * 999)] for g in "xyz"}
+    for p in (0.0, 0.1, 0.5, 0.95, 1.0):
+        table = spark.createDataFrame(many + [("one", 3.0)], "k string, v double")
+        by_rank = {r["k"]: r["p"] for r in evaluation.nearest_rank(table, "k", "v", p, "p").collect()}
+        between = {r["k"]: r["p"] for r in evaluation.interpolated(table, "k", "v", p, "p").collect()}
+        for g in ("x", "y", "z", "one"):
+            values = sorted(v for k, v in [*many, ("one", 3.0)] if k == g)
+            place = p * (len(values) - 1)
+            assert by_rank[g] == values[max(0, math.ceil(p * len(values)) - 1)]
+            assert math.isclose(between[g], values[math.floor(place)] + (values[math.ceil(place)] - values[math.floor(place)]) * (place % 1), abs_tol=1e-9)
     assert evaluation.depth() == 20
     labels = spark.createDataFrame([(0, "x", 1.0), (1, "y", 0.5), (2, "z", 1.0)], "row int, key string, label double")
     assert evaluation.profile(labels).first()["label_kind"] == "graded"
@@ -543,3 +552,63 @@ def test_counters_that_start_again(spark):
     assert gained == {("a", 1.0, 10): 0, ("a", 1.0, 70): 4, ("a", 1.0, 130): 2, ("a", 2.0, 10): 0, ("a", 2.0, 70): 10, ("a", 2.0, 130): 4, ("b", 1.0, 60): 0, ("b", 2.0, 60): 0, ("b", 1.0, 200): 0, ("b", 2.0, 200): 3}
     found = stats.histogram_quantile(rows, ["series"], "le", "ts", "v", "1 hour", 0.5).collect()
     assert len(found) == 1 and math.isclose(found[0]["quantile"], 1 + (0.5 * 17 - 6) / 11)  # 6 up to 1.0, 11 between 1.0 and 2.0
+
+
+def test_ignored_folders_are_never_listed(spark, tmp_path):
+    top, log = tmp_path / "top", tmp_path / "log"
+    for name, content in {
+        ".gitignore": "*.tmp\nskip/\n/only_top.txt\n# note", "only_top.txt": "1", "a.tmp": "1", "a.txt": "1", "skip/b.txt": "1", "skip/deep/c.txt": "1", "node_modules/d.js": "1",
+        "sub/.gitignore": "!x.tmp\ninner/\n", "sub/x.tmp": "1", "sub/y.tmp": "1", "sub/only_top.txt": "1", "sub/inner/e.txt": "1", "sub/ok/f.txt": "1", "other/inner/g.txt": "1", "big.txt": "x" * 100, "nul.bin": "a\0b",
+    }.items():
+        (top / name).parent.mkdir(parents=True, exist_ok=True)
+        (top / name).write_text(content)
+    (top / "empty").mkdir()
+    log.mkdir()
+
+    def noted(root, folder):
+        (log / (folder.replace("/", "+") or "top")).touch()
+        return walk.list_with_arrow(root, folder)
+
+    found = walk.walk(spark, str(top), ["empty_not/"], noted).collect()
+    assert {p.name for p in log.iterdir()} == {"top", "sub", "sub+ok", "other", "other+inner", "empty"}
+    assert {r["path"] for r in found if not r["is_folder"]} == {".gitignore", "a.txt", "sub/.gitignore", "sub/x.tmp", "sub/only_top.txt", "sub/ok/f.txt", "other/inner/g.txt", "big.txt", "nul.bin"}
+    kept = {r["path"]: bytes(r["content"]) for r in walk.walk_files(spark, str(top), include=["*.txt", "*.bin"], max_bytes=50).collect()}
+    assert kept == {"a.txt": b"1", "sub/only_top.txt": b"1", "sub/ok/f.txt": b"1", "other/inner/g.txt": b"1"}
+    assert walk.walk(spark, str(top / "empty")).count() == 0
+
+
+def test_bad_bytes_are_dropped(spark):
+    rows = spark.createDataFrame([(1, bytearray(b"a\xffb\xe6\x97c")), (2, None), (3, bytearray("\ufffd\u00e9".encode())), (4, bytearray())], "id int, content binary")
+    assert {r["id"]: r["t"] for r in rows.select("id", files.decoded(F.col("content")).alias("t")).collect()} == {1: "abc", 2: None, 3: "\ufffd\u00e9", 4: ""}
+
+
+def test_table_previews(spark):
+    rows = spark.createDataFrame([(3, " c ", None, 1.5), (1, "a" * 30, "x", 2.5), (2, "", " ", None)], "id int, s string, t string, v double")
+    text = lambda **k: files.table_as_text(rows, "id", **k).first()["text"]
+    assert text(max_cell=5) == "--- row 0 ---\n\n[s]\naaaaa…\n\n[t]\nx\n\n\n--- row 2 ---\n\n[s]\nc"
+    assert text(max_rows=1, max_cell=2) == "--- row 0 ---\n\n[s]\naa…\n\n[t]\nx\n\n… (truncated by max_rows)"
+    assert text(max_chars=20) == "--- row 0 ---\n\n[s]\na\n\n… (truncated by max_chars)"
+    assert "[v]\n2.5" in text(text_only=False) and "[" not in text(names=False)
+    assert files.table_as_text(rows.limit(0), "id").first()["text"] == ""
+    assert "[v]" in files.table_as_text(rows.select("id", "v"), "id").first()["text"]
+
+
+def test_gate_overrides_and_switch(spark):
+    rows = spark.createDataFrame([("hi", 0, "DEEP "), ("hi", 0, None), ("hi", 0, "often")], "message string, turn int, override string")
+    assert [(r["intensity"], r["decided_by"], r["top_k"]) for r in recall.gate(rows).collect()] == [("deep", "user", 10), ("skip", "rules", None), ("skip", "rules", None)]
+    assert {(r["intensity"], r["decided_by"]) for r in recall.gate(rows, RecallConfig(enabled=False, default_intensity="light")).collect()} == {("light", "gate off")}
+
+
+def test_merged_maps_models_and_power(spark):
+    m = spark.createDataFrame([(1, {"a": "1", "b": "2"}, {"b": "3", "c": None}), (2, None, {"x": "y"}), (3, {"x": "y"}, None), (4, None, None), (5, {}, {})], "id int, old map<string,string>, new map<string,string>")
+    found = {r["id"]: r["m"] for r in m.select("id", stats.merged(F.col("old"), F.col("new")).alias("m")).collect()}
+    assert found == {1: {"a": "1", "b": "3", "c": None}, 2: {"x": "y"}, 3: {"x": "y"}, 4: None, 5: {}}
+    catalog = spark.createDataFrame([("p", "m", ["EMB"]), ("p", "n", ["GEN", "EMB"]), ("q", "o", None)], "provider string, model string, components array<string>")
+    assert sorted(r["model"] for r in stats.models_for(catalog, "emb").collect()) == ["m", "n"]
+    with pytest.raises(ValueError):
+        stats.models_for(catalog, "other")
+    prices = spark.createDataFrame([("acme", "large", 0, 0.001, 0.002, None, None, None)], "provider string, model string, position int, input_per_1k double, output_per_1k double, embed_per_1k double, per_request double, rerank_per_1k double")
+    asked = spark.createDataFrame([(1, "acme", "large", 1000, 0, 0, 0, 10, 0.5, 100.0, 2.0), (2, "acme", "large", 1000, 0, 0, 0, 10, 0.5, None, 2.0), (3, "no", "no", 1, 0, 0, 0, 1, None, 5.0, None)], "request_id int, provider string, model string, tokens_in int, tokens_out int, embeds int, reranks int, per_day int, kwh_rate double, watts double, hours_per_day double")
+    got = {r["request_id"]: r for r in stats.cost(asked, prices).collect()}
+    assert (got[1]["electricity_usd"], got[1]["daily_usd"], got[1]["monthly_usd"], got[1]["error"]) == (0.1, 0.11, 3.3, "")
+    assert got[2]["daily_usd"] == 0.01 and got[2]["error"].startswith("Electricity") and got[3]["error"].count(";") == 1

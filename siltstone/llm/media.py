@@ -192,11 +192,38 @@ def op6_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_items", "position", "caption", "texts_sha256")
 
 
+#: Documents that a page shows.
+SHOWN = 3
+
+
+def illustrated(pages: DataFrame, payloads: DataFrame) -> DataFrame:
+    """``pages`` (page_id, html) whose html follows media, from ``payloads`` (doc_id, digest).
+
+    Page n shows the payloads of documents 3n to 3n + 2, where there are such: one in a figure with markup in its
+    caption, one inside a sentence, one beside the first again in a figure of two. A reference to a payload that
+    nobody has and one that names no digest follow.
+    """
+    slot = F.pmod("doc_id", F.lit(SHOWN))
+    of = payloads.where("doc_id is not null").groupBy(F.floor(F.col("doc_id") / SHOWN).alias("page_id")).agg(*[F.min(F.when(slot == i, F.col("digest"))).alias(f"d{i}") for i in range(SHOWN)])
+    known = pages.select("page_id", F.coalesce("html", F.lit("")).alias("html")).join(of, "page_id", "left")
+    number = lambda i: (F.col("page_id") * SHOWN + i).cast("string")
+    parts = [
+        F.concat(F.lit('<figure><img alt="not shown" src="sha256:'), F.col("d0"), F.lit('"><figcaption>Picture of <b>document '), number(0), F.lit("</b></figcaption></figure>")),
+        F.concat(F.lit("<p>A sentence with <img title='Document "), number(1), F.lit("' src='media:"), F.col("d1"), F.lit("'> in its middle.</p>")),
+        F.concat(F.lit("<figure><video src="), F.col("d2"), F.lit('></video><img src="sha256:'), F.col("d0"), F.lit('" alt="again"><figcaption>Two &amp; one</figcaption></figure>')),
+        F.concat(F.lit('<div><audio title="Lost" src="sha256:'), F.sha2(F.concat(F.lit("lost "), number(0)), 256), F.lit('"></audio><img src="photo.jpg" alt="Elsewhere"></div>')),
+    ]
+    return known.select("page_id", F.concat(*[F.coalesce(p, F.lit("")) for p in parts], "html").alias("html"))
+
+
 def page_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sequence of every page: a row for each text, and for each media reference with its caption
-    and whether one of the documents' payloads has its digest."""
-    pages = read_table(spark, sf_dir, "pages")
-    texts = read_table(spark, sf_dir, "documents").select(payload_of(F.coalesce("text", F.lit(""))).alias("payload"))
-    described = texts.select(F.sha2("payload", 256).alias("digest"), F.octet_length("payload").cast("long").alias("payload_bytes")).distinct()
-    found = resolve(sequences(pages, "html", ["page_id"]), described)
-    return found.select("page_id", "position", "kind", "text", "ref", "caption", "resolved", "payload_bytes")
+    """The sequence of every page with media of the documents: a row for each text, and for each media reference with
+    its caption, whether one of the documents' payloads has its digest, and that payload's size and picture."""
+    texts = read_table(spark, sf_dir, "documents").select("doc_id", payload_of(F.coalesce("text", F.lit(""))).alias("payload"))
+    digests = texts.select("doc_id", F.sha2("payload", 256).alias("digest"))
+    items = sequences(illustrated(read_table(spark, sf_dir, "pages"), digests), "html", ["page_id"])
+    wanted = items.where("digest is not null").select("digest").distinct()
+    asked = texts.withColumn("digest", F.sha2("payload", 256)).join(wanted, "digest", "left_semi")
+    described = encode_payloads(asked.select("digest", "payload")).select("digest", "payload_bytes", "feature")
+    found = resolve(items, described)
+    return found.select("page_id", "position", "kind", "text", "ref", "caption", "resolved", "payload_bytes", "feature")

@@ -666,16 +666,40 @@ def test_page_sequences(spark):
         def handle_data(self, data):
             self.piece += data * (not self.raw)
 
+    payload = {}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        data = (r["text"] or "").encode()
+        data += b"\0" * ((-len(data)) % 64 or 64 * (not data))
+        payload[r["doc_id"]] = hashlib.sha256(data).hexdigest(), len(data), media.average_hash(data)
+    sizes = {d: (n, f) for d, n, f in payload.values()}
     found = {}
     for r in QUERIES["page_sequences"](spark, SF).orderBy("page_id", "position").collect():
-        assert r["kind"] == "text" and not r["resolved"]
-        found.setdefault(r["page_id"], []).append(r["text"])
+        found.setdefault(r["page_id"], []).append((r["kind"], r["text"], r["ref"], r["caption"], r["resolved"], r["payload_bytes"], r["feature"]))
+    resolved = dangling = 0
     for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        n, expected = 3 * r["page_id"], []
+        text = lambda t: ("text", t, None, None, False, None, None)
+
+        def shown(i, prefix, caption):
+            digest = payload[i][0]  # noqa: B023
+            return ("media", None, prefix + digest, caption, True, *sizes[digest])
+
+        if n in payload:
+            expected.append(shown(n, "sha256:", f"Picture of document {n}"))
+        if n + 1 in payload:
+            expected += [text("A sentence with"), shown(n + 1, "media:", f"Document {n + 1}"), text("in its middle.")]
+        if n in payload and n + 2 in payload:
+            expected += [shown(n + 2, "", "Two & one"), shown(n, "sha256:", "Two & one")]
+        lost = hashlib.sha256(f"lost {n}".encode()).hexdigest()
+        expected += [("media", None, "sha256:" + lost, "Lost", False, None, None), ("media", None, "photo.jpg", "Elsewhere", False, None, None)]
         brute = Brute()
-        brute.feed(r["html"])
+        brute.feed(r["html"] or "")
         brute.close()
         brute.flush()
-        assert found.get(r["page_id"], []) == brute.items
+        assert found.get(r["page_id"], []) == expected + [text(t) for t in brute.items]
+        resolved += n in payload
+        dangling += 1
+    assert resolved and dangling
 
 
 def test_sequences_stay_aligned(spark):

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from siltstone.llm import credentials, curriculum, langid, order_minhash, slack_packing
-from siltstone.llm.common import read_table, stage
+from siltstone.llm.common import discard, read_table, stage
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,5 +56,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     *stages, (_, last) = STAGES
     for number, (_, apply) in enumerate(stages, 1):
-        docs = stage(apply(spark, docs, sf_dir), f"pipeline-{number}")
+        before, docs = docs, stage(apply(spark, docs, sf_dir), f"pipeline-{number}")
+        discard(before)  # nothing reads a stage's table once the next one stands
     return last(spark, docs, sf_dir)

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, stage
 
 # How a host and the first path segment are taken from a URL.
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:@]+)"
@@ -51,12 +51,27 @@ def covering_keys(url: Column) -> Column:
     return F.when(host != "", F.concat(suffixes, with_path)).otherwise(F.array().cast("array<string>"))
 
 
-def decide(captures: DataFrame, entries: DataFrame, salts: int = 16) -> DataFrame:
-    """``captures`` (with url and fetched) and decision, matched_key, valid_from for each row."""
+#: Lookups of a key from which on they are dealt to salts, and their number.
+HOT_KEY, SALTS = 1_000, 64
+#: Hot keys up to which they are broadcast.
+MOST_HOT = 100_000
+
+
+def decide(captures: DataFrame, entries: DataFrame, hot_key: int = HOT_KEY) -> DataFrame:
+    """``captures`` (with url and fetched) and decision, matched_key, valid_from for each row.
+
+    Keys that many captures look up, such as top-level domains and large hosts, are dealt to salts; only their intervals
+    are repeated.
+    """
     looked_up = captures.select("url", "fetched").where("url is not null and fetched is not null").distinct()
-    salt = F.pmod(F.xxhash64("url", "fetched"), F.lit(salts)).cast("int").alias("salt")
-    keys = looked_up.select("url", "fetched", salt, F.explode(covering_keys(F.col("url"))).alias("list_key"))
-    spans = intervals(entries).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    keys = looked_up.select("url", "fetched", F.explode(covering_keys(F.col("url"))).alias("list_key"))
+    hot = keys.groupBy("list_key").agg(F.count("*").alias("n")).where(F.col("n") > hot_key).select("list_key", F.lit(True).alias("hot"))
+    hot = stage(hot, "hot-keys")
+    hot = F.broadcast(hot) if hot.limit(MOST_HOT + 1).count() <= MOST_HOT else hot
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("url", "fetched"), F.lit(SALTS))).otherwise(0).cast("int")
+    keys = keys.join(hot, "list_key", "left").select("url", "fetched", "list_key", salt.alias("salt"))
+    repeated = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    spans = intervals(entries).join(hot, "list_key", "left").withColumn("salt", F.explode(repeated)).drop("hot")
     active = keys.join(spans, ["list_key", "salt"]).where("fetched >= valid_from and (valid_to is null or fetched < valid_to)")
     match = F.struct(F.length("list_key").alias("specific"), "list_key", "action", "valid_from")
     best = active.groupBy("url", "fetched").agg(F.max(match).alias("best"))

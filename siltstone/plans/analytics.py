@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from ..config import RecallConfig
 from ..engine import Engine
-from ..functions.text import find_all, line_ends
-from ..operators import embedding, evaluation, fusion, mining, recall, stats
+from ..functions.text import find_all, line_ends, tokens
+from ..operators import embedding, evaluation, fusion, mining, recall, sparse, stats
 from ..operators.embedding import EmbeddingConfig
 from ..operators.joins import small
+from ..operators.sparse import SearchIndex
 from ..sources import files as S
 from ..sources import tables as T
 from ..sources.blocks import read_blocks
@@ -37,26 +38,28 @@ EVAL_SQL = f"""{search.BM25_SQL}, expected AS (
   FROM wanted t LEFT JOIN per_rank p USING (query_id) LEFT JOIN per_expected x USING (query_id))"""
 
 
-def holders(files: DataFrame, passages: DataFrame, anchor: int = 24) -> DataFrame:
+def holders(index: SearchIndex, files: DataFrame, passages: DataFrame) -> DataFrame:
     """(query_id, path) of the files that hold a passage whole.
 
-    The first ``anchor`` characters of a passage are met by equality with the stretches of a file that
-    begin with the same word, and what is met is compared whole; shorter passages are met with every
-    file.
+    A passage is looked for in the files that have its rarest word, by the postings of that word. Its first and last words
+    may be parts of longer ones and don't count; passages without another word are met with every file.
     """
-    word = r"^[\p{L}\p{N}_]+"
-    head = F.regexp_extract("passage", word, 0)
-    usable = (F.length("passage") >= anchor) & (head != "")
-    anchored = passages.where(usable).select("query_id", "passage", F.substring("passage", 1, anchor).alias("anchor"))
-    cut = files.select("file_path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(rf"(?s)(?<![\p{{L}}\p{{N}}_])(?=([\p{{L}}\p{{N}}_].{{{anchor - 1}}}))"), F.lit(1)))).alias("anchor"))
-    near = cut.join(small(anchored), "anchor").select("file_path", "query_id", "passage").join(files.select("file_path", "content"), "file_path").where(F.contains("content", F.col("passage")))
-    rest = files.join(small(passages.where(~usable), 1000), F.contains("content", F.col("passage")))
+    words = tokens(F.col("passage"))
+    known = passages.select("query_id", "passage", F.array_distinct(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))).alias("inner"))
+    usable = F.size("inner") > 0
+    each = known.where(usable).select("query_id", F.explode("inner").alias("term"))
+    spread = index.vocabulary.join(small(each.select("term").distinct()), "term").groupBy("term").agg(F.sum("df").alias("df"))
+    rarity = F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")
+    rarest = each.join(spread, "term", "left").groupBy("query_id").agg(F.min(rarity)["term"].alias("term"))  # a row a passage
+    met = sparse.postings_of(index, rarest).join(small(rarest), "term").select("query_id", F.regexp_replace("chunk_id", ":[0-9]+$", "").alias("file_path")).distinct()
+    near = files.select("file_path", "content").join(met, "file_path").join(small(known.select("query_id", "passage")), "query_id").where(F.contains("content", F.col("passage")))
+    rest = files.join(small(known.where(~usable), 1000), F.contains("content", F.col("passage")))
     return near.select("query_id", F.col("file_path").alias("path")).union(rest.select("query_id", "file_path")).distinct()
 
 
 def metrics(spark: SparkSession, sf: str) -> DataFrame:
     passages = T.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-    expected = holders(T.files(spark, sf), passages)
+    expected = holders(T.index(spark, sf), T.files(spark, sf), passages)
     hits = search.sparse.bm25(T.index(spark, sf), T.questions(spark, sf)).withColumn("score", F.round("score", 6))
     retrieved = search.sparse.best(hits, 2 * evaluation.depth()).select("query_id", F.regexp_replace("chunk_id", ":[0-9]+$", "").alias("path"), "rank")
     return evaluation.per_query(expected, retrieved)

@@ -219,6 +219,26 @@ def python_ast_graph(spark: SparkSession, sf: str) -> DataFrame:
     return graph.python_graph(python_files(spark, sf))
 
 
+DOCS_SQL = """docs AS (SELECT s_suppkey AS chunk_id, 'Class SupplierOrder uses `part.Key` and `part.Key`. Found `' || lower(n_name) || '` and TradeNation' || s_suppkey || '. '
+  || n_name || ' imported from geo.nations. load_' || s_suppkey || ' imported from trade.parts_' || (s_suppkey % 7) || ' and ' || n_name || ' imported from geo.nations' AS content FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
+
+
+@query(f"""WITH {DOCS_SQL}, named AS (SELECT chunk_id, list_concat(regexp_extract_all(content, '`([A-Za-z_][A-Za-z0-9_.]*)`', 1), regexp_extract_all(content, '\\b([A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+)\\b', 1)) AS cs,
+  regexp_extract_all(content, '\\b[A-Za-z_][A-Za-z0-9_.]* imported from [A-Za-z_][A-Za-z0-9_]*(?:\\.[A-Za-z0-9_]+)*') AS ms FROM docs)
+SELECT chunk_id, array_to_string(list_filter(cs, lambda x, i: list_position(cs, x) = i), ',') AS concepts, array_to_string(list_transform(list_filter(ms, lambda x, i: list_position(ms, x) = i), lambda x: replace(x, ' imported from ', '<')), ',') AS imports FROM named""")
+def docstring_concept_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Names and imports in a text made for each supplier."""
+    n = T.table(spark, sf, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
+    made = F.format_string(
+        "Class SupplierOrder uses `part.Key` and `part.Key`. Found `%s` and TradeNation%d. %s imported from geo.nations. load_%d imported from trade.parts_%d and %s imported from geo.nations",
+        F.lower("n_name"), "s_suppkey", "n_name", "s_suppkey", F.col("s_suppkey") % 7, "n_name",
+    )
+    texts = T.table(spark, sf, "supplier").join(F.broadcast(n), "s_nationkey").select(F.col("s_suppkey").alias("chunk_id"), made.alias("content"))
+    found = graph.docstring_concepts(texts)
+    shown = F.transform("imports", lambda x: F.concat(x["name"], F.lit("<"), x["source"]))
+    return found.select("chunk_id", F.array_join("concepts", ",").alias("concepts"), F.array_join(shown, ",").alias("imports"))
+
+
 # Chunks
 
 

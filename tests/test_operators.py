@@ -455,7 +455,10 @@ def test_config_and_engine(spark):
 def test_python_concepts_and_keys(spark):
     texts = spark.createDataFrame([("1", "Use `load_file` with ThingMaker; helper imported from tools.io")], "chunk_id string, content string")
     r = graph.docstring_concepts(texts).first()
-    assert r["concepts"] == ["load_file", "ThingMaker"] and (r["imported"], r["imported_from"]) == ("helper", "tools.io")
+    assert r["concepts"] == ["load_file", "ThingMaker"] and [tuple(x) for x in r["imports"]] == [("helper", "tools.io")]
+    more = spark.createDataFrame([("1", "a imported from x.y, b imported from z. a imported from x.y and `Q` `Q`"), ("2", None)], "chunk_id string, content string")
+    found = {r["chunk_id"]: (r["concepts"], [tuple(x) for x in r["imports"]]) for r in graph.docstring_concepts(more).collect()}
+    assert found == {"1": (["Q"], [("a", "x.y"), ("b", "z")]), "2": ([], [])}
 
 
 def brute_braces(text):

@@ -313,6 +313,16 @@ SENTENCE_UNIT = "regexp_extract_all(content, '(?s).+?(?:[.!?][ \t\n\r\f\v]+|$)')
 QUESTION_UNIT = "list_transform(string_split(replace(content, chr(10) || 'Q:', chr(10) || chr(1) || 'Q:'), chr(1)), lambda x: x)"
 
 
+TOKENS_SQL = f"""WITH {T.FILES_SQL}, units AS (SELECT file_path, content, length(content) - length(ltrim(content, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS lead, regexp_extract_all(content, '[^ \t\n\r\f\v]+[ \t\n\r\f\v]*') AS us FROM files
+), placed AS (SELECT file_path, len(us) AS n, nth, (lead + sum(length(u)) OVER x - length(u))::bigint AS s, (lead + sum(length(u)) OVER x - length(u) + length(rtrim(u, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))))::bigint AS e
+  FROM (SELECT file_path, lead, us, unnest(us) AS u, generate_subscripts(us, 1) - 1 AS nth FROM units) WINDOW x AS (PARTITION BY file_path ORDER BY nth)
+), cut AS (SELECT file_path, n, unnest(range(0, CASE WHEN n > 128 THEN (n - 128 + 111) // 112 ELSE 0 END + 1)) AS w FROM (SELECT DISTINCT file_path, n FROM placed)
+), spans AS (SELECT c.file_path, c.w, a.s, b.e, count(*) OVER (PARTITION BY c.file_path) AS windows FROM cut c JOIN placed a ON a.file_path = c.file_path AND a.nth = c.w * 112 JOIN placed b ON b.file_path = c.file_path AND b.nth = least(c.w * 112 + 128, c.n) - 1)
+SELECT p.file_path, (row_number() OVER (PARTITION BY p.file_path ORDER BY w) - 1)::int AS chunk_ordinal, s::int AS char_start, e::int AS char_end,
+       (1 + s - length(replace(substr(content, 1, s), chr(10), '')))::int AS start_line, (1 + e - length(replace(substr(content, 1, e), chr(10), '')))::int AS end_line
+FROM spans p JOIN files f ON f.file_path = p.file_path WHERE windows = 1 OR e - s >= 50"""
+
+
 def _split(strategy: str, files):
     def run(spark: SparkSession, sf: str) -> DataFrame:
         found = chunking.split(files(spark, sf), strategy, ChunkConfig(target_tokens=128, overlap_tokens=16))
@@ -323,7 +333,7 @@ def _split(strategy: str, files):
 
 for _name, _strategy, _files, _sql in (
     ("chunk_sentences", "sentence", T.files, packed_sql(T.FILES_SQL, SENTENCE_UNIT)), ("chunk_markdown", "markdown", markdown_files, None), ("chunk_recursive", "recursive", T.files, None),
-    ("chunk_qa_blocks", "qa_blocks", question_files, packed_sql(QUESTION_FILES_SQL, QUESTION_UNIT)), ("chunk_fixed_tokens", "fixed_tokens", T.files, None),
+    ("chunk_qa_blocks", "qa_blocks", question_files, packed_sql(QUESTION_FILES_SQL, QUESTION_UNIT)), ("chunk_fixed_tokens", "fixed_tokens", T.files, TOKENS_SQL),
     ("chunk_python_statements", "ast", python_files, None), ("chunk_python_fallback", "ast", T.files, None), ("chunk_brace_blocks", "braces", brace_files, None),
 ):
     _run = _split(_strategy, _files)

@@ -429,7 +429,19 @@ def jaccard_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return a.join(b, "query_id").where("ra < rb").select("query_id", "a", "b", F.round(fusion.jaccard(F.col("sa"), F.col("sb")), 6).alias("similarity"))
 
 
-@query()
+def mmr_sql(k: int, lam: float, pool: int) -> str:
+    """Greedy choice, unrolled: what is left after a step keeps its greatest likeness to what was chosen."""
+    union = "len(list_distinct(list_concat(r.s, c.s)))"
+    text = f"""WITH {TOP_CHUNKS_SQL}, found AS (SELECT t.query_id, t.chunk_id, t.rank, t.score, regexp_extract_all(lower(c.content), '[a-z0-9_]{{2,64}}') AS ws FROM top_chunks t JOIN chunks c USING (chunk_id) WHERE t.rank <= {pool}
+), left1 AS MATERIALIZED (SELECT query_id, chunk_id, rank, score, list_filter(ws, lambda v, i: list_position(ws, v) = i)[1:64] AS s, 0::double AS closest FROM found)"""
+    for i in range(1, k + 1):
+        text += f""", chosen{i} AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {lam}::double * score - (1 - {lam}::double) * closest DESC, rank) AS nth FROM left{i}) WHERE nth = 1
+), left{i + 1} AS MATERIALIZED (
+  SELECT r.query_id, r.chunk_id, r.rank, r.score, r.s, greatest(r.closest, CASE WHEN {union} > 0 THEN len(list_intersect(r.s, c.s)) / {union}::double ELSE 0 END) AS closest FROM left{i} r JOIN chosen{i} c ON c.query_id = r.query_id AND c.rank <> r.rank)"""
+    return text + " " + " UNION ALL ".join(f"SELECT query_id, chunk_id, score, {i} AS rank FROM chosen{i}" for i in range(1, k + 1))
+
+
+@query(mmr_sql(K, SearchConfig().mmr_lambda, 50))
 def mmr_select(spark: SparkSession, sf: str) -> DataFrame:
     texts = T.chunks(spark, sf).select("chunk_id", fusion.word_set(F.col("content")).alias("words"))
     return fusion.mmr(top_chunks(spark, sf, 200).join(texts, "chunk_id"), K, SearchConfig().mmr_lambda)

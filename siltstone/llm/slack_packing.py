@@ -112,6 +112,8 @@ def slot_table(patterns: list[Pattern]) -> dict[int, np.ndarray]:
 
 #: Words that a worker process has encoded, with their ids as bytes; kept from task to task.
 _KNOWN: dict[tuple[str | None, bool], dict[str, bytes]] = {}
+#: Texts whose words are looked up together.
+TEXTS = 200
 #: White space other than the space and the line end.
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 _ADJACENT = ("  ", " \n", "\n ", "\n\n")
@@ -167,30 +169,47 @@ def encoder(config: PackConfig) -> Callable[[list[str]], list[bytes]]:
             return dict(zip(words, ids_of([prefix + w for w in words])))
         return {w: ids[a:b].tobytes() for w, a, b in zip(words, [0, *(ends + 1).tolist()], ends.tolist())}
 
-    def ids_by_word(words: set[str], known: dict[str, bytes], prefix: str) -> dict[str, bytes]:
-        missing = [w for w in words if w not in known]
+    def learn(words: set[str], known: dict[str, bytes], prefix: str) -> list[str]:
+        """Put the ids of all words into ``known``; those that are new."""
+        missing = words.difference(known)
         if not missing:
-            return known
+            return []
         bare = {w: w[:-1] if len(w) > 1 and w[-1] in marks and w[-2].isalpha() else w for w in missing}
         new = fresh([w for w in dict.fromkeys(bare.values()) if w not in known], prefix)
         for w, b in bare.items():
             if b is not w:
                 new[w] = (new[b] if b in new else known[b]) + marks[w[-1]]
-        if len(known) + len(new) <= config.cache_words:
-            known.update(new)
-            return known
-        return {w: known[w] for w in words if w in known} | new
+        known.update(new)
+        return list(new)
 
     def encode(texts: list[str]) -> list[bytes]:
-        lines = [[x.split(" ") for x in t.split("\n")] if t and _plainly_spaced(t) and not any(x in t for x in special) else None for t in texts]
-        first = ids_by_word({x[0] for t in lines if t for x in t}, leading, "")
-        rest = ids_by_word({w for t in lines if t for x in t for w in x[1:]}, inner, " ")
+        lines: list[list[tuple[str, list[str]]] | None] = []
+        firsts: set[str] = set()
+        others: set[str] = set()
+        for t in texts:
+            if not t or not _plainly_spaced(t) or any(x in t for x in special):
+                lines.append(None)
+                continue
+            parts = []
+            for line in t.split("\n"):
+                words = line.split(" ")
+                head = words.pop(0)
+                firsts.add(head)
+                others.update(words)
+                parts.append((head, words))
+            lines.append(parts)
+        passing = [(known, learn(words, known, prefix)) for words, known, prefix in ((firsts, leading, ""), (others, inner, " "))]
+        first, rest = leading.__getitem__, inner.__getitem__
         out = []
         for text, parts in zip(texts, lines):
             if parts is None:
                 out.append(ids_of([text])[0] if text else b"")
             else:
-                out.append(line_end.join([b"".join([first[x[0]], *[rest[w] for w in x[1:]]]) for x in parts]))
+                out.append(line_end.join([first(head) + b"".join(map(rest, words)) for head, words in parts]))
+        for known, new in passing:  # what is beyond the bound isn't remembered
+            if len(known) > config.cache_words:
+                for w in new:
+                    del known[w]
         return out
 
     return encode
@@ -205,8 +224,8 @@ def cut(docs: DataFrame, config: PackConfig = PackConfig()) -> DataFrame:
         for pdf in batches:
             rows = []
             texts = pdf["text"].fillna("").tolist()
-            for a in range(0, len(texts), 100):
-                for doc_id, found in zip(pdf["doc_id"][a : a + 100], encode(texts[a : a + 100])):
+            for a in range(0, len(texts), TEXTS):
+                for doc_id, found in zip(pdf["doc_id"][a : a + TEXTS], encode(texts[a : a + TEXTS])):
                     ids = found + end
                     n = len(ids) // 4
                     first = n % config.capacity or config.capacity

@@ -118,7 +118,11 @@ def _sketches(labelled: np.ndarray, seeds: np.ndarray, l: int) -> np.ndarray:
     ranks = (labelled[None, :] ^ seeds[:, None]) * np.uint64(0x9FB21C651E98DF25)
     ranks ^= ranks >> np.uint64(32)
     if len(labelled) > l:
-        chosen = np.sort(np.argpartition(ranks, l - 1, axis=1)[:, :l], axis=1)
+        chosen, row = np.empty((len(seeds), l), np.int64), np.arange(len(seeds))
+        for i in range(l):  # few are wanted, so that many least ones are faster than a partition
+            chosen[:, i] = ranks.argmin(1)
+            ranks[row, chosen[:, i]] = np.uint64(2**64 - 1)
+        chosen.sort(axis=1)
     else:
         chosen = np.broadcast_to(np.arange(len(labelled)), (len(seeds), len(labelled)))
     out = seeds.copy()

@@ -32,6 +32,16 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
+#: Rows of a batch that a Python worker gets, where rows hold whole documents.
+BATCH_ROWS, BATCH_SETTING = 2_000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Send documents to the workers in smaller batches than the default; a smaller setting of the session's stays."""
+    if int(spark.conf.get(BATCH_SETTING, "10000")) > BATCH_ROWS:
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 

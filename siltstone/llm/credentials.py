@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, stage
+from .common import read_table, small_batches, stage
 
 # The base rules and the least length of what they match.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -138,6 +138,7 @@ def _joined(spans: Column) -> Column:
 def find_secrets(docs: DataFrame, config: LinkConfig = LinkConfig()) -> DataFrame:
     """One row for each row of ``docs``: counts and digest of the base spans, and all spans as
     text and as an array of (start, kind, end)."""
+    small_batches(docs.sparkSession)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     scanned = texts.select("doc_id", "text", F.md5("text").alias("text_key")).mapInPandas(_scan, SCAN_SCHEMA)
     scanned = stage(scanned, "secret-parts")
@@ -157,7 +158,7 @@ def redact(docs: DataFrame, config: LinkConfig = LinkConfig()) -> DataFrame:
     columns = docs.columns
     found = find_secrets(docs, config).where(F.size("span_list") > 0).select("text_key", "span_list").dropDuplicates(["text_key"])
     keyed = docs.withColumn("text_key", F.md5(F.coalesce("text", F.lit("")))).join(found, "text_key", "left")
-    out = keyed.withColumn("text", F.when(F.col("span_list").isNull(), F.col("text")).otherwise(replaced("text", "span_list")))
+    out = keyed.withColumn("text", F.when(F.col("span_list").isNull(), F.col("text")).otherwise(replaced(F.when(F.col("span_list").isNotNull(), F.col("text")), F.col("span_list"))))  # other texts aren't sent
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.when(F.col("span_list").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(columns)

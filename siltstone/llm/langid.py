@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, stage
+from .common import read_table, small_batches, stage
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Seed of Spark's xxhash64.
@@ -147,7 +147,7 @@ def fit(labelled: DataFrame, config: LangIdConfig = LangIdConfig()) -> LangIdMod
 class WordScores:
     """Log frequencies of the words met so far, a row each; words are scored anew, alike, after ``clear``."""
 
-    def __init__(self, model: LangIdModel, most_cells: int = 2_000_000):
+    def __init__(self, model: LangIdModel, most_cells: int = 1_000_000):
         self.model, self.most_rows = model, max(1, most_cells // max(1, len(model.languages)))
         self.clear()
 
@@ -207,6 +207,7 @@ class WordScores:
 
 def predictor(spark: SparkSession, model: LangIdModel) -> Callable[[Column], Column]:
     """Column function from a text to struct(lang_pred, score)."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")

@@ -43,7 +43,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, letter_or_digit_table, mix, read_table, stage, word_hashes
+from .common import discard, letter_or_digit_table, mix, read_table, small_batches, stage, word_hashes
 
 
 @dataclass(frozen=True)
@@ -344,6 +344,7 @@ def cross_pairs(placed: DataFrame, shapes: DataFrame, config: OrderMinHashConfig
 def near_duplicates(docs: DataFrame, config: OrderMinHashConfig = OrderMinHashConfig()) -> DataFrame:
     """One row for each document: doc_id, text_key, label (its class by key), class_id (its class by
     smallest doc_id) and class_size (its documents)."""
+    small_batches(docs.sparkSession)
     sketched = stage(sketch_texts(docs, config), "sketches")
     once = sketched.groupBy("text_key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
     # Dealt by bucket once, for the counts and for what is kept.

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_of, read_table, root_buckets, stage
+from .common import bucket_of, read_table, root_buckets, small_batches, stage
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -234,6 +234,7 @@ def cut(docs: DataFrame, config: PackConfig = PackConfig()) -> DataFrame:
                         rows.append((doc_id, k, x, y - x, zlib.crc32(ids[4 * x : 4 * y])))
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, PIECE_SCHEMA)
 
 

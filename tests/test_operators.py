@@ -615,3 +615,14 @@ def test_merged_maps_models_and_power(spark):
     got = {r["request_id"]: r for r in stats.cost(asked, prices).collect()}
     assert (got[1]["electricity_usd"], got[1]["daily_usd"], got[1]["monthly_usd"], got[1]["error"]) == (0.1, 0.11, 3.3, "")
     assert got[2]["daily_usd"] == 0.01 and got[2]["error"].startswith("Electricity") and got[3]["error"].count(";") == 1
+
+
+def test_recall_gate_edges_of_words_are_those_of_sql(spark):
+    """A question word that goes on with a letter beyond ASCII is one to SQL."""
+    import duckdb
+
+    said = ["Doíar ga. La en menteco un laciónasieñ del ñóllll.", "isñ el", "Doar ga la en menteco un la del", "the pläne ñthe idea of it all is one that I like", "what é", "whaté now", "do", "the ideaé of it all is one that we all like"]
+    rows = spark.createDataFrame([(i, 1, m) for i, m in enumerate(said)], "conv_id int, turn int, message string")
+    con = duckdb.connect()
+    theirs = [con.execute(f"SELECT {recall.intensity_sql('m', '1')} FROM (SELECT ?::varchar AS m)", [m]).fetchone()[0] for m in said]
+    assert [r["intensity"] for r in recall.gate(rows).orderBy("conv_id").collect()] == theirs

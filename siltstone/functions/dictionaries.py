@@ -69,6 +69,14 @@ def lexeme(word: Column, language: Column) -> Column:
     return out
 
 
+def stopped(word: Column, language: Column) -> Column:
+    """Whether a lower-cased word is a stop word of its language's dictionary."""
+    out = F.lit(False)
+    for name in RULES:
+        out = out | (F.coalesce(language == name, F.lit(False)) & word.isin(STOP[name]))
+    return out
+
+
 def lexeme_sql(word: str, language: str) -> str:
     """The same in SQL."""
     cases = ""

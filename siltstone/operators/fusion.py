@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import FusionConfig, SearchConfig
+from .joins import small
 
 LEGS = ("vector", "sparse", "graph")
 MODES = {"all": LEGS, "dense": LEGS[:1], "sparse": LEGS[1:2], "graph": LEGS[2:]}
@@ -139,10 +140,11 @@ def neighbours(hits: DataFrame, chunks: DataFrame, config: SearchConfig = Search
     seeds = -(-config.final_k // (2 * w + 1))
     known = chunks.where("chunk_ordinal > 0") if first_is_missing else chunks
     at = known.select("corpus_id", "chunk_id", "file_path", "chunk_ordinal")
-    placed = hits.join(at, ["corpus_id", "chunk_id"], "left")
+    met = at.join(small(hits.select("corpus_id", "chunk_id").distinct()), ["corpus_id", "chunk_id"])  # a few chunks a query
+    placed = hits.join(met, ["corpus_id", "chunk_id"], "left")
     near = placed.where((F.col("rank") <= seeds) & F.col("chunk_ordinal").isNotNull())
     near = near.select("query_id", "corpus_id", "file_path", "score", "rank", F.col("chunk_ordinal").alias("seed"), F.explode(F.sequence(F.col("chunk_ordinal") - w, F.col("chunk_ordinal") + w)).alias("chunk_ordinal"))
-    near = near.where("chunk_ordinal <> seed").join(at, ["corpus_id", "file_path", "chunk_ordinal"])
+    near = at.join(small(near.where("chunk_ordinal <> seed")), ["corpus_id", "file_path", "chunk_ordinal"])
     distance = F.abs(F.col("chunk_ordinal") - F.col("seed"))
     found = near.select("query_id", "corpus_id", "chunk_id", (F.col("score") * F.greatest(F.lit(0.5), F.lit(1.0) - F.lit(0.1) * distance)).alias("score"), "rank", F.lit(1).alias("place"), F.col("chunk_ordinal").alias("sub"))
     own = placed.select("query_id", "corpus_id", "chunk_id", "score", "rank", F.lit(0).alias("place"), F.coalesce("chunk_ordinal", F.lit(0)).alias("sub"))

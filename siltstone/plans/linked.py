@@ -10,7 +10,7 @@ from ..sources import tables as T
 
 def links(spark: SparkSession, sf: str) -> DataFrame:
     """(entity_id, chunk_id): a part is named in the chunks of the document of its number, a supplier in those of twenty."""
-    chunks = T.stored_chunks(spark, sf)
+    chunks = T.places(spark, sf)
     part = chunks.select(F.concat(F.lit("part:"), F.col("doc_id").cast("string")).alias("entity_id"), "chunk_id")
     supplier = chunks.select(F.concat(F.lit("supplier:"), F.expr("doc_id div 20").cast("string")).alias("entity_id"), "chunk_id")
     return part.union(supplier)

@@ -98,7 +98,7 @@ def linked_communities(spark: SparkSession, sf: str) -> DataFrame:
     """The folder that most chunks of an entity are in, or its own file where it has none."""
     entities = T.entities(spark, sf)
     known = linked.links(spark, sf).join(entities.select("entity_id"), "entity_id", "left_semi")
-    return graph.communities(entities, known, T.stored_chunks(spark, sf))
+    return graph.communities(entities, known, T.places(spark, sf))
 
 
 @query(f"""WITH {T.FILES_SQL}, named AS (SELECT doc_id, 'd' || doc_id AS path, CASE WHEN doc_id % 11 = 0 THEN '  ' ELSE content END AS text FROM files
@@ -147,7 +147,7 @@ def latest_saved_runs(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {T.CHUNKS_SQL} SELECT corpus_id, count(*) AS n, count(DISTINCT file_path) AS n_files FROM chunks WHERE corpus_id <> 'fr' GROUP BY corpus_id")
 def corpus_written_and_deleted(spark: SparkSession, sf: str) -> DataFrame:
     """The chunks written by corpus, one corpus written again, another deleted."""
-    path, chunks = _folder(spark, "corpus"), T.stored_chunks(spark, sf).select("corpus_id", "chunk_id", "file_path")
+    path, chunks = _folder(spark, "corpus"), T.places(spark, sf).select("corpus_id", "chunk_id", "file_path")
     S.write_corpus(chunks, path)
     S.write_corpus(chunks.where("corpus_id = 'en'"), path)
     left = S.without_corpus({"chunks": spark.read.parquet(path)}, "fr")["chunks"]

@@ -21,8 +21,12 @@ def holding(rows: DataFrame, text: Column, asked: DataFrame, token: str) -> Data
     compared with every token. Made for short texts, such as names and paths.
     """
     lengths = [r[0] for r in asked.select(F.length(token).alias("n")).where("n > 0").distinct().orderBy("n").collect()]  # lengths, not tokens
-    held = F.concat(F.array().cast("array<string>"), *[_stretches(text, n) for n in lengths])
-    return rows.withColumn("_held", F.explode(F.array_distinct(held))).join(small(asked.where(F.length(token) > 0)), F.col("_held") == F.col(token)).drop("_held")
+    return rows.withColumn("_held", F.explode(stretches(text, lengths))).join(small(asked.where(F.length(token) > 0)), F.col("_held") == F.col(token)).drop("_held")
+
+
+def stretches(text: Column, lengths: list[int]) -> Column:
+    """The distinct stretches of a text of some lengths."""
+    return F.array_distinct(F.concat(F.array().cast("array<string>"), *[_stretches(text, n) for n in lengths]))
 
 
 def _stretches(text: Column, n: int) -> Column:

@@ -626,3 +626,25 @@ def test_recall_gate_edges_of_words_are_those_of_sql(spark):
     con = duckdb.connect()
     theirs = [con.execute(f"SELECT {recall.intensity_sql('m', '1')} FROM (SELECT ?::varchar AS m)", [m]).fetchone()[0] for m in said]
     assert [r["intensity"] for r in recall.gate(rows).orderBy("conv_id").collect()] == theirs
+
+
+def test_last_hop_shuffles_no_pairs(spark, monkeypatch):
+    edges = spark.createDataFrame([(f"g{i % 3}", f"m{i}", "contains") for i in range(60)] + [("g0", "m1", "contains"), ("top", "g0", "contains"), ("g1", "g2", "contains"), ("m1", "m1", "contains")], "source_id string, target_id string, relation_type string")
+    seeds = spark.createDataFrame([(f"m{i}", f"m{i}") for i in range(0, 60, 7)] + [("alone", "alone"), ("pair", "m1"), ("pair", "m2")], "seed string, node string")
+    near: dict[str, set[str]] = {}
+    for r in edges.collect():
+        near.setdefault(r["source_id"], set()).add(r["target_id"])
+        near.setdefault(r["target_id"], set()).add(r["source_id"])
+    for most, held in ((1, 500), (2, 500), (2, 5), (3, 500)):
+        monkeypatch.setattr(graph, "HELD", held)
+        expected: dict[tuple[str, str], int] = {}
+        for r in seeds.collect():
+            layer = {r["node"]}
+            for h in range(most + 1):
+                for n in layer:
+                    expected[r["seed"], n] = min(h, expected.get((r["seed"], n), h))
+                layer = {m for n in layer for m in near.get(n, ())}
+        found = graph.hops(seeds, edges, most)
+        assert "hashpartitioning(seed" not in found._jdf.queryExecution().executedPlan().toString()
+        rows = [(r["seed"], r["node"], r["hops"]) for r in found.collect()]
+        assert len(rows) == len(set(rows)) and {(s, n): h for s, n, h in rows} == expected

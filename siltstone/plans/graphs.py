@@ -89,7 +89,7 @@ def entity_chunk_search(spark: SparkSession, sf: str) -> DataFrame:
 ), {walk_sql('SELECT entity_id AS seed, entity_id AS node FROM start_at')}
 SELECT l.chunk_id, round(max(s.seed_score / (1 + w.hops)), 6) AS score FROM walked w JOIN start_at s ON s.entity_id = w.seed JOIN links l ON l.entity_id = w.node GROUP BY l.chunk_id""")
 def expand_via_entities(spark: SparkSession, sf: str) -> DataFrame:
-    seeds = T.chunks(spark, sf).where("doc_id % 100 = 0").select("chunk_id", (F.lit(1.0) / (1 + F.col("chunk_ordinal"))).alias("score"))
+    seeds = T.places(spark, sf).where("doc_id % 100 = 0").select("chunk_id", (F.lit(1.0) / (1 + F.col("chunk_ordinal"))).alias("score"))
     return graph.expand_chunks(seeds, links(spark, sf), T.relationships(spark, sf), 2).withColumn("score", F.round("score", 6))
 
 

@@ -648,3 +648,24 @@ def test_last_hop_shuffles_no_pairs(spark, monkeypatch):
         assert "hashpartitioning(seed" not in found._jdf.queryExecution().executedPlan().toString()
         rows = [(r["seed"], r["node"], r["hops"]) for r in found.collect()]
         assert len(rows) == len(set(rows)) and {(s, n): h for s, n, h in rows} == expected
+
+
+def test_spread_reads_its_edges_once(spark, monkeypatch):
+    edges = [(f"g{i % 3}", f"m{i}") for i in range(40)] + [("top", "g0"), ("g0", "g1"), ("m1", "m1"), ("g0", "m0")]
+    table = spark.createDataFrame([(a, b, "contains") for a, b in edges], "source_id string, target_id string, relation_type string")
+    starts = {"m0": 0.9, "m5": 0.4, "alone": 1.0}
+    best, layer = dict(starts), dict(starts)
+    for h in (1, 2):
+        beside: dict[str, float] = {}
+        for a, b in [*edges, *[(b, a) for a, b in edges]]:
+            if a in layer:
+                beside[b] = max(layer[a], beside.get(b, 0.0))
+        layer = beside
+        for n, x in layer.items():
+            best[n] = max(best.get(n, 0.0), x / (1 + h))
+    rows = spark.createDataFrame([(n, x) for n, x in starts.items()], "node string, score double")
+    for most_rows, hub in ((100, 10_000), (1, 10_000), (1, 5)):  # the front sent around, joined, joined with salts
+        monkeypatch.setattr(graph, "MOST_ROWS", most_rows)
+        found = graph.spread(rows, [], table, 2, hub=hub)
+        assert "source_id" not in found._jdf.queryExecution().executedPlan().toString()  # edges are read from what was staged
+        assert {r["node"]: round(r["score"], 9) for r in found.collect()} == {n: round(x, 9) for n, x in best.items()}

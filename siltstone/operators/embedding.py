@@ -33,12 +33,32 @@ class EmbeddingConfig:
     tokenizer: TokenizerConfig = field(default_factory=TokenizerConfig)
 
 
+#: Token vectors that a worker remembers between tasks, by length of a vector: a token's signs, a byte each.
+_SIGNS: dict[int, dict[str, bytes]] = {}
+REMEMBERED = 200_000
+
+
 def hashed_tokens(dim: int) -> TokenEmbedder:
-    """Deterministic token vectors: signs drawn from a hash of the token."""
+    """Deterministic token vectors: signs drawn from a hash of the token, once for a token that comes again."""
     import zlib
 
+    def drawn(token: str) -> bytes:
+        """What ``default_rng(hash).choice((-1, 1), dim)`` draws: the upper bits of its 32-bit words."""
+        words = np.random.PCG64(zlib.crc32(token.encode())).random_raw(-(-dim // 2)).astype("<u8").view("<u4")[:dim]
+        return ((words >> 31).astype(np.int8) * 2 - 1).tobytes()
+
     def embed(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
-        return np.array([np.random.default_rng(zlib.crc32(text[a:b].lower().encode())).choice((-1.0, 1.0), dim) for a, b in spans]).reshape(-1, dim)
+        known = _SIGNS.setdefault(dim, {})
+        if len(known) > REMEMBERED:
+            known.clear()
+        rows = []
+        for a, b in spans:
+            token = text[a:b].lower()
+            signs = known.get(token)
+            if signs is None:
+                signs = known[token] = drawn(token)
+            rows.append(signs)
+        return np.frombuffer(b"".join(rows), np.int8).astype(float).reshape(-1, dim)
 
     return embed
 

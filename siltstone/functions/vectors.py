@@ -18,6 +18,11 @@ def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x))
 
 
+def direction(v: Column) -> Column:
+    """The vector at length one; its length is taken once, not for every component."""
+    return F.element_at(F.transform(F.array(norm(v)), lambda n: F.transform(v, lambda x: x / n)), 1)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity; 0 for empty vectors, unequal lengths and zero norms."""
     scale = norm(a) * norm(b)

@@ -14,7 +14,7 @@ from ..operators.numbering import numbered
 from ..sources import tables as T
 from .linked import LINKS_SQL as LINKED_SQL, links
 from .registry import query
-from .search import COSINE_SQL, dense_hits
+from .search import COSINE_SQL, nearest_of_all
 
 LINKS_SQL = f"{T.CHUNKS_SQL}, {LINKED_SQL}"
 WALK_SQL = f"""{T.GRAPH_SQL}, both_ways AS (SELECT source_id AS src, target_id AS dst FROM relationships UNION SELECT target_id, source_id FROM relationships)"""
@@ -186,7 +186,7 @@ SELECT s.query_id, n.chunk_id, round(max(s.score) / (1 + min(abs(n.seq - a.seq))
 def chunk_sequence_neighbors(spark: SparkSession, sf: str) -> DataFrame:
     rows = T.vectors(spark, sf).select("chunk_id", "corpus_id")
     seqs = numbered(rows, ["chunk_id"], F.floor(F.col("chunk_id") / 4096), "seq", ["corpus_id"])
-    seeds = dense.top_k(dense_hits(spark, sf), 10).select("query_id", "chunk_id", "score")
+    seeds = nearest_of_all(spark, sf, 10).select("query_id", "chunk_id", "score")
     return graph.sequence_neighbours(seeds, seqs, 1).withColumn("score", F.round("score", 6))
 
 
